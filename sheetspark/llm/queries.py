@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import pii, warc
 
 QUERIES = {
+    "op3_pii": pii.op3,
     "op4_warc_archive": warc.op4,
 }
 
