@@ -182,7 +182,7 @@ def _choose(level: int, last: bool, capacity: int):
         best = best.sort_values(["bin", "rid"], kind="stable")
         before = best.groupby("bin")["length"].cumsum() - best["length"]
         full = best.groupby("bin")["length"].transform("sum") >= WELL_FILLED * capacity
-        seq = (level << 56) + (best["block"].astype("int64") << 20) + best["bin"]
+        seq = (level << 56) + best["block"].astype("int64") * (1 << 20) + best["bin"]
         done = full | last
         return pd.DataFrame({"rid": best["rid"], "length": best["length"], "sequence_id": seq.where(done, -1), "offset": before.where(done, -1)})
 
