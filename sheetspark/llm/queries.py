@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, pii, warc
+from . import packing, pii, quality, warc
 
 QUERIES = {
+    "op1_ordinal_quality": quality.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_pii": pii.op3,
     "op4_warc_archive": warc.op4,
