@@ -15,8 +15,11 @@ import numpy as np
 
 from .text import BYTE_VALUE, SEPARATOR, mix, powers, segments
 
-MAX_ENTRIES = 1_500_000
-SLOTS = 1 << 22
+#: Bounds of a worker's table; a full one is started anew.
+MAX_ENTRIES = 600_000
+SLOTS = 1 << 21
+#: Pieces given to the tokenizer at a time (its results are large objects).
+AT_ONCE = 2000
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 _LETTER, _DIGIT, _SIGN, _GLUE = 1, 2, 3, 4
@@ -137,8 +140,10 @@ class WordTokenizer:
                 _, at = np.unique(h[missing], return_index=True)
                 fresh = missing[at]
                 raw = d.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())]
-                self.insert(h[fresh], [e.ids for e in self.encode(texts, add_special_tokens=False)])
+                for k in range(0, len(fresh), AT_ONCE):
+                    some = fresh[k : k + AT_ONCE]
+                    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                    self.insert(h[some], [e.ids for e in self.encode(texts, add_special_tokens=False)])
                 entry[missing] = self.lookup(h[missing])
             all_entries.append(entry)
             all_starts.append(starts + lo)
