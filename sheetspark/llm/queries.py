@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, warc
+from . import packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_ordinal_quality": quality.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_pii": pii.op3,
     "op4_warc_archive": warc.op4,
+    "op6_toxicity": toxicity.op6,
 }
 
 ORACLES = {
