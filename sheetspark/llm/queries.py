@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, toxicity, warc
+from . import mixing, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_ordinal_quality": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3,
     "op4_warc_archive": warc.op4,
     "op6_toxicity": toxicity.op6,
+    "op7_temperature_mixing": mixing.op7,
 }
 
 ORACLES = {
