@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, pii, quality, toxicity, warc
+from . import fingerprint, jaccard, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_ordinal_quality": quality.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_archive": warc.op4,
     "op6_toxicity": toxicity.op6,
     "op7_temperature_mixing": mixing.op7,
+    "op8_jaccard_join": jaccard.op8,
     "op9_weighted_fingerprints": fingerprint.op9,
 }
 
