@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, mixing, packing, pii, quality, toxicity, warc
+from . import fingerprint, jaccard, mixing, packing, pii, quality, repeats, toxicity, warc
 
 QUERIES = {
     "op1_ordinal_quality": quality.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_temperature_mixing": mixing.op7,
     "op8_jaccard_join": jaccard.op8,
     "op9_weighted_fingerprints": fingerprint.op9,
+    "op10_repeated_strings": repeats.op10,
 }
 
 ORACLES = {
