@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, mixing, packing, pii, quality, repeats, toxicity, warc
+from . import fingerprint, jaccard, mixing, neardup, packing, pii, quality, repeats, toxicity, warc
 
 QUERIES = {
     "op1_ordinal_quality": quality.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_pii": pii.op3,
     "op4_warc_archive": warc.op4,
+    "op5_vector_near_duplicates": neardup.op5,
     "op6_toxicity": toxicity.op6,
     "op7_temperature_mixing": mixing.op7,
     "op8_jaccard_join": jaccard.op8,
