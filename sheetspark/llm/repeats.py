@@ -4,18 +4,20 @@ A byte goes if some 100-byte string over it also starts earlier (smaller doc_id,
 Whether two strings are equal is decided by sorted order alone:
 
 1. Every 100-byte window has a minimizer, the leftmost least hash of the 32-byte strings in it, so equal windows share
-   it. A first pass over all texts finds which minimizers occur more than once; only windows of those go on, as runs:
-   stretches of neighbouring windows with one minimizer, dealt by its hash. Runs with equal bytes within a task are
-   aggregated to the earliest of them; the later ones are repeats as a whole.
-2. In a group of minimizers each task's runs are a shard. A shard's suffixes are sorted and give its transform, over an
-   alphabet of 10-byte strings. The shards' transforms are merged by interleave refinement: starting from the shards
-   one after the other, each round sends the interleave through the transforms' symbols, stably, after which it is
-   right to 10 more bytes; ten rounds, or fewer if nothing moves, order it to 100 bytes. Boundaries between different
-   prefixes are carried along, so intervals without a boundary are the strings that occur more than once; no suffix is
-   sorted again.
+   it. Neighbouring windows with one minimizer are a run. A first pass over all texts finds, for each minimizer, whether
+   it occurs more than once and whether its runs differ. Runs with equal bytes are aggregated to the earliest of them,
+   in the task and then in the minimizer's group; the later ones are repeats as a whole. Where all runs of a minimizer
+   are equal that is all there is to know, and only their heads travel; where they differ, their bytes go along.
+2. In a group of minimizers each task's differing runs are a shard. A shard's suffixes are sorted and give its
+   transform, over an alphabet of 10-byte strings. The shards' transforms are merged by interleave refinement: starting
+   from the shards one after the other, each round sends the interleave through the transforms' symbols, stably, after
+   which it is right to 10 more bytes; ten rounds, or fewer if nothing moves, order it to 100 bytes. Boundaries between
+   different prefixes are carried along, so intervals without a boundary are the strings that occur more than once; no
+   suffix is sorted again.
 3. In each interval all but the earliest string mark their bytes. Marks are joined to the documents that have any.
 
-Only a bitmap of fixed size is broadcast; where it fills up, more runs are looked at than needed, never fewer.
+Only two bitmaps of fixed size are broadcast; where they fill up, more runs are looked at than needed, never fewer.
+Equality of whole runs is that of 64-bit hashes of their bytes.
 
 Defined cases: a null text is empty; texts under 100 bytes keep everything; rows with a null id come first in the
 order; rows with one id are ordered by a hash of their text, and rows with equal id and text are one document, with
@@ -28,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,22 +97,28 @@ def _groups_of(name: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return (name % np.uint64(ranges)).astype(np.int64), (name >> np.uint64(32)).astype(np.uint32)
 
 
+NAME = np.dtype([("name", "<u4"), ("content", "<u8")])
+
+
 def _names(ranges: int):
-    """Packed names of a task's minimizers by group; what occurs twice in the task is sent twice."""
+    """Packed (minimizer, run content) of a task by group; what occurs twice in the task is sent twice."""
 
     def pack(held):
-        name = np.sort(np.concatenate(held))
-        first = np.append(True, name[1:] != name[:-1])
-        at = np.flatnonzero(first)
+        name, content = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((content, name))
+        name, content = name[by], content[by]
+        at = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (content[1:] != content[:-1])))
         twice = np.diff(np.append(at, len(name))) > 1
-        name = np.concatenate([name[at], name[at][twice]])
-        group, short = _groups_of(name, ranges)
+        at = np.concatenate([at, at[twice]])
+        group, short = _groups_of(name[at], ranges)
         by = np.argsort(group, kind="stable")
-        group, short = group[by], short[by]
+        rows = np.empty(len(at), NAME)
+        rows["name"], rows["content"] = short[by], content[at][by]
+        group = group[by]
         cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         stop = np.append(cut[1:], len(group))
         return pa.RecordBatch.from_arrays(
-            [pa.array(group[cut], pa.int32()), pa.array([short[a:b].tobytes() for a, b in zip(cut.tolist(), stop.tolist())], pa.binary())], names=["group", "names"]
+            [pa.array(group[cut], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(cut.tolist(), stop.tolist())], pa.binary())], names=["group", "names"]
         )
 
     def run(batches):
@@ -118,9 +127,9 @@ def _names(ranges: int):
             for batch in sliced(whole, "text", 1 << 20):
                 w = Windows(*strings(batch.column("text")))
                 if len(w.name):
-                    held.append(w.name)
+                    held.append((w.name, w.content()))
                     n += len(w.name)
-                if n > 1_500_000:
+                if n > 1_000_000:
                     yield pack(held)
                     held, n = [], 0
         if held:
@@ -130,21 +139,26 @@ def _names(ranges: int):
 
 
 def _section(bits: int):
-    """A group's part of the bitmap: names that occur more than once."""
+    """A group's part of the bitmaps: names that occur more than once, and those whose runs differ."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in table["names"].to_pylist()]))
-        again = names[1:][names[1:] == names[:-1]]
-        part = np.zeros(bits, bool)
-        part[again % bits] = True
-        return pa.table({"group": table["group"].slice(0, 1), "part": pa.array([np.packbits(part).tobytes()], pa.binary())})
+        rows = np.concatenate([np.frombuffer(b, NAME) for b in table["names"].to_pylist()])
+        by = np.lexsort((rows["content"], rows["name"]))
+        name, content = rows["name"][by], rows["content"][by]
+        same = name[1:] == name[:-1]
+        parts = []
+        for hit in (same, same & (content[1:] != content[:-1])):
+            part = np.zeros(bits, bool)
+            part[name[1:][hit] % bits] = True
+            parts.append(pa.array([np.packbits(part).tobytes()], pa.binary()))
+        return pa.table({"group": table["group"].slice(0, 1), "twice": parts[0], "mixed": parts[1]})
 
     return run
 
 
 # ---- runs
 
-HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("length", "<u2"), ("shift", "<u1")])
+HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("content", "<u8"), ("length", "<u2"), ("mixed", "?")])
 MARKS = "doc long, hash long, start long, end long, group int, heads binary, bytes binary"
 
 
@@ -154,18 +168,19 @@ def text_hash(offsets: np.ndarray, data: np.ndarray, w: Windows) -> np.ndarray:
 
 
 def _runs(shared, ranges: int, bits: int):
-    """Spans that are repeats within the task (group null), and the other runs packed by group."""
+    """Spans that are repeats within the task (dealt to any group, to be passed on), and the other runs by group."""
 
     def marks(doc, hash_, start, end):
         m = len(doc)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(hash_, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+            [pa.array(doc, pa.int64()), pa.array(hash_, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(hash_ % ranges, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
             names=["doc", "hash", "start", "end", "group", "heads", "bytes"],
         )
 
     def pack(held):
-        doc, hash_, start, length, shift, name, content, texts = (np.concatenate(x) for x in zip(*held))
-        at = np.cumsum(length) - length
+        doc, hash_, start, length, mixed, name, content = (np.concatenate(x) for x in zip(*(h[:7] for h in held)))
+        texts = np.concatenate([h[7] for h in held])
+        at = np.cumsum(length * mixed) - length * mixed
         by = np.lexsort((start, hash_, doc, content))
         first = np.append(True, content[by][1:] != content[by][:-1])
         later, by = by[~first], by[first]
@@ -175,11 +190,13 @@ def _runs(shared, ranges: int, bits: int):
         order = np.argsort(group, kind="stable")
         by, group = by[order], group[order]
         head = np.empty(len(by), HEAD)
-        head["doc"], head["hash"], head["start"], head["length"], head["shift"] = doc[by], hash_[by], start[by], length[by], shift[by]
+        for field, values in (("doc", doc), ("hash", hash_), ("start", start), ("content", content), ("length", length), ("mixed", mixed)):
+            head[field] = values[by]
         cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         stop = np.append(cut[1:], len(group))
-        total = np.cumsum(length[by]) - length[by]
-        flat = texts[np.repeat(at[by] - total, length[by]) + np.arange(int(length[by].sum()))]
+        size = length[by] * mixed[by]
+        total = np.cumsum(size) - size
+        flat = texts[np.repeat(at[by] - total, size) + np.arange(int(size.sum()))]
         edges = np.append(total, len(flat))
         m = len(cut)
         yield pa.RecordBatch.from_arrays(
@@ -190,7 +207,8 @@ def _runs(shared, ranges: int, bits: int):
         )
 
     def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        twice, differ = (np.frombuffer(b, np.uint8) for b in shared.value)
+        on = lambda bitmap, bit: (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
         held, n = [], 0
         seen: dict[int, int] = {}
         for whole in batches:
@@ -213,19 +231,21 @@ def _runs(shared, ranges: int, bits: int):
                     yield marks(docs[c], own[c], np.zeros(len(c), np.int64), np.diff(offsets)[c])
                 group, short = _groups_of(w.name, ranges)
                 bit = group * bits + short % bits
-                chosen = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+                chosen = on(twice, bit)
+                mixed = on(differ, bit)
                 doc_of = np.searchsorted(offsets, w.start, side="right") - 1
                 skip = np.zeros(len(docs), bool)
                 skip[copies] = True
                 chosen &= ~skip[doc_of]
                 w.take(chosen)
-                doc_of = doc_of[chosen]
+                doc_of, mixed = doc_of[chosen], mixed[chosen]
                 if not len(w.start):
                     continue
                 length = w.last + SPAN - w.start
-                before = np.cumsum(length) - length
-                texts = data[np.repeat(w.start - before, length) + np.arange(int(length.sum()))]
-                held.append((docs[doc_of], own[doc_of], w.start - offsets[doc_of], length, w.gram - w.start, w.name, w.content(), texts))
+                size = length * mixed
+                before = np.cumsum(size) - size
+                texts = data[np.repeat(w.start - before, size) + np.arange(int(size.sum()))]
+                held.append((docs[doc_of], own[doc_of], w.start - offsets[doc_of], length, mixed, w.name, w.content(), texts))
                 n += len(length)
                 if n > 250_000:
                     yield from pack(held)
@@ -326,15 +346,39 @@ def merge(symbol: np.ndarray, left: np.ndarray, shard: np.ndarray, first: np.nda
 
 
 def _mark(table: pa.Table) -> pa.Table:
-    """The spans of a group's runs that also occur earlier."""
-    heads = [np.frombuffer(b, HEAD) for b in table["heads"].to_pylist()]
-    head = np.concatenate(heads)
-    data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
-    shard = np.repeat(np.repeat(np.arange(len(heads)), [len(h) for h in heads]), head["length"])
+    """The spans of a group's runs that also occur earlier, and the spans passed on."""
+    passed = table.filter(pc.is_null(table["heads"]))
+    out = [tuple(passed[k].to_numpy() for k in ("doc", "hash", "start", "end"))]
+    heads = [np.frombuffer(b, HEAD) for b in table["heads"].to_pylist() if b is not None]
+    if heads:
+        head = np.concatenate(heads)
+        shard = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        data = np.frombuffer(b"".join(b for b in table["bytes"].to_pylist() if b is not None), np.uint8)
+        size = head["length"].astype(np.int64) * head["mixed"]
+        at = np.cumsum(size) - size
+        by = np.lexsort((head["start"], head["hash"], head["doc"], head["content"]))
+        first = np.append(True, head["content"][by][1:] != head["content"][by][:-1])
+        later = by[~first]
+        if len(later):
+            out.append((head["doc"][later], head["hash"][later], head["start"][later], head["start"][later] + head["length"][later]))
+        chosen = np.sort(by[first])
+        chosen = chosen[head["mixed"][chosen]]
+        if len(chosen):
+            out.append(_mark_mixed(head[chosen], shard[chosen], data, at[chosen]))
+    doc, hash_, start, end = (np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(4))
+    if len(doc):
+        doc, hash_, start, end = _merged(doc, hash_, start, end)
+    return pa.table({"doc": doc, "hash": hash_, "start": start, "end": end})
+
+
+def _mark_mixed(head: np.ndarray, shard_of: np.ndarray, data: np.ndarray, where: np.ndarray):
+    """The same for different runs, by their shards' merged transforms."""
     length = head["length"].astype(np.int64)
-    run = np.repeat(np.arange(len(head)), length)
     at = np.cumsum(length) - length
-    inner = np.arange(len(data)) - at[run]
+    run = np.repeat(np.arange(len(head)), length)
+    inner = np.arange(len(run)) - at[run]
+    data = data[where[run] + inner]
+    shard = np.unique(shard_of, return_inverse=True)[1][run].astype(np.uint16)
     left = length[run] - inner
     symbol = alphabet(data, left)
     order = suffix_order(symbol, left, shard)
@@ -347,16 +391,13 @@ def _mark(table: pa.Table) -> pa.Table:
     when = (rank[run] << 40) + head["start"][run] + inner
     seq = when[merged]
     cut = np.flatnonzero(edge)
-    earliest = np.repeat(np.minimum.reduceat(seq, cut), np.diff(np.append(cut, len(seq)))) if len(seq) else seq
+    earliest = np.repeat(np.minimum.reduceat(seq, cut), np.diff(np.append(cut, len(seq))))
     marked = np.zeros(len(data), bool)
     marked[merged[(seq != earliest) & (left[merged] >= SPAN)]] = True  # shorter suffixes may be equal to their ends
     places = np.flatnonzero(marked)
-    if not len(places):
-        return pa.table({k: pa.array([], pa.int64()) for k in ("doc", "hash", "start", "end")})
     r = run[places]
     s = head["start"][r] + inner[places]
-    doc, hash_, start, end = _merged(head["doc"][r].astype(np.int64), head["hash"][r].astype(np.int64), s, s + SPAN)
-    return pa.table({"doc": doc, "hash": hash_, "start": start, "end": end})
+    return head["doc"][r], head["hash"][r], s, s + SPAN
 
 
 # ---- documents
@@ -434,17 +475,18 @@ def _cut_out(batches):
 def marks(rows: DataFrame) -> DataFrame:
     """(doc, hash, start, end): spans of bytes covered by strings that also start earlier; they may overlap."""
     spark = rows.sparkSession
-    ranges = 4 * partitions(spark)
+    ranges = 8 * partitions(spark)
     bits = (1 << BITMAP_BITS) // ranges // 8 * 8
-    parts = rows.mapInArrow(_names(ranges), "group int, names binary").groupBy("group").applyInArrow(_section(bits), "group int, part binary").collect()  # 8 MB in all
-    bitmap = np.zeros(ranges * bits // 8, np.uint8)
-    for r in parts:
-        bitmap[r["group"] * bits // 8 : (r["group"] + 1) * bits // 8] = np.frombuffer(bytes(r["part"]), np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    found = keep(rows.mapInArrow(_runs(shared, ranges, bits), MARKS), "runs")
-    local = found.where("group is null").select("doc", "hash", "start", "end")
-    merged = found.where("group is not null").select("group", "heads", "bytes").groupBy("group").applyInArrow(_mark, "doc long, hash long, start long, end long")
-    return keep(local.unionByName(merged), "marks")
+    parts = rows.mapInArrow(_names(ranges), "group int, names binary").groupBy("group").applyInArrow(_section(bits), "group int, twice binary, mixed binary").collect()  # 16 MB in all
+    bitmaps = []
+    for kind in ("twice", "mixed"):
+        bitmap = np.zeros(ranges * bits // 8, np.uint8)
+        for r in parts:
+            bitmap[r["group"] * bits // 8 : (r["group"] + 1) * bits // 8] = np.frombuffer(bytes(r[kind]), np.uint8)
+        bitmaps.append(bitmap.tobytes())
+    shared = spark.sparkContext.broadcast(tuple(bitmaps))
+    runs = rows.mapInArrow(_runs(shared, ranges, bits), MARKS)
+    return keep(runs.groupBy("group").applyInArrow(_mark, "doc long, hash long, start long, end long"), "marks")
 
 
 def remove(docs: DataFrame) -> DataFrame:
