@@ -31,11 +31,14 @@ from .graph import components
 from .storage import discard, keep, partitions, small_batches
 from .text import SLOT, mix, shingle_sets, sliced
 
-SKETCH_BITS = 20
-CHUNK = 1 << 16
+#: Buckets of the sketch of document counts: 2**23, broadcast as a rank of one byte each.
+SKETCH_BITS = 23
+CHUNK = 1 << 18
 #: Entries of one shingle in one task beyond which they bypass the grouping.
 LOCAL_HOT = 64
 LEADER_ROUNDS = 4
+#: Keys of pairs up to this many are broadcast (8 bytes each) to pick out their sets.
+BROADCAST_KEYS = 200_000
 #: The last round may propose this many pairs an entry; before that, other leaders are tried.
 ENOUGH = 8
 BITMAP_BITS = 22
@@ -68,7 +71,7 @@ SURVEYED = "doc_id long, n_shingles long, key long, chunk int, counts binary"
 
 def _survey(batches):
     """A row for each document, and at a task's end its part of the sketch."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     mask = np.uint64((1 << SKETCH_BITS) - 1)
     seen: set[int] = set()
     for whole in batches:
@@ -81,7 +84,7 @@ def _survey(batches):
                     seen.add(k)
                     fresh.append(s)
             if fresh:
-                counts += np.bincount((np.concatenate(fresh) & mask).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (np.concatenate(fresh) & mask).astype(np.int64), np.uint32(1))
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -100,20 +103,19 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, np.int64)
     for raw in pdf["counts"]:
         total += _unpacked(raw)
-    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [ranks(total).tobytes()]})
 
 
-def ranks(sketch: np.ndarray) -> np.ndarray:
-    """Counts as 20-bit ranks that keep their order (logarithmic beyond 2**16), so that they fit above 44 hash bits."""
-    c = sketch.astype(np.float64)
-    return np.where(c < 1 << 16, c, (1 << 16) + np.floor(np.log2(np.maximum(c, 1)) * 1024)).astype(np.uint64)
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts as ranks of one byte that keep their order, eight to a doubling."""
+    return np.minimum(np.floor(8 * np.log2(counts + 1.0)), 255).astype(np.uint8)
 
 
 def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The 44-bit names of the first n - ceil(3 n / 4) + 1 shingles, rare first."""
     n = len(s)
     p = n + (-3 * n // 4) + 1
-    order = (rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)] << np.uint64(44)) | (s >> np.uint64(20))
+    order = (rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
     if p < n:
         order = np.partition(order, p - 1)[:p]
     return np.sort(order) & np.uint64((1 << 44) - 1)
@@ -158,7 +160,7 @@ def _entries(shared, ranges: int):
         )
 
     def run(batches):
-        rank = ranks(np.frombuffer(shared.value, np.uint32))
+        rank = np.frombuffer(shared.value, np.uint8)
         seen: set[int] = set()
         held, n = [], 0
         for whole in batches:
@@ -262,6 +264,10 @@ def _verify(batches):
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar."""
+    pairs = keep(pairs, "pairs")
+    keys = keep(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "pair-keys")
+    if keys.count() <= BROADCAST_KEYS:  # beyond it all sets are joined
+        sets = sets.join(F.broadcast(keys), "key", "left_semi")
     a = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
@@ -304,7 +310,7 @@ def join(docs: DataFrame) -> DataFrame:
     table = survey.where("chunk is null").select("doc_id", "n_shingles", "key")
     if not parts:
         return table.select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"))
-    sketch = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in sorted(parts, key=lambda r: r.chunk)))  # 4 MB
+    sketch = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in sorted(parts, key=lambda r: r.chunk)))  # 8 MB
     ranges = 4 * partitions(spark)
     entries = rows.mapInArrow(_entries(sketch, ranges), "to int, range int, direct boolean, rows binary")
     lists = keep(entries.groupBy("to").applyInArrow(_shared_lists, "list long, key long, size long, pos long").distinct(), "lists")
