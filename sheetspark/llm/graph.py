@@ -13,13 +13,12 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     that has an edge. Each round is written to the shared folder, so a lost executor costs one round at most.
     Nulls and self-loops are ignored; an empty table gives an empty table."""
     now = keep(_oriented(edges), "edges")
+    state = None
     for _ in range(max_rounds):
-        grown = _large_star(now)
-        after = keep(_small_star(grown), "edges")
-        same = _state(now) == _state(after)
+        after = keep(_small_star(_large_star(now)), "edges")
         discard(now)
-        now = after
-        if same:
+        now, before, state = after, state, _state(after)
+        if state == before or not state[0]:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -37,10 +37,12 @@ CHUNK = 1 << 18
 #: Entries of one shingle in one task beyond which they bypass the grouping.
 LOCAL_HOT = 64
 LEADER_ROUNDS = 4
-#: Keys of pairs up to this many are broadcast (8 bytes each) to pick out their sets.
-BROADCAST_KEYS = 200_000
+#: Leaders of a list in a later round.
+LEADERS = 8
+#: The keys of up to this many pairs are broadcast (16 bytes a pair) to pick out their sets.
+BROADCAST_PAIRS = 100_000
 #: The last round may propose this many pairs an entry; before that, other leaders are tried.
-ENOUGH = 8
+ENOUGH = 0.5
 BITMAP_BITS = 22
 
 
@@ -265,22 +267,29 @@ def _verify(batches):
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar."""
     pairs = keep(pairs, "pairs")
-    keys = keep(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "pair-keys")
-    if keys.count() <= BROADCAST_KEYS:  # beyond it all sets are joined
+    if pairs.count() <= BROADCAST_PAIRS:  # beyond it all sets are joined
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         sets = sets.join(F.broadcast(keys), "key", "left_semi")
     a = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(key, label): keys of equal label are connected. A key's least neighbour, or itself, and that one's once more."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label"))
+    up = near.select(F.col("key").alias("label"), F.col("label").alias("next"))
+    return near.join(up, "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+
+
 def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) of keys that connect all that is similar."""
-    spark = lists.sparkSession
     lead = lists.groupBy("list").agg(F.min(F.struct("key", "size", "pos")).alias("l")).select("list", "l.*")
     links = keep(verified(_pairs(lists, lead, F.lit(True)), sets), "links")
+    labels = keep(_labels(links), "labels")
     for round_ in range(1, LEADER_ROUNDS + 1):
-        names = components(links)
-        told = keep(lists.join(names.withColumnRenamed("node", "key"), "key", "left").select("list", "key", "size", "pos", F.coalesce("component", "key").alias("label")), "told")
+        told = keep(lists.join(labels, "key", "left").select("list", "key", "size", "pos", F.coalesce("label", "key").alias("label")), "told")
         sizes = told.groupBy("list", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
         main = keep(main, "main")
@@ -290,13 +299,17 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         open_ = told.join(main.select("list", "main"), "list")
         others = open_.where("label <> main")
         if work <= ENOUGH * entries or round_ == LEADER_ROUNDS:
-            more = _pairs(others, open_, F.col("x.label") != F.col("y.label"))
-            found = keep(verified(more, sets), "links")
-            return found.unionByName(links)
-        turn = F.xxhash64("key", F.lit(round_))
-        again = open_.where("label = main").groupBy("list").agg(F.min_by(F.struct("key", "size", "pos", "label"), turn).alias("l")).select("list", "l.*")
+            found = keep(verified(_pairs(others, open_, F.col("x.label") != F.col("y.label")), sets), "links")
+            return links.unionByName(found)
+        leaders = F.array_distinct(F.array(*[F.min_by(F.struct("key", "size", "pos", "label"), F.xxhash64("key", F.lit(LEADERS * round_ + i))) for i in range(LEADERS)]))
+        again = open_.where("label = main").groupBy("list").agg(leaders.alias("l")).select("list", F.explode("l").alias("l")).select("list", "l.*")
         found = keep(verified(_pairs(others, again, F.lit(True)), sets), "links")
-        links = keep(links.unionByName(found), "links")
+        links = links.unionByName(found)
+        # whoever is linked takes the least label of its new neighbours and itself
+        name = labels.withColumnRenamed("label", "own")
+        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen = both.join(name.withColumnRenamed("key", "b"), "b", "left").groupBy(F.col("a").alias("key")).agg(F.min(F.coalesce("own", "b")).alias("new"))
+        labels = keep(seen.join(name, "key", "full").select("key", F.least(F.coalesce("own", "key"), F.coalesce("new", "own", "key")).alias("label")), "labels")
     return links
 
 
