@@ -1,0 +1 @@
+"""No streaming operator: the capabilities rebuilt here have none."""
