@@ -2,7 +2,8 @@
 
 1. Documents with equal shingle sets form a class (a 64-bit key of the sorted set); only classes go on.
 2. A sketch of fixed size counts the documents of each shingle, over all documents; it orders shingles rare first. A
-   set's prefix are its first n - ceil(0.75 n) + 1 shingles in that order: similar sets share one of them at least.
+   set's prefix are its first n - ceil(0.75 n) + 1 shingles in that order and n / 32 more: similar sets share 1 + n / 32
+   of them at least, so what shares fewer, by chance, goes before any pair is made.
 3. Prefix entries travel as packed arrays of 16 bytes an entry; an entry whose shingle is in no other prefix stops
    there. Where one task alone has many entries of a shingle they bypass the grouping, so a shingle that a third of all
    documents have lands in no single task.
@@ -43,6 +44,8 @@ LEADERS = 8
 BROADCAST_PAIRS = 100_000
 #: The last round may propose this many pairs an entry; before that, other leaders are tried.
 ENOUGH = 0.5
+#: A prefix is longer by 1 / MORE of its set than one common shingle would ask for; so many more have to be shared.
+MORE = 32
 BITMAP_BITS = 22
 
 
@@ -114,9 +117,10 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The 44-bit names of the first n - ceil(3 n / 4) + 1 shingles, rare first."""
+    """The 44-bit names of the first n - ceil(3 n / 4) + 1 + n // 32 shingles, rare first. Of two similar sets each has
+    the least 1 + n // 32 (for the smaller n) of their common shingles in its prefix."""
     n = len(s)
-    p = n + (-3 * n // 4) + 1
+    p = min(n, n + (-3 * n // 4) + 1 + n // MORE)
     order = (rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
     if p < n:
         order = np.partition(order, p - 1)[:p]
@@ -175,7 +179,7 @@ def _entries(shared, ranges: int):
                     m = len(p)
                     held.append((p, np.full(m, k, np.int64), np.full(m, len(s), np.uint32), np.minimum(np.arange(m), 65535).astype(np.uint16)))
                     n += m
-                if n > 1_500_000:
+                if n > 600_000:
                     yield pack(held)
                     held, n = [], 0
         if held:
@@ -327,6 +331,10 @@ def join(docs: DataFrame) -> DataFrame:
     ranges = 4 * partitions(spark)
     entries = rows.mapInArrow(_entries(sketch, ranges), "to int, range int, direct boolean, rows binary")
     lists = keep(entries.groupBy("to").applyInArrow(_shared_lists, "list long, key long, size long, pos long").distinct(), "lists")
+    # whoever shares fewer than a similar set of the least possible size would ask for has no partner
+    rich = lists.groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= 1 + F.floor(F.ceil(F.col("size") * 3 / 4) / MORE))
+    every, lists = lists, keep(lists.join(rich.select("key"), "key", "left_semi").select("list", "key", "size", "pos"), "lists")
+    discard(every)
     slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     bits = np.zeros(1 << BITMAP_BITS, bool)
     wanted = lists.select(slot.cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()  # at most 2**22 numbers
