@@ -42,7 +42,7 @@ def units(raw: bytes, encoding: str = "auto") -> tuple[float, float]:
     readings = {"excess64": lambda b: excess64(b), "ieee": lambda b: struct.unpack(">d", b)[0]}
     for name in ("excess64", "ieee") if encoding == "auto" else (encoding,):
         user, meters = readings[name](raw[:8]), readings[name](raw[8:16])
-        if encoding != "auto" or 1e-15 < meters < 1e-2:
+        if encoding != "auto" or 1e-13 < meters < 1e-5:
             return user, meters
     return readings["excess64"](raw[:8]), readings["excess64"](raw[8:16])
 
