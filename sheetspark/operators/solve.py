@@ -128,16 +128,18 @@ def solve_components(edges: DataFrame, fixed: DataFrame, key: str = "component")
     kind = dict(edges.dtypes)[key]
 
     def run(k, e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([e["a"], e["b"], f["node"]]).astype(np.int64))
+        nodes = np.unique(np.concatenate([e["a"], e["b"], f["_node"]]).astype(np.int64))
         n = len(nodes)
         hold, value = np.zeros(n, bool), np.zeros(n)
-        where = np.searchsorted(nodes, f["node"].to_numpy())
+        where = np.searchsorted(nodes, f["_node"].to_numpy())
         hold[where] = True
-        value[where] = f["value"].to_numpy()
+        value[where] = f["_value"].to_numpy()
         u = solve_dirichlet(n, np.searchsorted(nodes, e["a"].to_numpy()), np.searchsorted(nodes, e["b"].to_numpy()), e["g"].to_numpy(float), hold, value)
         return pd.DataFrame({key: k[0], "node": nodes, "u": u})
 
-    return edges.select(key, "a", "b", "g").groupBy(key).cogroup(fixed.select(key, "node", "value").groupBy(key)).applyInPandas(run, f"{key} {kind}, node long, u double")
+    # both sides may come from one table; new names keep their columns apart
+    held = fixed.select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("value").alias("_value")).groupBy("_key")
+    return edges.select(key, "a", "b", "g").groupBy(key).cogroup(held).applyInPandas(run, f"{key} {kind}, node long, u double")
 
 
 def power(edges: DataFrame, solved: DataFrame, key: str = "component") -> DataFrame:
