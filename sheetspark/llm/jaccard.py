@@ -279,21 +279,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(key, label): keys of equal label are connected. A key's least neighbour, or itself, and that one's once more."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label"))
-    up = near.select(F.col("key").alias("label"), F.col("label").alias("next"))
-    return near.join(up, "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(key, label)`` with the labels that links (a, b) of keys connect made one."""
+    end = lambda k: labels.select(F.col("key").alias(k), F.col("label").alias(f"l{k}"))
+    joined = links.join(end("a"), "a").join(end("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    names = components(joined)
+    return keep(labels.join(names.withColumnRenamed("node", "label"), "label", "left").select("key", F.coalesce("component", "label").alias("label")), "labels")
 
 
 def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) of keys that connect all that is similar."""
     lead = lists.groupBy("list").agg(F.min(F.struct("key", "size", "pos")).alias("l")).select("list", "l.*")
     links = keep(verified(_pairs(lists, lead, F.lit(True)), sets), "links")
-    labels = keep(_labels(links), "labels")
+    labels = _relabelled(lists.select("key", F.col("key").alias("label")).distinct(), links)
     for round_ in range(1, LEADER_ROUNDS + 1):
-        told = keep(lists.join(labels, "key", "left").select("list", "key", "size", "pos", F.coalesce("label", "key").alias("label")), "told")
+        told = keep(lists.join(labels, "key").select("list", "key", "size", "pos", "label"), "told")
         sizes = told.groupBy("list", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
         main = keep(main, "main")
@@ -309,11 +309,7 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         again = open_.where("label = main").groupBy("list").agg(leaders.alias("l")).select("list", F.explode("l").alias("l")).select("list", "l.*")
         found = keep(verified(_pairs(others, again, F.lit(True)), sets), "links")
         links = links.unionByName(found)
-        # whoever is linked takes the least label of its new neighbours and itself
-        name = labels.withColumnRenamed("label", "own")
-        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seen = both.join(name.withColumnRenamed("key", "b"), "b", "left").groupBy(F.col("a").alias("key")).agg(F.min(F.coalesce("own", "b")).alias("new"))
-        labels = keep(seen.join(name, "key", "full").select("key", F.least(F.coalesce("own", "key"), F.coalesce("new", "own", "key")).alias("label")), "labels")
+        labels = _relabelled(labels, found)
     return links
 
 
