@@ -567,3 +567,186 @@ def via_links(spark, d):
     e = s.select(key("M1").alias("a"), key("M2").alias("b"), (1.0 / (1 + F.col("id") % 5)).alias("g")).unionByName(s.select(key("M1").alias("a"), key("M1").alias("b"), F.lit(1.0).alias("g")))
     number = lambda c: F.split(c, "-")[1].cast("long")
     return fields.via_links(e, nodes).select(number("a").alias("a"), number("b").alias("b"), "g", "x", "y")
+
+
+# ---- text formats: lines rendered from the tables, read back by the parsers
+
+
+def _lines(df: DataFrame, key: str, value: F.Column) -> DataFrame:
+    return df.select(F.lit("table").alias("source"), F.col(key).cast("long").alias("line"), value.alias("value"))
+
+
+def _joined(*parts) -> F.Column:
+    return F.concat_ws(" ", *[(p if isinstance(p, F.Column) else F.lit(p)).cast("string") for p in parts])
+
+
+@query("""SELECT concat('P', CAST(o_orderkey AS VARCHAR)) AS name, CAST(o_orderkey AS BIGINT) AS id, 'in' AS direction, CAST(o_custkey AS DOUBLE) * 0.25e0 AS x, CAST(o_orderkey % 97 AS DOUBLE) * 0.25e0 AS y, concat('net_', CAST(o_custkey % 7 AS VARCHAR)) AS net FROM orders""")
+def parse_ports(spark, d):
+    from ..sources import text
+
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    c = F.col
+    value = _joined(F.concat(F.lit("P"), c("o_orderkey")), c("o_orderkey"), "in", c("o_custkey"), c("o_orderkey") % 97, F.concat(F.lit("net_"), c("o_custkey") % 7))
+    return text.ports(_lines(o, "o_orderkey", value), 0.25)[0]
+
+
+@query("""SELECT concat('X', CAST(c_custkey AS VARCHAR)) AS name, CAST(3 AS INTEGER) AS n_nodes, 'nch' AS model, CAST(c_custkey % 9 AS DOUBLE) AS w, CAST(c_custkey AS DOUBLE) AS x, CAST(c_custkey * 2 AS DOUBLE) AS y FROM customer""")
+def parse_spi(spark, d):
+    from ..sources import text
+
+    cu = spark.read.parquet(f"{d}/customer.parquet")
+    c = F.col
+    value = _joined(F.concat(F.lit("X"), c("c_custkey")), c("c_custkey"), c("c_custkey") + 1, 0, "nch", F.concat(F.lit("w="), c("c_custkey") % 9), F.concat(F.lit("$X="), c("c_custkey")), F.concat(F.lit("$Y="), c("c_custkey") * 2))
+    return text.spice_instances(_lines(cu, "c_custkey", value))[0].select("name", F.size("nodes").alias("n_nodes"), "model", F.col("params")["w"].alias("w"), "x", "y")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, concat('n', CAST(c_nationkey AS VARCHAR)) AS name FROM customer WHERE c_custkey % 10 <> 0")
+def parse_netnames(spark, d):
+    from ..sources import text
+
+    cu = spark.read.parquet(f"{d}/customer.parquet")
+    value = F.when(F.col("c_custkey") % 10 == 0, _joined("#", F.col("c_custkey"), "x")).otherwise(_joined(F.col("c_custkey"), F.concat(F.lit("n"), F.col("c_nationkey"))))
+    return text.net_names(_lines(cu, "c_custkey", value))[0]
+
+
+@query("SELECT CAST(p_size AS SMALLINT) AS layer, concat('L', CAST(max(p_partkey) AS VARCHAR)) AS name FROM part GROUP BY p_size")
+def parse_gdsmap(spark, d):
+    from ..sources import text
+
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return text.layer_numbers(_lines(p, "p_partkey", _joined(F.concat(F.lit("L"), F.col("p_partkey")), F.col("p_size"), 0)))[0]
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, 'nch' AS model, concat('seed', CAST(p_size AS VARCHAR)) AS seed, 'd,g' AS terms, concat('rx,pc', CAST(p_partkey % 3 AS VARCHAR)) AS layers FROM part")
+def parse_devtmplt(spark, d):
+    from ..sources import text
+
+    p = spark.read.parquet(f"{d}/part.parquet")
+    value = _joined("*.DEVTMPLT", F.col("p_partkey"), "nch()", F.concat(F.lit("seed"), F.col("p_size")), "rx(d)", F.concat(F.lit("pc"), F.col("p_partkey") % 3, F.lit("(g)")))
+    t = text.device_templates(_lines(p, "p_partkey", value))[0]
+    names = lambda k: F.concat_ws(",", F.transform("terminals", lambda s: s[k]))
+    return t.select("id", "model", "seed", names("term").alias("terms"), names("layer").alias("layers"))
+
+
+@query("SELECT CASE WHEN p_partkey > 1000 THEN 'via' ELSE 'conducting' END AS role, concat('l', CAST(p_partkey AS VARCHAR)) AS logical, concat('m', CAST(p_size AS VARCHAR)) AS physical FROM part WHERE p_partkey NOT IN (0, 1, 1000)")
+def parse_sftmap(spark, d):
+    from ..sources import text
+
+    p = spark.read.parquet(f"{d}/part.parquet")
+    k = F.col("p_partkey")
+    value = F.when(k == 1, "conducting_layers").when(k == 1000, "via_layers").otherwise(_joined(F.concat(F.lit("l"), k), F.concat(F.lit("m"), F.col("p_size"))))
+    return text.layer_map(_lines(p, "p_partkey", value))[0].select("role", "logical", "physical")
+
+
+@query("SELECT CAST(c_custkey % 5 AS DOUBLE) AS t, CAST(c_nationkey AS DOUBLE) AS vgs, CAST(c_custkey % 3 AS DOUBLE) AS vds, CAST(max(c_custkey) AS DOUBLE) AS id FROM customer GROUP BY 1, 2, 3")
+def parse_model_csv(spark, d):
+    from ..sources import text
+
+    cu = spark.read.parquet(f"{d}/customer.parquet")
+    c = F.col
+    value = F.concat_ws(",", (c("c_custkey") % 5).cast("string"), c("c_nationkey").cast("string"), (c("c_custkey") % 3).cast("string"), c("c_custkey").cast("string"))
+    return text.model_table(_lines(cu, "c_custkey", value))[0]
+
+
+@query("SELECT concat('M', CAST(s_suppkey AS VARCHAR)) AS name, 'conductor' AS kind, CAST(s_suppkey AS DOUBLE) * 0.5e0 AS height, CAST(s_nationkey AS DOUBLE) AS rho FROM supplier")
+def parse_ict(spark, d):
+    from ..sources import text
+
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    rows = F.array(F.concat(F.lit('conductor "M'), F.col("s_suppkey"), F.lit('" {')), F.concat(F.lit(" height "), F.col("s_suppkey") * 0.5), F.concat(F.lit(" resistivity "), F.col("s_nationkey"), F.lit(" # ohm")), F.lit("}"))
+    body = s.select("s_suppkey", F.posexplode(rows).alias("pos", "v")).withColumn("at", F.col("s_suppkey") * 4 + F.col("pos"))
+    t = text.technology(_lines(body, "at", F.col("v")))[0]
+    return t.select("name", "kind", F.col("fields")["height"].cast("double").alias("height"), F.col("fields")["resistivity"].cast("double").alias("rho"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS line, 'a port needs six fields with numeric coordinates' AS message FROM orders WHERE o_orderkey % 13 = 0")
+def parse_diagnostics(spark, d):
+    from ..sources import text
+
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k = F.col("o_orderkey")
+    value = F.when(k % 13 == 0, _joined("P", k, "in", "1", "2")).otherwise(_joined("P", k, "in", "1", "2", "n"))
+    bad = text.ports(_lines(o, "o_orderkey", value), 1.0)[1]
+    return text.unique_diags(bad, bad).select("line", "message")
+
+
+@query("SELECT id, CAST(id % 64 AS SMALLINT) AS layer, (x1 - x0) * (y1 - y0) AS area FROM f_rect WHERE id <= 500", "f_rect")
+def gds_roundtrip(spark, d):
+    """Rectangles written as a stream of records and parsed back, each in the task that holds it."""
+    from ..sinks.files import gds_bytes
+    from ..sources.gdsii import parse
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            polys = (("TOP", int(r.id % 64), 0, [(r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1)]) for r in pdf.itertuples())
+            back = parse(b"".join(gds_bytes("LIB", 1e-3, polys)), "excess64")
+            area = [(e[6][2]["x"] - e[6][0]["x"]) * (e[6][2]["y"] - e[6][0]["y"]) / 1e6 for e in back]
+            yield pd.DataFrame({"id": pdf["id"], "layer": [e[4] for e in back], "area": area})
+
+    r = view(spark, d, "f_rect").where("id <= 500").select("id", "x0", "y0", "x1", "y1")
+    return r.mapInPandas(run, "id long, layer short, area double").select("id", "layer", F.round("area", 6).alias("area"))
+
+
+@query("""WITH n AS (SELECT id, CAST(ceil((x1 - x0) / 4 * (1 - 1e-12)) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 4 * (1 - 1e-12)) AS BIGINT) AS ny, (x1 - x0) * (y1 - y0) * 3 AS v FROM f_rect)
+SELECT id, greatest(nx, 1) * greatest(ny, 1) * 2 AS hexes, (greatest(nx, 1) + 1) * (greatest(ny, 1) + 1) * 3 AS nodes, round(v, 6) AS volume FROM n""", "f_rect")
+def hex_mesh_counts(spark, d):
+    from ..operators import fem
+
+    b = view(spark, d, "f_rect").select("id", "x0", "y0", F.lit(0.0).alias("z0"), "x1", "y1", F.lit(3.0).alias("z1"))
+    e = fem.with_nodes(fem.hex_elements(b, 4.0, 1.5))
+    n = e.select("id", F.explode("nodes").alias("n")).groupBy("id").agg(F.countDistinct("n").alias("nodes"))
+    return e.groupBy("id").agg(F.count("*").alias("hexes"), F.round(F.sum(F.col("dx") * F.col("dy") * F.col("dz")), 6).alias("volume")).join(n, "id").select("id", "hexes", "nodes", "volume")
+
+
+@query("SELECT id, round(len / (2 * width * 0.5e0), 4) AS r FROM f_strip", "f_strip")
+def fem_bar(spark, d):
+    """Bars of conductivity 2 and thickness 0.5, end to end."""
+    from ..operators import fem
+
+    b = view(spark, d, "f_strip").select("id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0.0).alias("z0"), F.col("len").alias("x1"), F.col("width").alias("y1"), F.lit(0.5).alias("z1"))
+    e = fem.with_nodes(fem.hex_elements(b, 1.0, 0.5))
+    edges = fem.conductance_edges(e, b.select("id", F.lit(2.0).alias("sigma")))
+    n = e.select("id", F.explode("nodes").alias("node"), "nx").distinct().withColumn("i", F.col("node") % (F.col("nx") + 1))
+    ends = n.where("i = 0 or i = nx").select("id", "node", F.when(F.col("i") == 0, 1.0).otherwise(0.0).alias("value"))
+    return solve.resistance(edges, ends, "id").select("id", tidy(F.col("r"), 4).alias("r"))
+
+
+@query("""WITH v AS (SELECT o_orderkey % 40 AS a, o_custkey % 40 AS b, o_orderkey AS id FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT s AS id FROM range(30) t(s))
+SELECT 'unknown layer' AS problem, v.id AS item FROM v WHERE a >= 30 OR b >= 30 UNION ALL SELECT 'same layer', v.id FROM v WHERE a = b
+UNION ALL SELECT 'untouched', c.id FROM c WHERE c.id NOT IN (SELECT a FROM v) AND c.id NOT IN (SELECT b FROM v)""")
+def stack_connectivity_check(spark, d):
+    """Vias of a stack against its layers: ends that don't exist, ends that are equal, layers that no via meets."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 50 = 0")
+    v = o.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 40).alias("a"), (F.col("o_custkey") % 40).alias("b"))
+    layers = spark.range(30)
+    ends = v.select("item", F.explode(F.array("a", "b")).alias("id"))
+    unknown = ends.join(layers, "id", "left_anti").select("item").distinct().select(F.lit("unknown layer").alias("problem"), "item")
+    same = v.where("a = b").select(F.lit("same layer").alias("problem"), "item")
+    bare = layers.join(ends, "id", "left_anti").select(F.lit("untouched").alias("problem"), F.col("id").alias("item"))
+    return unknown.unionByName(same).unionByName(bare)
+
+
+@query("""WITH t AS (SELECT chain, sum(r) AS total FROM f_chain GROUP BY chain) SELECT chain, round(total + 20, 4) AS r FROM t""", "f_chain")
+def local_bias(spark, d):
+    """Each chain in series with a channel whose resistance is looked up at the bias it settles at; the table is linear
+    in the drain voltage, so the fixed point is 20 ohm."""
+    from ..storage import keep
+
+    edges, ends = _chain(spark, d)
+    table = spark.createDataFrame([(27.0, g, v, 0.05 * v) for g in (-2.0, 0.0, 2.0) for v in (0.0, 0.5, 1.0)], "t double, vgs double, vds double, id double")
+    last = ends.where("value = 0").select("chain", F.col("node").alias("drain"))
+    state = keep(last.select("chain", "drain", F.lit(1000.0).alias("r"), F.monotonically_increasing_id().alias("id")), "bias")
+    top = ends.where("value = 1").unionByName(last.select("chain", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("value")))
+    for _ in range(20):
+        channel = state.select("chain", F.col("drain").alias("a"), F.lit(0).cast("long").alias("b"), (1 / F.col("r")).alias("g"))
+        u = keep(solve.solve_components(edges.select("chain", "a", "b", "g").unionByName(channel), top, "chain"), "bias")
+        at = state.join(u.select("chain", F.col("node").alias("drain"), F.col("u").alias("vds")), ["chain", "drain"])
+        points = keep(at.select("id", "chain", "drain", F.col("r").alias("old"), F.lit(27.0).alias("t"), F.lit(0.0).alias("vgs"), "vds"), "bias")
+        new = devices.channel_resistance(points.select("id", "t", "vgs", "vds"), table, 1.0, F.lit(1.0))
+        state = keep(points.join(new, "id").select("chain", "drain", F.coalesce("r", "old").alias("r"), "id", (F.abs(F.coalesce("r", "old") - F.col("old")) / F.col("old")).alias("change")), "bias")
+        if (state.agg(F.max("change")).first()[0] or 0) < 1e-9:
+            break
+    total = edges.groupBy("chain").agg(F.sum("r").alias("total"))
+    return total.join(state.select("chain", "r"), "chain").select("chain", tidy(F.col("total") + F.col("r"), 4).alias("r"))
