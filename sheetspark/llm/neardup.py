@@ -29,7 +29,7 @@ from .storage import keep, small_batches
 
 THRESHOLD = 0.93
 #: Vectors a shard aims at; beyond ``LARGEST`` home vectors a shard is searched in parts.
-TARGET, LARGEST = 1500, 6000
+TARGET, LARGEST = 400, 6000
 #: Centroids are fitted on at most so many vectors.
 FIT_SAMPLE = 20_000
 SHARDS_EACH = 2
