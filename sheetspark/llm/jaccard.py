@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..operators.closure import components
 from .storage import discard, keep, partitions, small_batches
 from .text import SLOT, mix, shingle_sets, sliced
 

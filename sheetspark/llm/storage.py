@@ -1,53 +1,21 @@
-"""Where intermediate tables live: the shared folder that the session names, never an executor's own disk."""
+"""Session settings of the corpus operators, beside the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import discard, keep, shared_dir
 
-_own: dict[str, str] = {}
+__all__ = ["discard", "keep", "partitions", "shared_dir", "small_batches"]
 
 #: Bytes of rows handed to Python at a time; keeps a worker's memory flat whatever the length of the texts.
 ARROW_BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (single-machine tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="sheetspark-shared-")
-    return _own["dir"]
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: later stages neither recompute it nor
-    depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kept_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Deletes what :func:`keep` wrote, once nothing reads it any more."""
-    path = getattr(df, "_kept_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
