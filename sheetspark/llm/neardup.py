@@ -414,3 +414,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all ``embeddings``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda c: CASE WHEN c IS NULL OR NOT isfinite(c) THEN 1 ELSE 0 END), 'sum') = 0
+), f AS (SELECT vec_id, label, len(x) AS d, x, sqrt(list_inner_product(x, x)) AS norm FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+  WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= {THRESHOLD}),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, e.b FROM reach JOIN e ON reach.other = e.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id
+"""

@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_warc_archive": warc.OP4_SQL,
+    "op5_vector_near_duplicates": neardup.OP5_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
 }
