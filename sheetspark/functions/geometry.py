@@ -123,3 +123,22 @@ def channel_axis(w: Column, h: Column) -> Column:
     (0, 1) and 90; null if it is square or has no extent."""
     axis = lambda x, y, deg: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(deg).alias("deg"))
     return F.when((w <= 0) | (h <= 0) | (w == h), None).when(h > w, axis(1.0, 0.0, 0.0)).otherwise(axis(0.0, 1.0, 90.0))
+
+
+def rescaled(ring: Column, factor: float) -> Column:
+    """Points times ``factor``; unchanged for a factor that is not finite, not positive, or 1."""
+    if not (factor > 0 and factor != float("inf")) or abs(factor - 1) < 1e-12:
+        return ring
+    return F.transform(ring, lambda p: point(p["x"] * factor, p["y"] * factor))
+
+
+def clean_ring(ring: Column) -> Column:
+    """Without points equal to the one before, and without a closing point."""
+    kept = F.filter(ring, lambda p, i: (i == 0) | (p != F.element_at(ring, F.greatest(i, F.lit(1)))))
+    closed = (F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1))
+    return F.when(closed, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept)
+
+
+def db_units(metres: Column, dbu: float) -> Column:
+    """Database units, halves away from zero."""
+    return F.round(metres / dbu).cast("int")

@@ -117,3 +117,25 @@ def terminal_roles(devices: DataFrame, pins: DataFrame, by_position: bool = True
     placed = pins.groupBy("device", F.col("pos").alias("at")).agg(F.first("net").alias("placed"))
     out = wanted.join(named, ["device", "role"], "left").join(placed, ["device", "at"], "left")
     return out.select("device", "role", F.coalesce("named", *(["placed"] if by_position else [])).alias("net"))
+
+
+def unserved_ports(ports: DataFrame, terminals: DataFrame) -> DataFrame:
+    """Ports without a terminal of the same name (case matters); a run with any of them is refused."""
+    return ports.join(terminals.select("name").distinct(), "name", "left_anti")
+
+
+def model_summary(instances: DataFrame) -> DataFrame:
+    """(model, n, total_w): instances and summed widths of each model; a missing width counts as 0."""
+    return instances.groupBy("model").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("params")["w"], F.lit(0.0))).alias("total_w"))
+
+
+def conductors_by_height(conductors: DataFrame) -> DataFrame:
+    """From the bottom up, those without a height first, else in file order."""
+    return conductors.orderBy(F.col("height").asc_nulls_first(), "ord")
+
+
+def assembly_report(shapes: DataFrame) -> DataFrame:
+    """(reason, layer, n) of shapes that do not become solids: marker layers, layers without technology or height."""
+    marker = F.col("logical").startswith("seed_") | F.col("logical").startswith("BLOCK_") | F.col("logical").contains("_prop") | F.col("logical").contains("marker") | F.col("logical").contains("drawing")
+    reason = F.when(F.col("logical").isNull(), "unnamed").when(marker, "marker").when(F.col("physical").isNull(), "unmatched").when(F.col("z0").isNull(), "no height")
+    return shapes.withColumn("reason", reason).where("reason is not null").groupBy("reason", "layer").agg(F.count("*").alias("n"))
