@@ -224,6 +224,22 @@ def _pairs(x: DataFrame, y: DataFrame, extra: F.Column) -> DataFrame:
     return hit.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
+#: Lists of a key that tell whether a pair was met before.
+FIRST = 8
+
+
+def _first_lists(entries: DataFrame) -> DataFrame:
+    """(key, mins): the least hashes of each key's lists."""
+    return entries.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.xxhash64("list"))), 1, FIRST).alias("mins"))
+
+
+def _first_in_common() -> F.Column:
+    """No list with a smaller hash is known to hold both: copies share hundreds of lists, and their pair is wanted once.
+    It is always met in the common list of the least hash, as the filters hold there too if the sets are similar."""
+    here = F.xxhash64("x.list")
+    return ~F.exists("x.mins", lambda v: (v < here) & F.array_contains("y.mins", v))
+
+
 def _wanted(shared):
     """Whole sets of the documents that may be wanted (a bitmap of fixed size over their keys), one of each key a task."""
 
@@ -303,7 +319,9 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         open_ = told.join(main.select("list", "main"), "list")
         others = open_.where("label <> main")
         if work <= ENOUGH * entries or round_ == LEADER_ROUNDS:
-            found = keep(verified(_pairs(others, open_, F.col("x.label") != F.col("y.label")), sets), "links")
+            first = _first_lists(open_)
+            apart = (F.col("x.label") != F.col("y.label")) & _first_in_common()
+            found = keep(verified(_pairs(others.join(first, "key"), open_.join(first, "key"), apart), sets), "links")
             return links.unionByName(found)
         leaders = F.array_distinct(F.array(*[F.min_by(F.struct("key", "size", "pos", "label"), F.xxhash64("key", F.lit(LEADERS * round_ + i))) for i in range(LEADERS)]))
         again = open_.where("label = main").groupBy("list").agg(leaders.alias("l")).select("list", F.explode("l").alias("l")).select("list", "l.*")
