@@ -179,7 +179,7 @@ def _entries(shared, ranges: int):
                     m = len(p)
                     held.append((p, np.full(m, k, np.int64), np.full(m, len(s), np.uint32), np.minimum(np.arange(m), 65535).astype(np.uint16)))
                     n += m
-                if n > 600_000:
+                if n > 300_000:
                     yield pack(held)
                     held, n = [], 0
         if held:

@@ -7,6 +7,8 @@ a segment come from one ``add.reduceat``.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -150,7 +152,17 @@ def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def sliced(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that is used again doesn't keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def sliced(batch: pa.RecordBatch, column: str, size: int = 1 << 20):
     """Cuts a batch into runs of rows of about ``size`` bytes of text (one row at least)."""
     offsets, _ = strings(batch.column(column))
     at, n = 0, batch.num_rows
@@ -159,3 +171,4 @@ def sliced(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
         end = min(end, n)
         yield batch.slice(at, end - at)
         at = end
+    release()
