@@ -3,8 +3,9 @@
 A text's terms are its five-word shingles, weighted by how often they occur. For each of ``SAMPLES`` samples and each
 term there are r, c ~ Gamma(2, 1) and b ~ U(0, 1); with t = floor(ln w / r + b) the term's value is
 ln c - r (t - b) - r, and the sample is the (term, t) with the least value. Two texts have the same sample with a
-probability equal to the generalised Jaccard similarity of their weights, sum min / sum max. A value belongs to one
-(term, t) up to the rounding of doubles, so the least value itself, hashed to 16 bits, is what the fingerprint holds.
+probability equal to the generalised Jaccard similarity of their weights, sum min / sum max. Every value is computed as
+ln c - r (t + (1 - b)) in single precision, whatever the weight, so one (term, t) has the same bits in every text, and
+the least value itself, hashed to 16 bits, is what the fingerprint holds.
 
 The variates are drawn by table: r, c and b of a term come from three tables of 4,096 rows by three separate pieces of
 its hash, which makes 6.9e10 triples; for the weight 1, t is 0 and no logarithm is needed.
@@ -56,13 +57,12 @@ class Variates:
         for plain, h, w in ((True, terms[one], None), (False, terms[~one], weights[~one])):
             for at in range(0, len(h), 1024):
                 i, j, k = self.rows(h[at : at + 1024])
-                if plain:
-                    value = self.ln_c[j]
-                    value -= self.r[i] * self.b1[k]
-                else:
-                    r, b = self.r[i].astype(np.float64), self.b[k]
-                    t = np.floor(np.log(w[at : at + 1024])[:, None] / r + b)
-                    value = (self.ln_c[j] - r * (t - b) - r).astype(np.float32)
+                r, step = self.r[i], self.b1[k]
+                if not plain:  # for the weight 1, t is 0 and adds nothing
+                    step += np.floor(np.log(w[at : at + 1024])[:, None] / r.astype(np.float64) + self.b[k]).astype(np.float32)
+                step *= r
+                value = self.ln_c[j]
+                value -= step
                 np.minimum(best, value.min(axis=0), out=best)
         return best
 

@@ -1,0 +1,24 @@
+"""Cases in which less than the whole job was done once."""
+
+import numpy as np
+import pytest
+
+from sheetspark.llm import fingerprint
+
+
+def weighted_jaccard(a, b):
+    return np.minimum(a, b).sum() / np.maximum(a, b).sum()
+
+
+@pytest.mark.parametrize("first, second", [(1, 2), (1, 3), (2, 5)])
+def test_a_sample_has_the_same_bits_at_every_weight(first, second):
+    v = fingerprint.Variates(1024)
+    rng = np.random.default_rng(3)
+    near, true = [], []
+    for _ in range(4):
+        terms = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        a = np.full(600, first)
+        b = np.where(np.arange(600) < 300, second, first)
+        near.append((v.signature(terms, a).view(np.uint32) == v.signature(terms, b).view(np.uint32)).mean())
+        true.append(weighted_jaccard(a, b))
+    assert np.mean(near) == pytest.approx(np.mean(true), abs=0.035)
