@@ -4,12 +4,16 @@ Vectors of a label are dealt to overlapping shards: every vector belongs to the
 nearest being its home. Each shard inserts its vectors in growing batches into a graph whose neighbour lists are pruned
 robustly (a candidate goes if a chosen neighbour is nearer to it by a factor). The adjacency lists of a vector's shards
 are united into one flat graph. Every vector then searches its shards from their medoids: a greedy beam, then expansion
-through everything within range, so a query collects all of a tight group and not only a beam's width. What is found is
-verified by cosine in double precision and counted at the home of the vector found, so nothing counts twice and no list
-of pairs is made: a shard returns a number for each query and a forest of its links. Equal vectors are one class.
+through everything within range, so a query collects all of a tight group and not only a beam's width. Expansion does
+not end at a shard: what a query finds also belongs to other shards, and the query goes on into each of those that it
+has not searched, round by round until none is left, so a group that is split into many shards is walked as a whole.
+What is found is verified by cosine in double precision and counted at the home of the vector found, so nothing counts
+twice and no list of pairs is made: a shard returns a number for each query and a forest of its links. Equal vectors are
+one class.
 
-An audit compares a sample of queries with brute force over all rows; below ``RECALL`` the search is repeated with more
-shards a vector and wider beams.
+An audit compares a sample of queries, half of them with links, with brute force over all rows; below ``RECALL`` the
+search is repeated with more shards a vector and wider beams, and if the last attempt is below it too, all pairs of a
+label are compared.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link
 with nothing; vectors of different lengths are never compared; repeated rows are rows of their own (with equal ids they
@@ -28,13 +32,16 @@ from ..operators.closure import components
 from .storage import keep, small_batches
 
 THRESHOLD = 0.93
-#: Vectors a shard aims at; beyond ``LARGEST`` home vectors a shard is searched in parts.
+#: Vectors a shard aims at; beyond ``LARGEST`` vectors a shard is searched in parts, and by so many queries at a time.
 TARGET, LARGEST = 400, 6000
 #: Centroids are fitted on at most so many vectors.
 FIT_SAMPLE = 20_000
 SHARDS_EACH = 2
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
 AUDIT, RECALL = 200, 0.97
+ATTEMPTS = 3
+#: Vectors of a block where all pairs are compared.
+BLOCK = 4000
 
 
 # ---- one shard's graph
@@ -247,10 +254,13 @@ def fit_centroids(sample: pd.DataFrame, total: int, rounds: int = 8) -> dict[tup
     return out
 
 
-DEALT = "label int, dim int, shard int, id long, vec array<float>, mult long, home boolean"
+DEALT = "label int, dim int, shard int, id long, hv long, vec array<float>, mult long, home boolean, shards array<int>"
+_DEALT = pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("shard", pa.int32()), ("id", pa.int64()), ("hv", pa.int64()), ("vec", pa.list_(pa.float32())), ("mult", pa.int64()), ("home", pa.bool_()), ("shards", pa.list_(pa.int32()))])
 
 
 def _deal(shared, each: int):
+    """Rows of the shards of each vector; ``shards`` are all of them."""
+
     def run(batches):
         centroids = shared.value
         for batch in batches:
@@ -259,14 +269,14 @@ def _deal(shared, each: int):
             for key, own in pdf.groupby(["label", "dim"]):
                 c = centroids.get((int(key[0]), int(key[1])))
                 if c is None or len(c) == 1:
-                    parts.append(own.assign(shard=0, home=True))
-                    continue
-                sim = _unit(own["vec"]).astype(np.float32) @ c.T
-                by = np.argsort(-sim, axis=1, kind="stable")[:, :each]
+                    by = np.zeros((len(own), 1), np.int32)
+                else:
+                    sim = _unit(own["vec"]).astype(np.float32) @ c.T
+                    by = np.argsort(-sim, axis=1, kind="stable")[:, :each].astype(np.int32)
                 for k in range(by.shape[1]):
-                    parts.append(own.assign(shard=by[:, k], home=k == 0))
+                    parts.append(own.assign(shard=by[:, k], home=k == 0, shards=list(by)))
             if parts:
-                yield pa.RecordBatch.from_pandas(pd.concat(parts)[["label", "dim", "shard", "id", "vec", "mult", "home"]], schema=pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("shard", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("mult", pa.int64()), ("home", pa.bool_())]), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.concat(parts)[_DEALT.names], schema=_DEALT, preserve_index=False)
 
     return run
 
@@ -281,11 +291,18 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "neighbours": [ids[a[a >= 0]] for a in adj]})
 
 
+FOUND = "label int, dim int, id long, hv long, links long, root long, more array<int>"
+
+
 def _search(beam: int, threshold: float):
+    """Rows that ask search the graph of those that are nodes: numbers of links, a forest of them, and the other shards
+    of what each has found (``more``)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         ids = pdf["id"].to_numpy(np.int64)
         n = int(pdf["node"].sum())
+        asks = pdf["asks"].to_numpy(bool)
         full = _unit(pdf["vec"])
         x = full.astype(np.float32)
         lists = pdf["neighbours"].tolist()[:n]
@@ -295,42 +312,50 @@ def _search(beam: int, threshold: float):
         for i, a in enumerate(lists):
             if a is not None and len(a):
                 at = np.minimum(np.searchsorted(own, a), n - 1)
-                at = at[own[at] == a]  # neighbours of other shards live there
+                at = at[own[at] == a]  # neighbours of other shards are met there
                 adj[i, : len(at)] = at
         adj = both_ways(adj)
         links = np.zeros(len(pdf), np.int64)
         root = np.arange(len(pdf))
-        if n:
+        more = [[] for _ in range(len(pdf))]
+        if n and asks.any():
             home, mult = pdf["home"].to_numpy(bool)[:n], pdf["mult"].to_numpy(np.int64)[:n]
-
-            def find(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
+            here, shards = int(pdf["shard"].iloc[0]), np.stack(pdf["shards"].tolist()[:n]).astype(np.int64)
+            base = int(shards.max()) + 1
             raw = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]])
             norm = np.linalg.norm(raw, axis=1)
-            for q, t in range_search(x[:n], adj, medoid(x[:n]), x, threshold, beam):
+            asking = np.flatnonzero(asks)
+            for q, t in range_search(x[:n], adj, medoid(x[:n]), x[asking], threshold, beam):
+                q = asking[q]
                 cosine = np.einsum("nd,nd->n", raw[q], raw[t]) / (norm[q] * norm[t])
                 ok = (cosine >= threshold) & (ids[q] != own[t])
                 q, t = q[ok], t[ok]
                 np.add.at(links, q, np.where(home[t], mult[t], 0))
-                for a, b in zip(*_lightest(q, t)):
-                    ra, rb = find(a), find(b)
-                    if ra != rb:
-                        root[max(ra, rb)] = min(ra, rb)
-            root = np.array([find(i) for i in range(len(pdf))])
-        return pd.DataFrame({"id": ids, "links": links, "root": ids[root]})
+                unite(root, q, t)
+                to = np.unique(np.concatenate([q * base + shards[t, k] for k in range(shards.shape[1])]))
+                for i, s in zip((to // base).tolist(), (to % base).tolist()):
+                    if s != here:
+                        more[i].append(s)
+        out = pdf[["label", "dim", "id", "hv"]].assign(links=links, root=ids[root], more=more)
+        return out[asks | (root != np.arange(len(pdf)))]
 
     return run
 
 
-def _lightest(q: np.ndarray, t: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of each query's links, all as pairs of row numbers, without repeats either way round."""
-    a, b = np.minimum(q, t), np.maximum(q, t)
-    pair = np.unique(a.astype(np.int64) << 32 | b)
-    return (pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist()
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of the pairs (a, b); every row points to the first row of its tree, before and after."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
 
 
 def flat_graph(dealt: DataFrame) -> DataFrame:
@@ -339,16 +364,74 @@ def flat_graph(dealt: DataFrame) -> DataFrame:
     return made.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
 
 
+ROW = [*KEYS, "chunk", "id", "hv", "vec", "mult", "home", "shards", "neighbours", "node", "asks"]
+
+
 def _round(classes: DataFrame, centroids: dict, each: int, beam: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(centroids)  # of a bounded sample
     dealt = keep(classes.mapInArrow(_deal(shared, each), DEALT), "dealt")
-    counts = dealt.groupBy("label", "dim", "shard").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / LARGEST).cast("int"))
+    parts = keep(dealt.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("parts")), "parts")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = dealt.join(counts, ["label", "dim", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = keep(spread.withColumn("node", own == F.col("part")).drop("n", "parts"), "spread")
-    graph = keep(flat_graph(spread), "graph")
-    return keep(spread.join(graph, "id", "left").groupBy(*KEYS).applyInPandas(_search(beam, threshold), "id long, links long, root long"), "found")
+    numbered = dealt.join(parts, ["label", "dim", "shard"])
+    nodes = numbered.withColumn("part", own).withColumn("node", F.lit(True)).drop("parts")
+    graph = keep(flat_graph(nodes), "graph")
+    nodes = keep(nodes.join(graph, "id", "left"), "nodes")
+    first = F.lit(0).alias("chunk")
+    others = numbered.where("parts > 1").withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> own")
+    guests = others.withColumns({"neighbours": F.lit(None).cast("array<long>"), "node": F.lit(False)})
+    asked = nodes.unionByName(guests.select(*nodes.columns)).select("*", first, F.lit(True).alias("asks"))
+    search = lambda rows: keep(rows.select(*ROW).groupBy(*KEYS, "chunk").applyInPandas(_search(beam, threshold), FOUND), "found")
+    every = now = search(asked)
+    pair = ["label", "dim", "shard", "id", "hv"]
+    visited = dealt.select(*pair)
+    while True:  # on into the shards of what was found
+        wanted = now.select("label", "dim", "id", "hv", F.explode("more").alias("shard")).distinct()
+        new = keep(wanted.join(visited, pair, "left_anti").select(*pair), "new")
+        if new.isEmpty():
+            return every
+        visited = visited.unionByName(new)
+        chunks = new.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("chunks"))
+        there = nodes.join(chunks, ["label", "dim", "shard"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
+        askers = new.join(chunks, ["label", "dim", "shard"]).join(parts, ["label", "dim", "shard"]).join(classes.select("label", "dim", "id", "hv", "vec", "mult"), ["label", "dim", "id", "hv"])
+        askers = askers.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({
+            "chunk": F.pmod(F.xxhash64("hv"), F.col("chunks")).cast("int"), "home": F.lit(False), "shards": F.lit(None).cast("array<int>"),
+            "neighbours": F.lit(None).cast("array<long>"), "node": F.lit(False), "asks": F.lit(True),
+        })
+        now = search(there.select(*ROW).unionByName(askers.select(*ROW)))
+        every = every.unionByName(now)
+
+
+def _block_links(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, there = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        q, t = (_unit(p["vec"]) if len(p) else None for p in (ask, there))
+        links, root = np.zeros(len(ask), np.int64), np.arange(len(pdf))
+        ids, own, mult = ask["id"].to_numpy(np.int64), there["id"].to_numpy(np.int64), there["mult"].to_numpy(np.int64)
+        if q is not None and t is not None:
+            raw_q, raw_t = (np.stack([np.asarray(v, np.float64) for v in p["vec"]]) for p in (ask, there))
+            norm_q, norm_t = np.linalg.norm(raw_q, axis=1), np.linalg.norm(raw_t, axis=1)
+            for a in range(0, len(q), 512):
+                i, j = np.nonzero(q[a : a + 512] @ t.T >= threshold - 1e-9)
+                i += a
+                ok = (np.einsum("nd,nd->n", raw_q[i], raw_t[j]) / (norm_q[i] * norm_t[j]) >= threshold) & (ids[i] != own[j])
+                i, j = i[ok], j[ok]
+                np.add.at(links, i, mult[j])
+                unite(root, i, len(q) + j)
+        out = pd.concat([ask[["label", "dim", "id", "hv"]].assign(links=links), there[["label", "dim", "id", "hv"]].assign(links=0)])
+        return out.assign(root=np.concatenate([ids, own])[root], more=[[]] * len(out))
+
+    return run
+
+
+def all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """The same as a search finds, by comparing all vectors of a label and length, block with block."""
+    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = classes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("hv"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = ["label", "dim", "id", "hv", "vec", "mult"]
+    asks = placed.select(*rows, F.col("own").alias("a"), F.col("other").alias("b"), F.lit(True).alias("asks"))
+    there = placed.select(*rows, F.col("other").alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"))
+    return keep(asks.unionByName(there).groupBy("label", "dim", "a", "b").applyInPandas(_block_links(threshold), FOUND), "found")
 
 
 def _audit_rows(sample: pd.DataFrame, threshold: float):
@@ -374,13 +457,17 @@ def _audit_rows(sample: pd.DataFrame, threshold: float):
 
 
 def audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Recall of ``found(id, links)`` on a bounded sample of queries against brute force over all classes."""
-    sample = classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).toPandas()
+    """Recall of ``found(id, links)`` on a bounded sample of queries against brute force over all classes: that of all
+    links or the mean of the queries, whichever is less. Half of the sample are vectors that have links."""
+    by = [F.xxhash64("id", F.lit(3)), F.col("id")]
+    linked = classes.join(found.where("links > 0").select("id"), "id", "left_semi").select(*classes.columns)
+    sample = pd.concat([classes.orderBy(*by).limit(AUDIT).toPandas(), linked.orderBy(*by).limit(AUDIT).toPandas()]).drop_duplicates(["id", "hv"])
     if not len(sample):
         return 1.0
-    truth = classes.mapInPandas(_audit_rows(sample, threshold), "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    row = truth.join(found, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return (row[1] or 0) / row[0] if row[0] else 1.0
+    truth = classes.mapInPandas(_audit_rows(sample, threshold), "id long, true long").groupBy("id").agg(F.sum("true").alias("true")).where(F.col("true") > 0)
+    got = F.least("true", F.coalesce("links", F.lit(0)))
+    row = truth.join(found, "id", "left").agg(F.sum("true"), F.sum(got), F.avg(got / F.col("true"))).first()
+    return min(row[1] / row[0], row[2]) if row[0] else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -392,16 +479,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False))
     rows = rows.withColumn("_ok", usable)
     good = rows.where("_ok").select("vec_id", "label", F.size("vec").cast("int").alias("dim"), "vec")
-    classes = keep(good.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")).select("id", "label", "dim", "vec", "mult"), "classes")
+    classes = keep(good.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")).select("id", F.xxhash64("vec").alias("hv"), "label", "dim", "vec", "mult"), "classes")
     total = classes.count()
     each, beam = SHARDS_EACH, BEAM
     centroids = fit_centroids(classes.orderBy(F.xxhash64("id"), "id").limit(FIT_SAMPLE).select("label", "dim", "vec").toPandas(), total) if total else {}
-    for attempt in range(3):
+    numbers = lambda rows: keep(rows.groupBy("id").agg(F.sum("links").alias("links")), "links")
+    for _ in range(ATTEMPTS):
         found = _round(classes, centroids, each, beam, threshold)
-        by_id = keep(found.groupBy("id").agg(F.sum("links").alias("links")), "links")
-        if attempt == 2 or audit(classes, by_id, threshold) >= RECALL:
+        by_id = numbers(found)
+        if audit(classes, by_id, threshold) >= RECALL:
             break
         each, beam = 2 * each, 2 * beam
+    else:
+        found = all_pairs(classes, threshold)
+        by_id = numbers(found)
     names = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     told = classes.join(by_id, "id", "left").join(names.withColumnRenamed("node", "id"), "id", "left").select(
         "label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sheetspark.llm import fingerprint
+from sheetspark.llm import fingerprint, neardup
 
 
 def weighted_jaccard(a, b):
@@ -22,3 +22,43 @@ def test_a_sample_has_the_same_bits_at_every_weight(first, second):
         near.append((v.signature(terms, a).view(np.uint32) == v.signature(terms, b).view(np.uint32)).mean())
         true.append(weighted_jaccard(a, b))
     assert np.mean(near) == pytest.approx(np.mean(true), abs=0.035)
+
+
+def tight_group(n, total, dim=64):
+    """A group of differing near copies among strangers; within the group most pairs link, not all."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(total, dim))
+    x[:n] = x[0] + 0.27 * rng.normal(size=(n, dim))
+    return x.astype(np.float32)
+
+
+def brute(x):
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return (y @ y.T >= neardup.THRESHOLD).sum(1) - 1
+
+
+def found_links(spark, x):
+    df = spark.createDataFrame([(i, row.tolist(), 0) for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    return {r.vec_id: r for r in neardup.near_duplicates(df).collect()}
+
+
+def test_a_tight_group_in_many_shards_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TARGET", 100)
+    monkeypatch.setattr(neardup, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(neardup, "all_pairs", None, raising=False)  # the first search is enough
+    x = tight_group(1800, 3600)
+    got, true = found_links(spark, x), brute(x)
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * true.sum() > 0
+    assert all(got[i].n_links <= true[i] for i in range(len(x)))
+
+
+def test_all_pairs_where_no_search_is_good_enough(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TARGET", 100)
+    monkeypatch.setattr(neardup, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(neardup, "BLOCK", 150, raising=False)
+    monkeypatch.setattr(neardup, "RECALL", 1.1)
+    x = tight_group(200, 500)
+    got, true = found_links(spark, x), brute(x)
+    assert [got[i].n_links for i in range(len(x))] == true.tolist()
+    assert all(got[i].component_id == 0 for i in range(200) if true[i])
