@@ -1,8 +1,9 @@
 """The core computation end to end: polygons, technology and terminals to resistance, power and currents.
 
 Polygons meet their layers and technology by joins, nets come from the closure of overlaps and vias, each conducting
-polygon becomes rectangles, cells and welded nodes, vias join layers by conductance, channels by a bias-dependent
-resistance, and every net group is solved where it is.
+polygon becomes rectangles, cells and welded nodes, polygons that meet on a layer are stitched, vias join layers by
+conductance, channels by a bias-dependent resistance, loose fragments of a net are merged into its main one, and every
+net group is solved where it is.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ class Network:
     terminals: DataFrame
 
 
-def nets(polygons: DataFrame, vias: DataFrame, cell: float) -> DataFrame:
+def met(polygons: DataFrame, cell: float) -> DataFrame:
+    """(a, b), a < b: polygons that overlap or touch within a logical layer."""
+    return spatial.overlap_pairs(polygons.select("id", F.col("logical").alias("layer"), *spatial.BOX), cell)
+
+
+def nets(polygons: DataFrame, vias: DataFrame, cell: float, same: DataFrame | None = None) -> DataFrame:
     """(id, component): polygons(id, logical, physical, x0..y1) joined by overlaps within a logical layer, and by vias
-    (id, bottom, top, x0..y1) to the smallest polygon they meet on either layer."""
+    (id, bottom, top, x0..y1) to the smallest polygon they meet on either layer. ``same`` are those overlaps, if known."""
     boxes = polygons.select("id", F.col("logical").alias("layer"), "physical", *spatial.BOX)
-    same = spatial.overlap_pairs(boxes, cell)
+    same = met(polygons, cell) if same is None else same
     landing = []
     for side in ("bottom", "top"):
         v = vias.select("id", F.col(side).alias("physical"), *spatial.BOX)
@@ -48,7 +54,8 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     box = bbox(F.col("points"))
     flat = keep(polygons.withColumn("b", box).select("id", "logical", "physical", "points", "r_sheet", F.col("b.min_x").alias("x0"), F.col("b.min_y").alias("y0"), F.col("b.max_x").alias("x1"), F.col("b.max_y").alias("y1")), "polygons")
     feet = vias.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
-    component = keep(nets(flat, feet, grid), "nets")
+    same = keep(met(flat, grid), "met")
+    component = keep(nets(flat, feet, grid, same), "nets")
     parts = rects.decompose(flat.select("id", F.col("points").alias("ring")))
     told = parts.join(flat.select("id", "physical", "r_sheet"), "id").join(component, "id")
     cells = network.grid_rects(told.select("id", "physical", "component", "r_sheet", *spatial.BOX), cell, cap)
@@ -65,7 +72,13 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
         near = spatial.nearest(bare.select("id", "physical", "x", "y"), spots.select("id", "physical", "x", "y"), grid, ["physical"]).select(F.col("point").alias("via"), "node")
         ends.append(inside.unionByName(near))
     via = network.via_edges(grouped.select(F.col("id").alias("via"), "r"), ends[0], ends[1]).select("a", "b", "g", F.lit("vias").alias("layer"))
-    edges = keep(sheet.unionByName(via), "edges")
+    at = lambda k: nodes.select(F.col("node").alias(k), F.col("physical").alias(f"p_{k}"))
+    one_layer = F.when(F.col("p_a") == F.col("p_b"), F.col("p_a")).otherwise("vias")
+    on_layers = lambda links: links.join(at("a"), "a").join(at("b"), "b").select("a", "b", "g", one_layer.alias("layer"))
+    stitches = on_layers(network.stitch(same, network.poly_nodes_of(cells)))
+    edges = keep(sheet.unionByName(stitches).unionByName(via), "edges")
+    merged = on_layers(network.fragments(edges, nodes.withColumnRenamed("component", "net")))
+    edges = keep(edges.unionByName(merged), "edges")
     pins = terminals.withColumn("id", F.xxhash64("name"))
     held = []
     for r in [x["physical"] for x in pins.select("physical").distinct().collect()]:  # the layers that have a terminal

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sheetspark.fixtures import view
 from sheetspark.operators import quadtree
-from sheetspark.plans import queries
+from sheetspark.plans import queries, sheet_rds
 
 
 def test_queries_of_whole_tables(spark, sf_dir):
@@ -25,3 +25,24 @@ def test_every_rectangle_is_balanced(spark, sf_dir):
     assert parts == pytest.approx({x.id: x.a for x in r.select("id", area.alias("a")).collect()})
     assert leaves.groupBy("poly").agg(F.max("level").alias("m")).where("m <> 4").count() == 0
     assert quadtree.neighbours(leaves, 5.0).where("abs(level_a - level_b) > 1").count() == 0
+
+
+def resistance(spark, polygons, terminals):
+    p = spark.createDataFrame(polygons, "id long, logical string, physical string, points array<struct<x:double,y:double>>, r_sheet double")
+    v = spark.createDataFrame([], "id long, bottom string, top string, r double, x double, y double, hx double, hy double")
+    t = spark.createDataFrame(terminals, "name string, voltage double, physical string, x double, y double, hx double, hy double")
+    return sheet_rds.report(sheet_rds.build(p, v, t, 1.0, 100))[1]
+
+
+def test_overlapping_polygons_of_different_grids_are_stitched(spark):
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    two = [(1, "net_M1", "M1", box(0.0, 0.0, 20.0, 4.0), 1.0), (2, "net_M1", "M1", box(19.5, 0.5, 40.0, 3.5), 1.0)]
+    ends = [("D", 1.0, "M1", 0.0, 2.0, 0.0, 2.0), ("S", 0.0, "M1", 40.0, 2.0, 0.0, 1.5)]
+    # 1 ohm from the first polygon's corner, which the terminal holds, to the second one's corner: no less than both in series
+    assert 1 + 20.5 / 3 < resistance(spark, two, ends) < 1 + 20.5 / 3 + 3
+
+
+def test_a_loose_fragment_of_a_net_is_merged(spark):
+    tee = [(0.0, 0.0), (10.0, 0.0), (10.0, 3.0), (6.7, 3.0), (6.7, 6.0), (3.3, 6.0), (3.3, 3.0), (0.0, 3.0)]
+    ends = [("D", 1.0, "M1", 5.0, 6.0, 1.7, 0.0), ("S", 0.0, "M1", 5.0, 0.0, 5.0, 0.0)]
+    assert 3 / 3.4 + 3 / 10 < resistance(spark, [(1, "net_M1", "M1", tee, 1.0)], ends) < 6
