@@ -299,11 +299,12 @@ _DIGIT_OR_AT[[*range(0x30, 0x3A), 0x40]] = True
 
 
 def worth_reading(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Which texts can hold a span at all: every pattern wants a digit, an ``@``, a "dot" or a key word."""
+    """Which texts can hold a span at all: every pattern wants a digit, an ``@``, a "dot", a key word or
+    a key's prefix."""
     hits = [np.flatnonzero(_DIGIT_OR_AT[data])]
     raw = data.tobytes()
     low = raw.lower()
-    for literal in (b"dot", *(k.encode() for k in _KEYWORDS)):
+    for literal in (b"dot", *(k.lower().encode() for k in (*_KEYWORDS, *_PREFIXES))):
         at = low.find(literal)
         while at >= 0:
             hits.append(np.array([at]))

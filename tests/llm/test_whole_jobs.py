@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sheetspark.llm import fingerprint, neardup
+from sheetspark.llm import fingerprint, neardup, pii
 
 
 def weighted_jaccard(a, b):
@@ -62,3 +62,11 @@ def test_all_pairs_where_no_search_is_good_enough(spark, monkeypatch):
     got, true = found_links(spark, x), brute(x)
     assert [got[i].n_links for i in range(len(x))] == true.tolist()
     assert all(got[i].component_id == 0 for i in range(200) if true[i])
+
+
+@pytest.mark.parametrize("key", ["AKIAIOSFODNNEXAMPLE", "sk-abcdefghijklmnopqrstuvwx", "ghp_abcdefghijklmnopqrstuvwx"])
+def test_a_key_without_digits_is_read(key):
+    raw = [b"nothing here", f"see {key} here".encode()]
+    offsets = np.cumsum([0, *map(len, raw)])
+    assert pii._KEYLIKE.search(raw[1].decode())
+    assert pii.worth_reading(offsets, np.frombuffer(b"".join(raw), np.uint8)).tolist() == [False, True]
