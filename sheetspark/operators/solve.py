@@ -1,8 +1,8 @@
 """Resistor network solves.
 
 Components are solved where they are: grouped by component, each by conjugate gradients with incomplete or diagonal
-scaling in numpy, or directly when small. Components too large for one task go through a distributed
-diagonally-scaled conjugate gradient of joins and sums.
+scaling in numpy, or directly when small; a component is one task's whatever its size. ``distributed_cg``, a
+diagonally-scaled conjugate gradient of joins and sums, is for one component that is too large for that; callers choose it.
 """
 
 from __future__ import annotations
