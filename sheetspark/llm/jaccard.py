@@ -1,17 +1,23 @@
 """Set-similarity join of documents on five-word shingles, exact at a Jaccard similarity of 0.75 or more.
 
-1. Documents with equal shingle sets form a class (a 64-bit key of the sorted set); only classes go on.
+1. Documents with equal shingle sets form a class (a 128-bit key of the sorted set); only classes go on.
 2. A sketch of fixed size counts the documents of each shingle, over all documents; it orders shingles rare first. A
    set's prefix are its first n - ceil(0.75 n) + 1 shingles in that order and n / 32 more: similar sets share 1 + n / 32
    of them at least, so what shares fewer, by chance, goes before any pair is made.
-3. Prefix entries travel as packed arrays of 16 bytes an entry; an entry whose shingle is in no other prefix stops
-   there. Where one task alone has many entries of a shingle they bypass the grouping, so a shingle that a third of all
-   documents have lands in no single task.
-4. Pairs are proposed from the lists that remain, under length and positional filters, and each is verified once on
-   the whole sets, after a suffix filter. A large group of near copies would have all its pairs proposed, so pairs go
-   by rounds: each list's members with its leader first; then, for members that are not yet linked with it, another
-   leader; and in a last round every pair of each list whose sides are still in different components. Nothing is
-   capped: the last round makes the components exact whatever the first ones found.
+3. Prefix entries travel as packed arrays; an entry whose shingle is in no other prefix stops there. Where one task
+   alone has many entries of a shingle they bypass the grouping, so a shingle that a third of all documents have lands
+   in no single task.
+4. Classes that are left take as their block the least class they reach over three steps of shared lists. Blocks are
+   dealt into buckets of bounded size, a large block into several, and each whole set travels to its bucket once. There
+   candidates come from a prefix index, rare first within the bucket, pass the length, positional and suffix filters,
+   and are verified on the whole sets. A class that is linked is not compared with its own component again, so a group
+   of copies costs about its size times those that stay apart from it.
+5. What buckets separate is compared afterwards: the parts of a large block with its first part, then classes that are
+   still outside the block's main component with the other parts, then pairs of lists that hold several blocks. Only
+   pairs of different components that were in no bucket together are compared, so no pair is verified twice, and
+   nothing is capped: the components are exact.
+
+A group of n differing near copies of which r stay outside its main component needs about n * r comparisons.
 
 Defined cases: a null, empty or wordless text has the empty set, is linked with nothing and is its own component; a
 text of fewer than five words is one shingle; equal ids are kept apart as rows; a null id is never a component's name
@@ -21,6 +27,7 @@ unless all ids of the component are null; an empty table gives an empty table; e
 from __future__ import annotations
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -30,31 +37,35 @@ from pyspark.sql import functions as F
 
 from ..operators.closure import components
 from .storage import discard, keep, partitions, small_batches
-from .text import SLOT, mix, shingle_sets, sliced
+from .text import SLOT, mix, release, shingle_sets, sliced
 
 #: Buckets of the sketch of document counts: 2**23, broadcast as a rank of one byte each.
 SKETCH_BITS = 23
 CHUNK = 1 << 18
 #: Entries of one shingle in one task beyond which they bypass the grouping.
 LOCAL_HOT = 64
-LEADER_ROUNDS = 4
-#: Leaders of a list in a later round.
-LEADERS = 8
-#: The keys of up to this many pairs are broadcast (16 bytes a pair) to pick out their sets.
-BROADCAST_PAIRS = 100_000
-#: The last round may propose this many pairs an entry; before that, other leaders are tried.
-ENOUGH = 0.5
 #: A prefix is longer by 1 / MORE of its set than one common shingle would ask for; so many more have to be shared.
 MORE = 32
-BITMAP_BITS = 22
+#: Classes and bytes of sets of a bucket; a larger block is split.
+MEMBERS = 1024
+BUCKET_BYTES = 8 << 20
+#: Steps over shared lists that gather a block.
+STEPS = 3
+#: Most bits of the bitmap of documents whose sets are wanted (16 MB); it has 16 bits a document up to there.
+BITMAP_BITS = 27
+BITMAP_CHUNK = 1 << 18
 
 
-def set_key(s: np.ndarray) -> int:
-    """A signed 64-bit key of a sorted set."""
-    if not len(s):
-        return 0
-    h = np.stack([mix(s * SLOT[50]).sum(keepdims=True, dtype=np.uint64), mix((s ^ SLOT[51]) + np.uint64(len(s))).sum(keepdims=True, dtype=np.uint64) * SLOT[52]])
-    return int(mix(h[0] ^ h[1]).view(np.int64)[0])
+def set_key(s: np.ndarray) -> bytes:
+    """A 128-bit key of a sorted set."""
+    n = np.uint64(len(s))
+    h = [mix(s * SLOT[50]).sum(keepdims=True, dtype=np.uint64) + n, mix(s ^ SLOT[51]).sum(keepdims=True, dtype=np.uint64) ^ n]
+    return mix(np.concatenate(h) * SLOT[52:54]).tobytes()
+
+
+def short(key: bytes) -> int:
+    """The first half of a key, which stands for it in lists."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def needed(a: int | np.ndarray, b: int | np.ndarray):
@@ -62,6 +73,10 @@ def needed(a: int | np.ndarray, b: int | np.ndarray):
     return -(-3 * (a + b) // 7)
 
 
+def prefix_length(n: int | np.ndarray):
+    return np.minimum(n, n + (-3 * n // 4) + 1 + n // MORE)
+
+
 def _packed(counts: np.ndarray) -> bytes:
     small = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
     return bytes([small.itemsize]) + zlib.compress(small.tobytes(), 1)
@@ -71,14 +86,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), np.uint8 if raw[0] == 1 else np.uint32)
 
 
-SURVEYED = "doc_id long, n_shingles long, key long, chunk int, counts binary"
+SURVEYED = "doc_id long, n_shingles long, k long, key binary, chunk int, counts binary"
 
 
 def _survey(batches):
     """A row for each document, and at a task's end its part of the sketch."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     mask = np.uint64((1 << SKETCH_BITS) - 1)
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for whole in batches:
         for batch in sliced(whole, "text"):
             sets = shingle_sets(batch.column("text"))
@@ -92,15 +107,15 @@ def _survey(batches):
                 np.add.at(counts, (np.concatenate(fresh) & mask).astype(np.int64), np.uint32(1))
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n_shingles", "key", "chunk", "counts"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([short(k) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "n_shingles", "k", "key", "chunk", "counts"],
             )
     if counts.any():
         parts = [(c, _packed(counts[c * CHUNK : (c + 1) * CHUNK])) for c in range(len(counts) // CHUNK)]
         m = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
-            names=["doc_id", "n_shingles", "key", "chunk", "counts"],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
+            names=["doc_id", "n_shingles", "k", "key", "chunk", "counts"],
         )
 
 
@@ -120,24 +135,25 @@ def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The 44-bit names of the first n - ceil(3 n / 4) + 1 + n // 32 shingles, rare first. Of two similar sets each has
     the least 1 + n // 32 (for the smaller n) of their common shingles in its prefix."""
     n = len(s)
-    p = min(n, n + (-3 * n // 4) + 1 + n // MORE)
+    p = int(prefix_length(n))
     order = (rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
     if p < n:
         order = np.partition(order, p - 1)[:p]
-    return np.sort(order) & np.uint64((1 << 44) - 1)
+    return order & np.uint64((1 << 44) - 1)
 
 
-ENTRY = np.dtype([("name", "<u4"), ("key", "<i8"), ("size", "<u4"), ("pos", "<u2")])
+#: need: how many entries a class has to share with others to have a partner at all; 0 marks a list that bypassed.
+ENTRY = np.dtype([("name", "<u4"), ("key", "<i8"), ("need", "u1")])
 
 
 def _entries(shared, ranges: int):
     """Packed prefix entries by range of names; a list that is long in this task alone goes to a range of its own
-    choice, marked as shared, and leaves one entry behind."""
+    choice, marked as shared, and leaves one entry and a mark behind."""
 
     def pack(held):
         name = np.concatenate([h[0] for h in held])
         rows = np.empty(len(name), ENTRY)
-        rows["key"], rows["size"], rows["pos"] = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        rows["key"], rows["need"] = (np.repeat(np.array([h[i] for h in held]), [len(h[0]) for h in held]) for i in (1, 2))
         rows["name"] = (name >> np.uint64(12)).astype(np.uint32)
         where = (name % np.uint64(ranges)).astype(np.int64)
         list_of = (where.astype(np.uint64) << np.uint64(32)) | rows["name"]
@@ -146,15 +162,15 @@ def _entries(shared, ranges: int):
         first = np.flatnonzero(np.append(True, list_of[1:] != list_of[:-1]))
         length = np.diff(np.append(first, len(rows)))
         hot = length > LOCAL_HOT
-        keep_ = np.ones(len(rows), bool)
+        stays = np.ones(len(rows), bool)
         out = []
-        for k, (a, m) in enumerate(zip(first[hot].tolist(), length[hot].tolist())):
+        for a, m in zip(first[hot].tolist(), length[hot].tolist()):
             spread = int(mix(np.array([list_of[a] + np.uint64(int(rows["key"][a]) & 0xFFFFFFFF)], np.uint64))[0] % np.uint64(ranges))
             out.append((spread, int(where[a]), True, rows[a + 1 : a + m].tobytes()))
-            keep_[a + 1 : a + m] = False
-        # a list that bypassed is known to be shared: its entry left behind counts twice
-        twice = rows[first[hot]]
-        rows, where = np.concatenate([rows[keep_], twice]), np.concatenate([where[keep_], where[first[hot]]])
+            stays[a + 1 : a + m] = False
+        marks = rows[first[hot]]
+        marks["need"] = 0
+        rows, where = np.concatenate([rows[stays], marks]), np.concatenate([where[stays], where[first[hot]]])
         by = np.argsort(where, kind="stable")
         rows, where = rows[by], where[by]
         cut = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
@@ -167,7 +183,7 @@ def _entries(shared, ranges: int):
 
     def run(batches):
         rank = np.frombuffer(shared.value, np.uint8)
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held, n = [], 0
         for whole in batches:
             for batch in sliced(whole, "text"):
@@ -176,9 +192,8 @@ def _entries(shared, ranges: int):
                         continue
                     seen.add(k)
                     p = prefix(s, rank)
-                    m = len(p)
-                    held.append((p, np.full(m, k, np.int64), np.full(m, len(s), np.uint32), np.minimum(np.arange(m), 65535).astype(np.uint16)))
-                    n += m
+                    held.append((p, short(k), min(1 + -(-3 * len(s) // 4) // MORE, 255)))
+                    n += len(p)
                 if n > 300_000:
                     yield pack(held)
                     held, n = [], 0
@@ -190,189 +205,323 @@ def _entries(shared, ranges: int):
 
 def _shared_lists(table: pa.Table) -> pa.Table:
     """Entries of the lists with two different keys or more, in one range; what bypassed is passed on."""
-    out = []
-    plain = []
+    out, plain = [], []
     for where, direct, raw in zip(table["range"].to_pylist(), table["direct"].to_pylist(), table["rows"].to_pylist()):
         rows = np.frombuffer(raw, ENTRY)
-        (out.append((where, rows)) if direct else plain.append((where, rows)))
+        (out if direct else plain).append((where, rows))
     if plain:
         rows = np.concatenate([r for _, r in plain])
-        rows = rows[np.argsort(rows["name"], kind="stable")]
-        first = np.append(True, rows["name"][1:] != rows["name"][:-1])
-        at = np.flatnonzero(first)
+        rows = rows[np.lexsort((rows["need"], rows["key"], rows["name"]))]
+        same_list = rows["name"][1:] == rows["name"][:-1]
+        fresh = np.append(True, ~(same_list & (rows["key"][1:] == rows["key"][:-1]) & (rows["need"][1:] == rows["need"][:-1])))
+        rows = rows[fresh]  # copies in several tasks
+        at = np.flatnonzero(np.append(True, rows["name"][1:] != rows["name"][:-1]))
         many = np.repeat(np.diff(np.append(at, len(rows))) > 1, np.diff(np.append(at, len(rows))))
-        out.append((plain[0][0], rows[many]))
+        out.append((plain[0][0], rows[many & (rows["need"] > 0)]))
     lists = [(np.int64(w) << np.int64(32)) | r["name"].astype(np.int64) for w, r in out]
-    cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-    return pa.table({
-        "list": cat(lists), "key": cat([r["key"] for _, r in out]), "size": cat([r["size"].astype(np.int64) for _, r in out]), "pos": cat([r["pos"].astype(np.int64) for _, r in out]),
-    })
-
-
-def _possible() -> F.Column:
-    """Length and positional filters for entries x and y of one list. Positions are exact up to 65,534; beyond that
-    the bound is left open."""
-    least = F.ceil(F.lit(3) * (F.col("x.size") + F.col("y.size")) / 7)
-    rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) + F.least("x.pos", "y.pos")
-    open_ = (F.col("x.pos") >= 65535) | (F.col("y.pos") >= 65535)
-    return (4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")) & (open_ | (rest >= least))
-
-
-def _pairs(x: DataFrame, y: DataFrame, extra: F.Column) -> DataFrame:
-    """Distinct possible pairs a < b of two aliased sides of the lists."""
-    hit = x.alias("x").join(y.alias("y"), F.col("x.list") == F.col("y.list")).where((F.col("x.key") != F.col("y.key")) & extra & _possible())
-    return hit.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+    return pa.table({"list": cat(lists, np.int64), "k": cat([r["key"] for _, r in out], np.int64), "need": cat([r["need"].astype(np.int32) for _, r in out], np.int32)})
 
 
-#: Lists of a key that tell whether a pair was met before.
-FIRST = 8
+def _blocks(lists: DataFrame) -> DataFrame:
+    """(k, block): the least k that a class reaches over shared lists in STEPS steps. Lists with one leader count as one."""
+    leads = lists.groupBy("list").agg(F.min("k").alias("lead"))
+    edges = keep(lists.join(leads, "list").select("k", "lead").distinct(), "edges")
+    block = edges.groupBy("k").agg(F.min("lead").alias("block"))
+    for _ in range(1, STEPS):
+        least = edges.join(block, "k").groupBy("lead").agg(F.min("block").alias("block"))
+        block = edges.join(least, "lead").groupBy("k").agg(F.min("block").alias("block"))
+    block = keep(block, "blocks")
+    discard(edges)
+    return block
 
 
-def _first_lists(entries: DataFrame) -> DataFrame:
-    """(key, mins): the least hashes of each key's lists."""
-    return entries.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.xxhash64("list"))), 1, FIRST).alias("mins"))
+def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One chunk of a bitmap."""
+    bits = np.zeros(BITMAP_CHUNK, bool)
+    bits[(pdf["slot"] % BITMAP_CHUNK).to_numpy()] = True
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
-def _first_in_common() -> F.Column:
-    """No list with a smaller hash is known to hold both: copies share hundreds of lists, and their pair is wanted once.
-    It is always met in the common list of the least hash, as the filters hold there too if the sets are similar."""
-    here = F.xxhash64("x.list")
-    return ~F.exists("x.mins", lambda v: (v < here) & F.array_contains("y.mins", v))
+def _bitmap(hashes: DataFrame) -> bytes:
+    """A bitmap of hashes ``h``, with 16 bits for each up to 2**BITMAP_BITS."""
+    slots = 1 << min(BITMAP_BITS, max(18, (16 * hashes.count()).bit_length()))
+    slot = hashes.select(F.pmod("h", F.lit(slots)).alias("slot")).distinct().withColumn("chunk", F.floor(F.col("slot") / BITMAP_CHUNK).cast("int"))
+    out = bytearray(slots // 8)
+    for r in slot.groupBy("chunk").applyInPandas(_marks, "chunk int, bits binary").toLocalIterator():  # 32 KB each, 512 at most
+        out[r.chunk * BITMAP_CHUNK // 8 : (r.chunk + 1) * BITMAP_CHUNK // 8] = r.bits
+    return bytes(out)
 
 
 def _wanted(shared):
-    """Whole sets of the documents that may be wanted (a bitmap of fixed size over their keys), one of each key a task."""
+    """Whole sets of the documents that the bitmap marks, one of each key a task. Only these are read for words."""
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        seen: set[int] = set()
+        bits = np.frombuffer(shared.value, np.uint8)
+        seen: set[bytes] = set()
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            slot = whole.column("slot").to_numpy()
+            marked = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+            for batch in sliced(whole.filter(pa.array(marked.astype(bool))), "text"):
                 keys, sets = [], []
                 for s in shingle_sets(batch.column("text")):
                     k = set_key(s)
-                    if len(s) and k not in seen and bits[k & (len(bits) - 1)]:
+                    if len(s) and k not in seen:
                         seen.add(k)
                         keys.append(k)
                         sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([short(k) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())],
+                    names=["k", "key", "size", "set"],
+                )
 
     return run
 
 
-_BINS = (np.arange(1, 32, dtype=np.uint64) << np.uint64(59))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """The suffix filter bounds the intersection by that of 32 equal parts of the hash space; then it is counted."""
-    least = needed(len(a), len(b))
-    if min(len(a), len(b)) < least:
-        return False
-    ca = np.diff(np.concatenate([[0], np.searchsorted(a, _BINS), [len(a)]]))
-    cb = np.diff(np.concatenate([[0], np.searchsorted(b, _BINS), [len(b)]]))
-    if int(np.minimum(ca, cb).sum()) < least:
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    return int((both[1:] == both[:-1]).sum()) >= least
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def indexed(sets: list[np.ndarray]) -> SimpleNamespace:
+    """Sets as numbers that ascend from the rarest shingle here, with an index of their prefixes."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    value, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(value), np.int64)
+    rank[np.lexsort((value, count))] = np.arange(len(value))
+    row = np.repeat(np.arange(m), size)
+    ids = rank[number]
+    ids = ids[np.lexsort((ids, row))]
+    start = np.cumsum(size) - size
+    p = prefix_length(size)
+    inside = _ranges(start, p)
+    by = np.argsort(ids[inside], kind="stable")
+    index = row[inside][by]
+    index_start = np.searchsorted(ids[inside][by], np.arange(len(value) + 1))
+    bins = np.bincount(row * 32 + (flat >> np.uint64(59)).astype(np.int64), minlength=m * 32).reshape(m, 32).astype(np.int32)
+    return SimpleNamespace(m=m, size=size, ids=ids, start=start, p=p, last=ids[start + p - 1], index=index, index_start=index_start, bins=bins, mark=np.zeros(len(value), bool))
+
+
+def partners(x: SimpleNamespace, q: int, open_: np.ndarray) -> np.ndarray:
+    """The rows of ``open_`` whose sets are similar to that of row q: prefix index, length filter, positional filter (all
+    that follows the prefix that ends first), suffix filter (32 equal parts of the hash space), whole sets."""
+    own = x.ids[x.start[q] : x.start[q] + x.size[q]]
+    at = own[: x.p[q]]
+    shares = np.bincount(x.index[_ranges(x.index_start[at], x.index_start[at + 1] - x.index_start[at])], minlength=x.m)
+    c = np.flatnonzero((shares > 0) & open_)
+    n, s = x.size[q], x.size[c]
+    least, smaller = needed(n, s), np.minimum(n, s)
+    rest = np.where(x.last[c] <= x.last[q], s - x.p[c], n - x.p[q])
+    ok = (smaller >= least) & (shares[c] > smaller // MORE) & (shares[c] + rest >= least)
+    c, least = c[ok], least[ok]
+    ok = np.minimum(x.bins[c], x.bins[q]).sum(axis=1) >= least
+    c, least = c[ok], least[ok]
+    if not len(c):
+        return c
+    x.mark[own] = True
+    hits = x.mark[x.ids[_ranges(x.start[c], x.size[c])]].astype(np.int64)
+    x.mark[own] = False
+    return c[np.add.reduceat(hits, np.cumsum(x.size[c]) - x.size[c]) >= least]
+
+
+def grouped(sets: list[np.ndarray]) -> np.ndarray:
+    """The first row of each row's component. Each row looks once for partners among those that nothing reached yet."""
+    x = indexed(sets)
+    out, free = np.full(x.m, -1), np.ones(x.m, bool)
+    for seed in range(x.m):
+        if not free[seed]:
+            continue
+        free[seed], out[seed], queue = False, seed, [seed]
+        while queue:
+            got = partners(x, queue.pop(), free)
+            free[got], out[got] = False, seed
+            queue += got.tolist()
+    return out
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
+
+
+LABELLED = "k long, key binary, size long, block long, parts int, part int, bucket long, label binary"
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """Classes of one bucket, each with the least key of its component there."""
+    keys = np.array(table["key"].to_pylist(), object)
+    by = np.argsort(keys, kind="stable")
+    by = by[np.append(True, keys[by][1:] != keys[by][:-1])]  # a class of a document that repeats
+    table = table.take(pa.array(by))
+    out = table.drop_columns(["set"]).append_column("label", pa.array(keys[by][grouped(_sets(table["set"]))].tolist(), pa.binary()))
+    release()
+    return out
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Links (a, b) of labels between the two sides of a group, for pairs that differ in label and bucket. Where both
+    are outside their main component, the pair is compared from its smaller key."""
+    query = np.array(table["query"].to_pylist(), bool)
+    if query.all() or not query.any():
+        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    name, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
+    _, order = np.unique(np.array(table["key"].to_pylist(), object), return_inverse=True)
+    bucket, outside = table["bucket"].to_numpy(), np.array(table["outside"].to_pylist(), bool)
+    x, root, links = indexed(_sets(table["set"])), np.arange(len(name)), []
+    for q in np.flatnonzero(query).tolist():
+        apart = ~query & (root[label] != root[label[q]]) & (bucket != bucket[q])
+        if outside[q]:
+            apart &= ~(outside & (order < order[q]))
+        for r in np.unique(root[label[partners(x, q, apart)]]).tolist():
+            links.append((name[root[label[q]]], name[r]))
+            root[root == r] = root[label[q]]
+    release()
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(.., label)`` with the labels that links (a, b) connect made one."""
+    links = keep(links, "links")
+    out = labels
+    if not links.isEmpty():
+        names = components(links)
+        out = keep(labels.join(names.withColumnRenamed("node", "label"), "label", "left").select(*[c for c in labels.columns if c != "label"], F.coalesce("component", "label").alias("label")), "labels")
+        discard(labels)
+    discard(links)
+    return out
+
+
+SIDES = ["block", "t", "query", "key", "label", "bucket", "outside", "set"]
+
+
+def _parts_joined(labels: DataFrame, sets: DataFrame, members: int) -> DataFrame:
+    """Links between the parts of large blocks: first all parts with part 0, then what is outside the block's main
+    component with the other parts. Here part 0 stands for all that a part of its block was compared with."""
+    whole = lambda df: df.join(sets.where("parts > 1").select("key", "set"), "key")
+    large = whole(labels.where("parts > 1")).withColumn("outside", F.lit(False))
+    first = large.where("part = 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).withColumn("query", F.lit(True))
+    rest = large.where("part > 0").withColumn("t", F.col("part")).withColumn("query", F.lit(False))
+    labels = _merged(labels, first.select(SIDES).unionByName(rest.select(SIDES)).groupBy("block", "t").applyInArrow(_across, "a binary, b binary"))
+    sizes = labels.where("parts > 1").groupBy("block", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("left"))
+    main = main.select("block", "main", F.ceil(F.col("left") / members).cast("int").alias("groups")).where("groups > 0")
+    large = whole(labels.where("part > 0").join(main, "block")).withColumn("outside", F.col("label") != F.col("main"))
+    deal = F.pmod(F.xxhash64("key", F.lit(2)), F.col("groups")).cast("int")
+    queries = large.where("outside").withColumn("g", deal).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).withColumn("query", F.lit(True))
+    others = large.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("t", F.col("part")).withColumn("query", F.lit(False))
+    sides = queries.select("g", *SIDES).unionByName(others.select("g", *SIDES))
+    return _merged(labels, sides.groupBy("block", "t", "g").applyInArrow(_across, "a binary, b binary"))
 
 
 def _verify(batches):
     for batch in batches:
-        ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+        ok = []
+        for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+            pair = [np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)]
+            ok.append(len(partners(indexed(pair), 0, np.array([False, True]))) == 1)
         ok = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
-    pairs = keep(pairs, "pairs")
-    if pairs.count() <= BROADCAST_PAIRS:  # beyond it all sets are joined
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        sets = sets.join(F.broadcast(keys), "key", "left_semi")
-    a = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
-
-
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels(key, label)`` with the labels that links (a, b) of keys connect made one."""
-    end = lambda k: labels.select(F.col("key").alias(k), F.col("label").alias(f"l{k}"))
-    joined = links.join(end("a"), "a").join(end("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    names = components(joined)
-    return keep(labels.join(names.withColumnRenamed("node", "label"), "label", "left").select("key", F.coalesce("component", "label").alias("label")), "labels")
-
-
-def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) of keys that connect all that is similar."""
-    lead = lists.groupBy("list").agg(F.min(F.struct("key", "size", "pos")).alias("l")).select("list", "l.*")
-    links = keep(verified(_pairs(lists, lead, F.lit(True)), sets), "links")
-    labels = _relabelled(lists.select("key", F.col("key").alias("label")).distinct(), links)
-    for round_ in range(1, LEADER_ROUNDS + 1):
-        told = keep(lists.join(labels, "key").select("list", "key", "size", "pos", "label"), "told")
-        sizes = told.groupBy("list", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-        main = keep(main, "main")
-        work, entries = main.agg(F.coalesce(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not work:
-            return links
-        open_ = told.join(main.select("list", "main"), "list")
-        others = open_.where("label <> main")
-        if work <= ENOUGH * entries or round_ == LEADER_ROUNDS:
-            first = _first_lists(open_)
-            apart = (F.col("x.label") != F.col("y.label")) & _first_in_common()
-            found = keep(verified(_pairs(others.join(first, "key"), open_.join(first, "key"), apart), sets), "links")
-            return links.unionByName(found)
-        leaders = F.array_distinct(F.array(*[F.min_by(F.struct("key", "size", "pos", "label"), F.xxhash64("key", F.lit(LEADERS * round_ + i))) for i in range(LEADERS)]))
-        again = open_.where("label = main").groupBy("list").agg(leaders.alias("l")).select("list", F.explode("l").alias("l")).select("list", "l.*")
-        found = keep(verified(_pairs(others, again, F.lit(True)), sets), "links")
-        links = links.unionByName(found)
-        labels = _relabelled(labels, found)
-    return links
-
-
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, component_id) for every row of ``docs(doc_id, text)``."""
+def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links between classes of different blocks that share a list."""
+    info = labels.select("k", "key", "size", "block", "bucket", "label")
+    several = lists.join(info.select("k", "block").distinct(), "k").groupBy("list").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("list")
+    several = keep(several, "several")
+    if several.isEmpty():
+        discard(several)
+        return labels
+    told = keep(lists.join(several, "list").select("list", "k").distinct().join(info, "k"), "told")
+    apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.block") != F.col("y.block")) & (F.col("x.bucket") != F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
+    size = 4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")
+    pairs = told.alias("x").join(told.alias("y"), apart & size).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    side = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"s{k}"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"), "sa", "sb").mapInArrow(_verify, "a binary, b binary")
+    out = _merged(labels, links)
+    discard(several)
+    discard(told)
+    return out
+
+
+def _labels(lists: DataFrame, sets: DataFrame, members: int, bucket_bytes: int) -> DataFrame:
+    """(key, label) of the classes of ``sets``; equal labels are one component."""
+    totals = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
+    buckets = max(1, -(-totals.n // members), -(-8 * totals.s // bucket_bytes))
+    load = sets.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("size") * 8 / bucket_bytes)).cast("int").alias("parts"))
+    dealt = sets.join(load, "block").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    dealt = keep(dealt.withColumn("bucket", F.pmod(F.xxhash64("block", "part"), F.lit(buckets))), "dealt")
+    labels = keep(dealt.select(*[c.split()[0] for c in LABELLED.split(", ")[:-1]], "set").groupBy("bucket").applyInArrow(_together, LABELLED), "labels")
+    if not labels.where("parts > 1").isEmpty():
+        labels = _parts_joined(labels, dealt, members)
+    labels = _blocks_joined(labels, dealt, lists)
+    discard(dealt)
+    return labels
+
+
+def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, key, label, component_id) for every row of ``docs(doc_id, text)``. Equal labels are one
+    component; component_id names it by its smallest doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     survey = keep(rows.mapInArrow(_survey, SURVEYED), "survey")
     parts = survey.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_up, "chunk int, counts binary").collect()
-    table = survey.where("chunk is null").select("doc_id", "n_shingles", "key")
+    table = survey.where("chunk is null").select("doc_id", "n_shingles", "k", "key")
     if not parts:
-        return table.select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"))
+        return table.select("doc_id", "n_shingles", "key", F.col("key").alias("label"), F.col("doc_id").alias("component_id"))
     sketch = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in sorted(parts, key=lambda r: r.chunk)))  # 8 MB
-    ranges = 4 * partitions(spark)
-    entries = rows.mapInArrow(_entries(sketch, ranges), "to int, range int, direct boolean, rows binary")
-    lists = keep(entries.groupBy("to").applyInArrow(_shared_lists, "list long, key long, size long, pos long").distinct(), "lists")
-    # whoever shares fewer than a similar set of the least possible size would ask for has no partner
-    rich = lists.groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= 1 + F.floor(F.ceil(F.col("size") * 3 / 4) / MORE))
-    every, lists = lists, keep(lists.join(rich.select("key"), "key", "left_semi").select("list", "key", "size", "pos"), "lists")
+    entries = rows.mapInArrow(_entries(sketch, 4 * partitions(spark)), "to int, range int, direct boolean, rows binary")
+    every = keep(entries.groupBy("to").applyInArrow(_shared_lists, "list long, k long, need int"), "lists")
+    # whoever shares fewer entries than its least similar set would ask for has no partner
+    rich = every.groupBy("k").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("k")
+    lists = keep(every.join(rich, "k").select("list", "k"), "lists")
     discard(every)
-    slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    wanted = lists.select(slot.cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()  # at most 2**22 numbers
-    bits[wanted] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    sets = keep(rows.mapInArrow(_wanted(bitmap), "key long, set binary").dropDuplicates(["key"]), "sets")
-    links = _links(lists, sets)
-    names = components(links)
-    classes = table.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    least = names.join(classes, names.node == classes.key).select("node", "component", "rep")
-    least = keep(least.join(least.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("key"), "least"), "least")
-    named = classes.join(least, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
-    for df in (lists, sets):
+    blocks = _blocks(lists)
+    classes = table.where("n_shingles > 0").groupBy("k", "key").agg(F.min("doc_id").alias("rep"))
+    left = keep(classes.join(blocks, "k"), "left")
+    bitmap = spark.sparkContext.broadcast(_bitmap(left.select(F.xxhash64("rep").alias("h"))))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(bitmap.value)))
+    marked = rows.select("text", slot.alias("slot")).mapInArrow(_wanted(bitmap), "k long, key binary, size long, set binary")
+    sets = keep(marked.join(left.select("key", "block"), "key"), "sets")
+    labels = _labels(lists, sets, members, bucket_bytes)
+    near = left.join(labels.select("key", "label"), "key").select("key", "label", "rep")
+    least = near.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = keep(near.join(least, "label").select("key", "label", "least"), "least")
+    for df in (lists, blocks, left, sets, labels):
         discard(df)
-    out = table.join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    sketch.unpersist()
+    bitmap.unpersist()
+    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    named = classes.join(least, "key", "left").select("key", F.coalesce("label", "key").alias("label"), F.coalesce("least", "rep").alias("component_id"))
+    empty = table.where("n_shingles = 0").select("doc_id", "n_shingles", "key", F.col("key").alias("label"), F.col("doc_id").alias("component_id"))
+    return table.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "key", "label", "component_id").unionByName(empty)
+
+
+def _keyed(batches):
+    """Rows with the key of their text's set; null where that is empty."""
+    for whole in batches:
+        for batch in sliced(whole, "text"):
+            keys = [set_key(s) if len(s) else None for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(keys, pa.binary())], names=["row", "key"])
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar documents, that with the smallest id; same columns. Of rows with one id and
-    equal text only one stays; rows without an id or without words all stay."""
-    found = join(docs).where("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """One row of each group of similar documents, that with the smallest id; same columns. Rows that share an id are
+    told apart by their texts: of those of one group that with the smallest key stays, and of equal rows one. Rows
+    without an id or without words all stay."""
+    found = keep(join(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", "key", "label", "component_id"), "found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.join(twice, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "text")
+    kind = rows.select("row").schema["row"].dataType.simpleString()
+    rows = rows.mapInArrow(_keyed, f"row {kind}, key binary").withColumn("id", F.col("row.doc_id").cast("long"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").alias("id"), "key")).alias("s")).select("s.*")
+    kept = rows.where("key is not null").join(first, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return once.unionByName(kept.unionByName(rows.where("key is null")).select("row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

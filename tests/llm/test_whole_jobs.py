@@ -1,9 +1,11 @@
 """Cases in which less than the whole job was done once."""
 
+import random
+
 import numpy as np
 import pytest
 
-from sheetspark.llm import fingerprint, neardup, pii
+from sheetspark.llm import fingerprint, jaccard, neardup, pii
 
 
 def weighted_jaccard(a, b):
@@ -70,3 +72,89 @@ def test_a_key_without_digits_is_read(key):
     offsets = np.cumsum([0, *map(len, raw)])
     assert pii._KEYLIKE.search(raw[1].decode())
     assert pii.worth_reading(offsets, np.frombuffer(b"".join(raw), np.uint8)).tolist() == [False, True]
+
+
+def edited(seed, copies, words, edits):
+    """Copies of one text, each with words of its own, and strangers."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        for _ in range(r.randrange(edits + 1)):
+            w[r.randrange(words)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows + [(100_000 + i, " ".join(f"w{r.randrange(10**6)}" for _ in range(words))) for i in range(50)]
+
+
+def shingled(rows):
+    return {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+
+
+def brute_components(rows):
+    """Smallest id of each component, from all pairs that share a shingle."""
+    sets, root = shingled(rows), {i: i for i, _ in rows}
+    number = {s: n for n, s in enumerate(sorted(set().union(*sets.values())))}
+    dense = np.zeros((len(sets), len(number)), np.float32)
+    ids = list(sets)
+    for a, i in enumerate(ids):
+        dense[a, [number[s] for s in sets[i]]] = 1
+    both, size = dense @ dense.T, dense.sum(1)
+    link = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(np.triu(link, 1))):
+        a, b = find(ids[a]), find(ids[b])
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("members", [1024, 128])
+def test_thousands_of_near_copies(spark, members):
+    rows = edited(5, 2600, 60, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_components(rows)
+    assert 60 < len(set(want.values())) < 2000  # one large component, and copies that stay apart from it
+    assert {x.doc_id: x.component_id for x in jaccard.join(df, members=members).collect()} == want
+
+
+def test_each_class_looks_once_for_partners_and_finds_all():
+    rows = edited(9, 300, 50, 7)
+    sets = [np.sort(np.array([hash(s) & (2**64 - 1) for s in x], np.uint64)) for x in shingled(rows).values()]
+    want = brute_components(rows)
+    got = jaccard.grouped(sets)
+    first = {i: n for n, i in enumerate(want)}
+    assert got.tolist() == [first[want[i]] for i in want]
+    x = jaccard.indexed(sets)
+    for q in range(0, len(sets), 7):
+        true = [c for c in range(len(sets)) if 100 * len(both := np.intersect1d(sets[q], sets[c])) >= 75 * (len(sets[q]) + len(sets[c]) - len(both))]
+        assert jaccard.partners(x, q, np.ones(len(sets), bool)).tolist() == true
+
+
+def test_pairs_of_different_blocks_are_compared(spark, monkeypatch):
+    """With blocks of one step only, lists hold several blocks and their pairs are compared one by one."""
+    monkeypatch.setattr(jaccard, "STEPS", 1)
+    chain = []
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+    for i in range(120):  # each is like the next, not like those further on
+        base[(7 * i) % 80] = f"c{i}"
+        chain.append((i, " ".join(base)))
+    df = spark.createDataFrame(chain, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard.join(df, members=2).collect()} == brute_components(chain)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    r = random.Random(6)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(60)]
+    a, b = text(), text()
+    near = list(a)
+    near[30] = "other"
+    rows = [(1, " ".join(a), 0), (2, " ".join(near), 1), (2, " ".join(b), 2), (3, " ".join(b), 3), (5, " ".join(a), 4), (5, " ".join(a), 5), (6, "", 6), (6, "", 7), (None, " ".join(a), 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3)
+    left = sorted(x.key for x in jaccard.survivors(df).collect())
+    assert left == [0, 2, 6, 7, 8]
