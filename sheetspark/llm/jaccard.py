@@ -51,7 +51,7 @@ MEMBERS = 1024
 BUCKET_BYTES = 8 << 20
 #: Steps over shared lists that gather a block.
 STEPS = 3
-#: Most bits of the bitmap of documents whose sets are wanted (16 MB); it has 16 bits a document up to there.
+#: Most bits of the bitmap of documents whose sets are wanted (16 MB); it has 64 bits a document up to there.
 BITMAP_BITS = 27
 BITMAP_CHUNK = 1 << 18
 
@@ -203,37 +203,49 @@ def _entries(shared, ranges: int):
     return run
 
 
+LISTS = "list long, k long, lead long, need int"
+
+
 def _shared_lists(table: pa.Table) -> pa.Table:
-    """Entries of the lists with two different keys or more, in one range; what bypassed is passed on."""
+    """Entries of the lists with two different keys or more, in one range, each with a name (lead) that all entries of
+    its list have: the least k; of a list of which some bypassed, the list's own number. What bypassed is passed on."""
     out, plain = [], []
     for where, direct, raw in zip(table["range"].to_pylist(), table["direct"].to_pylist(), table["rows"].to_pylist()):
         rows = np.frombuffer(raw, ENTRY)
-        (out if direct else plain).append((where, rows))
+        if direct:
+            number = (np.int64(where) << np.int64(32)) | rows["name"].astype(np.int64)
+            out.append((number, rows["key"], number, rows["need"].astype(np.int32)))
+        else:
+            plain.append((where, rows))
     if plain:
         rows = np.concatenate([r for _, r in plain])
         rows = rows[np.lexsort((rows["need"], rows["key"], rows["name"]))]
-        same_list = rows["name"][1:] == rows["name"][:-1]
-        fresh = np.append(True, ~(same_list & (rows["key"][1:] == rows["key"][:-1]) & (rows["need"][1:] == rows["need"][:-1])))
-        rows = rows[fresh]  # copies in several tasks
+        new_list, new_key = rows["name"][1:] != rows["name"][:-1], rows["key"][1:] != rows["key"][:-1]
+        rows = rows[np.append(True, new_list | new_key | (rows["need"][1:] != rows["need"][:-1]))]  # copies in several tasks
         at = np.flatnonzero(np.append(True, rows["name"][1:] != rows["name"][:-1]))
-        many = np.repeat(np.diff(np.append(at, len(rows))) > 1, np.diff(np.append(at, len(rows))))
-        out.append((plain[0][0], rows[many & (rows["need"] > 0)]))
-    lists = [(np.int64(w) << np.int64(32)) | r["name"].astype(np.int64) for w, r in out]
-    cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    return pa.table({"list": cat(lists, np.int64), "k": cat([r["key"] for _, r in out], np.int64), "need": cat([r["need"].astype(np.int32) for _, r in out], np.int32)})
-
-
-def _blocks(lists: DataFrame) -> DataFrame:
-    """(k, block): the least k that a class reaches over shared lists in STEPS steps. Lists with one leader count as one."""
-    leads = lists.groupBy("list").agg(F.min("k").alias("lead"))
-    edges = keep(lists.join(leads, "list").select("k", "lead").distinct(), "edges")
-    block = edges.groupBy("k").agg(F.min("lead").alias("block"))
-    for _ in range(1, STEPS):
-        least = edges.join(block, "k").groupBy("lead").agg(F.min("block").alias("block"))
+        length = np.diff(np.append(at, len(rows)))
+        number = (np.int64(plain[0][0]) << np.int64(32)) | rows["name"].astype(np.int64)
+        marked = np.logical_or.reduceat(rows["need"] == 0, at)
+        lead = np.where(np.repeat(marked, length), number, np.repeat(rows["key"][at], length))
+        stays = np.repeat(length > 1, length) & (rows["need"] > 0)
+        out.append((number[stays], rows["key"][stays], lead[stays], rows["need"][stays].astype(np.int32)))
+    kinds = (np.int64, np.int64, np.int64, np.int32)
+    return pa.table({c: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kinds[i]) for i, c in enumerate(("list", "k", "lead", "need"))})
+
+
+def _blocks(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, block): the least k that a class reaches over shared lists in STEPS steps, for the classes that share enough
+    entries to have a partner; and their edges (k, lead). Lists of one lead count as one."""
+    every = keep(lists.groupBy("k", "lead").agg(F.count("*").alias("n"), F.first("need").alias("need")), "edges")
+    rich = every.groupBy("k").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need").select("k")
+    edges = keep(every.join(rich, "k").select("k", "lead"), "edges")
+    discard(every)
+    least = edges.groupBy("lead").agg(F.min("k").alias("block"))
+    for step in range(1, STEPS + 1):
         block = edges.join(least, "lead").groupBy("k").agg(F.min("block").alias("block"))
-    block = keep(block, "blocks")
-    discard(edges)
-    return block
+        if step < STEPS:
+            least = edges.join(block, "k").groupBy("lead").agg(F.min("block").alias("block"))
+    return keep(block, "blocks"), edges
 
 
 def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,8 +256,8 @@ def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
-    """A bitmap of hashes ``h``, with 16 bits for each up to 2**BITMAP_BITS."""
-    slots = 1 << min(BITMAP_BITS, max(18, (16 * hashes.count()).bit_length()))
+    """A bitmap of hashes ``h``, with 64 bits for each up to 2**BITMAP_BITS."""
+    slots = 1 << min(BITMAP_BITS, max(18, (64 * hashes.count()).bit_length()))
     slot = hashes.select(F.pmod("h", F.lit(slots)).alias("slot")).distinct().withColumn("chunk", F.floor(F.col("slot") / BITMAP_CHUNK).cast("int"))
     out = bytearray(slots // 8)
     for r in slot.groupBy("chunk").applyInPandas(_marks, "chunk int, bits binary").toLocalIterator():  # 32 KB each, 512 at most
@@ -270,10 +282,7 @@ def _wanted(shared):
                         seen.add(k)
                         keys.append(k)
                         sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([short(k) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())],
-                    names=["k", "key", "size", "set"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
     return run
 
@@ -345,7 +354,7 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
 
 
-LABELLED = "k long, key binary, size long, block long, parts int, part int, bucket long, label binary"
+LABELLED = "key binary, k long, size long, block long, parts int, part int, bucket long, label binary"
 
 
 def _together(table: pa.Table) -> pa.Table:
@@ -424,15 +433,15 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
 
-def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFrame:
+def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame, edges: DataFrame) -> DataFrame:
     """Links between classes of different blocks that share a list."""
     info = labels.select("k", "key", "size", "block", "bucket", "label")
-    several = lists.join(info.select("k", "block").distinct(), "k").groupBy("list").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("list")
+    several = edges.join(info.select("k", "block"), "k").groupBy("lead").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("lead")
     several = keep(several, "several")
     if several.isEmpty():
         discard(several)
         return labels
-    told = keep(lists.join(several, "list").select("list", "k").distinct().join(info, "k"), "told")
+    told = keep(lists.join(several, "lead").select("list", "k").distinct().join(info, "k"), "told")
     apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.block") != F.col("y.block")) & (F.col("x.bucket") != F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
     size = 4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")
     pairs = told.alias("x").join(told.alias("y"), apart & size).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
@@ -444,19 +453,13 @@ def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame) -> Data
     return out
 
 
-def _labels(lists: DataFrame, sets: DataFrame, members: int, bucket_bytes: int) -> DataFrame:
-    """(key, label) of the classes of ``sets``; equal labels are one component."""
-    totals = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
+def _dealt(left: DataFrame, members: int, bucket_bytes: int) -> DataFrame:
+    """Classes with their blocks' number of parts, their own part and bucket."""
+    totals = left.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
     buckets = max(1, -(-totals.n // members), -(-8 * totals.s // bucket_bytes))
-    load = sets.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("size") * 8 / bucket_bytes)).cast("int").alias("parts"))
-    dealt = sets.join(load, "block").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
-    dealt = keep(dealt.withColumn("bucket", F.pmod(F.xxhash64("block", "part"), F.lit(buckets))), "dealt")
-    labels = keep(dealt.select(*[c.split()[0] for c in LABELLED.split(", ")[:-1]], "set").groupBy("bucket").applyInArrow(_together, LABELLED), "labels")
-    if not labels.where("parts > 1").isEmpty():
-        labels = _parts_joined(labels, dealt, members)
-    labels = _blocks_joined(labels, dealt, lists)
-    discard(dealt)
-    return labels
+    load = left.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("size") * 8 / bucket_bytes)).cast("int").alias("parts"))
+    out = left.join(load, "block").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    return out.withColumn("bucket", F.pmod(F.xxhash64("block", "part"), F.lit(buckets)))
 
 
 def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -472,30 +475,29 @@ def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYT
         return table.select("doc_id", "n_shingles", "key", F.col("key").alias("label"), F.col("doc_id").alias("component_id"))
     sketch = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in sorted(parts, key=lambda r: r.chunk)))  # 8 MB
     entries = rows.mapInArrow(_entries(sketch, 4 * partitions(spark)), "to int, range int, direct boolean, rows binary")
-    every = keep(entries.groupBy("to").applyInArrow(_shared_lists, "list long, k long, need int"), "lists")
-    # whoever shares fewer entries than its least similar set would ask for has no partner
-    rich = every.groupBy("k").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("k")
-    lists = keep(every.join(rich, "k").select("list", "k"), "lists")
-    discard(every)
-    blocks = _blocks(lists)
-    classes = table.where("n_shingles > 0").groupBy("k", "key").agg(F.min("doc_id").alias("rep"))
-    left = keep(classes.join(blocks, "k"), "left")
+    lists = keep(entries.groupBy("to").applyInArrow(_shared_lists, LISTS), "lists")
+    blocks, edges = _blocks(lists)
+    worded = table.where("n_shingles > 0")
+    classes = keep(worded.groupBy("k", "key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "classes")
+    left = keep(_dealt(classes.join(blocks, "k"), members, bucket_bytes), "left")
     bitmap = spark.sparkContext.broadcast(_bitmap(left.select(F.xxhash64("rep").alias("h"))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(bitmap.value)))
-    marked = rows.select("text", slot.alias("slot")).mapInArrow(_wanted(bitmap), "k long, key binary, size long, set binary")
-    sets = keep(marked.join(left.select("key", "block"), "key"), "sets")
-    labels = _labels(lists, sets, members, bucket_bytes)
-    near = left.join(labels.select("key", "label"), "key").select("key", "label", "rep")
+    marked = rows.select("text", slot.alias("slot")).mapInArrow(_wanted(bitmap), "key binary, set binary")
+    sets = keep(marked.join(left.select("key", "k", "size", "block", "parts", "part", "bucket"), "key"), "sets")
+    labels = keep(sets.groupBy("bucket").applyInArrow(_together, LABELLED), "labels")
+    if not labels.where("parts > 1").isEmpty():
+        labels = _parts_joined(labels, sets, members)
+    labels = _blocks_joined(labels, sets, lists, edges)
+    near = left.select("key", "rep").join(labels.select("key", "label"), "key")
     least = near.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    least = keep(near.join(least, "label").select("key", "label", "least"), "least")
-    for df in (lists, blocks, left, sets, labels):
+    named = classes.select("key", "rep").join(near.join(least, "label").select("key", "label", "least"), "key", "left")
+    named = keep(named.select("key", F.coalesce("label", "key").alias("label"), F.coalesce("least", "rep").alias("component_id")), "named")
+    for df in (lists, edges, blocks, classes, left, sets, labels):
         discard(df)
     sketch.unpersist()
     bitmap.unpersist()
-    classes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(least, "key", "left").select("key", F.coalesce("label", "key").alias("label"), F.coalesce("least", "rep").alias("component_id"))
     empty = table.where("n_shingles = 0").select("doc_id", "n_shingles", "key", F.col("key").alias("label"), F.col("doc_id").alias("component_id"))
-    return table.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "key", "label", "component_id").unionByName(empty)
+    return worded.join(named, "key").select("doc_id", "n_shingles", "key", "label", "component_id").unionByName(empty)
 
 
 def _keyed(batches):
