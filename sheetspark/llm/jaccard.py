@@ -54,6 +54,8 @@ STEPS = 3
 #: Most bits of the bitmap of documents whose sets are wanted (16 MB); it has 64 bits a document up to there.
 BITMAP_BITS = 27
 BITMAP_CHUNK = 1 << 18
+#: Up to this many classes (64 bytes each) are broadcast to pick out or to name their sets; beyond, the sets are shuffled.
+BROADCAST_CLASSES = 200_000
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -240,12 +242,14 @@ def _blocks(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     rich = every.groupBy("k").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need").select("k")
     edges = keep(every.join(rich, "k").select("k", "lead"), "edges")
     discard(every)
-    least = edges.groupBy("lead").agg(F.min("k").alias("block"))
-    for step in range(1, STEPS + 1):
-        block = edges.join(least, "lead").groupBy("k").agg(F.min("block").alias("block"))
-        if step < STEPS:
-            least = edges.join(block, "k").groupBy("lead").agg(F.min("block").alias("block"))
-    return keep(block, "blocks"), edges
+    block = None
+    for _ in range(STEPS):
+        of = edges.withColumn("block", F.col("k")) if block is None else edges.join(block, "k")
+        least = keep(of.groupBy("lead").agg(F.min("block").alias("block")), "least")  # as a table, so that a hot lead can be split below
+        discard(block)
+        block = keep(edges.join(least, "lead").groupBy("k").agg(F.min("block").alias("block")), "blocks")
+        discard(least)
+    return block, edges
 
 
 def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -433,6 +437,11 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
 
+def _sent(classes: DataFrame) -> DataFrame:
+    """Broadcast if they are few."""
+    return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+
+
 def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame, edges: DataFrame) -> DataFrame:
     """Links between classes of different blocks that share a list."""
     info = labels.select("k", "key", "size", "block", "bucket", "label")
@@ -445,11 +454,14 @@ def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame, edges:
     apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.block") != F.col("y.block")) & (F.col("x.bucket") != F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
     size = 4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")
     pairs = told.alias("x").join(told.alias("y"), apart & size).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    pairs = keep(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = keep(sets.join(_sent(named), "key", "left_semi").select("key", "set"), "some")
     side = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"s{k}"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"), "sa", "sb").mapInArrow(_verify, "a binary, b binary")
     out = _merged(labels, links)
-    discard(several)
-    discard(told)
+    for df in (several, told, pairs, sets):
+        discard(df)
     return out
 
 
@@ -483,7 +495,7 @@ def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYT
     bitmap = spark.sparkContext.broadcast(_bitmap(left.select(F.xxhash64("rep").alias("h"))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(bitmap.value)))
     marked = rows.select("text", slot.alias("slot")).mapInArrow(_wanted(bitmap), "key binary, set binary")
-    sets = keep(marked.join(left.select("key", "k", "size", "block", "parts", "part", "bucket"), "key"), "sets")
+    sets = keep(marked.join(_sent(left.select("key", "k", "size", "block", "parts", "part", "bucket")), "key"), "sets")
     labels = keep(sets.groupBy("bucket").applyInArrow(_together, LABELLED), "labels")
     if not labels.where("parts > 1").isEmpty():
         labels = _parts_joined(labels, sets, members)
