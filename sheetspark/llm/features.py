@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import discard, keep, small_batches
 from .text import BYTE_VALUE, SLOT, mix, powers, sliced, strings
 
 DIM = 1 << 21
@@ -103,6 +103,10 @@ def features(column: pa.Array) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+#: Feature numbers of a sample that reach the driver, together (4 bytes each).
+FEATURES = 30_000_000
+
+
 def _emit(batches):
     for whole in batches:
         for batch in sliced(whole, "text"):
@@ -115,15 +119,22 @@ def _emit(batches):
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int) -> list[tuple[int, object, np.ndarray]]:
     """Features of at most ``limit`` rows of ``docs``, those of ``labels(doc_id, mark)`` with the smallest hashed ids,
-    as (doc_id, mark, feature numbers) by id. Only that bounded list of ids is broadcast and only its features, a few
-    thousand small arrays, reach the driver. Ids with several label rows use the largest mark."""
+    as (doc_id, mark, feature numbers) by id. Only that bounded list of ids is broadcast, and only its features reach
+    the driver: of the first ids that have no more than ``FEATURES`` together. Ids with several label rows use the
+    largest mark, ids with several texts the one with the smallest hash."""
     small_batches(docs.sparkSession)
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("mark").alias("mark"))
     chosen = one.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(limit).drop("_h")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("mark").cast("int"))
-    out = rows.mapInArrow(_emit, "doc_id long, mark int, ids array<int>").toArrow()
+    one = rows.groupBy("doc_id", "mark").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "mark")
+    found = keep(one.mapInArrow(_emit, "doc_id long, mark int, ids array<int>"), "sample")
+    sizes = found.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.size("ids").alias("n")).toPandas().sort_values(["h", "doc_id"])  # ``limit`` rows at most
+    some = sizes["doc_id"][(sizes["n"].cumsum() <= FEATURES).to_numpy()].tolist()
+    mine = found if len(some) == len(sizes) else found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in some], "doc_id long")), "doc_id", "left_semi")
+    out = mine.toArrow()
+    discard(found)
     got = [(d, m, np.array(i, np.int32)) for d, m, i in zip(out["doc_id"].to_pylist(), out["mark"].to_pylist(), out["ids"].to_numpy(zero_copy_only=False))]
-    return sorted(got, key=lambda r: (r[0], r[2].tobytes()))[:limit]
+    return sorted(got, key=lambda r: r[0])
 
 
 def values_of(flat: np.ndarray, lengths: np.ndarray, scaled: bool) -> np.ndarray:

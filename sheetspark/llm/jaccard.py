@@ -34,9 +34,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.closure import components
-from .storage import discard, keep, partitions, small_batches
+from .storage import discard, keep, partitions, quoted, small_batches
 from .text import SLOT, mix, release, shingle_sets, sliced
 
 #: Buckets of the sketch of document counts: 2**23, broadcast as a rank of one byte each.
@@ -501,10 +502,10 @@ def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYT
         labels = _parts_joined(labels, sets, members)
     labels = _blocks_joined(labels, sets, lists, edges)
     near = left.select("key", "rep").join(labels.select("key", "label"), "key")
-    least = near.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = keep(near.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
     named = classes.select("key", "rep").join(near.join(least, "label").select("key", "label", "least"), "key", "left")
     named = keep(named.select("key", F.coalesce("label", "key").alias("label"), F.coalesce("least", "rep").alias("component_id")), "named")
-    for df in (lists, edges, blocks, classes, left, sets, labels):
+    for df in (lists, edges, blocks, classes, left, sets, labels, least):
         discard(df)
     sketch.unpersist()
     bitmap.unpersist()
@@ -527,12 +528,12 @@ def survivors(docs: DataFrame) -> DataFrame:
     found = keep(join(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", "key", "label", "component_id"), "found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    columns = quoted(docs.columns)
     if twice.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = docs.join(twice, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "text")
-    kind = rows.select("row").schema["row"].dataType.simpleString()
-    rows = rows.mapInArrow(_keyed, f"row {kind}, key binary").withColumn("id", F.col("row.doc_id").cast("long"))
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*columns)
+    rows = docs.join(twice, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), "text")
+    rows = rows.mapInArrow(_keyed, StructType([*rows.select("row").schema.fields]).add("key", "binary")).withColumn("id", F.col("row.doc_id").cast("long"))
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").alias("id"), "key")).alias("s")).select("s.*")
     kept = rows.where("key is not null").join(first, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
     return once.unionByName(kept.unionByName(rows.where("key is null")).select("row.*"))

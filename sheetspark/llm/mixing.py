@@ -9,7 +9,7 @@ them. Tokens are words, ``[^\\x20\\x09-\\x0D]+``.
 
 Defined cases: rows without a source are a source of their own; a null or empty text has no tokens; a source without
 tokens keeps its rows once; equal rows may be told apart by nothing, so they are taken in turn; an empty table stays
-empty; extra columns pass through.
+empty; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, keep
+from .storage import discard, fresh, keep, quoted
 
 BLOCKS = 1024
 GRID = 64
@@ -38,12 +38,14 @@ def n_words(text: Column) -> Column:
 
 
 def _prepared(docs: DataFrame, seed: int) -> DataFrame:
-    hashed = [F.col("doc_id").cast("long"), F.col("text")]
-    return docs.withColumns({
-        "_src": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
-        "_tok": n_words(F.col("text")),
-        "_h": F.xxhash64(F.lit(seed), *hashed),
-    }).withColumns({
+    """The rows as one column, so that no name of theirs clashes, and what the plan needs of them."""
+    return docs.select(
+        F.struct(*quoted(docs.columns)).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_src"),
+        n_words(F.col("text")).alias("_tok"),
+        F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text")).alias("_h"),
+    ).withColumns({
         "_d1": F.pmod(F.col("_h"), F.lit(BLOCKS)).cast("int"),
         "_d2": F.pmod(F.shiftrightunsigned("_h", 20), F.lit(BLOCKS)).cast("int"),
     })
@@ -97,8 +99,8 @@ def _end(sums: DataFrame, block: str, rest: str) -> DataFrame:
     )
 
 
-def plan(docs: DataFrame, evenness: float = EVENNESS, max_repeats: float = MAX_REPEATS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``_tok`` and ``copies`` (how often the mix has the row), and the table of sources."""
+def _planned(docs: DataFrame, evenness: float, max_repeats: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(_row, _tok, copies) and the table of sources."""
     base = _prepared(docs, seed)
     light = keep(base.groupBy("_src", "_d1").agg(F.sum("_tok").alias("t"), F.count("*").alias("n")), "mix-blocks")
     sources = keep(light.groupBy("_src").agg(F.sum("t").alias("tokens"), F.sum("n").alias("n")), "mix-sources")
@@ -121,18 +123,26 @@ def plan(docs: DataFrame, evenness: float = EVENNESS, max_repeats: float = MAX_R
     edge = (F.col("_d1") == F.col("_end_d1")) & (F.col("_d2") == F.col("_end_d2"))
     before = (F.col("_d1") < F.col("_end_d1")) | ((F.col("_d1") == F.col("_end_d1")) & (F.col("_d2") < F.col("_end_d2")))
     clear = rows.where(~F.coalesce(edge, F.lit(False))).withColumn("copies", F.col("_full") + F.coalesce(before, F.lit(False)).cast("long"))
-    order = Window.partitionBy("_src").orderBy("_h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_src").orderBy("_h", F.col("_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     close = rows.where(edge).withColumn("copies", F.col("_full") + (F.sum("_tok").over(order) <= F.col("_left_d2")).cast("long"))
-    out = clear.unionByName(close).select(*docs.columns, "_tok", "copies")
+    out = clear.unionByName(close).select("_row", "_tok", "copies")
     discard(light)
+    discard(sources)
     return out, goal
 
 
+def plan(docs: DataFrame, evenness: float = EVENNESS, max_repeats: float = MAX_REPEATS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_tok`` (tokens) and ``copies`` (how often the mix has the row), and the table of sources. Where
+    ``docs`` has these names, underscores are put behind them."""
+    rows, goal = _planned(docs, evenness, max_repeats, seed)
+    return rows.select("_row.*", F.col("_tok").alias(fresh("_tok", docs.columns)), F.col("copies").alias(fresh("copies", docs.columns))), goal
+
+
 def mix(docs: DataFrame, evenness: float = EVENNESS, max_repeats: float = MAX_REPEATS, seed: int = 11) -> DataFrame:
     """The mixed corpus: each row as often as the mix has it, with the columns of ``docs``."""
-    rows, _ = plan(docs, evenness, max_repeats, seed)
+    rows, _ = _planned(docs, evenness, max_repeats, seed)
     again = rows.where("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*docs.columns)
+    return again.select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .storage import small_batches
+from .storage import folded, small_batches, unfolded
 from .text import strings
 
 KINDS = ("email", "ip", "card", "phone")
@@ -356,7 +356,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _redact(weights, names):
+def _redact(weights):
     def run(batches):
         for batch in batches:
             offsets, data = strings(batch.column("text"))
@@ -365,7 +365,7 @@ def _redact(weights, names):
                 if texts[i] is not None:
                     _, every = spans_of(texts[i], weights)
                     texts[i] = masked(texts[i], every) if every else texts[i]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
     return run
 
@@ -375,11 +375,11 @@ def redact(docs: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     small_batches(docs.sparkSession)
-    out = docs.mapInArrow(_redact(model(), docs.columns), docs.schema)
+    rows = folded(docs, "text")
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.when(F.col("text").isNull(), F.col("_row.n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return rows.mapInArrow(_redact(model()), rows.schema).select(*unfolded(docs.columns, **own))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ fitted on at most ``SAMPLE`` labelled rows (those with the smallest hashed ids);
 
 Defined cases: a null or empty text is scored like an empty one; without any rating, or with one grade only, every
 text is kept and has the expected grade of the ratings (2 without any); rows with a null id are scored; repeated rows
-score alike; extra columns pass through :func:`select`.
+score alike; extra columns pass through :func:`select`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .features import ALL, Rows, adam, dense, features, row_sums, sample
-from .storage import small_batches
+from .storage import folded, fresh, quoted, small_batches, unfolded
 from .text import sliced
 
 SAMPLE = 6000
@@ -94,30 +95,31 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Ordinal:
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], np.int64))
 
 
-def _score(shared, names):
+def _score(shared):
     def run(batches):
         model = shared.value
         for whole in batches:
             for batch in sliced(whole, "text"):
                 t = model.tails(row_sums(features(batch.column("text")), model.weights, scaled=True))
-                extra = [pa.array(t.sum(1)), pa.array(t[:, 0])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *extra], names=[*names, "_grade", "_tail"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("text"), pa.array(t.sum(1)), pa.array(t[:, 0])], names=["_row", "text", "_grade", "_tail"])
 
     return run
 
 
-def score(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """``docs`` with ``_grade`` (expected) and ``_tail`` (probability of grade 1 or more)."""
+def score(docs: DataFrame, model: Ordinal, grade: str = "_grade", tail: str = "_tail") -> DataFrame:
+    """``docs`` with the expected grade and the probability of grade 1 or more, under names that ``docs`` doesn't have."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # of fixed size
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_grade double", "_tail double"])
-    return docs.mapInArrow(_score(shared, docs.columns), schema)
+    rows = folded(docs, "text")
+    out = rows.mapInArrow(_score(shared), StructType([*rows.schema.fields]).add("_grade", "double").add("_tail", "double"))
+    return out.select(*unfolded(docs.columns, text=F.col("text")), F.col("_grade").alias(grade), F.col("_tail").alias(tail))
 
 
 def select(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that reach grade 1 with probability ``keep`` or more; same columns."""
-    return score(docs, train(docs, labels)).where(F.col("_tail") >= keep).select(*docs.columns)
+    names = [fresh(n, docs.columns) for n in ("_grade", "_tail")]
+    return score(docs, train(docs, labels), *names).where(F.col(names[1]) >= keep).select(*quoted(docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
