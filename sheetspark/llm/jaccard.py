@@ -50,6 +50,8 @@ MORE = 32
 #: Classes and bytes of sets of a bucket; a larger block is split.
 MEMBERS = 1024
 BUCKET_BYTES = 8 << 20
+#: Up to this many ids (16 bytes each) are broadcast to take their rows out; beyond, the rows are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Steps over shared lists that gather a block.
 STEPS = 3
 #: Most bits of the bitmap of documents whose sets are wanted (16 MB); it has 64 bits a document up to there.
@@ -438,9 +440,9 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
 
-def _sent(classes: DataFrame) -> DataFrame:
+def _sent(few: DataFrame, most: int = BROADCAST_CLASSES) -> DataFrame:
     """Broadcast if they are few."""
-    return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+    return F.broadcast(few) if few.count() <= most else few
 
 
 def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame, edges: DataFrame) -> DataFrame:
@@ -526,7 +528,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     told apart by their texts: of those of one group that with the smallest key stays, and of equal rows one. Rows
     without an id or without words all stay."""
     found = keep(join(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", "key", "label", "component_id"), "found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = _sent(keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"), BROADCAST_IDS)
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     columns = quoted(docs.columns)
     if twice.isEmpty():
