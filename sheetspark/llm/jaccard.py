@@ -2,7 +2,7 @@
 
 1. Documents with equal shingle sets form a class (a 128-bit key of the sorted set); only classes go on.
 2. A sketch of fixed size counts the documents of each shingle, over all documents; it orders shingles rare first. A
-   set's prefix are its first n - ceil(0.75 n) + 1 shingles in that order and n / 32 more: similar sets share 1 + n / 32
+   set's prefix are its first n - ceil(0.75 n) + 1 shingles in that order and n / 16 more: similar sets share 1 + n / 16
    of them at least, so what shares fewer, by chance, goes before any pair is made.
 3. Prefix entries travel as packed arrays; an entry whose shingle is in no other prefix stops there. Where one task
    alone has many entries of a shingle they bypass the grouping, so a shingle that a third of all documents have lands
@@ -46,7 +46,7 @@ CHUNK = 1 << 18
 #: Entries of one shingle in one task beyond which they bypass the grouping.
 LOCAL_HOT = 64
 #: A prefix is longer by 1 / MORE of its set than one common shingle would ask for; so many more have to be shared.
-MORE = 32
+MORE = 16
 #: Classes and bytes of sets of a bucket; a larger block is split.
 MEMBERS = 1024
 BUCKET_BYTES = 8 << 20
@@ -137,8 +137,8 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The 44-bit names of the first n - ceil(3 n / 4) + 1 + n // 32 shingles, rare first. Of two similar sets each has
-    the least 1 + n // 32 (for the smaller n) of their common shingles in its prefix."""
+    """The 44-bit names of the first n - ceil(3 n / 4) + 1 + n // 16 shingles, rare first. Of two similar sets each has
+    the least 1 + n // 16 (for the smaller n) of their common shingles in its prefix."""
     n = len(s)
     p = int(prefix_length(n))
     order = (rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
