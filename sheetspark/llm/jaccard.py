@@ -54,6 +54,7 @@ BUCKET_BYTES = 8 << 20
 BROADCAST_IDS = 1_000_000
 #: Steps over shared lists that gather a block.
 STEPS = 3
+LEADS = 8
 #: Most bits of the bitmap of documents whose sets are wanted (16 MB); it has 64 bits a document up to there.
 BITMAP_BITS = 27
 BITMAP_CHUNK = 1 << 18
@@ -240,11 +241,12 @@ def _shared_lists(table: pa.Table) -> pa.Table:
 
 def _blocks(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(k, block): the least k that a class reaches over shared lists in STEPS steps, for the classes that share enough
-    entries to have a partner; and their edges (k, lead). Lists of one lead count as one."""
-    every = keep(lists.groupBy("k", "lead").agg(F.count("*").alias("n"), F.first("need").alias("need")), "edges")
-    rich = every.groupBy("k").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need").select("k")
-    edges = keep(every.join(rich, "k").select("k", "lead"), "edges")
-    discard(every)
+    entries to have a partner; and (k, leads), the leads of each. Lists of one lead count as one. Steps go over a class's
+    LEADS least leads: what they miss is only compared later (:func:`_blocks_joined` looks at all lists)."""
+    count = lists.groupBy("k", "lead").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    rich = count.groupBy("k").agg(F.sum("n").alias("n"), F.first("need").alias("need"), F.sort_array(F.collect_set("lead")).alias("leads"))
+    reach = keep(rich.where("n >= need").select("k", "leads"), "reach")
+    edges = reach.select("k", F.explode(F.slice("leads", 1, LEADS)).alias("lead"))
     block = None
     for _ in range(STEPS):
         of = edges.withColumn("block", F.col("k")) if block is None else edges.join(block, "k")
@@ -252,7 +254,7 @@ def _blocks(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         discard(block)
         block = keep(edges.join(least, "lead").groupBy("k").agg(F.min("block").alias("block")), "blocks")
         discard(least)
-    return block, edges
+    return block, reach
 
 
 def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -445,10 +447,10 @@ def _sent(few: DataFrame, most: int = BROADCAST_CLASSES) -> DataFrame:
     return F.broadcast(few) if few.count() <= most else few
 
 
-def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame, edges: DataFrame) -> DataFrame:
+def _blocks_joined(labels: DataFrame, sets: DataFrame, lists: DataFrame, reach: DataFrame) -> DataFrame:
     """Links between classes of different blocks that share a list."""
     info = labels.select("k", "key", "size", "block", "bucket", "label")
-    several = edges.join(info.select("k", "block"), "k").groupBy("lead").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("lead")
+    several = reach.join(info.select("k", "block"), "k").select("block", F.explode("leads").alias("lead")).groupBy("lead").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("lead")
     several = keep(several, "several")
     if several.isEmpty():
         discard(several)
@@ -491,7 +493,7 @@ def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYT
     sketch = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in sorted(parts, key=lambda r: r.chunk)))  # 8 MB
     entries = rows.mapInArrow(_entries(sketch, 4 * partitions(spark)), "to int, range int, direct boolean, rows binary")
     lists = keep(entries.groupBy("to").applyInArrow(_shared_lists, LISTS), "lists")
-    blocks, edges = _blocks(lists)
+    blocks, reach = _blocks(lists)
     worded = table.where("n_shingles > 0")
     classes = keep(worded.groupBy("k", "key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "classes")
     left = keep(_dealt(classes.join(blocks, "k"), members, bucket_bytes), "left")
@@ -502,12 +504,12 @@ def join(docs: DataFrame, members: int = MEMBERS, bucket_bytes: int = BUCKET_BYT
     labels = keep(sets.groupBy("bucket").applyInArrow(_together, LABELLED), "labels")
     if not labels.where("parts > 1").isEmpty():
         labels = _parts_joined(labels, sets, members)
-    labels = _blocks_joined(labels, sets, lists, edges)
+    labels = _blocks_joined(labels, sets, lists, reach)
     near = left.select("key", "rep").join(labels.select("key", "label"), "key")
     least = keep(near.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
     named = classes.select("key", "rep").join(near.join(least, "label").select("key", "label", "least"), "key", "left")
     named = keep(named.select("key", F.coalesce("label", "key").alias("label"), F.coalesce("least", "rep").alias("component_id")), "named")
-    for df in (lists, edges, blocks, classes, left, sets, labels, least):
+    for df in (lists, reach, blocks, classes, left, sets, labels, least):
         discard(df)
     sketch.unpersist()
     bitmap.unpersist()
