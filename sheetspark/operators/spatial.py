@@ -100,13 +100,14 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, keys: Sequence[str
     return out
 
 
-def footprint_nodes(boxes: DataFrame, nodes: DataFrame, cell: float, slack: float = 1e-15) -> DataFrame:
-    """(box, node): nodes within each box (half sizes hx, hy around x, y), or the nearest one where there is none."""
+def footprint_nodes(boxes: DataFrame, nodes: DataFrame, cell: float, slack: float = 1e-15, keys: Sequence[str] = ()) -> DataFrame:
+    """(box, node): nodes of equal ``keys`` within each box (half sizes hx, hy around x, y), or the nearest one where
+    there is none."""
     area = boxes.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
     spots = nodes.withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y")})
-    inside = grid_join(area, spots, cell, margin=slack).select(F.col("a_id").alias("box"), F.col("b_id").alias("node"))
+    inside = grid_join(area, spots, cell, keys, margin=slack).select(F.col("a_id").alias("box"), F.col("b_id").alias("node"))
     bare = boxes.join(inside.select(F.col("box").alias("id")).distinct(), "id", "left_anti")
-    fallback = nearest(bare, nodes, cell).select(F.col("point").alias("box"), "node")
+    fallback = nearest(bare, nodes, cell, keys).select(F.col("point").alias("box"), "node")
     return inside.unionByName(fallback)
 
 

@@ -231,25 +231,13 @@ def nearest_node(spark, d):
     return spatial.nearest(p, n, 32.0)
 
 
-@query("""WITH n AS (SELECT ix * 25 + iy AS id, x, y FROM f_grid WHERE layer = 0), v AS (SELECT id, x, CAST(y % 60 AS DOUBLE) AS y FROM f_via WHERE id % 20 = 0),
-i AS (SELECT v.id AS box, n.id AS node FROM v JOIN n ON n.x BETWEEN v.x - 3 AND v.x + 3 AND n.y BETWEEN v.y - 2 AND v.y + 2),
-f AS (SELECT v.id AS box, arg_min(n.id, {'d': (v.x - n.x) * (v.x - n.x) + (v.y - n.y) * (v.y - n.y), 'i': n.id}) AS node FROM v CROSS JOIN n WHERE v.id NOT IN (SELECT box FROM i) GROUP BY v.id)
-SELECT box, node FROM i UNION ALL SELECT box, node FROM f""", "f_grid", "f_via")
-def footprint_nodes(spark, d):
-    return _footprints(spark, d, "id % 20 = 0")
-
-
 @query("""WITH n AS (SELECT ix * 25 + iy AS id, x, y FROM f_grid WHERE layer = 0), v AS (SELECT id, x, CAST(y % 60 AS DOUBLE) AS y FROM f_via),
 i AS (SELECT v.id AS box, n.id AS node FROM v JOIN n ON n.x BETWEEN v.x - 3 AND v.x + 3 AND n.y BETWEEN v.y - 2 AND v.y + 2),
 f AS (SELECT v.id AS box, arg_min(n.id, {'d': (v.x - n.x) * (v.x - n.x) + (v.y - n.y) * (v.y - n.y), 'i': n.id}) AS node FROM v CROSS JOIN n WHERE v.id NOT IN (SELECT box FROM i) GROUP BY v.id)
 SELECT box, node FROM i UNION ALL SELECT box, node FROM f""", "f_grid", "f_via")
-def footprint_nodes_all(spark, d):
-    return _footprints(spark, d, "true")
-
-
-def _footprints(spark, d, where):
+def footprint_nodes(spark, d):
     n = view(spark, d, "f_grid").where("layer = 0").select((F.col("ix") * 25 + F.col("iy")).alias("id"), "x", "y")
-    v = view(spark, d, "f_via").where(where).select("id", "x", (F.col("y") % 60).alias("y"), F.lit(3.0).alias("hx"), F.lit(2.0).alias("hy"))
+    v = view(spark, d, "f_via").select("id", "x", (F.col("y") % 60).alias("y"), F.lit(3.0).alias("hx"), F.lit(2.0).alias("hy"))
     return spatial.footprint_nodes(v, n, 32.0)
 
 
@@ -539,18 +527,9 @@ def vgs_sweep(spark, d):
     return r.select(F.split("key", "[|]")[0].alias("chain"), F.round(F.split("key", "[|]")[1].cast("double"), 1).alias("vgs"), tidy(F.col("r"), 4).alias("r"))
 
 
-@query("""SELECT r.id, greatest(nx, 1) * greatest(ny, 1) * 16 AS cells, CAST(2 AS INTEGER) AS level FROM (SELECT id, CAST(ceil((x1 - x0) / 5 * (1 - 1e-12)) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 5 * (1 - 1e-12)) AS BIGINT) AS ny FROM f_rect WHERE id % 10 = 0) r""", "f_rect")
-def quad_refine_levels(spark, d):
-    return _refined(view(spark, d, "f_rect").where("id % 10 = 0"))
-
-
 @query("""SELECT r.id, greatest(nx, 1) * greatest(ny, 1) * 16 AS cells, CAST(2 AS INTEGER) AS level FROM (SELECT id, CAST(ceil((x1 - x0) / 5 * (1 - 1e-12)) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 5 * (1 - 1e-12)) AS BIGINT) AS ny FROM f_rect) r""", "f_rect")
-def quad_refine_levels_all(spark, d):
-    return _refined(view(spark, d, "f_rect"))
-
-
-def _refined(r):
-    leaves = quadtree.base_cells(r, 5.0)
+def quad_refine_levels(spark, d):
+    leaves = quadtree.base_cells(view(spark, d, "f_rect"), 5.0)
     for _ in range(2):
         leaves = quadtree.refine(leaves, leaves, 3)
     return leaves.groupBy(F.col("poly").alias("id"), "level").agg(F.count("*").alias("cells"))
@@ -558,18 +537,6 @@ def _refined(r):
 
 @query()
 def quad_balance(spark, d):
-    """The corner of a 16 x 16 sheet refined four times, then balanced: leaves by level."""
-    from ..storage import keep
-
-    sheet = spark.createDataFrame([(1, 0.0, 0.0, 16.0, 16.0)], "id long, x0 double, y0 double, x1 double, y1 double")
-    leaves = quadtree.base_cells(sheet, 1.0)
-    for _ in range(4):
-        leaves = keep(quadtree.refine(leaves, leaves.where("x0 = 0 and y0 = 0"), 4), "corner")
-    return quadtree.balance(leaves, 1.0, 4).groupBy("level").agg(F.count("*").alias("n"))
-
-
-@query()
-def quad_balance_all(spark, d):
     """Every rectangle's lower left cell refined four times towards the corner, then balanced: leaves by level."""
     return balanced(view(spark, d, "f_rect").select("id", *spatial.BOX)).groupBy("level").agg(F.count("*").alias("n"))
 
@@ -585,19 +552,10 @@ def balanced(r):
     return quadtree.balance(leaves, 5.0, 4)
 
 
-@query("SELECT id, CASE WHEN id % 5 = 0 THEN CAST(5 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS leaves, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hanging FROM f_rect WHERE id % 3 = 0", "f_rect")
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN CAST(5 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS leaves, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hanging FROM f_rect", "f_rect")
 def hanging_nodes(spark, d):
     """Two cells side by side; where id is a multiple of 5 the left one is split, which leaves one hanging node."""
-    return _hung(view(spark, d, "f_rect").where("id % 3 = 0"))
-
-
-@query("SELECT id, CASE WHEN id % 5 = 0 THEN CAST(5 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS leaves, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hanging FROM f_rect", "f_rect")
-def hanging_nodes_all(spark, d):
-    """The same of every rectangle."""
-    return _hung(view(spark, d, "f_rect"))
-
-
-def _hung(r):
+    r = view(spark, d, "f_rect")
     half = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("x0").alias("a"), ((F.col("x0") + F.col("x1")) / 2).alias("b")), F.struct(F.lit(1).alias("k"), ((F.col("x0") + F.col("x1")) / 2).alias("a"), F.col("x1").alias("b"))))
     two = r.withColumn("h", half).select(F.xxhash64("id", "h.k").alias("id"), F.col("id").alias("poly"), F.lit(0).alias("level"), F.col("h.a").alias("x0"), "y0", F.col("h.b").alias("x1"), "y1", F.col("h.k").alias("k"))
     leaves = quadtree.refine(two.select(*quadtree.CELL), two.where("k = 0 and poly % 5 = 0"), 2)
@@ -717,19 +675,9 @@ def parse_diagnostics(spark, d):
     return text.unique_diags(bad, bad).select("line", "message")
 
 
-@query("SELECT id, CAST(id % 64 AS SMALLINT) AS layer, (x1 - x0) * (y1 - y0) AS area FROM f_rect WHERE id <= 500", "f_rect")
+@query("SELECT id, CAST(id % 64 AS SMALLINT) AS layer, (x1 - x0) * (y1 - y0) AS area FROM f_rect", "f_rect")
 def gds_roundtrip(spark, d):
     """Rectangles written as a stream of records and parsed back, each in the task that holds it."""
-    return _written_and_read(view(spark, d, "f_rect").where("id <= 500"))
-
-
-@query("SELECT id, CAST(id % 64 AS SMALLINT) AS layer, (x1 - x0) * (y1 - y0) AS area FROM f_rect", "f_rect")
-def gds_roundtrip_all(spark, d):
-    """The same of every rectangle."""
-    return _written_and_read(view(spark, d, "f_rect"))
-
-
-def _written_and_read(r):
     from ..sinks.files import gds_bytes
     from ..sources.gdsii import parse
 
@@ -742,7 +690,7 @@ def _written_and_read(r):
             area = [(e[6][2]["x"] - e[6][0]["x"]) * (e[6][2]["y"] - e[6][0]["y"]) / 1e6 for e in back]
             yield pd.DataFrame({"id": pdf["id"], "layer": [e[4] for e in back], "area": area})
 
-    return r.select("id", "x0", "y0", "x1", "y1").mapInPandas(run, "id long, layer short, area double").select("id", "layer", F.round("area", 6).alias("area"))
+    return view(spark, d, "f_rect").select("id", "x0", "y0", "x1", "y1").mapInPandas(run, "id long, layer short, area double").select("id", "layer", F.round("area", 6).alias("area"))
 
 
 @query("""WITH n AS (SELECT id, CAST(ceil((x1 - x0) / 4 * (1 - 1e-12)) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 4 * (1 - 1e-12)) AS BIGINT) AS ny, (x1 - x0) * (y1 - y0) * 3 AS v FROM f_rect)
@@ -769,23 +717,12 @@ def fem_bar(spark, d):
     return solve.resistance(edges, ends, "id").select("id", tidy(F.col("r"), 4).alias("r"))
 
 
-@query("""WITH v AS (SELECT o_orderkey % 40 AS a, o_custkey % 40 AS b, o_orderkey AS id FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT s AS id FROM range(30) t(s))
+@query("""WITH v AS (SELECT o_orderkey % 40 AS a, o_custkey % 40 AS b, o_orderkey AS id FROM orders), c AS (SELECT s AS id FROM range(30) t(s))
 SELECT 'unknown layer' AS problem, v.id AS item FROM v WHERE a >= 30 OR b >= 30 UNION ALL SELECT 'same layer', v.id FROM v WHERE a = b
 UNION ALL SELECT 'untouched', c.id FROM c WHERE c.id NOT IN (SELECT a FROM v) AND c.id NOT IN (SELECT b FROM v)""")
 def stack_connectivity_check(spark, d):
     """Vias of a stack against its layers: ends that don't exist, ends that are equal, layers that no via meets."""
-    return _stack_problems(spark, spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 50 = 0"))
-
-
-@query("""WITH v AS (SELECT o_orderkey % 40 AS a, o_custkey % 40 AS b, o_orderkey AS id FROM orders), c AS (SELECT s AS id FROM range(30) t(s))
-SELECT 'unknown layer' AS problem, v.id AS item FROM v WHERE a >= 30 OR b >= 30 UNION ALL SELECT 'same layer', v.id FROM v WHERE a = b
-UNION ALL SELECT 'untouched', c.id FROM c WHERE c.id NOT IN (SELECT a FROM v) AND c.id NOT IN (SELECT b FROM v)""")
-def stack_connectivity_check_all(spark, d):
-    """The same of every via."""
-    return _stack_problems(spark, spark.read.parquet(f"{d}/orders.parquet"))
-
-
-def _stack_problems(spark, o):
+    o = spark.read.parquet(f"{d}/orders.parquet")
     v = o.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 40).alias("a"), (F.col("o_custkey") % 40).alias("b"))
     layers = spark.range(30)
     ends = v.select("item", F.explode(F.array("a", "b")).alias("id"))

@@ -27,50 +27,78 @@ class Network:
     terminals: DataFrame
 
 
-def met(polygons: DataFrame, cell: float) -> DataFrame:
-    """(a, b), a < b: polygons that overlap or touch within a logical layer."""
-    return spatial.overlap_pairs(polygons.select("id", F.col("logical").alias("layer"), *spatial.BOX), cell)
+def pieces(polygons: DataFrame) -> DataFrame:
+    """(id, logical, physical, x0..y1): the rectangles of polygons(id, logical, physical, points)."""
+    parts = rects.decompose(polygons.select("id", F.col("points").alias("ring")))
+    return parts.join(polygons.select("id", "logical", "physical"), "id").select("id", "logical", "physical", *spatial.BOX)
 
 
-def nets(polygons: DataFrame, vias: DataFrame, cell: float, same: DataFrame | None = None) -> DataFrame:
-    """(id, component): polygons(id, logical, physical, x0..y1) joined by overlaps within a logical layer, and by vias
-    (id, bottom, top, x0..y1) to the smallest polygon they meet on either layer. ``same`` are those overlaps, if known."""
-    boxes = polygons.select("id", F.col("logical").alias("layer"), "physical", *spatial.BOX)
-    same = met(polygons, cell) if same is None else same
-    landing = []
+def met(parts: DataFrame, cell: float) -> DataFrame:
+    """(a, b), a < b: polygons of which rectangles overlap or touch within a logical layer. Boxes of whole polygons would
+    join what only interlocks."""
+    return spatial.overlap_pairs(parts.select("id", F.col("logical").alias("layer"), *spatial.BOX), cell).distinct()
+
+
+def landings(parts: DataFrame, vias: DataFrame, cell: float) -> DataFrame:
+    """(via, id): on either layer of vias(id, bottom, top, x0..y1) the polygon of least area of which a rectangle meets
+    the via."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    sizes = parts.groupBy(F.col("id").alias("b_id")).agg(F.sum(area).alias("area"))
+    out = []
     for side in ("bottom", "top"):
-        v = vias.select("id", F.col(side).alias("physical"), *spatial.BOX)
-        hit = spatial.grid_join(v, boxes.drop("layer"), cell, ["physical"])
-        area = (F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0"))
-        landing.append(hit.groupBy(F.col("a_id").alias("via")).agg(F.min_by("b_id", F.struct(area, F.col("b_id"))).alias(side)))
-    joined = landing[0].join(landing[1], "via").select(F.col("bottom").alias("a"), F.col("top").alias("b"))
+        hit = spatial.grid_join(vias.select("id", F.col(side).alias("physical"), *spatial.BOX), parts.drop("logical"), cell, ["physical"])
+        hit = hit.where(spatial.band_overlap() | (F.col("a_y0") == F.col("a_y1"))).select("a_id", "b_id").distinct().join(sizes, "b_id")
+        out.append(hit.groupBy(F.col("a_id").alias("via")).agg(F.min_by("b_id", F.struct("area", "b_id")).alias("id")))
+    return out[0].unionByName(out[1])
+
+
+def nets(polygons: DataFrame, vias: DataFrame, cell: float, same: DataFrame | None = None, landed: DataFrame | None = None) -> DataFrame:
+    """(id, component): polygons(id, logical, physical, points) joined by overlaps within a logical layer, and by vias
+    (id, bottom, top, x0..y1) to the smallest polygon they meet on either layer. ``same`` and ``landed`` are the results of
+    :func:`met` and :func:`landings`, if known."""
+    if same is None or landed is None:
+        parts = keep(pieces(polygons), "pieces")
+        same = met(parts, cell) if same is None else same
+        landed = landings(parts, vias, cell) if landed is None else landed
+    joined = landed.groupBy("via").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
     names = closure.components(same.unionByName(joined)).withColumnRenamed("node", "id")
     return polygons.select("id").join(names, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _held(pins: DataFrame, parts: DataFrame, component: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
+    """(box, node): a terminal's nodes, of the net of the first polygon that its middle lies in, else of the first that
+    its box meets; of any net on its layer where it meets none."""
+    box = pins.select("id", "physical", "x", "y", (F.col("x") - F.col("hx")).alias("x0"), (F.col("y") - F.col("hy")).alias("y0"), (F.col("x") + F.col("hx")).alias("x1"), (F.col("y") + F.col("hy")).alias("y1"))
+    hit = spatial.grid_join(box, parts.drop("logical"), cell, ["physical"], margin=1e-12)
+    within = F.col("a_x").between(F.col("b_x0"), F.col("b_x1")) & F.col("a_y").between(F.col("b_y0"), F.col("b_y1"))
+    first = hit.groupBy(F.col("a_id").alias("pin")).agg(F.min_by("b_id", F.struct(~within, F.col("b_id"))).alias("id"))
+    known = pins.join(first.join(component, "id").select(F.col("pin").alias("id"), "component"), "id", "left")
+    spots = nodes.select(F.col("node").alias("id"), "physical", "component", "x", "y")
+    own = spatial.footprint_nodes(known.where("component is not null"), spots, cell, keys=["physical", "component"])
+    return own.unionByName(spatial.footprint_nodes(known.where("component is null").drop("component"), spots.drop("component"), cell, keys=["physical"]))
+
+
 def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: float, cap: int = 30, via_radius: float = 0.5, grid: float = 4.0) -> Network:
     """``polygons(id, logical, physical, points, r_sheet)``, ``vias(id, bottom, top, r, x, y, hx, hy)``,
     ``terminals(name, voltage, physical, x, y, hx, hy)``."""
     box = bbox(F.col("points"))
     flat = keep(polygons.withColumn("b", box).select("id", "logical", "physical", "points", "r_sheet", F.col("b.min_x").alias("x0"), F.col("b.min_y").alias("y0"), F.col("b.max_x").alias("x1"), F.col("b.max_y").alias("y1")), "polygons")
     feet = vias.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
-    same = keep(met(flat, grid), "met")
-    component = keep(nets(flat, feet, grid, same), "nets")
-    parts = rects.decompose(flat.select("id", F.col("points").alias("ring")))
-    told = parts.join(flat.select("id", "physical", "r_sheet"), "id").join(component, "id")
+    parts = keep(pieces(flat), "pieces")
+    same = keep(met(parts, grid), "met")
+    landed = keep(landings(parts, feet, grid), "landed")
+    component = keep(nets(flat, feet, grid, same, landed), "nets")
+    told = parts.drop("logical").join(flat.select("id", "r_sheet"), "id").join(component, "id")
     cells = network.grid_rects(told.select("id", "physical", "component", "r_sheet", *spatial.BOX), cell, cap)
     nodes = keep(network.nodes_of(cells), "nodes")
     sheet = network.fv_edges(cells).select("a", "b", "g", F.col("physical").alias("layer"))
-    grouped = keep(network.group_vias(vias, via_radius, ["bottom", "top"]).withColumn("id", F.monotonically_increasing_id()), "vias")
+    owned = vias.join(landed.join(component, "id").groupBy(F.col("via").alias("id")).agg(F.min("component").alias("component")), "id")
+    grouped = keep(network.group_vias(owned, via_radius, ["bottom", "top", "component"]).withColumn("id", F.monotonically_increasing_id()), "vias")
+    spots = nodes.select(F.col("node").alias("id"), "physical", "component", "x", "y")
     ends = []
     for side in ("bottom", "top"):
-        per_layer = grouped.select("id", F.col(side).alias("physical"), "x", "y", "hx", "hy")
-        area = per_layer.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
-        spots = nodes.select(F.col("node").alias("id"), "physical", "x", "y").withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y")})
-        inside = spatial.grid_join(area, spots, grid, ["physical"], margin=1e-12).select(F.col("a_id").alias("via"), F.col("b_id").alias("node"))
-        bare = per_layer.join(inside.select(F.col("via").alias("id")).distinct(), "id", "left_anti")
-        near = spatial.nearest(bare.select("id", "physical", "x", "y"), spots.select("id", "physical", "x", "y"), grid, ["physical"]).select(F.col("point").alias("via"), "node")
-        ends.append(inside.unionByName(near))
+        feet = grouped.select("id", F.col(side).alias("physical"), "component", "x", "y", "hx", "hy")
+        ends.append(spatial.footprint_nodes(feet, spots, grid, 1e-12, ["physical", "component"]).withColumnRenamed("box", "via"))
     via = network.via_edges(grouped.select(F.col("id").alias("via"), "r"), ends[0], ends[1]).select("a", "b", "g", F.lit("vias").alias("layer"))
     at = lambda k: nodes.select(F.col("node").alias(k), F.col("physical").alias(f"p_{k}"))
     one_layer = F.when(F.col("p_a") == F.col("p_b"), F.col("p_a")).otherwise("vias")
@@ -80,13 +108,7 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     merged = on_layers(network.fragments(edges, nodes.withColumnRenamed("component", "net")))
     edges = keep(edges.unionByName(merged), "edges")
     pins = terminals.withColumn("id", F.xxhash64("name"))
-    held = []
-    for r in [x["physical"] for x in pins.select("physical").distinct().collect()]:  # the layers that have a terminal
-        on = nodes.where(F.col("physical") == r).select(F.col("node").alias("id"), "x", "y")
-        held.append(spatial.footprint_nodes(pins.where(F.col("physical") == r), on, grid))
-    at = held[0]
-    for h in held[1:]:
-        at = at.unionByName(h)
+    at = _held(pins, parts, component, nodes, grid)
     fixed = at.join(pins.select(F.col("id").alias("box"), "name", "voltage"), "box").select("name", "voltage", "node")
     return Network(nodes, edges, keep(fixed, "terminals"))
 

@@ -2,8 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sheetspark.fixtures import view
+from sheetspark.operators import quadtree
 from sheetspark.plans import queries
+from sheetspark.storage import keep
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -29,8 +33,14 @@ def test_same_as_duckdb(spark, duck, sf_dir, name):
 
 
 def test_balance_leaves_levels_close(spark, sf_dir):
-    levels = {r["level"]: r["n"] for r in queries.quad_balance(spark, sf_dir).collect()}
+    sheet = spark.createDataFrame([(1, 0.0, 0.0, 16.0, 16.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    leaves = quadtree.base_cells(sheet, 1.0)
+    for _ in range(4):
+        leaves = keep(quadtree.refine(leaves, leaves.where("x0 = 0 and y0 = 0"), 4), "corner")
+    levels = {r["level"]: r["n"] for r in quadtree.balance(leaves, 1.0, 4).groupBy("level").agg(F.count("*").alias("n")).collect()}
     assert sum(n / 4 ** l for l, n in levels.items()) == 256
+    cells = quadtree.base_cells(view(spark, sf_dir, "f_rect").select("id", "x0", "y0", "x1", "y1"), 5.0).count()
+    assert sum(r["n"] / 4 ** r["level"] for r in queries.quad_balance(spark, sf_dir).collect()) == cells
 
 
 def test_entry_runs(spark):
