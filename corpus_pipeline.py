@@ -4,6 +4,11 @@ Quality classifier (what it rejects goes), n-gram Jaccard join (one document of
 (masked), mixing of sources to target weights (rows dropped or repeated), best-fit packing (pieces of sequences). All
 but the last return the columns of documents. The classifier reads ``labels`` beside the documents it is given.
 
+Null and empty texts, equal ids, repeated rows and extra columns of any name go through as each operator's docstring
+says: the classifier scores an empty text like any other, the join keeps rows without words or id, and of equal rows one;
+the mix keeps a source without tokens once; an empty table gives an empty result. An id that two texts share stays with
+each row.
+
 SQL can express neither the classifier, the conditional random field nor the tokenizer, so there is no ORACLE_SQL;
 tests hold each stage against a plain version.
 """
@@ -13,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetspark.llm import jaccard, mixing, packing, pii, quality
-from sheetspark.llm.storage import keep
+from sheetspark.llm.storage import discard, keep
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES:
+        before, docs = docs, keep(stage(spark, docs, sf_dir), "stage")
+        discard(before)
     return docs
