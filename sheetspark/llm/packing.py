@@ -5,7 +5,9 @@ stand alone. The others are dealt to blocks of about ``BLOCK`` pieces; each bloc
 populations of their own. A child takes whole well-filled bins from one parent, drops the other parent's bins that
 hold any of the same pieces, and puts the displaced pieces where they fit best. Between epochs each island's best
 individual migrates to the next island of its block. Badly filled bins of all blocks then meet in fewer blocks, until
-one block is left. Only ids and lengths move; a block's size is bounded, so no task grows with the input.
+one block is left; where well-filled bins hold less than half of a block's pieces, the next fullest ones stay too, so that
+each level has half the pieces of the one before at most. Only ids and lengths move; a block's size is bounded, so no task
+grows with the input.
 
 Defined cases: a null or empty text is the one token 0; rows with a null id are packed like others; repeated rows and
 equal ids are packed each on its own; long texts are cut; an empty table gives no pieces; extra columns are ignored.
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import keep, partitions, small_batches
+from .storage import discard, keep, partitions, small_batches
 from .text import sliced, strings
 from .tokens import default_path, tokenizer
 
@@ -146,8 +148,8 @@ def evolve(lengths: np.ndarray, seed: int, elite: np.ndarray | None, capacity: i
     while len(people) < population:
         people.append(compact(best_fit(lengths, blank, every, capacity, lengths * rng.uniform(0.7, 1.3, len(lengths)))))
     people.sort(key=lambda p: fitness(lengths, p, capacity), reverse=True)
-    for _ in range(generations):
-        if int(people[0].max()) + 1 <= lower:
+    for k in range(generations):
+        if k and int(people[0].max()) + 1 <= lower:  # no fewer bins are possible
             break
         i, j = rng.choice(population, 2, replace=False)
         made = [crossover(people[i], people[j], lengths, capacity, rng), mutate(people[int(rng.integers(population))], lengths, capacity, rng)]
@@ -170,8 +172,8 @@ def _epoch(epoch: int, level: int, capacity: int):
 
 
 def _choose(level: int, last: bool, capacity: int):
-    """The best island of a block. Bins that are well filled, or all of them on the last level, are final: their
-    pieces get a sequence and a place. The pieces of the others go on."""
+    """The best island of a block. Bins that are well filled, the fullest ones that hold half of the pieces, or all of
+    them on the last level, are final: their pieces get a sequence and a place. The pieces of the others go on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         best, score = None, None
@@ -181,7 +183,9 @@ def _choose(level: int, last: bool, capacity: int):
                 best, score = own, s
         best = best.sort_values(["bin", "rid"], kind="stable")
         before = best.groupby("bin")["length"].cumsum() - best["length"]
-        full = best.groupby("bin")["length"].transform("sum") >= WELL_FILLED * capacity
+        bins = best.groupby("bin")["length"].agg(["sum", "size"]).sort_values("sum", ascending=False, kind="stable")
+        half = bins["size"].cumsum() - bins["size"] < len(best) / 2
+        full = best["bin"].isin(bins.index[half | (bins["sum"] >= WELL_FILLED * capacity)])
         seq = (level << 56) + best["block"].astype("int64") * (1 << 20) + best["bin"]
         done = full | last
         return pd.DataFrame({"rid": best["rid"], "length": best["length"], "sequence_id": seq.where(done, -1), "offset": before.where(done, -1)})
@@ -201,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     left, level = open_.count(), 0
     while left:
         n = -(-left // block)
-        last = n == 1 or level >= 60
+        last = n == 1
         deal = open_.select(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(n)).alias("block"), "rid", "length")
         state = deal.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).withColumn("bin", F.lit(0).cast("long"))
         spread = min(2 * n * ISLANDS, 4 * partitions(spark)) if n > 1 else ISLANDS
@@ -210,14 +214,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
                 guest = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), "rid", F.col("bin").alias("immigrant"))
                 state = state.join(guest, ["block", "island", "rid"])
             state = keep(state.groupBy("block", "island").applyInPandas(_epoch(epoch, level, capacity), STATE), "islands")
+            if epoch:
+                discard(held)
+            held = state
         got = keep(state.groupBy("block").applyInPandas(_choose(level, last, capacity), PLACED), "packed")
+        discard(held)
         placed.append(got.where("sequence_id >= 0").select("rid", "sequence_id", "offset"))
         open_ = got.where("sequence_id < 0").select("rid", "length")
-        before, left = left, 0 if last else open_.count()
-        if left > before // 2:  # too few bins get full: one more round at most could help, so finish in blocks as they are
-            final = keep(_finish(state, level, capacity), "packed")
-            placed[-1] = final.select("rid", "sequence_id", "offset")
-            left = 0
+        left = 0 if last else open_.count()
         level += 1
     out = placed[0]
     for p in placed[1:]:
@@ -225,10 +229,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     return pieces.join(out, "rid")
 
 
-def _finish(state: DataFrame, level: int, capacity: int) -> DataFrame:
-    return state.groupBy("block").applyInPandas(_choose(level, True, capacity), PLACED)
-
-
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` in sequences of at most 2048 tokens."""
     pieces = keep(cut(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces")
