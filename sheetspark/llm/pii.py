@@ -19,7 +19,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +113,10 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         found |= {m.span() for m in _MASKEDMAIL.finditer(text)}
     if not found:
         return []
-    ends = [(a, b) for a, b, _ in taken]
-    return sorted((a, b) for a, b in found if b - a <= MAX_SPAN and not any(a < y and x < b for x, y in ends))
+    starts = sorted(a for a, _, _ in taken)
+    reach = list(accumulate((b for _, b, _ in sorted(taken)), max))  # the furthest end of the spans up to each
+    free = lambda a, b: (k := bisect_left(starts, b)) == 0 or reach[k - 1] <= a
+    return sorted((a, b) for a, b in found if b - a <= MAX_SPAN and free(a, b))
 
 
 def span_features(text: str, a: int, b: int) -> list[str]:
