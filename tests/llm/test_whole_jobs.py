@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from sheetspark.llm import fingerprint, jaccard, neardup, pii
+from pyspark.sql import functions as F
+
+from sheetspark.llm import fingerprint, jaccard, neardup, packing, pii
 
 
 def weighted_jaccard(a, b):
@@ -158,3 +160,51 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3)
     left = sorted(x.key for x in jaccard.survivors(df).collect())
     assert left == [0, 2, 6, 7, 8]
+
+
+def test_blocks_whose_bins_are_badly_filled_still_meet(spark):
+    """Pieces of which none fit well together: every level must place some and hand on the rest until one block is left."""
+    r = random.Random(8)
+    rows = [(i, r.randrange(700, 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "rid long, length long").withColumn("doc_id", F.col("rid"))
+    from sheetspark.llm.storage import keep
+
+    got = packing.pack(keep(df, "lengths"), block=256).toPandas()
+    assert sorted(got["rid"]) == list(range(3000))
+    got = got.sort_values(["sequence_id", "offset"])
+    before = got.groupby("sequence_id")["length"].cumsum() - got["length"]
+    assert (before == got["offset"]).all()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert got["sequence_id"].nunique() <= 1500 + 12  # two fit in each; an odd one may be left in a block
+
+
+def test_a_generation_is_bred_even_from_a_seed_at_the_bound(monkeypatch):
+    bred = []
+    plain = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: bred.append(1) or plain(*a))
+    lengths = np.full(64, 512)
+    assert len(np.unique(packing.evolve(lengths, 1, None))) == 16 and bred
+
+
+def test_candidates_keep_off_base_spans_however_they_overlap():
+    text = "call 555-123-4567 or +49 555-123-4567 99 or (555) 123-4567, token=abcdefgh12345678 x@y.org"
+    for taken in ([], pii.base_spans(text), [(0, 30, "card"), (2, 6, "ip"), (40, 41, "ip")]):
+        free = {s for s in pii.candidates(text, []) if not any(s[0] < y and x < s[1] for x, y, _ in taken)}
+        assert set(pii.candidates(text, taken)) == free
+
+
+def test_decoding_and_marginals_against_all_segmentations():
+    r = random.Random(2)
+    for _ in range(60):
+        n = r.randrange(2, 7)
+        arcs = [(i, j, y, []) for i in range(n) for j in range(i + 1, n) for y in range(2) if r.random() < 0.5]
+        scores = [r.uniform(-2, 2) for _ in arcs]
+        ways = [[]]
+        for k, (i, j, _, _) in sorted(enumerate(arcs), key=lambda a: a[1][0]):
+            ways += [w + [k] for w in ways if not w or arcs[w[-1]][1] <= i]
+        total = [sum(scores[k] for k in w) for w in ways]
+        assert sum(scores[k] for k in pii.decode(n, arcs, scores)) == pytest.approx(max(total))
+        z, p = pii.log_marginals(n, arcs, scores)
+        assert z == pytest.approx(np.log(np.exp(total).sum()))
+        for k, q in enumerate(p):
+            assert q == pytest.approx(sum(np.exp(t) for w, t in zip(ways, total) if k in w) / np.exp(z))
