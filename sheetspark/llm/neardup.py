@@ -254,12 +254,13 @@ def fit_centroids(sample: pd.DataFrame, total: int, rounds: int = 8) -> dict[tup
     return out
 
 
-DEALT = "label int, dim int, shard int, id long, hv long, vec array<float>, mult long, home boolean, shards array<int>"
-_DEALT = pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("shard", pa.int32()), ("id", pa.int64()), ("hv", pa.int64()), ("vec", pa.list_(pa.float32())), ("mult", pa.int64()), ("home", pa.bool_()), ("shards", pa.list_(pa.int32()))])
+DEALT = "label int, dim int, shard int, id long, hv long, vec {vec}, mult long, home boolean, shards array<int>"
 
 
-def _deal(shared, each: int):
-    """Rows of the shards of each vector; ``shards`` are all of them."""
+def _deal(shared, each: int, wide: bool):
+    """Rows of the shards of each vector; ``shards`` are all of them. ``wide``: components are doubles."""
+    component = pa.float64() if wide else pa.float32()
+    schema = pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("shard", pa.int32()), ("id", pa.int64()), ("hv", pa.int64()), ("vec", pa.list_(component)), ("mult", pa.int64()), ("home", pa.bool_()), ("shards", pa.list_(pa.int32()))])
 
     def run(batches):
         centroids = shared.value
@@ -276,7 +277,7 @@ def _deal(shared, each: int):
                 for k in range(by.shape[1]):
                     parts.append(own.assign(shard=by[:, k], home=k == 0, shards=list(by)))
             if parts:
-                yield pa.RecordBatch.from_pandas(pd.concat(parts)[_DEALT.names], schema=_DEALT, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.concat(parts)[schema.names], schema=schema, preserve_index=False)
 
     return run
 
@@ -370,7 +371,8 @@ ROW = [*KEYS, "chunk", "id", "hv", "vec", "mult", "home", "shards", "neighbours"
 def _round(classes: DataFrame, centroids: dict, each: int, beam: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(centroids)  # of a bounded sample
-    dealt = keep(classes.mapInArrow(_deal(shared, each), DEALT), "dealt")
+    vec = dict(classes.dtypes)["vec"]
+    dealt = keep(classes.mapInArrow(_deal(shared, each, vec == "array<double>"), DEALT.format(vec=vec)), "dealt")
     parts = keep(dealt.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("parts")), "parts")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     numbered = dealt.join(parts, ["label", "dim", "shard"])
@@ -471,10 +473,12 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``vectors(vec_id, embedding, label)`` to (vec_id, n_links, component_id, kept)."""
+    """``vectors(vec_id, embedding, label)`` to (vec_id, n_links, component_id, kept). Components other than floats are
+    taken as doubles, and equality of vectors and cosines are those of doubles."""
     spark = vectors.sparkSession
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     small_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("vec"), F.col("label").cast("int"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("vec"), F.col("label").cast("int"))
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("vec", lambda v: v != 0)
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False))
     rows = rows.withColumn("_ok", usable)

@@ -208,3 +208,11 @@ def test_decoding_and_marginals_against_all_segmentations():
         assert z == pytest.approx(np.log(np.exp(total).sum()))
         for k, q in enumerate(p):
             assert q == pytest.approx(sum(np.exp(t) for w, t in zip(ways, total) if k in w) / np.exp(z))
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    c = neardup.THRESHOLD
+    above, below = ([c + d, np.sqrt(1 - (c + d) ** 2)] for d in (1e-12, -1e-12))
+    rows = [(1, [1.0, 0.0], 0), (2, above, 0), (3, [1.0, 0.0], 1), (4, below, 1), (5, [1e60, 0.0], 2), (6, [3e60, 0.0], 2)]
+    df = spark.createDataFrame([(i, [float(v) for v in x], k) for i, x, k in rows], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1}
