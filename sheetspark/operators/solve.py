@@ -1,8 +1,9 @@
 """Resistor network solves.
 
 Components are solved where they are: grouped by component, each by conjugate gradients with incomplete or diagonal
-scaling in numpy, or directly when small; a component is one task's whatever its size. ``distributed_cg``, a
-diagonally-scaled conjugate gradient of joins and sums, is for one component that is too large for that; callers choose it.
+scaling in numpy, or directly when small. ``solve_by_size``, which plans use, gives components of more than ``LARGE``
+edges to ``distributed_cg``, a diagonally-scaled conjugate gradient of joins and sums; in ``solve_components`` a component
+is one task's whatever its size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..storage import discard, keep
 
 DIRECT = 1200
+#: Edges of a component beyond which it is solved across tasks (about 0.3 GB of one).
+LARGE = 4_000_000
 
 
 def assemble(entries: DataFrame) -> DataFrame:
@@ -142,6 +145,21 @@ def solve_components(edges: DataFrame, fixed: DataFrame, key: str = "component")
     return edges.select(key, "a", "b", "g").groupBy(key).cogroup(held).applyInPandas(run, f"{key} {kind}, node long, u double")
 
 
+def solve_by_size(edges: DataFrame, fixed: DataFrame, key: str = "component", large: int | None = None) -> DataFrame:
+    """As :func:`solve_components`, but components of more than ``large`` edges are solved across tasks, one after
+    another. ``edges`` should be a kept table, as it is read more than once."""
+    most = LARGE if large is None else large
+    big = [r[key] for r in edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect()]  # all edges / most of them
+    if not big:
+        return solve_components(edges, fixed, key)
+    kind, one = dict(edges.dtypes)[key], F.col(key)
+    out = solve_components(edges.where(~one.isin(big)), fixed.where(~one.isin(big)), key)
+    for k in big:
+        held = fixed.where(one == F.lit(k)).groupBy("node").agg(F.max("value").alias("value"))
+        out = out.unionByName(distributed_cg(edges.where(one == F.lit(k)), held).select(F.lit(k).cast(kind).alias(key), "node", "u"))
+    return out
+
+
 def power(edges: DataFrame, solved: DataFrame, key: str = "component") -> DataFrame:
     """(key, power): sum of g du^2 over the edges."""
     ua, ub = solved.select(key, F.col("node").alias("a"), F.col("u").alias("ua")), solved.select(key, F.col("node").alias("b"), F.col("u").alias("ub"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox
-from ..operators import closure, devices, fields, network, rects, solve, spatial
+from ..operators import closure, devices, fields, network, rects, solve, spatial, summary
 from ..storage import keep
 
 
@@ -78,9 +78,9 @@ def _held(pins: DataFrame, parts: DataFrame, component: DataFrame, nodes: DataFr
     return own.unionByName(spatial.footprint_nodes(known.where("component is null").drop("component"), spots.drop("component"), cell, keys=["physical"]))
 
 
-def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: float, cap: int = 30, via_radius: float = 0.5, grid: float = 4.0) -> Network:
+def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: float, cap: int = 30, via_radius: float = 0.5, grid: float = 4.0, layer_sizes: dict[str, float] | None = None) -> Network:
     """``polygons(id, logical, physical, points, r_sheet)``, ``vias(id, bottom, top, r, x, y, hx, hy)``,
-    ``terminals(name, voltage, physical, x, y, hx, hy)``."""
+    ``terminals(name, voltage, physical, x, y, hx, hy)``; ``layer_sizes``: cells of physical layers other than ``cell``."""
     box = bbox(F.col("points"))
     flat = keep(polygons.withColumn("b", box).select("id", "logical", "physical", "points", "r_sheet", F.col("b.min_x").alias("x0"), F.col("b.min_y").alias("y0"), F.col("b.max_x").alias("x1"), F.col("b.max_y").alias("y1")), "polygons")
     feet = vias.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
@@ -89,7 +89,8 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     landed = keep(landings(parts, feet, grid), "landed")
     component = keep(nets(flat, feet, grid, same, landed), "nets")
     told = parts.drop("logical").join(flat.select("id", "r_sheet"), "id").join(component, "id")
-    cells = network.grid_rects(told.select("id", "physical", "component", "r_sheet", *spatial.BOX), cell, cap)
+    sized = summary.layer_cells(told, layer_sizes or {}, cell)
+    cells = network.grid_rects(sized.select("id", "physical", "component", "r_sheet", "lateral", *spatial.BOX), F.col("lateral"), cap)
     nodes = keep(network.nodes_of(cells), "nodes")
     sheet = network.fv_edges(cells).select("a", "b", "g", F.col("physical").alias("layer"))
     owned = vias.join(landed.join(component, "id").groupBy(F.col("via").alias("id")).agg(F.min("component").alias("component")), "id")
@@ -119,19 +120,32 @@ def solved(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, Dat
     names = keep(closure.components(edges.select("a", "b")).withColumnRenamed("component", "key"), "parts")
     keyed = edges.join(names.withColumnRenamed("node", "a"), "a")
     fixed = net.terminals.join(names, "node").select("key", "node", F.col("voltage").alias("value"))
-    u = keep(solve.solve_components(keyed, fixed, "key"), "potentials")
+    keyed = keep(keyed, "keyed")
+    u = keep(solve.solve_by_size(keyed, fixed, "key"), "potentials")
     return keep(fields.edge_drops(keyed, u), "drops"), u
 
 
-def report(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, float]:
-    """(power by layer, resistance): |Vd - Vs| over the drain current."""
+def _currents(net: Network, drops: DataFrame) -> DataFrame:
+    """(name, i): the current out of each terminal."""
+    ends = F.explode(F.array(F.struct("key", F.col("a").alias("node")), F.struct("key", F.col("b").alias("node"))))
+    keyed = net.terminals.join(drops.select(ends.alias("n")).select("n.*").distinct(), "node")
+    return fields.terminal_currents(drops, keyed.select("key", "name", "node"))
+
+
+def results(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, float, DataFrame]:
+    """(power by layer, resistance, currents of terminals): the resistance is |Vd - Vs| over the drain current."""
     drops, _ = solved(net, extra)
     pair = fields.voltage_pair(net.terminals.select("name", "voltage")).first()
-    keyed = net.terminals.join(drops.select(F.explode(F.array(F.struct("key", F.col("a").alias("node")), F.struct("key", F.col("b").alias("node")))).alias("n")).select("n.*").distinct(), "node")
-    current = {r["name"]: r["i"] for r in fields.terminal_currents(drops, keyed.select("key", "name", "node")).collect()}  # a row for each terminal
+    flows = keep(_currents(net, drops), "currents")
+    current = {r["name"]: r["i"] for r in flows.collect()}  # a row for each terminal
     i = abs(current.get(pair["drain"]["name"], 0.0))
     r = abs(pair["drain"]["v"] - pair["source"]["v"]) / i if i > 0 else float("inf")
-    return fields.power_report(drops).orderBy(F.desc("power"), "layer"), r
+    return fields.power_report(drops).orderBy(F.desc("power"), "layer"), r, flows
+
+
+def report(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """(power by layer, resistance)."""
+    return results(net, extra)[:2]
 
 
 def bias_loop(net: Network, channels: DataFrame, table: DataFrame, w_ref: float, tol: float = 1e-3, rounds: int = 20, temperature: float = 27.0) -> tuple[DataFrame, int]:

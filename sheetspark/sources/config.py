@@ -133,11 +133,17 @@ def _fill(cls, given):
     return made
 
 
+#: Other names of two mesh settings.
+MESHING_NAMES = {"sheet_cell_um": "cell_um", "sheet_cap": "max_cells"}
+
+
 def settings(text: str) -> Settings:
     """Typed settings of a document; what is absent keeps its default."""
     doc = parse_yaml(text) or {}
-    out = Settings(paths=doc.get("project") or {}, meshing=_fill(Meshing, doc.get("meshing")), solver=_fill(Solver, doc.get("solver")), terminals=doc.get("terminals") or [])
-    out.temperature_c = float((doc.get("project") or {}).get("temperature_c", 25.0))
+    mesh = {MESHING_NAMES.get(k, k): v for k, v in (doc.get("meshing") or {}).items()}
+    out = Settings(paths=doc.get("project") or {}, meshing=_fill(Meshing, mesh), solver=_fill(Solver, doc.get("solver")), terminals=doc.get("terminals") or [])
+    given = [(doc.get(part) or {}).get("temperature_c") for part in ("solver", "project")]
+    out.temperature_c = float(next((t for t in given if t is not None), 25.0))
     if out.solver.missing_model not in ("error", "open"):
         raise ValueError("missing_model is error or open")
     return out
