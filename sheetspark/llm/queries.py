@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, mixing, neardup, packing, pii, quality, repeats, toxicity, warc
+from . import fingerprint, jaccard, mixing, mtree, neardup, packing, pii, quality, repeats, runs, toxicity, warc
 
 QUERIES = {
     "op1_ordinal_quality": quality.op1,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_weighted_fingerprints": fingerprint.op9,
     "op10_repeated_strings": repeats.op10,
+    "op11_periodic_runs": runs.op11,
+    "op12_exact_top_k": mtree.op12,
 }
 
 ORACLES = {
     "op4_warc_archive": warc.OP4_SQL,
     "op5_vector_near_duplicates": neardup.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
+    "op12_exact_top_k": mtree.OP12_SQL,
 }
