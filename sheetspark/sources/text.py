@@ -13,8 +13,23 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their numbers within their file. A file is split by its reader as whole text, one row, so numbers
     need no global sort; technology and netlist files are small beside the layout."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
-    return whole.select("source", F.posexplode(F.split("value", "\r?\n"))).select("source", (F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("value"))
+    return lines_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value"))
+
+
+def lines_of(texts: DataFrame, column: str = "value") -> DataFrame:
+    """A row for each line of ``column``, numbered from 1, with all other columns; a null text has no lines."""
+    rest = [c for c in texts.columns if c != column]
+    return texts.select(*rest, F.posexplode(F.split(column, "\r?\n"))).select(*rest, (F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("value"))
+
+
+#: Lines that start with one of these hold no names.
+COMMENT = "^[#%*]"
+
+
+def names_in(lines: DataFrame) -> DataFrame:
+    """A row (name) for each token of the lines that are no comments, with all other columns."""
+    plain = lines.where(~F.btrim("value").rlike(COMMENT))
+    return plain.withColumn("name", F.explode(F.filter(_tokens(F.col("value")), lambda t: t != ""))).drop("value")
 
 
 def _tokens(value: Column) -> Column:
@@ -69,7 +84,7 @@ def ports(lines: DataFrame, dbu: float) -> tuple[DataFrame, DataFrame]:
 
 def net_names(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, name); lines that start with #, % or * are comments."""
-    t = lines.where(~F.btrim("value").rlike("^[#%*]")).withColumn("t", _tokens(F.col("value"))).where(F.size("t") > 0)
+    t = lines.where(~F.btrim("value").rlike(COMMENT)).withColumn("t", _tokens(F.col("value"))).where(F.size("t") > 0)
     t = t.withColumn("id", F.col("t")[0].try_cast("long"))
     ok = F.col("id").isNotNull() & (F.size("t") >= 2)
     return t.where(ok).groupBy("id").agg(F.max_by(F.col("t")[1], "line").alias("name")), _diag(t.where(~ok), F.lit("expected a number and a name"))
