@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import channel_axis
 from ..functions.physics import r_device, r_on
+from ..storage import discard, keep
 from .spatial import greedy_match
 
 LEAST_SEED_AREA = 1e-14
@@ -14,27 +17,64 @@ LEAST_SEED_AREA = 1e-14
 KINDS = {"NMOS": "nmos", "PMOS": "pmos", "RES": "resistor", "CAP": "capacitor", "DIODE": "diode", "BJT": "bjt"}
 
 
-def axis(table: DataFrame, column: str) -> DataFrame:
-    """Brackets (lo, hi) of neighbouring axis values, and each value alone as a bracket of no width for the last one."""
-    values = table.select(F.col(column).alias("lo")).distinct()
-    # an axis is a handful of values of a table, however many points are looked up
-    return values.withColumn("hi", F.lead("lo").over(Window.orderBy("lo")))
-
-
-def _bracket(points: DataFrame, table: DataFrame, column: str, eps: float = 1e-12) -> DataFrame:
-    """Adds lo, hi and the weight of hi; points out of range go. The first bracket that holds a point wins; an axis of
-    one value holds what lies within 1e-9 of it."""
-    ax = axis(table, column)
-    n = table.select(column).distinct().count()
+#: Values of an axis up to which they are searched as one array in every task (8 MB); longer axes are joined in order.
+AXIS = 1_000_000
+
+
+def _by_array(points: DataFrame, values: np.ndarray, column: str, eps: float) -> DataFrame:
+    """The bracket of each value by halving a sorted array."""
+
+    @F.pandas_udf("struct<lo: double, hi: double>")
+    def find(v: pd.Series) -> pd.DataFrame:
+        x = v.to_numpy(float)
+        i = np.minimum(np.searchsorted(values[1:] + eps, x), len(values) - 2)
+        return pd.DataFrame({"lo": values[i], "hi": values[i + 1]})
+
+    return points.withColumn("_b", find(F.col(column)))
+
+
+def _in_order(points: DataFrame, values: DataFrame, column: str, eps: float) -> DataFrame:
+    """The bracket of each value by one order of points and axis: ranges of it are walked by a task each, and where a range
+    begins, the last axis value of those before it counts."""
+    ends = values.select(F.col(column).alias("_lo"))
+    first = ends.agg(F.min("_lo")).first()[0]
+    tagged = points.withColumns({"_lo": F.lit(None).cast("double"), "_at": F.col(column)})
+    marks = ends.withColumn("_at", F.col("_lo") + eps)
+    # a point that is level with an axis value belongs to the bracket below it, so it comes first
+    both = keep(tagged.unionByName(marks, allowMissingColumns=True).repartitionByRange("_at", F.col("_lo").isNotNull()).withColumn("_range", F.spark_partition_id()), "axis")
+    row = Window.partitionBy("_range").orderBy("_at", F.col("_lo").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = both.groupBy("_range").agg(F.max("_lo").alias("_last")).select("_range", F.max("_last").over(before).alias("_carried"))
+    ahead = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    next_ = both.groupBy("_range").agg(F.min("_lo").alias("_first")).select("_range", F.min("_first").over(ahead).alias("_next"))
+    after = Window.partitionBy("_range").orderBy("_at", F.col("_lo").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    own = both.withColumns({"_own": F.max("_lo").over(row), "_up": F.min("_lo").over(after)}).where("_lo is null")
+    out = own.join(F.broadcast(carried), "_range").join(F.broadcast(next_), "_range")  # as many rows as ranges
+    lo = F.coalesce("_own", "_carried")
+    hi = F.coalesce("_up", "_next")
+    # below the first value the first bracket is meant, beyond the last one none
+    second = ends.where(F.col("_lo") > F.lit(first)).agg(F.min("_lo")).first()[0]
+    out = out.withColumn("_b", F.struct(F.coalesce(lo, F.lit(first)).alias("lo"), F.when(lo.isNull(), F.lit(second)).otherwise(hi).alias("hi")))
+    return out.select(*points.columns, "_b")
+
+
+def bracketed(points: DataFrame, table: DataFrame, column: str, eps: float = 1e-12, most: int = AXIS) -> DataFrame:
+    """Adds lo, hi (``column``_lo, ``column``_hi) and the weight of hi; points out of range go, as do those without a value.
+    The first bracket that holds a point to ``eps`` wins; an axis of one value holds what lies within 1e-9 of it. No range
+    join: see :func:`_by_array` and, for axes of more than ``most`` values, :func:`_in_order`."""
     v = F.col(column)
-    ax = ax.withColumn("hi", F.col("lo")) if n == 1 else ax.where("hi is not null")
-    ax = ax.withColumnRenamed("lo", f"{column}_lo").withColumnRenamed("hi", f"{column}_hi")
-    pts = points.select("id", column).distinct()
-    cond = (v >= F.col(f"{column}_lo") - (1e-9 if n == 1 else eps)) & (v <= F.col(f"{column}_hi") + (1e-9 if n == 1 else eps))
-    first = pts.join(F.broadcast(ax) if n <= 10_000 else ax, cond).groupBy("id").agg(F.min(F.struct(f"{column}_lo", f"{column}_hi")).alias("b"))
-    out = points.join(first, "id").select(*points.columns, f"b.{column}_lo", f"b.{column}_hi")
-    w = F.lit(0.0) if n == 1 else (v - F.col(f"{column}_lo")) / (F.col(f"{column}_hi") - F.col(f"{column}_lo"))
-    return out.withColumn(f"{column}_w", w)
+    known = points.where(v.isNotNull() & ~F.isnan(v))
+    values = table.select(v.cast("double").alias(column)).where(v.isNotNull() & ~F.isnan(column)).distinct()
+    some = values.limit(most + 1).toPandas()[column].to_numpy(float)
+    names = [F.col(f"`{c}`") for c in points.columns]
+    if len(some) < 2:
+        one = F.lit(float(some[0])) if len(some) else F.lit(None).cast("double")
+        held = known.where(F.abs(v - one) <= 1e-9)
+        return held.select(*names, one.alias(f"{column}_lo"), one.alias(f"{column}_hi"), F.lit(0.0).alias(f"{column}_w"))
+    found = _by_array(known, np.sort(some), column, eps) if len(some) <= most else _in_order(known, values, column, eps)
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    held = found.where((v >= lo - eps) & (v <= hi + eps))
+    return held.select(*names, lo.alias(f"{column}_lo"), hi.alias(f"{column}_hi"), ((v - lo) / (hi - lo)).alias(f"{column}_w"))
 
 
 AXES = ("t", "vgs", "vds")
@@ -45,7 +85,7 @@ def model_lookup(points: DataFrame, table: DataFrame) -> DataFrame:
     or where a corner is missing."""
     b = points
     for c in AXES:
-        b = _bracket(b, table, c)
+        b = bracketed(b, table, c)
     sides = [F.array(F.struct(F.col(f"{c}_lo").alias("at"), (1 - F.col(f"{c}_w")).alias("w")), F.struct(F.col(f"{c}_hi").alias("at"), F.col(f"{c}_w").alias("w"))) for c in AXES]
     corners = b
     for c, s in zip(AXES, sides):
@@ -84,18 +124,45 @@ def verify(golden: DataFrame, found: DataFrame, by: tuple[str, ...] = (), max_di
     return m, missing, extra
 
 
+#: Rows up to which a rank is taken from a sorted prefix.
+PREFIX = 10_000
+
+
+def of_rank(values: DataFrame, rank: int) -> float:
+    """The value of place ``rank`` (from 0) in the order of ``values(v)``, which has no nulls and more rows than that. A
+    sketch of the values names two of them that enclose the rank closely; their exact counts narrow the range, and it is
+    sketched again until a short prefix of it holds the rank. Two rounds do for billions of rows, whatever their spread;
+    each leaves out at least one value, so ties end it too."""
+    left, n = values, None
+    while True:
+        n = left.count() if n is None else n
+        if n <= PREFIX:
+            return left.orderBy("v").offset(rank).limit(1).first()["v"]
+        at, width = (rank + 0.5) / n, 2e-4
+        low, high = left.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, at - width)), F.lit(min(1.0, at + width))), F.lit(20_000))).first()[0]
+        v = F.col("v")
+        less, same, within, top = left.agg(*[F.count_if(c) for c in (v < low, v == low, (v > low) & (v < high), v == high)]).first()
+        if low == high:
+            within = top = 0
+        if less <= rank < less + same:
+            return low
+        if less + same + within <= rank < less + same + within + top:
+            return high
+        if rank < less:
+            left, n = left.where(v < low), less
+        elif rank < less + same + within:
+            left, rank, n = left.where((v > low) & (v < high)), rank - less - same, within
+        else:
+            left, rank, n = left.where(v > high), rank - less - same - within - top, n - less - same - within - top
+
+
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """The element at half the count of the sorted finite values: one row (n, median). Found by ranks over value
-    blocks, not by collecting: the block that holds the middle is picked from the blocks' counts."""
+    """The element at half the count of the sorted finite values: one row (n, median); no task sees all values."""
     good = df.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(F.col(column)) < float("inf"))).select(F.col(column).cast("double").alias("v"))
-    exact = good.agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by v)").alias("low"))
-    # percentile_disc gives the lower of two middles; the upper one is the next value in order
-    row = exact.first()
-    n, low = row["n"], row["low"]
-    if not n:
-        return df.sparkSession.createDataFrame([(0, None)], "n long, median double")
-    upto = good.where(F.col("v") <= F.lit(low)).count()
-    median = low if upto > n // 2 else good.where(F.col("v") > F.lit(low)).agg(F.min("v")).first()[0]
+    good = keep(good, "values")
+    n = good.count()
+    median = of_rank(good, n // 2) if n else None
+    discard(good)
     return df.sparkSession.createDataFrame([(n, median)], "n long, median double")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..storage import discard, keep
 
 DIRECT = 1200
+#: Residual by right side, and steps, of conjugate gradients within a task and across tasks.
+TOLERANCE, STEPS = 1e-12, 20_000
 #: Edges of a component beyond which it is solved across tasks (about 0.3 GB of one).
 LARGE = 4_000_000
 
@@ -60,7 +62,7 @@ def incomplete_cholesky(n: int, rows: np.ndarray, cols: np.ndarray, vals: np.nda
     return start, low
 
 
-def pcg(n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, x0: np.ndarray | None = None, tol: float = 1e-12, most: int = 20000) -> np.ndarray:
+def pcg(n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, x0: np.ndarray | None = None, tol: float = TOLERANCE, most: int = STEPS) -> np.ndarray:
     """Diagonally scaled conjugate gradients; raises on breakdown or if it does not converge."""
     diag = np.bincount(i[i == j], v[i == j], n)
     if (diag <= 0).any():
@@ -173,9 +175,9 @@ def resistance(edges: DataFrame, terminals: DataFrame, key: str = "component") -
     return p.select(key, F.when(F.abs("power") < 1e-300, float("inf")).otherwise(1 / F.col("power")).alias("r"))
 
 
-def distributed_cg(edges: DataFrame, fixed: DataFrame, tol: float = 1e-8, most: int = 2000) -> DataFrame:
+def distributed_cg(edges: DataFrame, fixed: DataFrame, tol: float = TOLERANCE, most: int = STEPS) -> DataFrame:
     """(node, u) of one large connected network ``edges(a, b, g)``, ``fixed(node, value)``: each step is a join and two
-    sums, and its vectors are written to the shared folder, so a lost executor costs one step."""
+    sums, and its vectors are written to the shared folder, so a lost executor costs one step. Raises as :func:`pcg` does."""
     entries = keep(assemble(stamp(edges)), "matrix")
     hold = fixed.select(F.col("node").alias("i"), F.col("value"))
     inner = entries.join(hold.select("i"), "i", "left_anti")
@@ -184,18 +186,25 @@ def distributed_cg(edges: DataFrame, fixed: DataFrame, tol: float = 1e-8, most:
     diag = a.where("i = j").select("i", F.col("v").alias("d"))
     zero = F.lit(0.0)
     state = keep(diag.join(rhs, "i", "left").select("i", "d", zero.alias("x"), F.coalesce("r", zero).alias("r"), (F.coalesce("r", zero) / F.col("d")).alias("p")), "cg")
-    rz, bb = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
+    rz, bb, worst = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r")), F.min("d")).first()
+    if worst is not None and worst <= 0:
+        raise ValueError("matrix has a diagonal entry that is not positive")
+    rr = bb
     for _ in range(most):
-        if not rz or not bb:
+        if not bb or rr <= tol * tol * bb:
             break
         q = spmv(a, state.select("i", F.col("p").alias("x")))
         with_q = keep(state.join(q, "i", "left").withColumn("q", F.coalesce("y", zero)).drop("y"), "cg")
-        alpha = rz / with_q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        pq = with_q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if pq <= 0:
+            raise ValueError("conjugate gradients broke down")
+        alpha = rz / pq
         stepped = with_q.select("i", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
         new, rr = stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
         after = keep(stepped.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")), "cg")
         discard(state), discard(with_q)
         state, rz = after, new
-        if rr <= tol * tol * bb:
-            break
+    if bb and rr > tol * tol * bb:
+        raise ValueError("conjugate gradients did not converge")
+    discard(entries), discard(a)
     return state.select(F.col("i").alias("node"), F.col("x").alias("u")).unionByName(hold.select(F.col("i").alias("node"), F.col("value").alias("u")))

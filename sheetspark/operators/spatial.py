@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -67,47 +66,100 @@ def first_containing(points: DataFrame, rects: DataFrame, cell: float, keys: Seq
     return joined.where(inside).groupBy(F.col("a_id").alias("point")).agg(F.min("b_id").alias("id"))
 
 
-def nearest(points: DataFrame, nodes: DataFrame, cell: float, keys: Sequence[str] = ()) -> DataFrame:
-    """(point, node, d2): the nearest node of equal keys; of ties the smallest id. Rings of cells grow by doubling:
-    a point is done once its best distance is within the ring searched, so the result is exact."""
+#: Cells of a level of the pyramid are so many times as wide as those of the level below.
+STEP = 3  # as a power of two
+
+
+def pyramid(nodes: DataFrame, keys: Sequence[str], cell: float, levels: int) -> DataFrame:
+    """(level, keys, gx, gy, x0, y0, x1, y1, latest): the occupied cells of every level from 0, whose cells have side
+    ``cell``, up to ``levels``, with the extent of the nodes (keys, x, y, holder) in them and their latest holder."""
+    ground = nodes.groupBy(*keys, F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.max("holder").alias("latest"))
+    up = lambda c: F.expr(f"shiftright({c}, {STEP} * level)").alias(c)
+    every = ground.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).select("level", *keys, up("gx"), up("gy"), "x0", "y0", "x1", "y1", "latest")
+    return every.groupBy("level", *keys, "gx", "gy").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("latest").alias("latest"))
+
+
+NOBODY = (1 << 63) - 1
+
+
+def nearest(points: DataFrame, nodes: DataFrame, cell: float, keys: Sequence[str] = (), how: str = "inner", within: float | None = None, free: bool = False) -> DataFrame:
+    """(point, node, d2): the nearest node (id, x, y, keys) of equal ``keys`` for each point (id, x, y, keys), ids of points
+    being unique; of ties the smallest id. ``how="left"`` keeps points that have none, with nulls. ``within``: no farther
+    than that. ``free``: nodes have a ``holder``, and a point takes only a node whose holder is null or greater than its id.
+
+    Every point first looks into the 3 x 3 cells around it; what it finds within one cell's side is final. The others go
+    down a pyramid of occupied cells, from a few per key to cells of side ``cell``: at each level the extents of the
+    nodes in a cell give the least and the greatest distance of its nearest node, and cells whose least distance is beyond
+    the smallest greatest one are left. Only nodes of the cells that are left at the end are compared. All joins are
+    equi-joins; written are the first look and, if any point is left by it, the pyramid. ``cell`` should hold a few nodes:
+    nodes of one cell are all compared with the points that come to it."""
     from ..storage import keep
 
-    nodes = nodes.select(F.col("id").alias("n_id"), F.col("x").alias("n_x"), F.col("y").alias("n_y"), *[F.col(k).alias(f"n_{k}") for k in keys])
-    far = keep(nodes.agg(F.max(F.abs("n_x")).alias("x"), F.max(F.abs("n_y")).alias("y"), F.count("*").alias("n")), "extent").first()
-    left, done = points, []
-    if not far["n"]:
-        return points.select(F.col("id").alias("point"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("d2")).limit(0)
-    size = cell
-    while True:
-        p = left.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x") / size) - 1, F.floor(F.col("x") / size) + 1))).withColumn(
-            "gy", F.explode(F.sequence(F.floor(F.col("y") / size) - 1, F.floor(F.col("y") / size) + 1)))
-        n = nodes.withColumn("gx", F.floor(F.col("n_x") / size)).withColumn("gy", F.floor(F.col("n_y") / size))
-        on = (p.gx == n.gx) & (p.gy == n.gy)
-        for k in keys:
-            on = on & (p[k] == n[f"n_{k}"])
-        d2 = (F.col("x") - F.col("n_x")) * (F.col("x") - F.col("n_x")) + (F.col("y") - F.col("n_y")) * (F.col("y") - F.col("n_y"))
-        best = p.join(n, on).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("n_id").alias("node"))).alias("b"))
-        best = keep(best.select("id", "b.d2", "b.node").where(F.col("d2") <= size * size), "nearest")
-        done.append(best.select(F.col("id").alias("point"), "node", "d2"))
-        left = keep(left.join(best.select("id"), "id", "left_anti"), "unplaced")
-        widest = left.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"]
-        if widest is None or size > 4 * (max(far["x"], far["y"], widest) + cell):
-            break
-        size *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    keys = list(keys)
+    spots = nodes.select(F.col("id").alias("n_id"), "x", "y", *keys, (F.coalesce("holder", F.lit(NOBODY)) if free else F.lit(NOBODY)).cast("long").alias("holder"))
+    if not free:  # of nodes at one place only the first counts
+        spots = spots.groupBy("x", "y", *keys).agg(F.min("n_id").alias("n_id"), F.max("holder").alias("holder"))
+    spots = spots.where("x is not null and y is not null")
+    ground = spots.select("n_id", F.col("x").alias("n_x"), F.col("y").alias("n_y"), *keys, "holder", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
+    d2 = (F.col("x") - F.col("n_x")) * (F.col("x") - F.col("n_x")) + (F.col("y") - F.col("n_y")) * (F.col("y") - F.col("n_y"))
+    best = F.min(F.struct(d2.alias("d2"), F.col("n_id").alias("node"))).alias("b")
+    open_ = F.col("holder") > F.col("id") if free else F.lit(True)
+    asked = points.select("id", "x", "y", *keys)
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))
+    near = asked.withColumn("gx", around("x")).withColumn("gy", around("y")).join(ground, [*keys, "gx", "gy"]).where(open_).groupBy("id").agg(best)
+    looked = keep(asked.join(near, "id", "left").select("id", "x", "y", *keys, "b.d2", "b.node"), "looked")
+    reach = float("inf") if within is None else within * within
+    sure = (F.col("d2") <= cell * cell) if within is None or within > cell else F.lit(True)
+    final = looked.where(sure).select(F.col("id").alias("point"), "node", "d2")
+    rest = looked.where(~F.coalesce(sure, F.lit(False))).where("x is not null and y is not null")
+    unplaced = looked.where("x is null or y is null").select(F.col("id").alias("point"), "node", "d2")
+    if rest.limit(1).count():
+        span = spots.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+        if span[0] is not None:
+            levels, lo, hi = 0, [int(span[i] // cell) for i in (0, 2)], [int(span[i] // cell) for i in (1, 3)]
+            while any((h >> STEP * levels) - (b >> STEP * levels) > 3 for b, h in zip(lo, hi)):
+                levels += 1
+            stones = keep(pyramid(spots, keys, cell, levels), "pyramid")
+            first = lambda i: F.explode(F.sequence(F.lit(lo[i] >> STEP * levels).cast("long"), F.lit(hi[i] >> STEP * levels).cast("long")))
+            at = rest.select("id", "x", "y", *keys, F.least(F.coalesce("d2", F.lit(float("inf"))), F.lit(reach)).alias("bound")).withColumn("ux", first(0)).withColumn("uy", first(1))
+            for level in range(levels, -1, -1):
+                own = stones.where(F.col("level") == level).drop("level")
+                if level < levels:
+                    own = own.withColumns({"ux": F.shiftright("gx", STEP), "uy": F.shiftright("gy", STEP)})
+                else:
+                    own = own.withColumns({"ux": F.col("gx"), "uy": F.col("gy")})
+                seen = at.join(own, [*keys, "ux", "uy"])
+                if free:
+                    seen = seen.where(F.col("latest") > F.col("id"))
+                gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+                most = lambda c: F.greatest(F.abs(F.col(f"{c}1") - F.col(c)), F.abs(F.col(c) - F.col(f"{c}0")))
+                seen = seen.withColumns({"least": gap("x") * gap("x") + gap("y") * gap("y"), "most": most("x") * most("x") + most("y") * most("y")})
+                seen = seen.where(F.col("least") <= F.col("bound"))
+                seen = seen.withColumn("bound", F.least("bound", F.min("most").over(Window.partitionBy("id")))).where(F.col("least") <= F.col("bound"))
+                at = seen.select("id", "x", "y", *keys, "bound", F.col("gx").alias("ux"), F.col("gy").alias("uy"))
+            met = at.select("id", "x", "y", *keys, F.col("ux").alias("gx"), F.col("uy").alias("gy")).join(ground, [*keys, "gx", "gy"]).where(open_)
+            met = met.where(d2 <= reach).groupBy("id").agg(best).select("id", "b.d2", "b.node")
+            # what the first look found is in the cells met, unless it is the best itself
+            rest = rest.select("id", F.col("d2").alias("d2_"), F.col("node").alias("node_")).join(met, "id", "left")
+            one = F.least(F.when(F.col("node").isNotNull(), F.struct("d2", "node")), F.when(F.col("node_").isNotNull(), F.struct(F.col("d2_").alias("d2"), F.col("node_").alias("node"))))
+            rest = rest.withColumn("o", one).select("id", F.col("o.d2").alias("d2"), F.col("o.node").alias("node"))
+        final = final.unionByName(rest.select(F.col("id").alias("point"), "node", "d2"))
+    out = final.unionByName(unplaced)
+    if within is not None:
+        far = F.col("d2") > reach
+        out = out.select("point", F.when(~far, F.col("node")).alias("node"), F.when(~far, F.col("d2")).alias("d2"))
+    return out if how == "left" else out.where("node is not null")
 
 
 def footprint_nodes(boxes: DataFrame, nodes: DataFrame, cell: float, slack: float = 1e-15, keys: Sequence[str] = ()) -> DataFrame:
     """(box, node): nodes of equal ``keys`` within each box (half sizes hx, hy around x, y), or the nearest one where
-    there is none."""
+    there is none; boxes for whose keys there is no node have a null."""
     area = boxes.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
     spots = nodes.withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y")})
     inside = grid_join(area, spots, cell, keys, margin=slack).select(F.col("a_id").alias("box"), F.col("b_id").alias("node"))
     bare = boxes.join(inside.select(F.col("box").alias("id")).distinct(), "id", "left_anti")
-    fallback = nearest(bare, nodes, cell, keys).select(F.col("point").alias("box"), "node")
+    fallback = nearest(bare, nodes, cell, keys, "left").select(F.col("point").alias("box"), "node")
     return inside.unionByName(fallback)
 
 
@@ -127,32 +179,45 @@ def map_solution(old: DataFrame, new: DataFrame, cell: float, quantum: float = 1
     return hit.join(near, "id", "left").select("id", F.coalesce("same", "near", F.lit(0.0)).alias("u"))
 
 
-def greedy_match(golden: DataFrame, found: DataFrame, by: Sequence[str] = (), max_distance: float | None = None) -> DataFrame:
+def spacing(df: DataFrame) -> float:
+    """A cell's side that holds about two of the places (x, y) if they are spread evenly."""
+    r = df.agg(F.count("*").alias("n"), *[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    if not r["n"] or r[1] is None:
+        return 1.0
+    w, h, n = r[2] - r[1], r[4] - r[3], max(1, r["n"] / 2)
+    return max((w * h / n) ** 0.5, max(w, h) / n, 1e-9)
+
+
+def greedy_match(golden: DataFrame, found: DataFrame, by: Sequence[str] = (), max_distance: float | None = None, cell: float | None = None) -> DataFrame:
     """(golden, found, d): each golden row, in id order, takes the nearest found row that is still free (of ties the
-    smallest id). The order matters, so a group of ``by`` is matched in one place; groups are independent."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"golden": [], "found": [], "d": []})
-        right = right.rename(columns=lambda c: c[1:]).sort_values("id", kind="stable")
-        xy, ids, free = right[["x", "y"]].to_numpy(), right["id"].to_numpy(), np.ones(len(right), bool)
-        out = []
-        for g in left.sort_values("id", kind="stable").itertuples():
-            if not free.any():
-                break
-            d = np.where(free, (xy[:, 0] - g.x) ** 2 + (xy[:, 1] - g.y) ** 2, np.inf)
-            k = int(d.argmin())
-            if max_distance is None or d[k] <= max_distance**2:
-                free[k] = False
-                out.append((g.id, ids[k], float(d[k]) ** 0.5))
-        return pd.DataFrame(out, columns=["golden", "found", "d"])
-
-    keys = list(by) or ["_all"]
-    if not by:
-        golden, found = golden.withColumn("_all", F.lit(0)), found.withColumn("_all", F.lit(0))
-    # both sides may come from one table; new names keep their columns apart
-    right = found.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "id", "x", "y")])
-    right = right.groupBy(*[f"_{k}" for k in keys])
-    return golden.select(*keys, "id", "x", "y").groupBy(*keys).cogroup(right).applyInPandas(run, "golden long, found long, d double")
+    smallest id), no farther than ``max_distance``; ids are unique, rows without a place match nothing.
+
+    The order is kept without one task that walks through it: in rounds, every golden row that has none asks for the nearest
+    found row that no smaller golden id holds; of those that ask for one found row the smallest id holds it, and who is
+    put off asks again. A row is never refused for a greater id, so what stands when nobody asks any more is what the
+    walk in order gives. Rounds end where displacements do: as many as the longest chain of golden rows that put each
+    other off, two or three if conflicts are local. A round's holdings are written to the shared folder."""
+    from ..storage import discard, keep
+
+    keys = list(by)
+    cell = cell or spacing(found)
+    place = lambda df: df.select("id", "x", "y", *keys).where("id is not null and x is not null and y is not null")
+    everyone, spots = place(golden), place(found)
+    held = None
+    asking = everyone
+    while True:
+        state = spots.withColumn("holder", F.lit(None).cast("long")) if held is None else spots.join(held.select(F.col("found").alias("id"), F.col("golden").alias("holder")), "id", "left")
+        asked = keep(nearest(asking, state, cell, keys, within=max_distance, free=True), "asked")
+        won = asked.groupBy("node").agg(F.min_by(F.struct("point", "d2"), "point").alias("w")).select(F.col("w.point").alias("golden"), F.col("node").alias("found"), F.col("w.d2").alias("d2"))
+        after = won if held is None else won.unionByName(held.join(won.select("found"), "found", "left_anti"))
+        after = keep(after, "held")
+        lost = asked.select(F.col("point").alias("golden"))
+        if held is not None:
+            lost = lost.unionByName(held.select("golden"))
+        again = keep(lost.join(after.select("golden"), "golden", "left_anti").select(F.col("golden").alias("id")), "again")
+        discard(asked), discard(held)
+        held = after
+        if not again.limit(1).count():
+            break
+        asking = everyone.join(again, "id")
+    return held.select("golden", "found", F.sqrt("d2").alias("d"))

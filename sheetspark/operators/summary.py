@@ -69,18 +69,19 @@ def terminal_component(devices: DataFrame, polygons: DataFrame, cell: float, key
 
 def leaf_of(vias: DataFrame, leaves: DataFrame, cell: float, keys: Sequence[str] = ()) -> DataFrame:
     """(via, leaf): the first leaf (id, x0..y1) that holds the via's middle (id, x, y), sides included, else the leaf
-    with the nearest middle."""
+    with the nearest middle; vias for whose keys there is no leaf have a null."""
     spots = vias.withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y")})
     inside = spatial.grid_join(spots, leaves, cell, keys).groupBy(F.col("a_id").alias("via")).agg(F.min("b_id").alias("leaf"))
     inside = keep(inside, "inside")
     middles = leaves.select("id", *keys, ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     bare = vias.join(inside.select(F.col("via").alias("id")), "id", "left_anti")
-    return inside.unionByName(spatial.nearest(bare, middles, cell, keys).select(F.col("point").alias("via"), F.col("node").alias("leaf")))
+    return inside.unionByName(spatial.nearest(bare, middles, cell, keys, "left").select(F.col("point").alias("via"), F.col("node").alias("leaf")))
 
 
 def nearest_links(vias: DataFrame, links: DataFrame, cell: float) -> DataFrame:
-    """(via, link): the solved link (id, x, y) that is nearest to a via's middle (id, x, y); of ties the first id."""
-    return spatial.nearest(vias, links, cell).select(F.col("point").alias("via"), F.col("node").alias("link"))
+    """(via, link): the solved link (id, x, y) that is nearest to a via's middle (id, x, y); of ties the first id; null
+    where there is no link at all."""
+    return spatial.nearest(vias, links, cell, how="left").select(F.col("point").alias("via"), F.col("node").alias("link"))
 
 
 def terminal_ranges(terminals: DataFrame, nodes: DataFrame, potentials: DataFrame) -> DataFrame:

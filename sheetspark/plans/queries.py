@@ -129,6 +129,15 @@ def db_unit_infer(spark, d):
     return devices.infer_db_unit(m, 1e-7).select("n", F.round("unit", 12).alias("unit"))
 
 
+@query("""WITH v AS (SELECT exp(40 * (l_extendedprice * l_discount / 10000 - 0.4e0)) * (1 + l_orderkey % 7) AS v FROM lineitem WHERE l_quantity > 1),
+s AS (SELECT v, row_number() OVER (ORDER BY v) AS k, count(*) OVER () AS n FROM v) SELECT n, round(ln(v), 9) AS log_median FROM s WHERE k = n // 2 + 1""")
+def spread_median(spark, d):
+    """The upper median of values over many orders of magnitude."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 1")
+    v = line.select((F.exp(40 * (F.col("l_extendedprice") * F.col("l_discount") / 10000 - 0.4)) * (1 + F.col("l_orderkey") % 7)).alias("v"))
+    return devices.upper_median(v, "v").select("n", F.round(F.ln("median"), 9).alias("log_median"))
+
+
 @query("SELECT layer, min(power) AS low, max(power) AS high, count(*) AS n FROM f_pts GROUP BY layer", "f_pts")
 def layer_ranges(spark, d):
     return view(spark, d, "f_pts").groupBy("layer").agg(F.min("power").alias("low"), F.max("power").alias("high"), F.count("*").alias("n"))
@@ -222,13 +231,14 @@ def port_point_in_polygon(spark, d):
     return spatial.first_containing(view(spark, d, "f_pts"), view(spark, d, "f_rect"), CELL)
 
 
-@query("""WITH n AS (SELECT layer * 1000 + ix * 25 + iy AS id, x, y FROM f_grid WHERE layer = 0), p AS (SELECT id, x * 0.5e0 AS x, y * 0.5e0 AS y FROM f_pts)
+@query("""WITH n AS (SELECT layer, layer * 1000 + ix * 25 + iy AS id, x, y FROM f_grid), p AS (SELECT id, id % 6 AS layer, x * 0.5e0 AS x, y * 0.5e0 AS y FROM f_pts)
 SELECT p.id AS point, arg_min(n.id, {'d': (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y), 'i': n.id}) AS node,
- min((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) AS d2 FROM p CROSS JOIN n GROUP BY p.id""", "f_grid", "f_pts")
+ min((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) AS d2 FROM p LEFT JOIN n ON p.layer = n.layer GROUP BY p.id""", "f_grid", "f_pts")
 def nearest_node(spark, d):
-    n = view(spark, d, "f_grid").where("layer = 0").select((F.col("layer") * 1000 + F.col("ix") * 25 + F.col("iy")).alias("id"), "x", "y")
-    p = view(spark, d, "f_pts").select("id", (F.col("x") * 0.5).alias("x"), (F.col("y") * 0.5).alias("y"))
-    return spatial.nearest(p, n, 32.0)
+    """The nearest node of a point's layer; the sixth layer has no nodes."""
+    n = view(spark, d, "f_grid").select("layer", (F.col("layer") * 1000 + F.col("ix") * 25 + F.col("iy")).alias("id"), "x", "y")
+    p = view(spark, d, "f_pts").select("id", (F.col("id") % 6).alias("layer"), (F.col("x") * 0.5).alias("x"), (F.col("y") * 0.5).alias("y"))
+    return spatial.nearest(p, n, 32.0, ["layer"], "left")
 
 
 @query("""WITH n AS (SELECT ix * 25 + iy AS id, x, y FROM f_grid WHERE layer = 0), v AS (SELECT id, x, CAST(y % 60 AS DOUBLE) AS y FROM f_via),
@@ -255,6 +265,20 @@ def greedy_match(spark, d):
     return spatial.greedy_match(g, s, ["template"], 5.0).select("golden", "found", tidy(F.col("d")).alias("d"))
 
 
+@query("""WITH RECURSIVE f AS (SELECT id, x / 2 + 7 AS x, y / 2 + 3 AS y FROM f_seed WHERE id % 2 = 1), g AS (SELECT id, x / 2 AS x, y / 2 AS y, row_number() OVER (ORDER BY id) AS k FROM f_seed),
+c AS (SELECT g.k, g.id AS golden, f.id AS found, (g.x - f.x) * (g.x - f.x) + (g.y - f.y) * (g.y - f.y) AS d2 FROM g JOIN f ON (g.x - f.x) * (g.x - f.x) + (g.y - f.y) * (g.y - f.y) <= 3600),
+m(k, golden, found, d2, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS BIGINT[])
+ UNION ALL SELECT m.k + 1, any_value(c.golden), arg_min(c.found, {'d': c.d2, 'f': c.found}), min(c.d2), list_append(any_value(m.used), coalesce(arg_min(c.found, {'d': c.d2, 'f': c.found}), -1))
+ FROM m LEFT JOIN c ON c.k = m.k + 1 AND NOT list_contains(m.used, c.found) WHERE m.k < (SELECT count(*) FROM g) GROUP BY m.k)
+SELECT golden, found, round(sqrt(d2), 6) AS d FROM m WHERE golden IS NOT NULL""", "f_seed")
+def greedy_match_conflicts(spark, d):
+    """Two golden rows for each found one, over the whole table at once."""
+    s = view(spark, d, "f_seed")
+    g = s.select("id", (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"))
+    f = s.where("id % 2 = 1").select("id", (F.col("x") / 2 + 7).alias("x"), (F.col("y") / 2 + 3).alias("y"))
+    return spatial.greedy_match(g, f, max_distance=60.0).select("golden", "found", tidy(F.col("d")).alias("d"))
+
+
 @query("SELECT 'missing' AS side, id FROM f_seed WHERE id % 10 = 0 UNION ALL SELECT 'extra' AS side, id FROM f_seed WHERE id % 10 = 1", "f_seed")
 def match_leftovers(spark, d):
     s = view(spark, d, "f_seed")

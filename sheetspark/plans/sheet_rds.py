@@ -99,7 +99,7 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     ends = []
     for side in ("bottom", "top"):
         feet = grouped.select("id", F.col(side).alias("physical"), "component", "x", "y", "hx", "hy")
-        ends.append(spatial.footprint_nodes(feet, spots, grid, 1e-12, ["physical", "component"]).withColumnRenamed("box", "via"))
+        ends.append(spatial.footprint_nodes(feet, spots, grid, 1e-12, ["physical", "component"]).where("node is not null").withColumnRenamed("box", "via"))
     via = network.via_edges(grouped.select(F.col("id").alias("via"), "r"), ends[0], ends[1]).select("a", "b", "g", F.lit("vias").alias("layer"))
     at = lambda k: nodes.select(F.col("node").alias(k), F.col("physical").alias(f"p_{k}"))
     one_layer = F.when(F.col("p_a") == F.col("p_b"), F.col("p_a")).otherwise("vias")
@@ -110,7 +110,7 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     edges = keep(edges.unionByName(merged), "edges")
     pins = terminals.withColumn("id", F.xxhash64("name"))
     at = _held(pins, parts, component, nodes, grid)
-    fixed = at.join(pins.select(F.col("id").alias("box"), "name", "voltage"), "box").select("name", "voltage", "node")
+    fixed = at.where("node is not null").join(pins.select(F.col("id").alias("box"), "name", "voltage"), "box").select("name", "voltage", "node")
     return Network(nodes, edges, keep(fixed, "terminals"))
 
 

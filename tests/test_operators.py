@@ -40,6 +40,16 @@ def test_distributed_solver_agrees_with_local_one(spark):
     assert far.keys() == near.keys() and all(abs(far[k] - near[k]) < 1e-8 for k in far)
 
 
+def test_solvers_refuse_to_stop_early(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "a long, b long, g double")
+    f = spark.createDataFrame([(0, 1.0), (40, 0.0)], "node long, value double")
+    with pytest.raises(ValueError, match="did not converge"):
+        solve.distributed_cg(e, f, most=8)
+    assert {r.node: r.u for r in solve.distributed_cg(e, f).collect()}[20] == pytest.approx(0.5, abs=1e-10)
+    flat = f.withColumn("value", F.lit(0.0))
+    assert all(r.u == 0 for r in solve.distributed_cg(e, flat).collect())
+
+
 def test_pcg_and_incomplete_cholesky():
     n = 30
     i = np.concatenate([np.arange(n), np.arange(n - 1), np.arange(1, n)])
