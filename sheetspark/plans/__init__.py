@@ -1,2 +1,2 @@
 """Queries over the tables and end-to-end plans."""
-from . import queries, reports  # noqa: F401  (reports registers its queries beside those of queries)
+from . import queries, reports, shapes  # noqa: F401  (both register their queries beside those of queries)

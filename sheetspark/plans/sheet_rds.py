@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox
-from ..operators import closure, devices, fields, network, rects, solve, spatial, summary
+from ..functions.geometry import bbox, is_rectilinear
+from ..operators import closure, devices, fields, network, rects, rings, solve, spatial, summary
 from ..storage import keep
 
 
@@ -33,10 +33,22 @@ def pieces(polygons: DataFrame) -> DataFrame:
     return parts.join(polygons.select("id", "logical", "physical"), "id").select("id", "logical", "physical", *spatial.BOX)
 
 
-def met(parts: DataFrame, cell: float) -> DataFrame:
+def met(parts: DataFrame, cell: float, polygons: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: polygons of which rectangles overlap or touch within a logical layer. Boxes of whole polygons would
-    join what only interlocks."""
-    return spatial.overlap_pairs(parts.select("id", F.col("logical").alias("layer"), *spatial.BOX), cell).distinct()
+    join what only interlocks. The rectangles of slanted polygons are steps; with ``polygons`` at hand, pairs that one of
+    them belongs to are tested by their rings."""
+    steps = spatial.overlap_pairs(parts.select("id", F.col("logical").alias("layer"), *spatial.BOX), cell).distinct()
+    if polygons is None:
+        return steps
+    slanted = polygons.where(~is_rectilinear(F.col("points"))).select("id")
+    if not slanted.limit(1).count():
+        return steps
+    edges = keep(rings.edges_of(polygons.withColumnRenamed("logical", "layer"), ["layer"]), "ring_edges")
+    boxes = keep(rings.extents(edges, ["layer"]).join(slanted.withColumn("slanted", F.lit(True)), "id", "left"), "ring_boxes")
+    near = spatial.grid_join(boxes, boxes, cell, ["layer"], margin=rings.TOUCH).where("a_id < b_id and (a_slanted or b_slanted)")
+    exact = rings.connected(edges, cell, pairs=near)
+    either = steps.join(slanted.withColumnRenamed("id", "a"), "a", "left_anti").join(slanted.withColumnRenamed("id", "b"), "b", "left_anti")
+    return either.unionByName(exact)
 
 
 def landings(parts: DataFrame, vias: DataFrame, cell: float) -> DataFrame:
@@ -58,7 +70,7 @@ def nets(polygons: DataFrame, vias: DataFrame, cell: float, same: DataFrame | No
     :func:`met` and :func:`landings`, if known."""
     if same is None or landed is None:
         parts = keep(pieces(polygons), "pieces")
-        same = met(parts, cell) if same is None else same
+        same = met(parts, cell, polygons) if same is None else same
         landed = landings(parts, vias, cell) if landed is None else landed
     joined = landed.groupBy("via").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
     names = closure.components(same.unionByName(joined)).withColumnRenamed("node", "id")
@@ -85,7 +97,7 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     flat = keep(polygons.withColumn("b", box).select("id", "logical", "physical", "points", "r_sheet", F.col("b.min_x").alias("x0"), F.col("b.min_y").alias("y0"), F.col("b.max_x").alias("x1"), F.col("b.max_y").alias("y1")), "polygons")
     feet = vias.withColumns({"x0": F.col("x") - F.col("hx"), "y0": F.col("y") - F.col("hy"), "x1": F.col("x") + F.col("hx"), "y1": F.col("y") + F.col("hy")})
     parts = keep(pieces(flat), "pieces")
-    same = keep(met(parts, grid), "met")
+    same = keep(met(parts, grid, flat), "met")
     landed = keep(landings(parts, feet, grid), "landed")
     component = keep(nets(flat, feet, grid, same, landed), "nets")
     told = parts.drop("logical").join(flat.select("id", "r_sheet"), "id").join(component, "id")
