@@ -559,12 +559,38 @@ def quad_refine_levels(spark, d):
     return leaves.groupBy(F.col("poly").alias("id"), "level").agg(F.count("*").alias("cells"))
 
 
-@query()
+def _graded(corner: str) -> str:
+    """Leaves by level where the lower left cell of every rectangle is split four times towards a corner, then balanced:
+    where a cell is split, its four neighbours' parents are split too."""
+    seeds = ", ".join(f"({k}, {2 ** k - 1 if corner == 'upper' else 0})" for k in range(4))
+    return f"""WITH RECURSIVE n AS (SELECT id AS poly, least(greatest(CAST(ceil((x1 - x0) / 5 * (1 - 1e-12)) AS BIGINT), 1), 30) AS nx, least(greatest(CAST(ceil((y1 - y0) / 5 * (1 - 1e-12)) AS BIGINT), 1), 30) AS ny FROM f_rect),
+i(poly, level, ix, iy) AS (SELECT poly, CAST(l AS INTEGER), CAST(p AS BIGINT), CAST(p AS BIGINT) FROM n CROSS JOIN (VALUES {seeds}) s(l, p)
+ UNION SELECT i.poly, i.level - 1, (ix + dx) >> 1, (iy + dy) >> 1 FROM i JOIN n ON i.poly = n.poly CROSS JOIN (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)
+ WHERE level > 0 AND ix + dx BETWEEN 0 AND (nx << level) - 1 AND iy + dy BETWEEN 0 AND (ny << level) - 1),
+c AS (SELECT level, count(*) AS k FROM i GROUP BY level), t AS (SELECT 0 AS level, (SELECT sum(nx * ny) FROM n) AS k UNION ALL SELECT level + 1, 4 * k FROM c)
+SELECT CAST(t.level AS INTEGER) AS level, CAST(t.k - coalesce(c.k, 0) AS BIGINT) AS n FROM t LEFT JOIN c ON t.level = c.level"""
+
+
+@query(_graded("lower"), "f_rect")
 def quad_balance(spark, d):
     """Every rectangle's lower left cell refined four times towards the corner, then balanced: leaves by level."""
     return balanced(view(spark, d, "f_rect").select("id", *spatial.BOX)).groupBy("level").agg(F.count("*").alias("n"))
 
 
+@query(_graded("upper"), "f_rect")
+def quad_balance_inner(spark, d):
+    """The same towards the cell's upper right corner, so that the cells beside it have to follow."""
+    from ..operators import lattice
+    from ..storage import keep
+
+    lat = keep(lattice.lattices(view(spark, d, "f_rect"), 5.0), "lattices")
+    leaves = lattice.base(lat)
+    for k in range(4):
+        last = F.lit(2**k - 1)
+        leaves = keep(lattice.split(leaves, leaves.where((F.col("level") == k) & (F.col("ix") == last) & (F.col("iy") == last)), 4), "corner")
+    return lattice.balanced(leaves, lat, 4).groupBy("level").agg(F.count("*").alias("n"))
+
+
 def balanced(r):
     """The balanced leaves of rectangles (id, x0, y0, x1, y1)."""
     from ..storage import keep
