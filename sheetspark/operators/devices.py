@@ -201,8 +201,21 @@ def conductors_by_height(conductors: DataFrame) -> DataFrame:
     return conductors.orderBy(F.col("height").asc_nulls_first(), "ord")
 
 
+#: Fixed beginnings and parts of the names of layers that mark something and are no conductors.
+MARKER_STARTS, MARKER_PARTS = ("seed_", "BLOCK_"), ("_prop", "marker", "drawing")
+
+
+def is_marker(logical: Column, starts: tuple[str, ...] = MARKER_STARTS, parts: tuple[str, ...] = MARKER_PARTS) -> Column:
+    """Whether a logical layer is a marker."""
+    out = F.lit(False)
+    for s in starts:
+        out = out | logical.startswith(s)
+    for s in parts:
+        out = out | logical.contains(s)
+    return out
+
+
 def assembly_report(shapes: DataFrame) -> DataFrame:
     """(reason, layer, n) of shapes that do not become solids: marker layers, layers without technology or height."""
-    marker = F.col("logical").startswith("seed_") | F.col("logical").startswith("BLOCK_") | F.col("logical").contains("_prop") | F.col("logical").contains("marker") | F.col("logical").contains("drawing")
-    reason = F.when(F.col("logical").isNull(), "unnamed").when(marker, "marker").when(F.col("physical").isNull(), "unmatched").when(F.col("z0").isNull(), "no height")
+    reason = F.when(F.col("logical").isNull(), "unnamed").when(is_marker(F.col("logical")), "marker").when(F.col("physical").isNull(), "unmatched").when(F.col("z0").isNull(), "no height")
     return shapes.withColumn("reason", reason).where("reason is not null").groupBy("reason", "layer").agg(F.count("*").alias("n"))

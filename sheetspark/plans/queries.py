@@ -84,9 +84,7 @@ _MARK = "(layer LIKE 'PROMO%' OR contains(layer, 'PLATED') OR contains(layer, 'B
 
 @query(f"SELECT layer, count(*) AS n FROM f_rect WHERE NOT {_MARK} GROUP BY layer", "f_rect")
 def marker_filter(spark, d):
-    layer = F.col("layer")
-    marker = layer.startswith("PROMO") | layer.contains("PLATED") | layer.contains("BRUSHED")
-    return view(spark, d, "f_rect").where(~marker).groupBy("layer").agg(F.count("*").alias("n"))
+    return view(spark, d, "f_rect").where(~devices.is_marker(F.col("layer"), ("PROMO",), ("PLATED", "BRUSHED"))).groupBy("layer").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT s.id, CASE WHEN s.id % 7 = 0 THEN NULL ELSE coalesce(m.physical, v.physical) END AS physical,

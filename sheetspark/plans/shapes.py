@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view
 from ..functions import geometry as geo
-from ..operators import closure, rings
+from ..operators import closure, model, rings
 from . import sheet_rds
 from .queries import CELL, query
 
@@ -68,3 +68,41 @@ def triangle_links(spark, d):
     """Pairs of triangles of a layer that meet at the middle of their common heights."""
     t = shapes(spark, d).where("kind > 1")
     return rings.connected(rings.edges_of(t, ["layer"]), CELL)
+
+
+_KINDS = "SELECT id, layer, id % 5 AS kind, x1 - x0 AS w, y1 - y0 + 4 AS h, CASE WHEN layer LIKE 'S%' THEN 2e0 ELSE 4e0 END AS c FROM f_rect"
+
+
+@query(f"""WITH k AS ({_KINDS}), n AS (SELECT *, greatest(CAST(ceil(w / c * (1 - 1e-12)) AS BIGINT), 1) * greatest(CAST(ceil(h / c * (1 - 1e-12)) AS BIGINT), 1) * 2 AS hexes FROM k)
+SELECT id, CASE kind WHEN 0 THEN hexes WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END AS elements,
+ CASE kind WHEN 0 THEN round(3 * w * h, 6) WHEN 1 THEN round(3 * (w + w / 4 * (h - 1)), 6) WHEN 2 THEN round(3 * w * h / 2, 6) END AS volume,
+ CASE kind WHEN 3 THEN 'ring has fewer than three points' WHEN 4 THEN 'box has no volume' END AS error FROM n""", "f_rect")
+def mesh_model(spark, d):
+    """Boxes, L shapes and triangles as solids 3 high, among them rings of two points and boxes without height: the elements
+    and volume of each, or why it has none."""
+    s = view(spark, d, "f_rect").withColumns({"y1": F.col("y1") + 4, "k": F.col("id") % 5})
+    x, y, u, v, p = F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), geo.point
+    w = (u - x) / 4
+    bend = F.array(p(x, y), p(u, y), p(u, y + 1), p(x + w, y + 1), p(x + w, v), p(x, v))
+    ring = F.when(F.col("k") == 1, bend).when(F.col("k") == 2, F.array(p(x, y), p(u, y), p(x, v))).when(F.col("k") == 3, F.array(p(x, y), p(u, v)))
+    ring = ring.otherwise(geo.rect_ring(x, y, u, v))
+    regions = s.select("id", "layer", F.when(F.col("k").isin(0, 4), "box").otherwise("prism").alias("kind"), ring.alias("points"), F.lit(0.0).alias("z0"), F.when(F.col("k") == 4, 0.0).otherwise(3.0).alias("z1"))
+    sizes = {r.layer: (2.0, 1.5) for r in s.where("layer like 'S%'").select("layer").distinct().collect()}  # a row for each layer
+    made = model.mesh(regions, 4.0, 1.5, sizes)
+    return made.groupBy("id").agg(F.count("points").alias("elements"), F.round(F.sum(model.volume(F.col("points"), F.col("kind"))), 6).alias("volume"), F.max("error").alias("error"))
+
+
+@query("""WITH p AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN concat('seed_', layer) ELSE layer END AS logical FROM f_rect),
+r AS (SELECT CASE WHEN logical IS NULL THEN 'unnamed' WHEN logical LIKE 'seed_%' THEN 'marker' WHEN NOT (logical LIKE 'S%' OR logical LIKE 'P%') THEN 'unmatched' WHEN logical LIKE 'P%' THEN 'no height'
+ WHEN id % 3 = 0 THEN 'prism' ELSE 'box' END AS what, logical FROM p)
+SELECT what, CASE WHEN what IN ('box', 'prism') THEN 'metal' WHEN what = 'no height' THEN 'poly' ELSE coalesce(logical, '') END AS layer, count(*) AS n FROM r GROUP BY 1, 2""", "f_rect")
+def stack_assembly(spark, d):
+    """All boxes, a third with a corner cut off, as solids of a stack of two layers, one of them without a height."""
+    r = view(spark, d, "f_rect")
+    logical = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 7 == 0, F.concat(F.lit("seed_"), "layer")).otherwise(F.col("layer"))
+    whole = geo.rect_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    shapes_ = r.select("id", logical.alias("logical"), F.lit(None).cast("string").alias("net"), F.when(F.col("id") % 3 == 0, F.slice(whole, 1, 3)).otherwise(F.slice(whole, 1, 4)).alias("points"))
+    names = r.select(F.col("layer").alias("logical")).distinct()
+    to = names.where("logical like 'S%' or logical like 'P%'").select("logical", F.when(F.col("logical").startswith("S"), "metal").otherwise("poly").alias("physical"))
+    z = spark.createDataFrame([("metal", 1.0, 2.0, 1), ("poly", 3.0, 3.0, 2)], "physical string, z0 double, z1 double, material int")
+    return model.assembly_counts(model.assemble(shapes_, to, z))
