@@ -103,6 +103,17 @@ def channel_resistance(points: DataFrame, table: DataFrame, w_ref: float, w_eff:
     return at.select("id", r_device(r_on(F.col("vds"), F.col("current")), F.lit(w_ref), w_eff).alias("r"))
 
 
+def physical_layers(shapes: DataFrame, conducting: DataFrame, vias: DataFrame) -> DataFrame:
+    """``shapes`` (logical, contact, ..., a contact layer of their own or null) with ``physical``, the conducting layer of
+    their logical one (logical, physical), else its via layer, and ``contact``, their own one, else that, else the logical
+    name itself. Maps have a row for each logical layer."""
+    m = conducting.select("logical", F.col("physical").alias("_conducting"))
+    v = vias.select("logical", F.col("physical").alias("_via"))
+    j = shapes.join(m, "logical", "left").join(v, "logical", "left")
+    physical = F.coalesce("_conducting", "_via")
+    return j.withColumns({"physical": physical, "contact": F.coalesce("contact", physical, "logical")}).drop("_conducting", "_via")
+
+
 def recognise(polygons: DataFrame, layers: DataFrame, templates: DataFrame) -> DataFrame:
     """Seed polygons become devices: polygons(id, layer, x0, y0, x1, y1, name) on the seed layer of a template
     (template, kind, seed), by layer name. Seeds under 1e-14 square metres go; a device without an axis has half the

@@ -8,9 +8,11 @@ is one task's whatever its size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, keep
@@ -208,3 +210,19 @@ def distributed_cg(edges: DataFrame, fixed: DataFrame, tol: float = TOLERANCE, m
         raise ValueError("conjugate gradients did not converge")
     discard(entries), discard(a)
     return state.select(F.col("i").alias("node"), F.col("x").alias("u")).unionByName(hold.select(F.col("i").alias("node"), F.col("value").alias("u")))
+
+
+def sweep(edges: DataFrame, drains: DataFrame, sources: DataFrame, gates: list[float], conductance: Callable[[Column], Column], key: str = "key") -> DataFrame:
+    """(key, vgs, r): the resistance of networks (key, a, b, g) between ``sources(key, node)`` at 1 V and ground, which they
+    reach from ``drains(key, node)`` through a channel whose conductance is a function of the gate voltage; all voltages
+    are solved at once, each as a network of its own."""
+    at = F.explode(F.array(*[F.lit(float(v) + 0.0) for v in gates]))
+    ground = F.lit(-1).cast("long")
+    of = lambda df: df.withColumn("vgs", at)
+    channel = of(drains).select(key, "vgs", F.col("node").alias("a"), ground.alias("b"), conductance(F.col("vgs")).alias("g"))
+    every = of(edges.select(key, "a", "b", "g")).unionByName(channel)
+    held = of(sources).select(key, "vgs", "node", F.lit(1.0).alias("value")).unionByName(of(drains).select(key, "vgs", ground.alias("node"), F.lit(0.0).alias("value")).distinct())
+    flat = lambda df, *c: df.select(F.concat(F.col(key).cast("string"), F.lit("\0"), F.col("vgs").cast("string")).alias("_k"), *c)
+    names = every.select(key, "vgs").distinct()
+    r = resistance(flat(every, "a", "b", "g"), flat(held, "node", "value"), "_k")
+    return flat(names, key, "vgs").join(r, "_k").select(key, "vgs", "r")

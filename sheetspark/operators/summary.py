@@ -163,3 +163,30 @@ def resistance_report(power: DataFrame, currents: DataFrame, resistance: float)
     lines += [f"{r['layer']:<16}{r['power']:>16.6e}{r['share']:>12.3f}" for r in layers]
     lines += [f"{'total':<16}{sum(r['power'] for r in layers):>16.6e}", "", f"{'terminal':<16}{'current A':>16}"]
     return "\n".join([*lines, *(f"{r['name']:<16}{r['i']:>16.6e}" for r in currents.orderBy("name").collect())]) + "\n"
+
+
+def stack_problems(layers: DataFrame, vias: DataFrame) -> DataFrame:
+    """(problem, item) of a stack of layers (id) and vias (item, a, b): "unknown layer" and "same layer" name the via,
+    "untouched" a layer that no via names, and "separate" the first layer of each group, if the vias that join two known
+    layers leave more than one group of layers, a layer by itself being one."""
+    from .closure import components
+
+    ends = vias.select("item", F.explode(F.array("a", "b")).alias("id"))
+    unknown = ends.join(layers, "id", "left_anti").select("item").distinct().select(F.lit("unknown layer").alias("problem"), "item")
+    same = vias.where("a = b").select(F.lit("same layer").alias("problem"), "item")
+    bare = layers.join(ends, "id", "left_anti").select(F.lit("untouched").alias("problem"), F.col("id").alias("item"))
+    known = vias.where("a <> b").join(layers.withColumnRenamed("id", "a"), "a", "left_semi").join(layers.withColumnRenamed("id", "b"), "b", "left_semi")
+    names = components(known.select("a", "b")).withColumnRenamed("node", "id")
+    groups = keep(layers.join(names, "id", "left").select(F.coalesce("component", "id").alias("item")).distinct(), "groups")
+    apart = groups.join(groups.agg((F.count("*") > 1).alias("many")), F.col("many")).select(F.lit("separate").alias("problem"), "item")
+    return unknown.unionByName(same).unionByName(bare).unionByName(apart)
+
+
+def by_kind(devices: DataFrame, kind: str = "template", width: str = "w") -> DataFrame:
+    """(kind, n, total_w, first_name): devices (id, name, kind, width) of each kind."""
+    return devices.groupBy(kind).agg(F.count("*").alias("n"), F.sum(width).alias("total_w"), F.min_by("name", "id").alias("first_name"))
+
+
+def ranges(values: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, low, high, n) of the values in each group."""
+    return values.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"))

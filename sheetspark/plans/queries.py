@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import sql, view
 from ..functions import geometry as geo
 from ..functions import physics as phy
-from ..operators import closure, devices, fields, network, quadtree, rects, solve, spatial
+from ..operators import closure, devices, fields, network, quadtree, rects, solve, spatial, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,12 +93,10 @@ FROM f_seed s LEFT JOIN (VALUES ('BUILDING', 'M1'), ('MACHINERY', 'M2')) m(logic
 LEFT JOIN (VALUES ('FURNITURE', 'V1'), ('MACHINERY', 'V2')) v(logical, physical) ON v.logical = s.template AND s.id % 7 <> 0""", "f_seed")
 def layer_resolution(spark, d):
     s = view(spark, d, "f_seed")
-    m = spark.createDataFrame([("BUILDING", "M1"), ("MACHINERY", "M2")], "logical string, conducting string")
-    v = spark.createDataFrame([("FURNITURE", "V1"), ("MACHINERY", "V2")], "logical string, via string")
-    named = s.withColumn("logical", F.when(F.col("id") % 7 != 0, F.col("template")))
-    j = named.join(F.broadcast(m), "logical", "left").join(F.broadcast(v), "logical", "left")  # literal tables of two rows
-    own = F.when(F.col("id") % 5 == 0, "own")
-    return j.select("id", F.coalesce("conducting", "via").alias("physical"), F.coalesce(own, "conducting", "via", "template").alias("contact"))
+    m = spark.createDataFrame([("BUILDING", "M1"), ("MACHINERY", "M2")], "logical string, physical string")
+    v = spark.createDataFrame([("FURNITURE", "V1"), ("MACHINERY", "V2")], "logical string, physical string")
+    named = s.select("id", "template", F.when(F.col("id") % 7 != 0, F.col("template")).alias("logical"), F.when(F.col("id") % 5 == 0, "own").alias("contact"))
+    return devices.physical_layers(named, m, v).select("id", "physical", F.coalesce("contact", "template").alias("contact"))
 
 
 @query("SELECT id, 1 + 0.25e0 * (r - 5) + 0.125e0 * (r - 5) * (r - 5) AS factor FROM f_via", "f_via")
@@ -117,7 +115,7 @@ def via_resistance_scaled(spark, d):
 
 @query("""SELECT template, count(*) AS n, sum(w) AS total_w, arg_min(name, id) AS first_name FROM f_seed GROUP BY template""", "f_seed")
 def device_summary(spark, d):
-    return view(spark, d, "f_seed").groupBy("template").agg(F.count("*").alias("n"), F.sum("w").alias("total_w"), F.min_by("name", "id").alias("first_name"))
+    return summary.by_kind(view(spark, d, "f_seed"))
 
 
 @query("""WITH v AS (SELECT id, CAST(r * 1e-7 / 0.5e0 AS DOUBLE) AS ratio FROM f_via), s AS (SELECT ratio, row_number() OVER (ORDER BY ratio) AS k, count(*) OVER () AS n FROM v)
@@ -138,7 +136,7 @@ def spread_median(spark, d):
 
 @query("SELECT layer, min(power) AS low, max(power) AS high, count(*) AS n FROM f_pts GROUP BY layer", "f_pts")
 def layer_ranges(spark, d):
-    return view(spark, d, "f_pts").groupBy("layer").agg(F.min("power").alias("low"), F.max("power").alias("high"), F.count("*").alias("n"))
+    return summary.ranges(view(spark, d, "f_pts"), "layer", "power")
 
 
 @query("""WITH b AS (SELECT layer, min(power) AS low, max(power) AS high FROM f_pts GROUP BY layer)
@@ -429,7 +427,7 @@ SELECT layer, least(a, b) AS a, greatest(a, b) AS b FROM e GROUP BY ALL""", "f_g
 def edge_dedup(spark, d):
     g = view(spark, d, "f_grid").where("ix < 24").select("layer", (F.col("ix") * 25 + F.col("iy")).alias("a"), ((F.col("ix") + 1) * 25 + F.col("iy")).alias("b"))
     both = g.unionByName(g.select("layer", F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.select("layer", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return network.undirected(both, "layer")
 
 
 def _chain(spark, d):
@@ -538,15 +536,9 @@ FROM t CROSS JOIN (VALUES (0e0), (-0.5e0), (-1e0), (-1.5e0), (-2e0), (-2.5e0)) v
 def vgs_sweep(spark, d):
     """Each chain in series with a channel whose resistance falls with the gate voltage, at six voltages at once."""
     edges, ends = _chain(spark, d)
-    gates = F.explode(F.array(*[F.lit(-0.5 * k) for k in range(6)]))
-    e = edges.select("chain", "a", "b", "g").withColumn("vgs", gates)
-    last = ends.where("value = 0").withColumn("vgs", gates)
-    channel = last.select("chain", F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), ((1 - F.col("vgs")) / 100).alias("g"), "vgs")
-    key = F.concat("chain", F.lit("|"), F.col("vgs").cast("string"))
-    edges = e.unionByName(channel).withColumn("key", key)
-    at = ends.where("value = 1").withColumn("vgs", gates).select("chain", "vgs", "node", "value").unionByName(last.select("chain", "vgs", F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("value"))).withColumn("key", key)
-    r = solve.resistance(edges.select("key", "a", "b", "g"), at, "key")
-    return r.select(F.split("key", "[|]")[0].alias("chain"), F.round(F.split("key", "[|]")[1].cast("double"), 1).alias("vgs"), tidy(F.col("r"), 4).alias("r"))
+    at = lambda v: ends.where(F.col("value") == v).select("chain", "node")
+    r = solve.sweep(edges, at(0.0), at(1.0), [-0.5 * k for k in range(6)], lambda vgs: (1 - vgs) / 100, "chain")
+    return r.select("chain", F.round("vgs", 1).alias("vgs"), tidy(F.col("r"), 4).alias("r"))
 
 
 @query("""SELECT r.id, greatest(nx, 1) * greatest(ny, 1) * 16 AS cells, CAST(2 AS INTEGER) AS level FROM (SELECT id, CAST(ceil((x1 - x0) / 5 * (1 - 1e-12)) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 5 * (1 - 1e-12)) AS BIGINT) AS ny FROM f_rect) r""", "f_rect")
@@ -772,12 +764,7 @@ def stack_connectivity_check(spark, d):
     """Vias of a stack against its layers: ends that don't exist, ends that are equal, layers that no via meets."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     v = o.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 40).alias("a"), (F.col("o_custkey") % 40).alias("b"))
-    layers = spark.range(30)
-    ends = v.select("item", F.explode(F.array("a", "b")).alias("id"))
-    unknown = ends.join(layers, "id", "left_anti").select("item").distinct().select(F.lit("unknown layer").alias("problem"), "item")
-    same = v.where("a = b").select(F.lit("same layer").alias("problem"), "item")
-    bare = layers.join(ends, "id", "left_anti").select(F.lit("untouched").alias("problem"), F.col("id").alias("item"))
-    return unknown.unionByName(same).unionByName(bare)
+    return summary.stack_problems(spark.range(30), v).where("problem <> 'separate'")
 
 
 @query("""WITH t AS (SELECT chain, sum(r) AS total FROM f_chain GROUP BY chain) SELECT chain, round(total + 20, 4) AS r FROM t""", "f_chain")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import view
-from ..operators import summary
+from ..functions import geometry as geo
+from ..operators import export, rects, summary
 from .queries import CELL, _drops, query, tidy
 
 
@@ -109,3 +110,65 @@ def layer_files(spark, d):
     r = view(spark, d, "f_rect").withColumnRenamed("layer", "physical")
     sizes = {x.physical: 0.5 if x.physical.startswith("S") else -1.0 for x in r.select("physical").distinct().collect()}  # a row for each layer
     return summary.layer_cells(r, sizes, 2.0).select("id", summary.safe_name(F.col("physical")).alias("file"), "lateral")
+
+
+@query("""WITH v AS (SELECT o_orderkey AS item, o_orderkey % 12 AS a, (o_orderkey % 12 + 3) % 12 AS b FROM orders WHERE o_orderkey % 12 <> 5)
+SELECT 'separate' AS problem, CAST(k AS BIGINT) AS item FROM range(3) t(k) UNION ALL SELECT 'untouched', 12 UNION ALL SELECT 'separate', 12
+UNION ALL SELECT 'unknown layer', item FROM v WHERE a > 12 OR b > 12""")
+def stack_groups(spark, d):
+    """Thirteen layers whose vias go up by three, round about: three groups and a layer by itself."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 12 <> 5")
+    v = o.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 12).alias("a"), ((F.col("o_orderkey") % 12 + 3) % 12).alias("b"))
+    return summary.stack_problems(spark.range(13), v)
+
+
+@query("SELECT id, CAST(3 AS BIGINT) AS n, round((x1 - x0) * (y1 - y0) * 0.75e0, 6) AS area FROM f_rect", "f_rect")
+def channel_cut_area(spark, d):
+    """Active boxes without two gates that cross them: three channels each."""
+    r = view(spark, d, "f_rect")
+    x, w, y0, y1 = F.col("x0"), F.col("x1") - F.col("x0"), F.col("y0"), F.col("y1")
+    gate = lambda k: geo.rect_ring(x + w * k / 8, y0 - 1, x + w * (k + 1) / 8, y1 + 1)
+    left = rects.subtract(r.select("id", geo.rect_ring(x, y0, F.col("x1"), y1).alias("ring"), F.array(gate(2), gate(5)).alias("cuts")))
+    return left.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 6).alias("area"))
+
+
+@query("""SELECT concat('dev', CAST(c_custkey AS VARCHAR)) AS name, 'NMOS' AS kind, CASE WHEN c_custkey % 4 <> 0 THEN concat('nch', CAST(c_nationkey AS VARCHAR)) END AS model,
+ CASE WHEN c_custkey % 2 = 0 THEN 'd:rx' ELSE 'd:rx,g:pc' END AS terminals, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'prop' END AS layers, 'w,l' AS params FROM customer WHERE c_custkey % 9 <> 0""")
+def parse_devtab(spark, d):
+    """Device entries over several lines, one file for each customer; a ninth of them break off."""
+    from ..sources import text
+
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    k, s = F.col("c_custkey"), lambda *v: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in v])
+    pins = F.when(k % 2 == 0, s("1", "d rx")).otherwise(s("2", "d rx", "g pc"))
+    head = s("Device Entry", "Mon Jan 1 00:00:00 2024", F.concat(F.lit("dev"), k), "NMOS", F.when(k % 4 != 0, F.concat(F.lit("nch"), F.col("c_nationkey"))).otherwise("(null)"), "-", "-", "-")
+    rows = F.concat(head, pins, F.when(k % 3 == 0, s("0")).otherwise(s("1", "prop")), F.when(k % 9 != 0, s("2", "w", "l")).otherwise(s("2", "w")))
+    lines = c.select(k.cast("string").alias("source"), F.posexplode(rows).alias("pos", "value")).select("source", (F.col("pos") + 1).cast("long").alias("line"), "value")
+    t = text.device_table(lines)[0]
+    pin = F.transform("terminals", lambda p: F.concat_ws(":", p["name"], p["layer"]))
+    return t.select("name", "kind", "model", F.concat_ws(",", pin).alias("terminals"), F.concat_ws(",", "property_layers").alias("layers"), F.concat_ws(",", "params").alias("params"))
+
+
+@query("""SELECT id, layer, CASE WHEN layer LIKE 'P%' THEN 1e0 ELSE 4e0 END AS z0, CASE WHEN layer LIKE 'P%' THEN 2e0 ELSE 4.5e0 END AS z1, CAST(8 AS INTEGER) AS corners,
+ round((x1 - x0) * (y1 - y0) * CASE WHEN layer LIKE 'P%' THEN 1e0 ELSE 0.5e0 END, 6) AS volume FROM f_rect WHERE layer LIKE 'P%' OR layer LIKE 'S%'""", "f_rect")
+def stack_export(spark, d):
+    """Cells as boxes of a stack of two layers; cells of other layers have no height."""
+    r = view(spark, d, "f_rect").withColumn("physical", F.substring("layer", 1, 1))
+    z = spark.createDataFrame([("P", 1.0, 2.0), ("S", 4.0, 4.5)], "physical string, z0 double, z1 double")
+    c = export.stack_cells(r, z)
+    p = lambda k: F.get("points", F.lit(k))
+    volume = (p(1)["x"] - p(0)["x"]) * (p(3)["y"] - p(0)["y"]) * (p(4)["z"] - p(0)["z"])
+    return c.select("id", "layer", "z0", "z1", F.size("points").alias("corners"), F.round(volume, 6).alias("volume"))
+
+
+@query("SELECT layer, count(*) AS n, sum(u) AS total FROM f_grid GROUP BY layer", "f_grid")
+def fingerprint_cache(spark, d):
+    """The solution on the grid, saved under the fingerprint of its inputs and found again by it."""
+    import uuid
+
+    from ..storage import shared_dir
+
+    root = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    key = export.fingerprint({"cell": CELL, "tables": d}, [("region", 1, 1), ("nation", 1, 1)])
+    export.save_fields({"nodes": view(spark, d, "f_grid")}, root, key)
+    return export.load_fields(spark, root, key, ["nodes"])["nodes"].groupBy("layer").agg(F.count("*").alias("n"), F.sum("u").alias("total"))

@@ -123,12 +123,11 @@ def vtu(points: list[tuple[float, float, float]], cells: list[tuple[str, list[in
 
 def subset_cells(cells: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells (id, nodes) of ``wanted(id)`` with points numbered anew in order of first use: (id, nodes), (point, old)."""
-    from pyspark.sql import Window
+    from ..operators.summary import numbered
 
     kept = cells.join(wanted, "id", "left_semi")
     uses = kept.select("id", F.posexplode("nodes").alias("pos", "old"))
     first = uses.groupBy("old").agg(F.min(F.struct("id", "pos")).alias("f"))
-    # numbers run over one part of a mesh, which is written as one stream anyway
-    points = first.withColumn("point", (F.row_number().over(Window.orderBy("f")) - 1).cast("long")).select("point", "old")
+    points = numbered(first, "f", name="point").select(F.col("point").cast("long"), "old")
     new = uses.join(points, "old").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "point"))), lambda s: s["point"]).alias("nodes"))
     return new, points

@@ -52,7 +52,7 @@ def records(data: bytes):
     at = 0
     while at + 4 <= len(data):
         n, kind = struct.unpack_from(">HB", data, at)
-        if n == 0 and not any(data[at:]):
+        if n == 0 and not any(bytes(data[at:])):
             return
         if n < 4:
             raise ValueError(f"record at {at} is shorter than its head")
@@ -62,59 +62,112 @@ def records(data: bytes):
         at += n
 
 
-def parse(data: bytes, encoding: str = "auto") -> list[tuple]:
-    """Elements in order, as rows of ``ELEMENTS``. An open element or structure, or a missing end, is an error."""
-    rows, struct_ix, name, elem, unit, ended = [], -1, None, None, (None, None), False
-    in_struct, n = False, 0
-    for kind, p in records(data):
+#: Bytes of elements that a task reads at a time.
+PIECE = 4 << 20
+
+
+def pieces(data: bytes, encoding: str = "auto", size: int = PIECE):
+    """A library cut at the ends of its elements, about every ``size`` bytes and at each structure: (structure's number and
+    name, number of the first element, user and metre size of a database unit, the elements' bytes). Only the heads of
+    records are read. An open element or structure, or a missing end, is an error."""
+    struct_ix, name, unit, in_struct, in_element, ended = -1, None, (None, None), False, False, False
+    at = begin = first = n = 0
+    for kind, payload in records(data):
+        end = at + 4 + len(payload)
         if kind == UNITS:
-            unit = units(p, encoding)
+            unit = units(payload, encoding)
         elif kind == BGNSTR:
-            struct_ix, name, in_struct, n = struct_ix + 1, "", True, 0
+            struct_ix, name, in_struct, first, n = struct_ix + 1, "", True, 0, 0
+            begin = end
         elif kind == STRNAME:
-            name = p.rstrip(b"\0").decode("latin-1")
-        elif kind == ENDSTR:
-            in_struct = False
+            name = bytes(payload).rstrip(b"\0").decode("latin-1")
+            begin = end
         elif kind in KINDS:
-            elem = {"kind": KINDS[kind], "layer": None, "datatype": None, "xy": [], "props": []}
-        elif kind == ENDLIB:
-            ended = True
-            break
-        elif elem is not None:
-            if kind == LAYER:
-                elem["layer"] = struct.unpack(">h", p[:2])[0]
-            elif kind == DATATYPE:
-                elem["datatype"] = struct.unpack(">h", p[:2])[0]
-            elif kind == XY:
-                v = struct.unpack(f">{len(p) // 4}i", p[: len(p) // 4 * 4])
-                elem["xy"] = [{"x": x, "y": y} for x, y in zip(v[::2], v[1::2])]
-            elif kind == PROPATTR:
-                elem["props"].append({"attr": struct.unpack(">h", p[:2])[0], "value": ""})
-            elif kind == PROPVALUE:
-                text = p.rstrip(b"\0").decode("latin-1")
-                if elem["props"] and elem["props"][-1]["value"] == "":
-                    elem["props"][-1]["value"] = text
-                else:
-                    elem["props"].append({"attr": 0, "value": text})
-            elif kind == ENDEL:
-                rows.append((struct_ix, name, n, elem["kind"], elem["layer"], elem["datatype"], elem["xy"], elem["props"], *unit))
-                elem, n = None, n + 1
-    if elem is not None or in_struct:
+            in_element = True
+        elif kind in (ENDSTR, ENDLIB):
+            if n > first:
+                yield struct_ix, name, first, *unit, bytes(data[begin:at])
+                first = n
+            in_struct = in_struct and kind != ENDSTR
+            if kind == ENDLIB:
+                ended = True
+                break
+            begin = end
+        elif kind == ENDEL and in_element:
+            in_element, n = False, n + 1
+            if end - begin >= size:
+                yield struct_ix, name, first, *unit, bytes(data[begin:end])
+                begin, first = end, n
+        at = end
+    if in_element or in_struct:
         raise ValueError("an element or structure is still open at the end")
     if not ended:
         raise ValueError("the library has no end")
+
+
+def elements(piece: tuple) -> list[tuple]:
+    """The elements of one of :func:`pieces`, in order, as rows of ``ELEMENTS``."""
+    struct_ix, name, n, user, meters, data = piece
+    rows, elem = [], None
+    for kind, p in records(data):
+        if kind in KINDS:
+            elem = {"kind": KINDS[kind], "layer": None, "datatype": None, "xy": [], "props": []}
+        elif elem is None:
+            continue
+        elif kind == LAYER:
+            elem["layer"] = struct.unpack(">h", p[:2])[0]
+        elif kind == DATATYPE:
+            elem["datatype"] = struct.unpack(">h", p[:2])[0]
+        elif kind == XY:
+            v = struct.unpack(f">{len(p) // 4}i", p[: len(p) // 4 * 4])
+            elem["xy"] = [{"x": x, "y": y} for x, y in zip(v[::2], v[1::2])]
+        elif kind == PROPATTR:
+            elem["props"].append({"attr": struct.unpack(">h", p[:2])[0], "value": ""})
+        elif kind == PROPVALUE:
+            text = bytes(p).rstrip(b"\0").decode("latin-1")
+            if elem["props"] and elem["props"][-1]["value"] == "":
+                elem["props"][-1]["value"] = text
+            else:
+                elem["props"].append({"attr": 0, "value": text})
+        elif kind == ENDEL:
+            rows.append((struct_ix, name, n, elem["kind"], elem["layer"], elem["datatype"], elem["xy"], elem["props"], user, meters))
+            elem, n = None, n + 1
     return rows
 
 
-def read_gds(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    """One row for each element of the files at ``path``; a file is parsed in one task, as its records are a chain."""
+def parse(data: bytes, encoding: str = "auto") -> list[tuple]:
+    """Elements in order, as rows of ``ELEMENTS``; errors as :func:`pieces` raises them."""
+    return [r for piece in pieces(data, encoding) for r in elements(piece)]
+
+
+PIECES = "source string, struct_ix int, struct_name string, first int, dbu_user double, dbu_meters double, bytes binary"
 
-    def run(frames):
+
+def read_gds(spark: SparkSession, path: str, encoding: str = "auto", size: int = PIECE) -> DataFrame:
+    """One row for each element of the files at ``path``. A file's records are a chain, so one task walks along their heads
+    and cuts it at element ends; the pieces are dealt out and their elements read by as many tasks as there are pieces. A
+    file comes as one value and may have up to 2 GB."""
+
+    def cut(frames):
+        for pdf in frames:
+            for source, content in pdf.itertuples(index=False):
+                rows = []
+                for piece in pieces(memoryview(content), encoding, size):
+                    rows.append((source, *piece))
+                    if len(rows) >= 8:
+                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+                        rows = []
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    def read(frames):
+        names = [c.split()[0] for c in ELEMENTS.replace("array<struct<x:int,y:int>>", "a").replace("array<struct<attr:short,value:string>>", "a").split(", ")]
         for pdf in frames:
-            rows = [r for content in pdf["content"] for r in parse(bytes(content), encoding)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ELEMENTS.replace("array<struct<x:int,y:int>>", "a").replace("array<struct<attr:short,value:string>>", "a").split(", ")])
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame(elements(tuple(r[1:])), columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ELEMENTS)
+    whole = spark.read.format("binaryFile").load(path).select("path", "content")
+    dealt = whole.mapInPandas(cut, PIECES).repartition("source", "struct_ix", "first")
+    return dealt.mapInPandas(read, ELEMENTS)
 
 
 def layout(elements: DataFrame, names: DataFrame) -> DataFrame:

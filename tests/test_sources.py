@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetspark.sinks import files
 from sheetspark.sources import config, gdsii, text
@@ -111,3 +112,31 @@ def test_subset_renumbers_points(spark):
     cells = spark.createDataFrame([(1, [5, 6, 7]), (2, [7, 8, 9]), (3, [9, 5, 6])], "id long, nodes array<long>")
     new, points = files.subset_cells(cells, spark.createDataFrame([(2,), (3,)], "id long"))
     assert {r.id: r.nodes for r in new.collect()} == {2: [0, 1, 2], 3: [2, 3, 4]} and points.count() == 5
+
+
+def test_a_stream_is_read_by_pieces_like_as_a_whole(spark, tmp_path):
+    polygons = [(f"cell{c}", c * 7 + k, c % 3, [(0.0, 0.0), (1e-6 * (k + 1), 0.0), (1e-6, 2e-6), (0.0, 3e-6)]) for c in range(9) for k in range(1 + 40 * (c == 4))]
+    data = b"".join(files.gds_bytes("LIB", 1e-9, polygons + [("empty", 0, 0, [])]))
+    for name in ("a.gds", "b.gds"):
+        (tmp_path / name).write_bytes(data)
+    whole = gdsii.parse(data)
+    for size in (1, 300, 1 << 20):
+        cut = list(gdsii.pieces(data, size=size))
+        assert [r for p in cut for r in gdsii.elements(p)] == whole and len(whole) == 49
+        assert len(cut) == {1: 49, 300: len(cut), 1 << 20: 9}[size]
+        out = gdsii.read_gds(spark, str(tmp_path), size=size)
+        key = lambda r: (r[0], r[1], r[2], r[3], r[4], r[5], tuple((p["x"], p["y"]) for p in r[6]))
+        assert sorted(map(key, out.collect())) == sorted(2 * [key(r) for r in whole])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert gdsii.read_gds(spark, str(tmp_path), size=1).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_pieces_refuse_what_is_left_open():
+    data = b"".join(files.gds_bytes("LIB", 1e-9, [("c", 1, 0, [(0.0, 0.0), (1e-6, 0.0), (1e-6, 1e-6)])]))
+    ends = [data[:-4], data[:-8], data[: data.index(struct.pack(">HBB", 4, gdsii.ENDEL, 0))] + data[-4:], data[:-2]]
+    for bad in ends:
+        with pytest.raises(ValueError):
+            list(gdsii.pieces(bad))
