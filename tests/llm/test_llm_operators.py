@@ -375,4 +375,4 @@ def test_same_as_duckdb(spark, sf_dir, name):
 
 
 def test_a_query_for_each_operator():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 13))
