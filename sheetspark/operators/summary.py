@@ -165,6 +165,13 @@ def resistance_report(power: DataFrame, currents: DataFrame, resistance: float)
     return "\n".join([*lines, *(f"{r['name']:<16}{r['i']:>16.6e}" for r in currents.orderBy("name").collect())]) + "\n"
 
 
+def channel_report(channels: DataFrame) -> str:
+    """The channels (id, instance, r) as text: their number and those of the largest and the smallest resistance."""
+    ends = extreme_channels(channels.select("id", "instance", "r")).collect()  # seven at most
+    lines = ["", f"Channels: {channels.count()}", f"{'end':<8}{'device':>10}  {'instance':<16}{'ohm':>16}"]
+    return "\n".join([*lines, *(f"{r['side']:<8}{r['id']:>10}  {r['instance'] or '-':<16}{r['r']:>16.6e}" for r in ends)]) + "\n"
+
+
 def stack_problems(layers: DataFrame, vias: DataFrame) -> DataFrame:
     """(problem, item) of a stack of layers (id) and vias (item, a, b): "unknown layer" and "same layer" name the via,
     "untouched" a layer that no via names, and "separate" the first layer of each group, if the vias that join two known

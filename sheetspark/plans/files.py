@@ -1,7 +1,9 @@
 """A run from files: a settings document names the layout, its maps and the technology; lengths are in micrometres.
 
 Layout shapes on conducting layers become polygons with the sheet resistance of their technology layer at their width,
-shapes on via layers become vias with the reference resistance scaled to their area, both at the run's temperature.
+shapes on via layers become vias with the reference resistance scaled to their area, both at the run's temperature. With a
+device table, shapes on layers named like its entries become channels, whose resistances follow from the model table at the
+voltages that they settle at.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import physics
 from ..functions.geometry import bbox, clean_ring
 from ..log import LOG, section
-from ..operators import fields, summary
+from ..operators import devices, fields, summary
 from ..sources import gdsii, text
 from ..sources.config import Settings, settings
+from ..storage import keep
+from . import channels as chan
 from . import sheet_rds
 
 METRE = 1e6
@@ -28,6 +32,7 @@ class Result:
     power: DataFrame
     currents: DataFrame
     text: str
+    channels: DataFrame | None = None
 
 
 def _path(root: str, name: str) -> str:
@@ -50,18 +55,25 @@ def _warmth(blocks: DataFrame, temperature: float) -> Column:
     return physics.temp_factor(F.coalesce(f["temp_tc1"].try_cast("double"), zero), F.coalesce(f["temp_tc2"].try_cast("double"), zero), F.lit(temperature), reference)
 
 
+def _shapes(spark: SparkSession, s: Settings, root: str) -> tuple[DataFrame, float]:
+    """(id, logical, points in micrometres) of the layout, and the micrometres of its database unit."""
+    names, _ = text.layer_numbers(text.read_lines(spark, _path(root, s.paths["gds_map"])))
+    elements = gdsii.read_gds(spark, _path(root, s.paths["layout"]))
+    unit = elements.agg(F.max("dbu_meters")).first()[0]
+    scaled = F.transform("points", lambda p: F.struct((p["x"] * METRE).alias("x"), (p["y"] * METRE).alias("y")))
+    shapes = gdsii.layout(elements, names).select(F.col("poly_id").alias("id"), "logical", clean_ring(scaled).alias("points"))
+    return shapes, (unit or 0.0) * METRE
+
+
 def inputs(spark: SparkSession, s: Settings, root: str) -> tuple[DataFrame, DataFrame]:
     """(polygons, vias) as :func:`sheet_rds.build` takes them."""
     lines = lambda key: text.read_lines(spark, _path(root, s.paths[key]))
-    names, _ = text.layer_numbers(lines("gds_map"))
     roles, _ = text.layer_map(lines("layer_map"))
     blocks, diags = text.technology(lines("tech_ict"))
     for d in diags.limit(20).collect():
         LOG.warning("line %s: %s", d["line"], d["message"])
     f = F.col("fields")
-    shapes = gdsii.layout(gdsii.read_gds(spark, _path(root, s.paths["layout"])), names)
-    scaled = F.transform("points", lambda p: F.struct((p["x"] * METRE).alias("x"), (p["y"] * METRE).alias("y")))
-    shapes = shapes.select(F.col("poly_id").alias("id"), "logical", clean_ring(scaled).alias("points")).join(roles, "logical").withColumn("b", bbox(F.col("points")))
+    shapes = _shapes(spark, s, root)[0].join(roles, "logical").withColumn("b", bbox(F.col("points")))
     w, h = F.col("b.max_x") - F.col("b.min_x"), F.col("b.max_y") - F.col("b.min_y")
     factor = _warmth(blocks, s.temperature_c)
     sheets = blocks.where("kind in ('conductor', 'diffusion')").where(f["resistivity"].isNotNull())
@@ -86,18 +98,64 @@ def pins(spark: SparkSession, s: Settings) -> DataFrame:
     return spark.createDataFrame(rows, "name string, voltage double, physical string, x double, y double, hx double, hy double")
 
 
+def settled(spark: SparkSession, s: Settings, root: str, net: sheet_rds.Network) -> DataFrame | None:
+    """Channels (id, instance, drain, gate, source, w, r) at the resistances that they settle at; None without a device
+    table, or without a model table if the settings leave such channels open."""
+    if not s.paths.get("devtab"):
+        return None
+    lines = lambda key: text.read_lines(spark, _path(root, s.paths[key]))
+    nothing = lambda schema: spark.createDataFrame([], schema)
+    given = lambda key, parser, schema: parser(lines(key))[0] if s.paths.get(key) else nothing(schema)
+    shapes, unit = _shapes(spark, s, root)
+    instances = given("spi", text.spice_instances, "name string, nodes array<string>, model string, params map<string,double>, x double, y double, d string")
+    names = given("net_names", text.net_names, "id long, name string")
+    dictionary = given("pin_xy", text.device_templates, "id long, model string, seed string, terminals array<struct<term:string,layer:string>>")
+    found = keep(chan.found_devices(shapes, text.device_table(lines("devtab"))[0]), "devices")
+    matched = keep(chan.with_instances(found, instances, unit), "matched")
+    components = chan.role_components(matched, net, names, dictionary, _ports(spark, s, root, unit))
+    made = keep(chan.channels(net, matched, components), "channels")
+    n, with_instance = made.agg(F.count("*"), F.count("instance")).first()
+    LOG.info("%d channels, %d of them with an instance", n, with_instance)
+    if not n:
+        return None
+    if not s.paths.get("model_csv"):
+        if s.solver.missing_model == "error":
+            raise ValueError("channels need a model table")
+        LOG.warning("no model table: channels are open")
+        return None
+    table, reference, _ = text.model_table(lines("model_csv"))
+    state, rounds = sheet_rds.bias_loop(net, made, table, reference.first()["w_ref"], s.solver.bias_tolerance, s.solver.bias_iterations, s.temperature_c)
+    LOG.info("channels settled after %d rounds", rounds)
+    return made.join(state, "id")
+
+
+def _ports(spark: SparkSession, s: Settings, root: str, unit: float) -> DataFrame:
+    if not s.paths.get("ports"):
+        return spark.createDataFrame([], "name string, id long, direction string, x double, y double, net string")
+    return text.ports(text.read_lines(spark, _path(root, s.paths["ports"])), unit)[0]
+
+
 def run(spark: SparkSession, document: str, root: str) -> Result:
-    """The whole run of a settings document whose relative paths start at ``root``."""
+    """The whole run of a settings document whose relative paths start at ``root``. A port that no terminal bears the name
+    of has no voltage, and the run is refused."""
     s = settings(document)
     if len(s.terminals) < 2:
         raise ValueError("a run needs two terminals")
     with section("inputs"):
         polygons, vias = inputs(spark, s, root)
+        held = pins(spark, s)
+        left = devices.unserved_ports(_ports(spark, s, root, 1.0), held).select("name").orderBy("name").limit(20).collect()
+        if left:
+            raise ValueError(f"ports without a terminal: {', '.join(r['name'] for r in left)}")
     with section("network"):
         m = s.meshing
         sizes = {k: float(v) for k, v in m.per_layer_cell_um.items()}
-        net = sheet_rds.build(polygons, vias, pins(spark, s), m.cell_um, m.max_cells, m.via_group_um, layer_sizes=sizes)
+        net = sheet_rds.build(polygons, vias, held, m.cell_um, m.max_cells, m.via_group_um, layer_sizes=sizes)
+    with section("channels"):
+        on = settled(spark, s, root, net)
     with section("solve"):
-        power, resistance, currents = sheet_rds.results(net)
+        extra = None if on is None else on.where("r < double('infinity')").select(F.col("drain").alias("a"), F.col("source").alias("b"), (1 / F.col("r")).alias("g"), F.lit("channels").alias("layer"))
+        power, resistance, currents = sheet_rds.results(net, extra)
     LOG.info("resistance %.6g ohm", resistance)
-    return Result(resistance, power, currents, summary.resistance_report(power, currents, resistance))
+    report = summary.resistance_report(power, currents, resistance)
+    return Result(resistance, power, currents, report if on is None else report + summary.channel_report(on), on)

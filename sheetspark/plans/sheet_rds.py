@@ -20,11 +20,13 @@ from ..storage import keep
 
 @dataclass
 class Network:
-    """nodes(node, physical, component, x, y), edges(a, b, g, layer), terminals(name, voltage, node)."""
+    """nodes(node, physical, component, x, y), edges(a, b, g, layer), terminals(name, voltage, node), and of a built one
+    polygons(id, logical, component, x0..y1)."""
 
     nodes: DataFrame
     edges: DataFrame
     terminals: DataFrame
+    polygons: DataFrame | None = None
 
 
 def pieces(polygons: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     pins = terminals.withColumn("id", F.xxhash64("name"))
     at = _held(pins, parts, component, nodes, grid)
     fixed = at.where("node is not null").join(pins.select(F.col("id").alias("box"), "name", "voltage"), "box").select("name", "voltage", "node")
-    return Network(nodes, edges, keep(fixed, "terminals"))
+    return Network(nodes, edges, keep(fixed, "terminals"), flat.select("id", "logical", *spatial.BOX).join(component, "id"))
 
 
 def solved(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -85,3 +85,74 @@ def test_large_components_are_solved_across_tasks(spark):
     at = lambda df: {(r.component, r.node): r.u for r in df.collect()}
     want, got = at(solve.solve_components(edges, fixed)), at(solve.solve_by_size(edges, fixed, large=4))
     assert got == pytest.approx(want, abs=1e-6) and len(got) == len(want)
+
+
+DEVTAB = """Device Entry
+Mon Jan  1 00:00:00 2024
+seed_nch
+NMOS
+nch
+-
+-
+-
+3
+d net_M1
+g net_M2
+s net_M2
+0
+1
+w
+"""
+
+
+@pytest.fixture
+def transistors(tmp_path, folder):
+    """Two strips of 10 squares, M1 and M2, and seeds over the ends that face each other."""
+    (tmp_path / "gds.map").write_text("net_M1 10 0\nnet_M2 20 0\nvia1 30 0\nseed_nch 40 0\n")
+    (tmp_path / "dev.tab").write_text(DEVTAB)
+    (tmp_path / "top.spi").write_text("".join(f"XM{k} 7 9 8 0 nch w=1 $X=41 $Y={y} $D=5\n" for k, y in enumerate((1, 3))) + "XM9 7 9 8 0 nch w=1 $X=900 $Y=900\n")
+    (tmp_path / "names.txt").write_text("7 D\n8 S\n9 gate\n")
+    (tmp_path / "pins.txt").write_text("*.DEVTMPLT 5 nch() seed_nch rx(d) pc(g) rx(s)\n")
+    (tmp_path / "ports.txt").write_text("D 7 in 0 2 D\nS 8 in 82 2 S\n")
+    # 0.05 siemens at every voltage
+    (tmp_path / "model.csv").write_text("Wfinger,1\n" + "".join(f"{t},{g},{v},{0.05 * v}\n" for t in (0, 100) for g in (-2, 0, 2) for v in (0, 0.5, 1)))
+    root = folder(M1, box(20, 42, 0, 82, 4), *[box(40, 40, y, 42, y + 1) for y in (0.5, 2.5)])
+    paths = {"devtab": "dev.tab", "spi": "top.spi", "net_names": "names.txt", "pin_xy": "pins.txt", "ports": "ports.txt", "model_csv": "model.csv"}
+
+    def doc(leave=(), **solver):
+        own = "".join(f"  {k}: {v}\n" for k, v in paths.items() if k not in leave)
+        base = document("M2").replace("x_um: 40", "x_um: 82").replace("meshing:", f"{own}meshing:", 1)
+        return base.replace("solver:\n", "solver:\n" + "".join(f"  {k}: {v}\n" for k, v in solver.items()))
+
+    return root, doc
+
+
+def test_channels_from_files(spark, transistors):
+    root, doc = transistors
+    got = files.run(spark, doc(), root)
+    ch = got.channels.orderBy("id").collect()
+    assert [c.instance for c in ch] == ["XM0", "XM1"] and [c.r for c in ch] == pytest.approx([20.0, 20.0])
+    # two strips of ten squares and two channels of 20 ohm side by side; the current crowds a little at their nodes
+    assert 30.0 < got.resistance < 31.5
+    assert sum(r.i for r in got.currents.collect()) == pytest.approx(0, abs=1e-9)
+    assert "Channels: 2" in got.text and "channels" in got.text and "XM1" in got.text
+
+
+@pytest.mark.parametrize("leave", [("pin_xy",), ("net_names",), ("spi", "net_names", "pin_xy")])
+def test_roles_by_place_by_port_and_by_name(spark, transistors, leave):
+    root, doc = transistors
+    got = files.run(spark, doc(leave), root)
+    ch = got.channels.collect()
+    assert len(ch) == 2 and all(c.gate is None or leave[0] == "spi" for c in ch)
+    assert {c.instance for c in ch} == ({None} if leave[0] == "spi" else {"XM0", "XM1"})
+    assert got.resistance < float("inf")
+
+
+def test_ports_and_models_that_are_missing(spark, transistors, tmp_path):
+    root, doc = transistors
+    with pytest.raises(ValueError, match="model table"):
+        files.run(spark, doc(("model_csv",)), root)
+    assert files.run(spark, doc(("model_csv",), missing_model="open"), root).resistance > 1e9  # no current but rounding
+    (tmp_path / "ports.txt").write_text("D 7 in 0 2 D\nBULK 1 in 0 2 B\n")
+    with pytest.raises(ValueError, match="BULK"):
+        files.run(spark, doc(), root)
