@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import physics
 from ..functions.geometry import bbox, clean_ring
 from ..log import LOG, section
-from ..operators import devices, fields, summary
+from ..operators import devices, fields, spatial, summary
 from ..sources import gdsii, text
 from ..sources.config import Settings, settings
 from ..storage import keep
 from . import channels as chan
-from . import sheet_rds
+from . import sheet_rds, views
 
 METRE = 1e6
 
@@ -33,6 +33,7 @@ class Result:
     currents: DataFrame
     text: str
     channels: DataFrame | None = None
+    field: views.Field | None = None
 
 
 def _path(root: str, name: str) -> str:
@@ -87,11 +88,18 @@ def inputs(spark: SparkSession, s: Settings, root: str) -> tuple[DataFrame, Data
         F.col("name").alias("physical"), F.btrim(f["bottom_layer"], F.lit('"')).alias("bottom"), F.btrim(f["top_layer"], F.lit('"')).alias("top"),
         F.get(table, F.lit(0)).alias("r_ref"), F.coalesce(F.get(table, F.lit(1)), F.lit(0.0)).alias("a_ref"), factor.alias("factor"))
     vias = shapes.where("role = 'via'").join(kinds, "physical").select(
-        "id", "bottom", "top", (physics.via_resistance(F.col("r_ref"), F.col("a_ref"), w * h) * F.col("factor")).alias("r"),
+        "id", "physical", "bottom", "top", (physics.via_resistance(F.col("r_ref"), F.col("a_ref"), w * h) * F.col("factor")).alias("r"),
         ((F.col("b.min_x") + F.col("b.max_x")) / 2).alias("x"), ((F.col("b.min_y") + F.col("b.max_y")) / 2).alias("y"), (w / 2).alias("hx"), (h / 2).alias("hy"))
     return polygons, vias
 
 
+def heights(spark: SparkSession, s: Settings, root: str) -> DataFrame:
+    """(name, height, thickness) in micrometres of the technology's sheets, null where it doesn't tell."""
+    f = F.col("fields")
+    blocks = text.technology(text.read_lines(spark, _path(root, s.paths["tech_ict"])))[0]
+    return blocks.where("kind in ('conductor', 'diffusion')").select("name", f["height"].try_cast("double").alias("height"), f["thickness"].try_cast("double").alias("thickness"))
+
+
 def pins(spark: SparkSession, s: Settings) -> DataFrame:
     """The settings' terminals, at most a few: name, voltage, layer, middle and extents in micrometres."""
     rows = [(str(t["name"]), float(t.get("voltage") or 0), t.get("layer"), *(float(t.get(k) or 0) for k in ("x_um", "y_um")), *(float(t.get(k) or 0) / 2 for k in ("dx_um", "dy_um"))) for t in s.terminals]
@@ -126,7 +134,7 @@ def settled(spark: SparkSession, s: Settings, root: str, net: sheet_rds.Network)
     table, reference, _ = text.model_table(lines("model_csv"))
     state, rounds = sheet_rds.bias_loop(net, made, table, reference.first()["w_ref"], s.solver.bias_tolerance, s.solver.bias_iterations, s.temperature_c)
     LOG.info("channels settled after %d rounds", rounds)
-    return made.join(state, "id")
+    return made.join(state, "id").join(matched.select("id", *spatial.BOX), "id")
 
 
 def _ports(spark: SparkSession, s: Settings, root: str, unit: float) -> DataFrame:
@@ -155,7 +163,9 @@ def run(spark: SparkSession, document: str, root: str) -> Result:
         on = settled(spark, s, root, net)
     with section("solve"):
         extra = None if on is None else on.where("r < double('infinity')").select(F.col("drain").alias("a"), F.col("source").alias("b"), (1 / F.col("r")).alias("g"), F.lit("channels").alias("layer"))
-        power, resistance, currents = sheet_rds.results(net, extra)
+        drops, u = sheet_rds.solved(net, extra)
+        power, resistance, currents = sheet_rds.totals(net, drops)
     LOG.info("resistance %.6g ohm", resistance)
     report = summary.resistance_report(power, currents, resistance)
-    return Result(resistance, power, currents, report if on is None else report + summary.channel_report(on), on)
+    field = views.Field(net, u, vias, currents, heights(spark, s, root), on, m.cell_um)
+    return Result(resistance, power, currents, report if on is None else report + summary.channel_report(on), on, field)

@@ -21,12 +21,13 @@ from ..storage import keep
 @dataclass
 class Network:
     """nodes(node, physical, component, x, y), edges(a, b, g, layer), terminals(name, voltage, node), and of a built one
-    polygons(id, logical, component, x0..y1)."""
+    polygons(id, logical, component, x0..y1) and cells(id, physical, component, r_sheet, cx0..cy1)."""
 
     nodes: DataFrame
     edges: DataFrame
     terminals: DataFrame
     polygons: DataFrame | None = None
+    cells: DataFrame | None = None
 
 
 def pieces(polygons: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def build(polygons: DataFrame, vias: DataFrame, terminals: DataFrame, cell: floa
     pins = terminals.withColumn("id", F.xxhash64("name"))
     at = _held(pins, parts, component, nodes, grid)
     fixed = at.where("node is not null").join(pins.select(F.col("id").alias("box"), "name", "voltage"), "box").select("name", "voltage", "node")
-    return Network(nodes, edges, keep(fixed, "terminals"), flat.select("id", "logical", *spatial.BOX).join(component, "id"))
+    return Network(nodes, edges, keep(fixed, "terminals"), flat.select("id", "logical", *spatial.BOX).join(component, "id"), cells)
 
 
 def solved(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +149,11 @@ def _currents(net: Network, drops: DataFrame) -> DataFrame:
 
 def results(net: Network, extra: DataFrame | None = None) -> tuple[DataFrame, float, DataFrame]:
     """(power by layer, resistance, currents of terminals): the resistance is |Vd - Vs| over the drain current."""
-    drops, _ = solved(net, extra)
+    return totals(net, solved(net, extra)[0])
+
+
+def totals(net: Network, drops: DataFrame) -> tuple[DataFrame, float, DataFrame]:
+    """:func:`results` from the edges of :func:`solved`."""
     pair = fields.voltage_pair(net.terminals.select("name", "voltage")).first()
     flows = keep(_currents(net, drops), "currents")
     current = {r["name"]: r["i"] for r in flows.collect()}  # a row for each terminal
