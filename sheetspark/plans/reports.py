@@ -172,3 +172,51 @@ def fingerprint_cache(spark, d):
     key = export.fingerprint({"cell": CELL, "tables": d}, [("region", 1, 1), ("nation", 1, 1)])
     export.save_fields({"nodes": view(spark, d, "f_grid")}, root, key)
     return export.load_fields(spark, root, key, ["nodes"])["nodes"].groupBy("layer").agg(F.count("*").alias("n"), F.sum("u").alias("total"))
+
+
+def _out(spark, name: str) -> str:
+    import uuid
+
+    from ..storage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT CAST(id % 8 AS INTEGER) AS layer, count(*) AS n, CAST(count(*) FILTER (WHERE id % 8 < 4) AS BIGINT) AS n_low,
+ CAST(sum(floor(abs(x1 - x0) * 1000 + 0.5)) AS BIGINT) AS width FROM f_rect GROUP BY id % 8""", "f_rect")
+def gds_files_roundtrip(spark, d):
+    """Rectangles as layout streams of at most 100 polygons a file, written and read by many tasks."""
+    from ..sinks import parts
+    from ..sources import gdsii
+
+    r = view(spark, d, "f_rect").select("id", *[(F.col(c) * 1e-6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"))
+    made = r.select(F.lit("rects").alias("file"), F.when(F.col("id") % 8 < 4, "LOW").otherwise("HIGH").alias("cell"), (F.col("id") % 8).cast("int").alias("layer"), F.lit(0).alias("datatype"), ring.alias("points"))
+    root = _out(spark, "gds")
+    parts.write_files(parts.gds_files(made, 1e-9, per=100), root)
+    back = gdsii.read_gds(spark, f"{root}/*.gds").select(F.col("layer").cast("int").alias("layer"), "struct_name", F.abs(F.col("xy")[1]["x"] - F.col("xy")[0]["x"]).alias("w"))
+    return back.groupBy("layer").agg(F.count("*").alias("n"), F.count(F.when(F.col("struct_name") == "LOW", True)).alias("n_low"), F.sum("w").cast("long").alias("width"))
+
+
+@query("""SELECT layer AS mesh, CAST(count(*) AS BIGINT) AS n_cells, CAST(ceil(count(*) / 50) AS BIGINT) AS n_files, round(sum((x1 - x0) * (y1 - y0)), 3) AS area
+ FROM (SELECT regexp_replace(layer, '[^A-Za-z0-9]', '_', 'g') AS layer, x0, y0, x1, y1 FROM f_rect) GROUP BY layer""", "f_rect")
+def grid_files(spark, d):
+    """Rectangles as unstructured grids, read back from the files' own text: cells and the sum of their areas."""
+    from ..sinks import parts
+
+    r = view(spark, d, "f_rect").withColumns({"mesh": summary.safe_name(F.col("layer")), "area": (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))})
+    made = _quads(r)
+    root = _out(spark, "grids")
+    parts.write_files(parts.vtu_files(made, ["area"], per=50), root)
+    text = spark.read.text(f"{root}/*/*.vtu", wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1).alias("mesh"), "value")
+    cells = F.regexp_extract("value", 'NumberOfCells="([0-9]+)"', 1).cast("long")
+    body = F.regexp_extract("value", 'Name="area"[^>]*>([^<]*)<', 1)
+    areas = F.aggregate(F.transform(F.filter(F.split(body, "\\s+"), lambda v: v != ""), lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return text.groupBy("mesh").agg(F.sum(cells).alias("n_cells"), F.count("*").alias("n_files"), F.round(F.sum(areas), 3).alias("area"))
+
+
+def _quads(r):
+    """(mesh, whole, kind, points, area) of rectangles at height 0 without a potential."""
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("u"))
+    return r.select("mesh", F.lit("all").alias("whole"), F.lit("quad").alias("kind"), F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")).alias("points"), "area")

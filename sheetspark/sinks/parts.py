@@ -89,9 +89,9 @@ def write_files(files: DataFrame, path: str) -> None:
 def _dealt(rows: DataFrame, by: str, order: list[str], per: int) -> DataFrame:
     """Rows with their ``piece``: the runs of ``per`` rows in the order of ``by`` and ``order``, numbered from 0 for each
     value of ``by``. No piece has more than ``per`` rows, however many rows a value has."""
-    own = numbered(rows, by, *order, name="_number").withColumn("_block", F.floor(F.col("_number") / per))
-    first = own.groupBy(by).agg(F.min("_block").alias("_first"))
-    return own.join(first, by).withColumn("piece", F.col("_block") - F.col("_first")).drop("_number", "_block", "_first")
+    own = numbered(rows, by, *order, name="_number")
+    first = own.groupBy(by).agg(F.min("_number").alias("_first"))
+    return own.join(first, by).withColumn("piece", F.floor((F.col("_number") - F.col("_first")) / per)).drop("_number", "_first")
 
 
 def vtu_files(elements: DataFrame, values: list[str], per: int = PER_FILE) -> DataFrame:
