@@ -72,9 +72,12 @@ def test_cells_of_one_layer(spark):
 def test_command_line(spark, folder, tmp_path):
     folder(M1)
     (tmp_path / "run.yaml").write_text(document("M1"))
-    assert cli.main([str(tmp_path / "run.yaml"), "-o", str(tmp_path / "report.txt"), "--log", "off"]) == 0
+    assert cli.main([str(tmp_path / "run.yaml"), "-o", str(tmp_path / "report.txt"), "--views", str(tmp_path / "views"), "--log", "off"]) == 0
     report = (tmp_path / "report.txt").read_text()
     assert float(report.split()[1]) == pytest.approx(10, rel=0.02) and "M1" in report and "\nD" in report and "\nS" in report
+    # no via, no channel and no height: the maps and grids of the sheet alone
+    assert (tmp_path / "views/maps/power_0.gds").exists() and not (tmp_path / "views/maps/via_current.lyp").exists()
+    assert [n.name for n in sorted((tmp_path / "views/grids").glob("*.pvtu"))] == ["sheet.pvtu", "sheet_M1.pvtu"]
 
 
 def test_large_components_are_solved_across_tasks(spark):
