@@ -87,11 +87,11 @@ def write_files(files: DataFrame, path: str) -> None:
 
 
 def _dealt(rows: DataFrame, by: str, order: list[str], per: int) -> DataFrame:
-    """Rows with their ``piece``: the runs of ``per`` rows in the order of ``by`` and ``order``, numbered from 0 for each
+    """Rows with their ``number`` and ``piece``: the runs of ``per`` rows in the order of ``by`` and ``order``, numbered from 0 for each
     value of ``by``. No piece has more than ``per`` rows, however many rows a value has."""
-    own = numbered(rows, by, *order, name="_number")
-    first = own.groupBy(by).agg(F.min("_number").alias("_first"))
-    return own.join(first, by).withColumn("piece", F.floor((F.col("_number") - F.col("_first")) / per)).drop("_number", "_first")
+    own = numbered(rows, by, *order, name="number")
+    first = own.groupBy(by).agg(F.min("number").alias("_first"))
+    return own.join(first, by).withColumn("piece", F.floor((F.col("number") - F.col("_first")) / per)).drop("_first")
 
 
 def vtu_files(elements: DataFrame, values: list[str], per: int = PER_FILE) -> DataFrame:
@@ -105,6 +105,7 @@ def vtu_files(elements: DataFrame, values: list[str], per: int = PER_FILE) -> Da
     def piece(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("number")  # a group's rows come in any order
         index: dict[tuple, int] = {}
         cells = [(kind, [index.setdefault((p["x"], p["y"], p["z"], p["u"]), len(index)) for p in pts]) for kind, pts in zip(pdf["kind"], pdf["points"])]
         body = vtu([k[:3] for k in index], cells, {"potential_V": [k[3] for k in index]}, {v: [float(x) for x in pdf[v]] for v in values})
@@ -134,7 +135,7 @@ def gds_files(polygons: DataFrame, dbu: float, library: str = "LIB", per: int =
     def piece(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("cell", kind="stable")
+        pdf = pdf.sort_values("number")  # by cell; a group's rows come in any order
         rows = ((r.cell, int(r.layer), int(r.datatype), [(p["x"], p["y"]) for p in r.points]) for r in pdf.itertuples())
         return pd.DataFrame({"name": [f"{pdf['file'].iloc[0]}_{pdf['piece'].iloc[0]}.gds"], "content": [b"".join(gds_bytes(library, dbu, rows))]})
 
