@@ -24,7 +24,7 @@ def cell_scalars(cells: DataFrame) -> DataFrame:
 def edge_drops(edges: DataFrame, potentials: DataFrame) -> DataFrame:
     """Edges (key, a, b, g, ...) with du = u(a) - u(b)."""
     ua, ub = potentials.select("key", F.col("node").alias("a"), F.col("u").alias("ua")), potentials.select("key", F.col("node").alias("b"), F.col("u").alias("ub"))
-    return edges.join(ua, ["key", "a"]).join(ub, ["key", "b"]).withColumn("du", F.col("ua") - F.col("ub"))
+    return edges.join(ua.hint("merge"), ["key", "a"]).join(ub.hint("merge"), ["key", "b"]).withColumn("du", F.col("ua") - F.col("ub"))
 
 
 def via_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Resistor network solves.
 
 Components are solved where they are: grouped by component, each by conjugate gradients with incomplete or diagonal
-scaling in numpy, or directly when small. ``solve_by_size``, which plans use, gives components of more than ``LARGE``
+scaling in numpy, or directly when small; before that, nodes of large ones that have at most two neighbours are folded
+away exactly (:func:`fold`), as a chain of n nodes would take n steps. ``solve_by_size``, which plans use, gives components of more than ``LARGE``
 edges to ``distributed_cg``, a diagonally-scaled conjugate gradient of joins and sums; in ``solve_components`` a component
 is one task's whatever its size.
 """
@@ -91,15 +92,71 @@ def pcg(n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, x0:
     raise ValueError("conjugate gradients did not converge")
 
 
+def _simple(n: int, p: np.ndarray, q: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between different nodes, p < q, each pair once with its summed conductance."""
+    one = p != q
+    low, high = np.minimum(p[one], q[one]), np.maximum(p[one], q[one])
+    pair, at = np.unique(low * n + high, return_inverse=True)
+    return pair // n, pair % n, np.bincount(at, g[one], len(pair))
+
+
+def fold(n: int, p: np.ndarray, q: np.ndarray, g: np.ndarray, leak: np.ndarray, rhs: np.ndarray):
+    """Eliminates nodes with at most two neighbours until none is left: branches and chains go, and what hangs together by
+    more stays. In a round all of them go that come before their like neighbours in a random order, so a chain of n nodes
+    takes about log n rounds. Nothing is subtracted, so nothing cancels. ``leak`` is the conductance of each node to a node
+    at 0, ``rhs`` the current into it. Returns the edges, leaks and currents that remain, whether each node does, and the
+    steps by which :func:`unfold` finds the others."""
+    leak, rhs, alive, steps = leak.astype(float).copy(), rhs.astype(float).copy(), np.ones(n, bool), []
+    rng = np.random.default_rng(1)
+    p, q, g = _simple(n, p, q, g)
+    while True:
+        degree = np.bincount(p, minlength=n) + np.bincount(q, minlength=n)
+        go = alive & (degree <= 2)
+        if not go.any():
+            return p, q, g, leak, rhs, alive, steps
+        turn = rng.permutation(n)
+        both = go[p] & go[q]
+        go[np.where(turn[p[both]] > turn[q[both]], p[both], q[both])] = False
+        # the edges of those that go, by node: none, one or two each
+        out, back = go[p], go[q]
+        v, w, c = np.concatenate([p[out], q[back]]), np.concatenate([q[out], p[back]]), np.concatenate([g[out], g[back]])
+        order = np.argsort(v, kind="stable")
+        v, w, c = v[order], w[order], c[order]
+        nodes = np.flatnonzero(go)
+        first = np.searchsorted(v, nodes)
+        count = degree[nodes]
+        end = lambda k: (np.where(count > k, w[np.minimum(first + k, len(w) - 1)], -1), np.where(count > k, c[np.minimum(first + k, len(w) - 1)], 0.0)) if len(w) else (np.full(len(nodes), -1), np.zeros(len(nodes)))
+        (a, ga), (b, gb) = end(0), end(1)
+        total = ga + gb + leak[nodes]
+        if (total <= 0).any():
+            raise ValueError("matrix has a diagonal entry that is not positive")
+        steps.append((nodes, a, ga, b, gb, rhs[nodes], total))
+        for other, own in ((a, ga), (b, gb)):
+            has = other >= 0
+            np.add.at(leak, other[has], own[has] * leak[nodes[has]] / total[has])
+            np.add.at(rhs, other[has], own[has] * rhs[nodes[has]] / total[has])
+        alive[nodes] = False
+        rest, two = ~(out | back), count == 2
+        p, q, g = _simple(n, np.concatenate([p[rest], a[two]]), np.concatenate([q[rest], b[two]]), np.concatenate([g[rest], (ga * gb / total)[two]]))
+
+
+def unfold(u: np.ndarray, steps: list) -> np.ndarray:
+    """The potentials of folded nodes from those that remained; in place."""
+    for nodes, a, ga, b, gb, current, total in reversed(steps):
+        u[nodes] = (current + ga * u[a] + gb * u[b]) / total  # where there is no neighbour its conductance is 0
+    return u
+
+
 def solve_dirichlet(n: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, fixed: np.ndarray, value: np.ndarray, warm: np.ndarray | None = None) -> np.ndarray:
     """Potentials of n nodes with edges (a, b, g): fixed ones eliminated, nodes of parts without a fixed node at 0."""
     root = np.arange(n)
     while True:  # smallest label in reach
         low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
+        np.minimum.at(new, root[a], low)  # labels hang on to smaller ones, so a long chain takes few rounds
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
         if (new == root).all():
             break
         root = new
@@ -119,14 +176,30 @@ def solve_dirichlet(n: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, fixed:
         ii.append(at[p[both]]), jj.append(at[q[both]]), vv.append(-g[both])
         to_fixed = m & fixed[q]
         np.add.at(rhs, at[p[to_fixed]], g[to_fixed] * u[q[to_fixed]])
-    i, j, v = np.concatenate(ii), np.concatenate(jj), np.concatenate(vv)
     k = len(rhs)
     if k <= DIRECT:
         dense = np.zeros((k, k))
-        np.add.at(dense, (i, j), v)
+        np.add.at(dense, (np.concatenate(ii), np.concatenate(jj)), np.concatenate(vv))
         u[free] = np.linalg.solve(dense, rhs)
-    else:
-        u[free] = pcg(k, i, j, v, rhs, None if warm is None else warm[free])
+        return u
+    inner, leak = free[a] & free[b], np.zeros(k)
+    for p, q in ((a, b), (b, a)):
+        m = free[p] & fixed[q]
+        np.add.at(leak, at[p[m]], g[m])
+    p, q, c, leak, rhs, alive, steps = fold(k, at[a[inner]], at[b[inner]], g[inner], leak, rhs)
+    x = np.zeros(k)
+    if alive.any():
+        new, left = np.cumsum(alive) - 1, int(alive.sum())
+        p, q, diag = new[p], new[q], np.arange(left)
+        own = leak[alive] + np.bincount(p, c, left) + np.bincount(q, c, left)
+        i, j, v = np.concatenate([diag, p, q]), np.concatenate([diag, q, p]), np.concatenate([own, -c, -c])
+        if left <= DIRECT:
+            dense = np.zeros((left, left))
+            np.add.at(dense, (i, j), v)
+            x[alive] = np.linalg.solve(dense, rhs[alive])
+        else:
+            x[alive] = pcg(left, i, j, v, rhs[alive], None if warm is None else warm[free][alive])
+    u[free] = unfold(x, steps)
     return u
 
 
@@ -168,7 +241,8 @@ def power(edges: DataFrame, solved: DataFrame, key: str = "component") -> DataFr
     """(key, power): sum of g du^2 over the edges."""
     ua, ub = solved.select(key, F.col("node").alias("a"), F.col("u").alias("ua")), solved.select(key, F.col("node").alias("b"), F.col("u").alias("ub"))
     du = F.col("ua") - F.col("ub")
-    return edges.join(ua, [key, "a"]).join(ub, [key, "b"]).groupBy(key).agg(F.sum(F.col("g") * du * du).alias("power"))
+    # Spark knows the size of neither side: edges made of exploded cells look small and must not be broadcast
+    return edges.join(ua.hint("merge"), [key, "a"]).join(ub.hint("merge"), [key, "b"]).groupBy(key).agg(F.sum(F.col("g") * du * du).alias("power"))
 
 
 def resistance(edges: DataFrame, terminals: DataFrame, key: str = "component") -> DataFrame:
