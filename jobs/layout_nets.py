@@ -40,19 +40,19 @@ def checked(shapes: DataFrame) -> DataFrame:
     missing = F.col("id").isNull() | F.col("layer").isNull()
     reason = F.when(missing, "no id or layer").when(bad("x0") | bad("y0") | bad("x1") | bad("y1"), "coordinate is not a number").when((F.col("x1") < F.col("x0")) | (F.col("y1") < F.col("y0")), "negative side")
     counted = shapes.groupBy("id").agg(F.count("*").alias("times")).where("times > 1 and id is not null").select("id", F.lit("id is not unique").alias("again"))
-    return shapes.withColumn("reason", reason).join(counted, "id", "left").withColumn("reason", F.coalesce("reason", "again")).drop("again")
+    return shapes.withColumn("reason", reason).join(counted.hint("merge"), "id", "left").withColumn("reason", F.coalesce("reason", "again")).drop("again")
 
 
 def nets(shapes: DataFrame, vias: DataFrame, cell: float) -> DataFrame:
     """One row a net; see the module."""
     links = closure.components(spatial.overlap_pairs(shapes, cell)).withColumnRenamed("node", "id")
-    named = keep(shapes.join(links, "id", "left").withColumn("net", F.coalesce("component", "id")).drop("component"), "named")
+    named = keep(shapes.join(links.hint("merge"), "id", "left").withColumn("net", F.coalesce("component", "id")).drop("component"), "named")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     extent = named.groupBy("layer", "net").agg(F.count("*").alias("n_shapes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(area).alias("area"))
     landed = spatial.smallest_landing(vias.select("id", *BOX), named.select("id", *BOX), cell)
-    on = landed.join(vias.select(F.col("id").alias("via"), "ohm"), "via").join(named.select("id", "net"), "id")
+    on = landed.join(vias.select(F.col("id").alias("via"), "ohm").hint("merge"), "via").join(named.select("id", "net").hint("merge"), "id")
     through = on.groupBy("net").agg(F.count("*").alias("n_vias"), F.sum(F.when(F.col("ohm") > 0, 1 / F.col("ohm"))).alias("siemens"))
-    return extent.join(through, "net", "left").select("layer", "net", "n_shapes", *BOX, "area", F.coalesce("n_vias", F.lit(0)).alias("n_vias"), (1 / F.col("siemens")).alias("r_vias"))
+    return extent.join(through.hint("merge"), "net", "left").select("layer", "net", "n_shapes", *BOX, "area", F.coalesce("n_vias", F.lit(0)).alias("n_vias"), (1 / F.col("siemens")).alias("r_vias"))
 
 
 def run(spark: SparkSession, shapes: DataFrame, vias: DataFrame, output: str, settings: dict) -> None:

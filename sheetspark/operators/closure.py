@@ -39,11 +39,11 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = edges.groupBy("a").agg(F.min("b").alias("m"))  # every smaller neighbour is a row here
-    joined = both.where("b > a").join(least, "a", "left")
+    joined = both.where("b > a").join(least.hint("merge"), "a", "left")
     return joined.select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    rest = edges.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

@@ -193,7 +193,7 @@ def terminal_roles(devices: DataFrame, pins: DataFrame, by_position: bool = True
     wanted = devices.select("device").withColumn("w", F.explode(roles)).select("device", "w.role", "w.at")
     named = pins.groupBy("device", F.lower("pin").alias("role")).agg(F.min_by("net", "pos").alias("named"))
     placed = pins.groupBy("device", F.col("pos").alias("at")).agg(F.first("net").alias("placed"))
-    out = wanted.join(named, ["device", "role"], "left").join(placed, ["device", "at"], "left")
+    out = wanted.join(named.hint("merge"), ["device", "role"], "left").join(placed.hint("merge"), ["device", "at"], "left")
     return out.select("device", "role", F.coalesce("named", *(["placed"] if by_position else [])).alias("net"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cells_for
+from ..storage import spread
 from .rects import EPS, bands, intervals
 
 #: Corners of a brick: x, y, z steps, in the order of the format (bottom ring, then top ring).
@@ -18,6 +19,7 @@ def hex_elements(boxes: DataFrame, lateral: float, vertical: float) -> DataFrame
     """Bricks of boxes (id, x0, y0, z0, x1, y1, z1, ...): (id, i, j, k, nx, ny, nz, corner coordinates)."""
     n = lambda lo, hi, size: cells_for(F.col(hi) - F.col(lo), F.lit(size))
     b = boxes.withColumns({"nx": n("x0", "x1", lateral), "ny": n("y0", "y1", lateral), "nz": n("z0", "z1", vertical)})
+    b = spread(b, F.col("nx") * F.col("ny") * F.col("nz"))
     for a, c in (("i", "nx"), ("j", "ny"), ("k", "nz")):
         b = b.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)))
     return b
@@ -69,7 +71,7 @@ def conductance_edges(elements: DataFrame, conductivity: DataFrame) -> DataFrame
             if parts:
                 yield pd.concat(parts)
 
-    e = elements.join(conductivity, "id").where("sigma > 0").select("id", "nodes", "dx", "dy", "dz", "sigma")
+    e = elements.join(conductivity.hint("merge"), "id").where("sigma > 0").select("id", "nodes", "dx", "dy", "dz", "sigma")
     return e.mapInPandas(run, "id long, a long, b long, g double").groupBy("id", "a", "b").agg(F.sum("g").alias("g"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cells_for
+from ..storage import spread
 
 KEY = ["poly", "level", "ix", "iy"]
 #: A cell and its four neighbours.
@@ -33,7 +34,7 @@ def _upto(n: Column) -> Column:
 
 def base(lat: DataFrame) -> DataFrame:
     """The leaves of level 0."""
-    return lat.select("poly", F.lit(0).alias("level"), "ny", _upto(F.col("nx")).alias("ix")).select("poly", "level", "ix", _upto(F.col("ny")).alias("iy"))
+    return spread(lat, F.col("nx") * F.col("ny")).select("poly", F.lit(0).alias("level"), "ny", _upto(F.col("nx")).alias("ix")).select("poly", "level", "ix", _upto(F.col("ny")).alias("iy"))
 
 
 def children(cells: DataFrame) -> DataFrame:
@@ -43,8 +44,8 @@ def children(cells: DataFrame) -> DataFrame:
 
 def split(leaves: DataFrame, marked: DataFrame, max_level: int) -> DataFrame:
     """Marked leaves below ``max_level`` give way to their four children. Leaves are read twice: keep them between splits."""
-    hit = leaves.join(marked.select(*KEY).distinct(), KEY, "left_semi").where(F.col("level") < max_level)
-    return leaves.select(*KEY).join(hit.select(*KEY), KEY, "left_anti").unionByName(children(hit))
+    hit = leaves.join(marked.select(*KEY).distinct().hint("merge"), KEY, "left_semi").where(F.col("level") < max_level)
+    return leaves.select(*KEY).join(hit.select(*KEY).hint("merge"), KEY, "left_anti").unionByName(children(hit))
 
 
 def inner(leaves: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def inner(leaves: DataFrame) -> DataFrame:
 def leaves_of(lat: DataFrame, split_cells: DataFrame) -> DataFrame:
     """The leaves of the trees whose split cells are given, parents included."""
     all_ = base(lat).unionByName(children(split_cells))
-    return all_.join(split_cells.select(*KEY), KEY, "left_anti")
+    return all_.join(split_cells.select(*KEY).hint("merge"), KEY, "left_anti")
 
 
 def balanced(leaves: DataFrame, lat: DataFrame, max_level: int) -> DataFrame:
@@ -77,7 +78,7 @@ def balanced(leaves: DataFrame, lat: DataFrame, max_level: int) -> DataFrame:
         if level:
             step = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in CROSS]))
             near = here.withColumn("s", step).select("poly", (F.col("ix") + F.col("s.i")).alias("ix"), (F.col("iy") + F.col("s.j")).alias("iy"))
-            near = near.join(size, "poly").where((F.col("ix") >= 0) & (F.col("iy") >= 0) & (F.col("ix") < F.col("nx") * (1 << level)) & (F.col("iy") < F.col("ny") * (1 << level)))
+            near = near.join(size.hint("merge"), "poly").where((F.col("ix") >= 0) & (F.col("iy") >= 0) & (F.col("ix") < F.col("nx") * (1 << level)) & (F.col("iy") < F.col("ny") * (1 << level)))
             forced = near.select("poly", F.lit(level - 1).alias("level"), F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy")).distinct()
     if split_cells is None:
         return leaves.select(*KEY)
@@ -111,7 +112,7 @@ def hanging(leaves: DataFrame) -> DataFrame:
     # of that cell, the child on this side's edge: the right one beyond the left side, the upper one beyond the bottom
     beyond = beyond.withColumns({"_x": F.when(F.col("i") == -1, F.col("_x") + 1).otherwise(F.col("_x")), "_y": F.when(F.col("j") == -1, F.col("_y") + 1).otherwise(F.col("_y"))})
     there = leaves.select("poly", F.col("level").alias("_l"), F.col("ix").alias("_x"), F.col("iy").alias("_y"))
-    return beyond.join(there, ["poly", "_l", "_x", "_y"], "left_semi").select(*KEY, "side")
+    return beyond.join(there.hint("merge"), ["poly", "_l", "_x", "_y"], "left_semi").select(*KEY, "side")
 
 
 def uneven(leaves: DataFrame, max_level: int) -> DataFrame:
@@ -119,4 +120,4 @@ def uneven(leaves: DataFrame, max_level: int) -> DataFrame:
     step = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in CROSS[1:]]))
     beyond = leaves.where("level > 1").withColumn("s", step).withColumn("k", F.explode(F.expr("sequence(2, level)")))
     at = beyond.select("poly", (F.col("level") - F.col("k")).alias("level"), F.expr("shiftright(ix + s.i, k)").alias("ix"), F.expr("shiftright(iy + s.j, k)").alias("iy")).distinct()
-    return leaves.where(F.col("level") < max_level).join(at, KEY, "left_semi").select(*KEY)
+    return leaves.where(F.col("level") < max_level).join(at.hint("merge"), KEY, "left_semi").select(*KEY)

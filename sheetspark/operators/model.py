@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox, cells_for, is_rectangle
+from ..storage import spread
 from .devices import is_marker
 from .fem import ear_clip
-from .rects import bands
+from .rects import KERNEL, bands
 
 #: Least area of a base.
 LEAST = 1e-30
@@ -94,6 +95,7 @@ def mesh(regions: DataFrame, lateral: float, vertical: float, sizes: dict[str, t
     b = b.withColumn("error", error)
     n = lambda a, size: cells_for(F.col(f"{a}1") - F.col(f"{a}0"), F.col(size))
     g = b.where("error is null").withColumns({"nx": n("x", "lateral"), "ny": n("y", "lateral"), "nz": n("z", "vertical")})
+    g = spread(g, F.col("nx") * F.col("ny") * F.col("nz"))
     for a in "ijk":
         g = g.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.col({"i": "nx", "j": "ny", "k": "nz"}[a]) - 1)))
     at = lambda a, k, m: F.when(k == F.col(m), F.col(f"{a}1")).otherwise(F.col(f"{a}0") + (F.col(f"{a}1") - F.col(f"{a}0")) * k / F.col(m))
@@ -106,8 +108,8 @@ def mesh(regions: DataFrame, lateral: float, vertical: float, sizes: dict[str, t
     failed = lambda df, why: df.select("id", F.lit(0).cast("long").alias("n"), none.alias("kind"), F.lit(None).cast(kind).alias("points"), why.alias("error"))
     prisms = r.where("kind = 'prism'")
     level = prisms.where(flat)
-    bases = prisms.where(~flat).select("id", "points").mapInPandas(_wedges, "id long, n long, base array<struct<x:double,y:double>>, error string")
-    up = bases.where("error is null").join(prisms.select("id", "z0", "z1"), "id")
+    bases = spread(prisms.where(~flat).select("id", "points"), F.lit(1), KERNEL).mapInPandas(_wedges, "id long, n long, base array<struct<x:double,y:double>>, error string")
+    up = bases.where("error is null").join(prisms.select("id", "z0", "z1").hint("merge"), "id")
     side = lambda z: F.transform("base", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.col(z).alias("z")))
     wedges = up.select("id", "n", F.lit("wedge").alias("kind"), F.concat(side("z0"), side("z1")).alias("points"), none.alias("error"))
     other = r.where(~F.coalesce(F.col("kind").isin("box", "prism"), F.lit(False)))

@@ -11,7 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 EPS = 1e-15
+#: Rings that a task takes.
+KERNEL = 10_000
 Ring = list[tuple[float, float]]
 
 
@@ -79,7 +83,7 @@ def _emit(op):
 
 def decompose(shapes: DataFrame) -> DataFrame:
     """``shapes(id, ring)`` into rectangles (id, n, x0, y0, x1, y1)."""
-    return shapes.select("id", "ring").mapInPandas(_emit(lambda r: difference(_ring(r), [])), SCHEMA)
+    return spread(shapes.select("id", "ring"), F.lit(1), KERNEL).mapInPandas(_emit(lambda r: difference(_ring(r), [])), SCHEMA)
 
 
 def subtract(pairs: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def contains(points: DataFrame, edges: DataFrame, cell: float, keys: Sequence[st
     asked = near.select(F.col("a_id").alias("point"), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("b_id").alias("id"), F.floor(F.col("a_y") / cell).alias("row"))
     over = (F.col("yb") > F.col("y")) != (F.col("ya") > F.col("y"))
     at = F.col("xb") + (F.col("y") - F.col("yb")) / (F.col("ya") - F.col("yb")) * (F.col("xa") - F.col("xb"))
-    crossed = asked.join(indexed(edges, cell), ["id", "row"]).where(over & (F.col("x") < at))
+    crossed = asked.join(indexed(edges, cell).hint("merge"), ["id", "row"]).where(over & (F.col("x") < at))
     return crossed.groupBy("point", "id").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("point", "id")
 
 
@@ -68,7 +68,7 @@ def _heights(pairs: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     lo and hi."""
     ends = edges.select("id", F.col("ya").alias("y"), F.floor(F.col("ya") / cell).alias("row")).distinct()
     rows = pairs.withColumn("row", _rows(F.col("lo"), F.col("hi"), cell))
-    own = [rows.join(ends.withColumnRenamed("id", side), [side, "row"]).where("y between lo and hi").select("a", "b", "y") for side in "ab"]
+    own = [rows.join(ends.withColumnRenamed("id", side).hint("merge"), [side, "row"]).where("y between lo and hi").select("a", "b", "y") for side in "ab"]
     turn = Window.partitionBy("a", "b").orderBy("y")
     ys = own[0].unionByName(own[1]).distinct().withColumn("up", F.lead("y").over(turn))
     return ys.where(F.col("up") - F.col("y") >= SAME).select("a", "b", F.col("y").alias("band"), (0.5 * (F.col("y") + F.col("up"))).alias("y"))
@@ -76,7 +76,7 @@ def _heights(pairs: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
 
 def _intervals(heights: DataFrame, index: DataFrame, side: str, cell: float) -> DataFrame:
     """(a, b, band, side, x0, x1): the x ranges that the ring ``side`` of each pair covers at the heights."""
-    at = heights.withColumn("row", F.floor(F.col("y") / cell)).join(index.withColumnRenamed("id", side), [side, "row"])
+    at = heights.withColumn("row", F.floor(F.col("y") / cell)).join(index.withColumnRenamed("id", side).hint("merge"), [side, "row"])
     over = ((F.col("ya") <= F.col("y")) & (F.col("yb") > F.col("y"))) | ((F.col("yb") <= F.col("y")) & (F.col("ya") > F.col("y")))
     x = F.col("xa") + (F.col("y") - F.col("ya")) / (F.col("yb") - F.col("ya")) * (F.col("xb") - F.col("xa"))
     turn = Window.partitionBy("a", "b", "band").orderBy("x", "k")

@@ -74,7 +74,7 @@ def leaf_of(vias: DataFrame, leaves: DataFrame, cell: float, keys: Sequence[str]
     inside = spatial.grid_join(spots, leaves, cell, keys).groupBy(F.col("a_id").alias("via")).agg(F.min("b_id").alias("leaf"))
     inside = keep(inside, "inside")
     middles = leaves.select("id", *keys, ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    bare = vias.join(inside.select(F.col("via").alias("id")), "id", "left_anti")
+    bare = vias.join(inside.select(F.col("via").alias("id")).hint("merge"), "id", "left_anti")
     return inside.unionByName(spatial.nearest(bare, middles, cell, keys, "left").select(F.col("point").alias("via"), F.col("node").alias("leaf")))
 
 
@@ -181,7 +181,8 @@ def stack_problems(layers: DataFrame, vias: DataFrame) -> DataFrame:
     ends = vias.select("item", F.explode(F.array("a", "b")).alias("id"))
     unknown = ends.join(layers, "id", "left_anti").select("item").distinct().select(F.lit("unknown layer").alias("problem"), "item")
     same = vias.where("a = b").select(F.lit("same layer").alias("problem"), "item")
-    bare = layers.join(ends, "id", "left_anti").select(F.lit("untouched").alias("problem"), F.col("id").alias("item"))
+    touched = ends.select("id").distinct().hint("merge")  # a row for each layer named, not for each via
+    bare = layers.join(touched, "id", "left_anti").select(F.lit("untouched").alias("problem"), F.col("id").alias("item"))
     known = vias.where("a <> b").join(layers.withColumnRenamed("id", "a"), "a", "left_semi").join(layers.withColumnRenamed("id", "b"), "b", "left_semi")
     names = components(known.select("a", "b")).withColumnRenamed("node", "id")
     groups = keep(layers.join(names, "id", "left").select(F.coalesce("component", "id").alias("item")).distinct(), "groups")

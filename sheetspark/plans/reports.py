@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import view
 from ..functions import geometry as geo
 from ..operators import export, rects, summary
+from ..storage import spread
 from .queries import CELL, _drops, query, tidy
 
 
@@ -128,7 +129,7 @@ def channel_cut_area(spark, d):
     r = view(spark, d, "f_rect")
     x, w, y0, y1 = F.col("x0"), F.col("x1") - F.col("x0"), F.col("y0"), F.col("y1")
     gate = lambda k: geo.rect_ring(x + w * k / 8, y0 - 1, x + w * (k + 1) / 8, y1 + 1)
-    left = rects.subtract(r.select("id", geo.rect_ring(x, y0, F.col("x1"), y1).alias("ring"), F.array(gate(2), gate(5)).alias("cuts")))
+    left = rects.subtract(spread(r, F.lit(1), rects.KERNEL).select("id", geo.rect_ring(x, y0, F.col("x1"), y1).alias("ring"), F.array(gate(2), gate(5)).alias("cuts")))
     return left.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 6).alias("area"))
 
 

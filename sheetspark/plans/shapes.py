@@ -56,7 +56,7 @@ def comb_nets(spark, d):
 
     links = sheet_rds.met(keep(sheet_rds.pieces(s), "pieces"), CELL, s)
     names = closure.components(links).withColumnRenamed("node", "id")
-    return s.select("id").join(names, "id", "left").select("id", F.coalesce("component", "id").alias("net"))
+    return s.select("id").join(names.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("net"))
 
 
 @query(f"""WITH {SHAPES}, t AS (SELECT * FROM shape WHERE kind > 1), p AS (SELECT a.id AS a, b.id AS b, a.kind AS ka, b.kind AS kb, a.x0 AS ax0, a.x1 AS ax1, b.x0 AS bx0, b.x1 AS bx1,

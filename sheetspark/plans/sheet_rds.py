@@ -33,7 +33,7 @@ class Network:
 def pieces(polygons: DataFrame) -> DataFrame:
     """(id, logical, physical, x0..y1): the rectangles of polygons(id, logical, physical, points)."""
     parts = rects.decompose(polygons.select("id", F.col("points").alias("ring")))
-    return parts.join(polygons.select("id", "logical", "physical"), "id").select("id", "logical", "physical", *spatial.BOX)
+    return parts.join(polygons.select("id", "logical", "physical").hint("merge"), "id").select("id", "logical", "physical", *spatial.BOX)
 
 
 def met(parts: DataFrame, cell: float, polygons: DataFrame | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def nets(polygons: DataFrame, vias: DataFrame, cell: float, same: DataFrame | No
         landed = landings(parts, vias, cell) if landed is None else landed
     joined = landed.groupBy("via").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
     names = closure.components(same.unionByName(joined)).withColumnRenamed("node", "id")
-    return polygons.select("id").join(names, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return polygons.select("id").join(names.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _held(pins: DataFrame, parts: DataFrame, component: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:

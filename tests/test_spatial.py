@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheetspark.fixtures import view
 from sheetspark.operators import spatial
 
 
@@ -78,3 +79,44 @@ def test_matching_of_rows_at_one_place_and_of_nothing(spark):
     assert spatial.greedy_match(g, f.limit(0)).count() == 0 == spatial.greedy_match(g.limit(0), f).count()
     lost = g.withColumn("x", F.lit(None).cast("double"))
     assert spatial.greedy_match(lost, f).count() == 0
+
+
+def _broadcast(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_tables_are_not_broadcast(spark, sf_dir):
+    """Spark takes cells for as small as the file that they are made of; broadcast, they fill the driver."""
+    from sheetspark.operators import fields, quadtree, rings, solve
+    from sheetspark.plans import queries, shapes
+
+    r = view(spark, sf_dir, "f_rect")
+    assert not _broadcast(spatial.grid_join(r, r, 64.0))
+    leaves = quadtree.base_cells(r, 5.0)
+    assert not _broadcast(quadtree.refine(leaves, leaves, 3))
+    assert not _broadcast(quadtree.hanging(leaves))
+    for name in ("hanging_nodes", "quad_refine_levels", "grid_mesh_counts", "hex_mesh_counts", "terminal_role_lookup", "rect_difference", "polygon_contains"):
+        assert not _broadcast(queries.QUERIES[name](spark, sf_dir)), name
+    edges = rings.edges_of(shapes.shapes(spark, sf_dir), ["layer"])
+    assert not _broadcast(rings.connected(edges, 64.0))
+    e = spark.range(10).select(F.lit(1).alias("key"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("g"))
+    u = spark.range(11).select(F.lit(1).alias("key"), F.col("id").alias("node"), F.lit(0.0).alias("u"))
+    assert not _broadcast(fields.edge_drops(e, u)) and not _broadcast(solve.power(e, u, "key"))
+
+
+def test_rows_are_dealt_by_what_becomes_of_them(spark):
+    from sheetspark.storage import spread
+
+    few = spark.range(100).coalesce(1)
+    assert spread(few, F.lit(1)).rdd.getNumPartitions() == 1
+    assert spread(few, F.lit(10), 100).rdd.getNumPartitions() == 10
+    assert sorted(r.id for r in spread(few, F.lit(10), 100).collect()) == list(range(100))
+
+
+def test_boxes_at_one_place_all_answer(spark):
+    p = spark.createDataFrame([(k, 1.0 * (k % 2), 0.0) for k in range(6)] + [(6, None, 0.0), (7, None, 0.0)], "id long, x double, y double")
+    n = spark.createDataFrame([(10, 0.2, 0.0), (11, 90.0, 0.0)], "id long, x double, y double")
+    got = {r.point: (r.node, r.d2) for r in spatial.nearest(p, n, 1.0, how="left").collect()}
+    assert {k: v[0] for k, v in got.items()} == {**dict.fromkeys(range(6), 10), 6: None, 7: None}
+    b = p.withColumns({"hx": F.lit(0.5), "hy": F.lit(0.5)})
+    assert {(r.box, r.node) for r in spatial.footprint_nodes(b, n, 1.0).collect()} == {*((k, 10) for k in range(6)), (6, None), (7, None)}
