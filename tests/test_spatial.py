@@ -120,3 +120,17 @@ def test_boxes_at_one_place_all_answer(spark):
     assert {k: v[0] for k, v in got.items()} == {**dict.fromkeys(range(6), 10), 6: None, 7: None}
     b = p.withColumns({"hx": F.lit(0.5), "hy": F.lit(0.5)})
     assert {(r.box, r.node) for r in spatial.footprint_nodes(b, n, 1.0).collect()} == {*((k, 10) for k in range(6)), (6, None), (7, None)}
+
+
+def test_rounds_of_matching_leave_no_table_to_a_broadcast(spark, monkeypatch):
+    from sheetspark import storage
+
+    plans, keep = [], storage.keep
+    monkeypatch.setattr(storage, "keep", lambda df, name: plans.append((name, _broadcast(df))) or keep(df, name))
+    monkeypatch.setattr(spatial, "FEW", -1)
+    rng = np.random.default_rng(5)
+    g, f = places(rng, 40, "lattice"), places(rng, 30, "lattice")
+    got = spatial.greedy_match(table(spark, g), table(spark, f), (), 4.0).collect()
+    zero = np.zeros(40, int)
+    assert sorted((r.golden, r.found) for r in got) == in_order(g, f, zero, zero, 4.0)
+    assert {"asked", "held", "again"} <= {n for n, _ in plans} and not [n for n, b in plans if b]
