@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cells_for
-from ..storage import spread
+from ..storage import ROWS, spread
 from .rects import EPS, bands, intervals
 
 #: Corners of a brick: x, y, z steps, in the order of the format (bottom ring, then top ring).
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+#: Bricks that a task makes: each becomes eight nodes or 28 edges.
+BRICKS = ROWS // 4
 
 
 def hex_elements(boxes: DataFrame, lateral: float, vertical: float) -> DataFrame:
     """Bricks of boxes (id, x0, y0, z0, x1, y1, z1, ...): (id, i, j, k, nx, ny, nz, corner coordinates)."""
     n = lambda lo, hi, size: cells_for(F.col(hi) - F.col(lo), F.lit(size))
     b = boxes.withColumns({"nx": n("x0", "x1", lateral), "ny": n("y0", "y1", lateral), "nz": n("z0", "z1", vertical)})
-    b = spread(b, F.col("nx") * F.col("ny") * F.col("nz"))
+    b = spread(b, F.col("nx") * F.col("ny") * F.col("nz"), BRICKS)
     for a, c in (("i", "nx"), ("j", "ny"), ("k", "nz")):
         b = b.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)))
     return b
 
 
-def node_number(i, j, k) -> F.Column:
+def node_number(i, j, k) -> Column:
     """Of a grid place within its box: row-major over (nx + 1) (ny + 1) (nz + 1)."""
     return (k * (F.col("ny") + 1) + j) * (F.col("nx") + 1) + i
 
@@ -37,6 +42,15 @@ def with_nodes(elements: DataFrame) -> DataFrame:
     return elements.withColumn("nodes", nodes).withColumns(size)
 
 
+def own_nodes() -> Column:
+    """Those of a brick's ``nodes`` that are its own: its first corner, and of the others those that no brick further on has
+    for its first. Over a box's bricks each node is named once, so nothing needs to be told apart by a shuffle."""
+    ends = {"i": "nx", "j": "ny", "k": "nz"}
+    last = lambda c: [F.col(a) == F.col(n) - 1 for (a, n), step in zip(ends.items(), c) if step]
+    own = [F.when(reduce(and_, last(c), F.lit(True)), F.get("nodes", F.lit(p))) for p, c in enumerate(CORNERS)]
+    return F.filter(F.array(*own), lambda v: v.isNotNull())
+
+
 def volume(elements: DataFrame) -> DataFrame:
     return elements.groupBy("id").agg(F.sum(F.col("dx") * F.col("dy") * F.col("dz")).alias("volume"))
 

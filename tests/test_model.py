@@ -51,3 +51,15 @@ def test_assembly_reasons_and_first_entries(spark):
         6: ("F", None, 2, "no height"), 7: ("B", None, None, "no height"),
     }
     assert {tuple(r) for r in model.assembly_counts(out).collect()} == {("box", "M1", 1), ("prism", "M1", 1), ("marker", "seed_x", 1), ("unnamed", "", 1), ("unmatched", "lost", 1), ("no height", "F", 1), ("no height", "B", 1)}
+
+
+def test_bricks_name_each_node_once(spark):
+    from pyspark.sql import functions as F
+
+    from sheetspark.operators import fem
+
+    b = spark.createDataFrame([(k, 0.0, 0.0, 0.0, 1.0 + k, 2.0 + k % 3, 1.0 + k % 2) for k in range(6)], "id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    e = fem.with_nodes(fem.hex_elements(b, 1.0, 1.0))
+    every = e.select("id", F.explode("nodes").alias("n")).distinct().collect()
+    own = e.select("id", F.explode(fem.own_nodes()).alias("n")).collect()
+    assert len(own) == len(every) and set(own) == set(every)
