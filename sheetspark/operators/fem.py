@@ -68,9 +68,10 @@ def brick_stiffness(dx: float, dy: float, dz: float) -> np.ndarray:
     return k
 
 
-def conductance_edges(elements: DataFrame, conductivity: DataFrame) -> DataFrame:
+def conductance_edges(elements: DataFrame, conductivity: DataFrame | None = None) -> DataFrame:
     """(id, a, b, g) of the assembled stiffness: g = -K_ab summed over the elements. ``conductivity(id, sigma)``;
-    what has none or none that is positive conducts nothing."""
+    what has none or none that is positive conducts nothing. Without it elements have a sigma of their own, and stay in the
+    tasks that made them."""
 
     def run(frames):
         for pdf in frames:
@@ -85,7 +86,8 @@ def conductance_edges(elements: DataFrame, conductivity: DataFrame) -> DataFrame
             if parts:
                 yield pd.concat(parts)
 
-    e = elements.join(conductivity.hint("merge"), "id").where("sigma > 0").select("id", "nodes", "dx", "dy", "dz", "sigma")
+    known = elements if conductivity is None else elements.join(conductivity.hint("merge"), "id")
+    e = known.where("sigma > 0").select("id", "nodes", "dx", "dy", "dz", "sigma")
     return e.mapInPandas(run, "id long, a long, b long, g double").groupBy("id", "a", "b").agg(F.sum("g").alias("g"))
 
 

@@ -63,3 +63,15 @@ def test_bricks_name_each_node_once(spark):
     every = e.select("id", F.explode("nodes").alias("n")).distinct().collect()
     own = e.select("id", F.explode(fem.own_nodes()).alias("n")).collect()
     assert len(own) == len(every) and set(own) == set(every)
+
+
+def test_elements_with_their_own_conductivity_conduct_as_joined_ones(spark):
+    from pyspark.sql import functions as F
+
+    from sheetspark.operators import fem
+
+    b = spark.createDataFrame([(k, 0.0, 0.0, 0.0, 2.0, 1.0, 1.0, [2.0, 0.0, None][k]) for k in range(3)], "id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, sigma double")
+    told = fem.conductance_edges(fem.with_nodes(fem.hex_elements(b.drop("sigma"), 1.0, 1.0)), b.select("id", "sigma"))
+    own = fem.conductance_edges(fem.with_nodes(fem.hex_elements(b, 1.0, 1.0)))
+    rounded = lambda e: sorted(tuple(r) for r in e.select("id", "a", "b", F.round("g", 9)).collect())
+    assert rounded(own) == rounded(told) and {r.id for r in own.collect()} == {0}
