@@ -51,9 +51,10 @@ reach(id, other) AS (SELECT id, id FROM own UNION SELECT reach.id, u.b FROM reac
 SELECT id, min(other) AS net FROM reach GROUP BY id""", "f_rect")
 def comb_nets(spark, d):
     """The nets of all L shapes and combs by the plan's own rule; many interlock without touching."""
-    s = shapes(spark, d).where("kind < 2").select("id", F.col("layer").alias("logical"), F.col("layer").alias("physical"), "points")
     from ..storage import keep
 
+    s = shapes(spark, d).where("kind < 2").select("id", F.col("layer").alias("logical"), F.col("layer").alias("physical"), "points")
+    s = keep(s, "shapes")  # tests that name the points often would make them anew each time
     links = sheet_rds.met(keep(sheet_rds.pieces(s), "pieces"), CELL, s)
     names = closure.components(links).withColumnRenamed("node", "id")
     return s.select("id").join(names.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("net"))

@@ -57,3 +57,11 @@ def test_folding_leaves_what_hangs_together_by_more():
     want = value.copy()
     want[~fixed] = np.linalg.solve(full[np.ix_(~fixed, ~fixed)], -full[np.ix_(~fixed, fixed)] @ value[fixed])
     assert np.abs(solve.solve_dirichlet(n, a, b, g, fixed, value) - want).max() < 1e-10
+
+
+def test_a_rings_tolerance_is_taken_once_and_not_for_each_edge(spark):
+    steps = [(float(i // 2), float((i + 1) // 2)) for i in range(1200)] + [(0.0, 600.0)]
+    rows = [(1, steps), (2, [*steps[:-1], (5.0, 700.0)]), (3, [(0.0, 0.0), (0.0, 5.0), (4.0, 5.0 + 1e-10), (4.0, 0.0)]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id int, p array<struct<x:double,y:double>>").select("id", geo.is_rectilinear(F.col("p")).alias("r"))
+    assert {r["id"]: r["r"] for r in df.collect()} == {1: True, 2: False, 3: True, 4: True, 5: None}
+    assert "array_max(" not in df._jdf.queryExecution().analyzed().toString().split("forall(", 1)[1].split("AS r", 1)[0]
