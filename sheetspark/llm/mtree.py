@@ -8,8 +8,8 @@ the child's page; a leaf page holds vectors with their distances to the page's r
 
 The metric is the Euclidean distance d. For a query q and anything x within the ball of c and r, q.x <= q.c + |q| r; and
 as d(c, p) is stored for the parent p, q.c <= q.p + |q| d(c, p) without q.c being computed. Pages are taken from a heap by
-their bounds; the search ends when the best bound left is below the k-th score found, so the result is exact. Every query
-first searches a shard of its nearest routing object; with the k-th score from there it goes on, in blocks with others,
+their bounds; a query leaves out what has a bound below its k-th score found, so the result is exact. Queries of a shard go
+down its tree together, so that a page's products are one of matrices. Every query first searches a shard of its nearest routing object; with the k-th score from there it goes on, in blocks with others,
 only into shards whose bound reaches it. A shard that many queries visit is searched by several tasks.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; scores
@@ -34,8 +34,9 @@ from .storage import discard, keep, small_batches
 K = 10
 #: Routing objects at the top are chosen from at most so many vectors and bytes, one for ``SHARD_ROWS`` vectors.
 SAMPLE, SAMPLE_BYTES, PIVOTS, SHARD_ROWS = 20_000, 32 << 20, 1024, 4096
-#: Bytes of the vectors of one shard; entries of a leaf page and of a routing page; queries of one task and shard.
-SHARD_BYTES, LEAF, FANOUT, CHUNK = 16 << 20, 64, 16, 20_000
+#: Bytes of the vectors of one shard; entries of a leaf page and of a routing page; queries of one task and shard, and of
+#: them those that go down the tree together.
+SHARD_BYTES, LEAF, FANOUT, CHUNK, TOGETHER = 16 << 20, 64, 16, 20_000, 1024
 EXACT = float(1 << 53)
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -101,40 +102,55 @@ class Tree:
         return cls(pages, pivot, radius, reach)
 
     def search(self, q: np.ndarray, k: int, floor: int = LOW, seen: list | None = None) -> list[tuple[int, int, bool]]:
-        """The best k (score, id, whether it has the query's own vector) that reach ``floor``, best first. ``seen`` gets
-        the number of products computed."""
+        """:meth:`search_all` of one query."""
+        return self.search_all(q[None, :], k, [floor], seen)[0]
+
+    def search_all(self, qs: np.ndarray, k: int, floors: list[int], seen: list | None = None) -> list[list[tuple[int, int, bool]]]:
+        """For each row of ``qs`` the best k (score, id, whether it has the query's own vector) that reach its floor, best
+        first. A page is opened once for all queries whose bound reaches it then, the page of the highest bound first.
+        ``seen`` gets the number of products computed with what pages hold."""
+        best: list[list[tuple[int, int, bool]]] = [[] for _ in floors]
+        kth, work = np.array(floors, np.float64), 0
         with np.errstate(over="ignore", invalid="ignore"):
-            length = float(np.sqrt((q**2).sum()))
+            length = np.sqrt((qs**2).sum(1))
             small = length * self.reach < EXACT  # then products in double precision are exact
             slack = 1 + 1e-12 * length * (self.reach + self.radius)
-            best: list[tuple[int, int, bool]] = []
-            kth, work = floor, 0
-            heap = [(-np.inf, 0, float(q @ self.pivot))]
+            heap = [(-np.inf, 0, np.arange(len(qs)), np.full(len(qs), np.inf), qs @ self.pivot)]
             while heap:
-                bound, number, parent = heapq.heappop(heap)
-                if -bound + slack < kth:
-                    break
+                _, number, own, bound, parent = heapq.heappop(heap)
+                still = ~(bound + slack[own] < kth[own])
+                own, parent = own[still], parent[still]
                 leaf, x, radii, dist, children, ids = self.pages[number]
-                far = parent + length * (dist if leaf else dist + radii)
-                at = np.flatnonzero(~(far + slack < kth))
-                work += len(at)
+                far = parent[:, None] + length[own, None] * (dist if leaf else dist + radii)[None, :]
+                need = ~(far + slack[own, None] < kth[own, None])
+                rows, at = np.flatnonzero(need.any(1)), np.flatnonzero(need.any(0))
+                if not len(rows):
+                    continue
+                own, need = own[rows], need[np.ix_(rows, at)]
+                work += len(rows) * len(at)
+                products = qs[own] @ x[at].T
                 if leaf:
-                    if small:
-                        scores = (x[at] @ q).astype(np.int64).tolist()
-                    else:
-                        w = [int(c) for c in q.tolist()]
-                        scores = [min(HIGH, max(LOW, sum(a * int(b) for a, b in zip(w, v)))) for v in x[at].tolist()]
-                    fresh = [(s, i, same) for s, j in zip(scores, at.tolist()) if s >= kth for same in [bool((x[j] == q).all())] for i in ids[j]]
-                    if fresh:
-                        best = sorted(best + fresh, key=lambda t: (-t[0], t[1]))[:k]
-                        if len(best) == k:
-                            kth = max(kth, best[-1][0])
+                    for i in np.flatnonzero(((products >= kth[own, None]) & need).any(1) | ~small[own]).tolist():
+                        q = own[i]
+                        if small[q]:
+                            hits = np.flatnonzero((products[i] >= kth[q]) & need[i])
+                            scores = products[i, hits].astype(np.int64).tolist()
+                        else:
+                            hits, w = np.flatnonzero(need[i]), [int(c) for c in qs[q].tolist()]
+                            scores = [min(HIGH, max(LOW, sum(a * int(b) for a, b in zip(w, v)))) for v in x[at[hits]].tolist()]
+                        least = best[q][-1][0] if len(best[q]) == k else floors[q]
+                        fresh = [(s, j, same) for s, n in zip(scores, at[hits].tolist()) if s >= least for same in [bool((x[n] == qs[q]).all())] for j in ids[n]]
+                        if fresh:
+                            best[q] = sorted(best[q] + fresh, key=lambda t: (-t[0], t[1]))[:k]
+                            if len(best[q]) == k:
+                                kth[q] = max(kth[q], best[q][-1][0])
                 else:
-                    own = x[at] @ q
-                    up = np.nan_to_num(own + length * radii[at], nan=np.inf)
-                    for b, c, s in zip(up.tolist(), children[at].tolist(), own.tolist()):
-                        if not b + slack < kth:
-                            heapq.heappush(heap, (-b, c, s))
+                    up = np.nan_to_num(products + length[own, None] * radii[at][None, :], nan=np.inf)
+                    reach = need & ~(up + slack[own, None] < kth[own, None])
+                    for j, child in enumerate(children[at].tolist()):
+                        on = np.flatnonzero(reach[:, j])
+                        if len(on):
+                            heapq.heappush(heap, (-float(up[on, j].max()), child, own[on], up[on, j], products[on, j]))
         if seen is not None:
             seen.append(work)
         return best
@@ -207,12 +223,13 @@ def _search(pivots: dict[int, np.ndarray], k: int, first: bool):
         out: list[tuple[int, int, int, bool]] = []
         if len(pages) and len(blocks):
             tree = Tree.read(pages, pivots.get(dim, np.zeros((1, dim)))[pivot])
-            for b in blocks.itertuples():
-                x = np.frombuffer(b.vectors).reshape(b.n, dim)
-                qs, floors, homes = (np.frombuffer(v, np.int64).tolist() for v in (b.qs, b.floors, b.homes))
-                for i in range(b.n):
-                    if (homes[i] == part) == first:
-                        out += [(qs[i], *hit) for hit in tree.search(x[i], k, floors[i])]
+            qs, floors, homes = (np.concatenate([np.frombuffer(v, np.int64) for v in blocks[c]]) for c in ("qs", "floors", "homes"))
+            x = np.concatenate([np.frombuffer(b.vectors).reshape(b.n, dim) for b in blocks.itertuples()])
+            mine = np.flatnonzero((homes == part) == first)
+            for i in range(0, len(mine), TOGETHER):
+                some = mine[i : i + TOGETHER]
+                for q, hits in zip(qs[some].tolist(), tree.search_all(x[some], k, floors[some].tolist())):
+                    out += [(q, *hit) for hit in hits]
         return pd.DataFrame(out, columns=["q", "score", "id", "same"]).astype({"q": "int64", "score": "int64", "id": "int64", "same": "bool"})
 
     return run

@@ -98,3 +98,32 @@ def test_a_search_asks_for_no_more_than_the_index_has(spark):
     with pytest.raises(ValueError):
         index.search(rows.withColumnRenamed("id", "q"), 5)
     assert {r["q"]: [x["id"] for x in r["results"]] for r in index.search(rows.withColumn("q", F.col("id")), 4).collect()} == {1: [2, 1], 2: [2, 1]}
+
+
+def test_queries_that_go_down_together_open_a_page_once():
+    import pandas as pd
+
+    class Opened(dict):
+        times = 0
+
+        def __getitem__(self, key):
+            self.times += 1
+            return super().__getitem__(key)
+
+    rng = np.random.default_rng(4)
+    x = np.floor(1024 * np.concatenate([c + 0.1 * rng.normal(size=(100, 8)) for c in rng.normal(size=(20, 8))]))
+    x[7] *= 2.0**45  # its products with itself are beyond what doubles and longs hold
+    pages = mtree.bulk_load(x, [[i, 5000 + i] for i in range(len(x))], x[0], np.random.default_rng(0))
+    rows = [{"page": n, "leaf": p["leaf"], "n": len(p["objects"]), **{c: p[c].tobytes() for c in ("objects", "radii", "distances", "children")}, "ids": p["ids"]} for n, p in enumerate(pages)]
+    tree = mtree.Tree.read(pd.DataFrame(rows), x[0])
+    tree.pages = Opened(tree.pages)
+    asked = [*range(0, 2000, 10), 7]
+    whole = [[int(c) for c in v] for v in x.tolist()]
+    want = []
+    for i in asked:
+        scores = [min(mtree.HIGH, max(mtree.LOW, sum(a * b for a, b in zip(whole[i], v)))) for v in whole]
+        want.append(sorted([(s, j + more, bool((x[j] == x[i]).all())) for j, s in enumerate(scores) for more in (0, 5000)], key=lambda t: (-t[0], t[1]))[:11])
+    assert tree.search_all(x[asked], 11, [mtree.LOW] * len(asked)) == want
+    assert tree.pages.times <= len(pages)
+    floors = [w[4][0] for w in want]
+    assert tree.search_all(x[asked], 11, floors) == [[h for h in w if h[0] >= f] for w, f in zip(want, floors)]
