@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetspark import log
-from sheetspark.sources.text import lines_of, names_in
+from sheetspark.sources.text import names_of
 
 from .common import config
 
@@ -32,12 +32,17 @@ SCHEMA = "`group` string, name string, n long, n_texts long, first struct<lacks_
 
 def index(texts: DataFrame) -> DataFrame:
     """Counts of the names in ``texts(id, text, group)``."""
-    rows = texts.withColumn("row", F.monotonically_increasing_id())
-    names = names_in(lines_of(rows.select("row", "group", "id", F.col("text").alias("value"))))
-    first = F.struct(F.col("id").isNull().cast("int").alias("lacks_id"), "id", "line")
-    # by text first, so that texts are counted without a set of them; both steps combine before their shuffle
-    by_text = names.groupBy("group", "name", "row").agg(F.count("*").alias("n"), F.min(first).alias("first"))
-    return by_text.groupBy("group", "name").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"), F.min("first").alias("first"))
+    told = texts.select("group", "id", names_of(F.col("text")).alias("names"))
+    # a text is one row, so what is once a text is told apart there: a row for each occurrence and one for each name of the text
+    once = F.transform(F.array_distinct("names.name"), lambda x: F.struct(x.alias("name"), F.lit(None).cast("long").alias("line")))
+    names = told.select("group", "id", F.explode(F.concat("names", once)).alias("x")).select("group", "id", "x.name", "x.line")
+    # where a name is first, as one number: a fixed-length minimum is kept in the hash table of the counts, a struct's would sort all rows
+    lines, last = F.expr("10000000000BD"), F.expr("100000000000000000000000000000BD")  # more than a text has lines; beyond all ids by lines
+    place = F.coalesce(F.col("id").cast("decimal(20,0)") * lines, last) + F.col("line").cast("decimal(11,0)")
+    found = names.groupBy("group", "name").agg(F.count("line").alias("n"), F.count(F.when(F.col("line").isNull(), 1)).alias("n_texts"), F.min(place).alias("place"))
+    text, lacks = F.floor(F.col("place") / lines), F.col("place") >= last
+    first = F.struct(lacks.cast("int").alias("lacks_id"), F.when(~lacks, text.cast("long")).alias("id"), (F.col("place") - text * lines).cast("long").alias("line"))
+    return found.select("group", "name", "n", "n_texts", first.alias("first"))
 
 
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, settings: dict) -> int:

@@ -32,6 +32,13 @@ def names_in(lines: DataFrame) -> DataFrame:
     return plain.withColumn("name", F.explode(F.filter(_tokens(F.col("value")), lambda t: t != ""))).drop("value")
 
 
+def names_of(text: Column) -> Column:
+    """The names of :func:`names_in` of one text's lines as an array of (name, line), lines numbered from 1; null for null."""
+    named = lambda line, i: F.transform(F.filter(_tokens(line), lambda t: t != ""), lambda t: F.struct(t.alias("name"), (i + 1).cast("long").alias("line")))
+    none = F.array().cast("array<struct<name:string,line:bigint>>")
+    return F.flatten(F.transform(F.split(text, "\r?\n"), lambda line, i: F.when(~F.btrim(line).rlike(COMMENT), named(line, i)).otherwise(none)))
+
+
 def _tokens(value: Column) -> Column:
     t = F.btrim(value, F.lit(" \t\r\n"))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\\s+"))

@@ -151,3 +151,15 @@ def test_queries_are_the_same_as_duckdb(spark, sf_dir, name):
     tidy = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()), key=repr)
     assert tidy(got) == tidy(want) and len(got) > 10
     assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_names_are_counted_with_one_shuffle_and_no_sort(spark):
+    from jobs import text_names
+
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(most, "a a\n# a b\nb a", "s"), (least, "\n\nb\tc", "s"), (None, "d\r\nc d", "s"), (None, "e", None), (-7, "c\nz", "s"), (0, None, "s"), (1, "", "s")]
+    out = text_names.index(spark.createDataFrame(rows, "id long, text string, `group` string"))
+    got = {(r["group"], r["name"]): (r["n"], r["n_texts"], *r["first"]) for r in out.collect()}
+    assert got == {("s", "a"): (3, 1, 0, most, 1), ("s", "b"): (2, 2, 0, least, 3), ("s", "c"): (3, 3, 0, least, 3), ("s", "d"): (2, 1, 1, None, 1), (None, "e"): (1, 1, 1, None, 1), ("s", "z"): (1, 1, 0, -7, 2)}
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
