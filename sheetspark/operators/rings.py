@@ -48,14 +48,16 @@ def indexed(edges: DataFrame, cell: float) -> DataFrame:
 def contains(points: DataFrame, edges: DataFrame, cell: float, keys: Sequence[str] = ()) -> DataFrame:
     """(point, id): each ring of equal ``keys`` that a point (id, x, y, keys) lies in: a ray from it to greater x crosses an
     odd number of edges. An edge counts from its lower end on, its upper end left out, and only right of the point, so a
-    point on a left or lower side is within and one on a right or upper side is not."""
-    spot = points.select("id", "x", "y", *keys, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    point on a left or lower side is within and one on a right or upper side is not. Points at one place ask once."""
+    place = ["x", "y", *keys]
+    spot = points.select(*place).distinct().select(*place, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     near = spatial.grid_join(spot, extents(edges, keys), cell, keys)
-    asked = near.select(F.col("a_id").alias("point"), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("b_id").alias("id"), F.floor(F.col("a_y") / cell).alias("row"))
+    asked = near.select(*[F.col(f"a_{c}").alias(c) for c in place], F.col("b_id").alias("id"), F.floor(F.col("a_y") / cell).alias("row"))
     over = (F.col("yb") > F.col("y")) != (F.col("ya") > F.col("y"))
     at = F.col("xb") + (F.col("y") - F.col("yb")) / (F.col("ya") - F.col("yb")) * (F.col("xa") - F.col("xb"))
     crossed = asked.join(indexed(edges, cell).hint("merge"), ["id", "row"]).where(over & (F.col("x") < at))
-    return crossed.groupBy("point", "id").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("point", "id")
+    inside = crossed.groupBy(*place, "id").agg((F.count("*") % 2).alias("odd")).where("odd = 1").drop("odd")
+    return points.select(F.col("id").alias("point"), *place).join(inside.hint("merge"), place).select("point", "id")
 
 
 def first_containing(points: DataFrame, edges: DataFrame, cell: float, keys: Sequence[str] = ()) -> DataFrame:

@@ -64,6 +64,16 @@ def test_points_in_rings(spark, drawn, cell):
     assert first == {i: min(k for j, k in want if j == i) for i, _ in want}
 
 
+def test_points_at_one_place_ask_once(spark, monkeypatch):
+    box = spark.createDataFrame([(7, "m", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), (8, "m", [(1.0, 1.0), (3.0, 1.0), (1.0, 3.0)])], RING)
+    p = spark.range(600).select("id", (F.col("id") % 3 + 0.5).alias("x"), F.when(F.col("id") < 590, 1.25).alias("y"), F.lit("m").alias("layer"))
+    sizes, join = [], rings.spatial.grid_join
+    monkeypatch.setattr(rings.spatial, "grid_join", lambda left, *a, **k: (sizes.append(left.where("y is not null").count()), join(left, *a, **k))[1])
+    got = rings.contains(p, rings.edges_of(box, ["layer"]), 2.0, ["layer"])
+    assert sorted(map(tuple, got.collect())) == sorted((i, r) for i in range(590) for r in (7, 8) if r == 7 or i % 3 in (1, 2) and i % 3 + 0.5 < 2.75)
+    assert sizes == [3]
+
+
 @pytest.mark.parametrize("cell", [0.7, 5.0])
 def test_rings_that_meet(spark, drawn, cell):
     shapes, df = drawn
