@@ -196,7 +196,7 @@ def gds_files_roundtrip(spark, d):
     made = r.select(F.lit("rects").alias("file"), F.when(F.col("id") % 8 < 4, "LOW").otherwise("HIGH").alias("cell"), (F.col("id") % 8).cast("int").alias("layer"), F.lit(0).alias("datatype"), ring.alias("points"))
     root = _out(spark, "gds")
     parts.write_files(parts.gds_files(made, 1e-9, per=100), root)
-    back = gdsii.read_gds(spark, f"{root}/*.gds").select(F.col("layer").cast("int").alias("layer"), "struct_name", F.abs(F.col("xy")[1]["x"] - F.col("xy")[0]["x"]).alias("w"))
+    back = gdsii.read_gds(spark, root).select(F.col("layer").cast("int").alias("layer"), "struct_name", F.abs(F.col("xy")[1]["x"] - F.col("xy")[0]["x"]).alias("w"))
     return back.groupBy("layer").agg(F.count("*").alias("n"), F.count(F.when(F.col("struct_name") == "LOW", True)).alias("n_low"), F.sum("w").cast("long").alias("width"))
 
 

@@ -21,6 +21,8 @@ from .files import gds_bytes, vtu
 
 #: Rows of a file; one file is made in memory by one task.
 PER_FILE = 50_000
+#: Files that a task makes; by their bytes alone Spark would give many small ones to one task.
+FILES = 50
 FILE = "name string, content binary"
 
 
@@ -88,10 +90,11 @@ def write_files(files: DataFrame, path: str) -> None:
 
 def _dealt(rows: DataFrame, by: str, order: list[str], per: int) -> DataFrame:
     """Rows with their ``number`` and ``piece``: the runs of ``per`` rows in the order of ``by`` and ``order``, numbered from 0 for each
-    value of ``by``. No piece has more than ``per`` rows, however many rows a value has."""
+    value of ``by``. No piece has more than ``per`` rows, however many rows a value has. A task gets about ``FILES`` pieces."""
     own = numbered(rows, by, *order, name="number")
     first = own.groupBy(by).agg(F.min("number").alias("_first"))
-    return own.join(first, by).withColumn("piece", F.floor((F.col("number") - F.col("_first")) / per)).drop("_first")
+    dealt = own.join(first, by).withColumn("piece", F.floor((F.col("number") - F.col("_first")) / per)).drop("_first")
+    return dealt.repartition(max(1, -(-rows.count() // (per * FILES))), by, "piece")
 
 
 def vtu_files(elements: DataFrame, values: list[str], per: int = PER_FILE) -> DataFrame:

@@ -64,6 +64,8 @@ def records(data: bytes):
 
 #: Bytes of elements that a task reads at a time.
 PIECE = 4 << 20
+#: Elements after which a task hands on what it has read.
+TOGETHER = 5_000
 
 
 def pieces(data: bytes, encoding: str = "auto", size: int = PIECE):
@@ -148,22 +150,30 @@ def read_gds(spark: SparkSession, path: str, encoding: str = "auto", size: int =
     and cuts it at element ends; the pieces are dealt out and their elements read by as many tasks as there are pieces. A
     file comes as one value and may have up to 2 GB."""
 
-    def cut(frames):
+    def cut(frames):  # small files' pieces and elements go on together, as each table handed over has a cost of its own
         for pdf in frames:
+            rows, held = [], 0
             for source, content in pdf.itertuples(index=False):
-                rows = []
                 for piece in pieces(memoryview(content), encoding, size):
                     rows.append((source, *piece))
-                    if len(rows) >= 8:
+                    held += len(piece[-1])
+                    if held >= 8 * size:
                         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-                        rows = []
+                        rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     def read(frames):
         names = [c.split()[0] for c in ELEMENTS.replace("array<struct<x:int,y:int>>", "a").replace("array<struct<attr:short,value:string>>", "a").split(", ")]
         for pdf in frames:
+            rows = []
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame(elements(tuple(r[1:])), columns=names)
+                rows += elements(tuple(r[1:]))
+                if len(rows) >= TOGETHER:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     whole = spark.read.format("binaryFile").load(path).select("path", "content")
     dealt = whole.mapInPandas(cut, PIECES).repartition("source", "struct_ix", "first")

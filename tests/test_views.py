@@ -107,3 +107,9 @@ def test_channels_are_exported(spark, transistors, tmp_path):  # noqa: F811
     assert numbers(text, "channel_ohm") == pytest.approx([20.0] * len(numbers(text, "channel_ohm")))
     with pytest.raises(ValueError, match="two bins"):
         views.write_views(got.field, str(tmp_path / "views"), bins=1)
+
+
+def test_small_files_are_made_by_many_tasks(spark):
+    p = spark.range(1200).select(F.lit("f").alias("file"), F.lit("A").alias("cell"), (F.col("id") % 7).cast("int").alias("layer"), F.lit(0).alias("datatype"), F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1))]).alias("points"))
+    made = parts.gds_files(p, 1e-3, per=4).withColumn("task", F.spark_partition_id()).groupBy().agg(F.count("*"), F.countDistinct("name"), F.countDistinct("task")).first()
+    assert made[0] == made[1] == 300 and made[2] == 6
