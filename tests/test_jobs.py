@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jobs import layout_nets, text_names
 from jobs import queries as jobs
 from jobs.common import config
+from sheetspark.operators import closure
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TEXT = config(None, text_names.__file__)
@@ -110,6 +111,20 @@ def test_nets_of_boxes_and_vias(spark, tmp_path):
     assert reasons == {"no id or layer": 2, "coordinate is not a number": 2, "negative side": 1, "id is not unique": 2}
 
 
+def test_nets_are_found_without_broadcasts(spark, tmp_path, monkeypatch):
+    """A table that is broadcast passes through the driver whole; those of this job grow with the layout."""
+    plans = []
+    seen = lambda name, df: plans.append((name, "Broadcast" in df._jdf.queryExecution().executedPlan().toString()))
+    for module in (layout_nets, closure):
+        monkeypatch.setattr(module, "keep", lambda df, name, keep=module.keep: seen(name, df) or keep(df, name))
+    monkeypatch.setattr(layout_nets, "nets", lambda *a, nets=layout_nets.nets: (out := nets(*a), seen("nets", out))[0])
+    row = [(k, "a", 2.0 * k, 0.0, 2.0 * k + 2, 1.0, None) for k in range(40)]
+    boxes(spark, tmp_path, [*row, (90, "b", 100.0, 0.0, 101.0, 1.0, None), (91, "b", 0.0, 0.0, 1.0, 1.0, None), (91, "b", 9.0, 0.0, 9.5, 1.0, None)], [(k, 2.0 * k, 0.5, 4.0, "v") for k in range(8)])
+    assert run_nets(spark, tmp_path) == [("a", 0, 40, 0.0, 0.0, 80.0, 1.0, 80.0, 8, 0.5), ("b", 90, 1, 100.0, 0.0, 101.0, 1.0, 1.0, 0, None)]
+    assert [name for name, _ in plans].count("edges") > 2 and {name for name, _ in plans} == {"tested", "vias", "edges", "named", "nets"}
+    assert not [name for name, broadcast in plans if broadcast]
+
+
 def test_only_the_asked_layers_are_replaced(spark, tmp_path):
     boxes(spark, tmp_path, [(1, "a", 0.0, 0.0, 1.0, 1.0, None), (2, "b", 0.0, 0.0, 1.0, 1.0, None)])
     run_nets(spark, tmp_path)
