@@ -8,15 +8,17 @@ Whether two strings are equal is decided by sorted order alone:
    it occurs more than once and whether its runs differ. Runs with equal bytes are aggregated to the earliest of them,
    in the task and then in the minimizer's group; the later ones are repeats as a whole. Where all runs of a minimizer
    are equal that is all there is to know, and only their heads travel; where they differ, their bytes go along.
-2. In a group of minimizers each task's differing runs are a shard. A shard's suffixes are sorted and give its
-   transform, over an alphabet of 10-byte strings. The shards' transforms are merged by interleave refinement: starting
+2. In a group of minimizers each task's differing runs are a shard. Equal strings agree on the 10-byte symbols at tens
+   before and behind their minimizer, so runs are cut at those that occur once there; as minimizers have nothing in
+   common, some hundred kB are taken at a time. A shard's suffixes are sorted and give its transform, over an alphabet of 10-byte strings. The shards' transforms are merged by interleave refinement: starting
    from the shards one after the other, each round sends the interleave through the transforms' symbols, stably, after
    which it is right to 10 more bytes; ten rounds, or fewer if nothing moves, order it to 100 bytes. Boundaries between
    different prefixes are carried along, so intervals without a boundary are the strings that occur more than once; no
    suffix is sorted again.
 3. In each interval all but the earliest string mark their bytes. Marks are joined to the documents that have any.
 
-Only two bitmaps of fixed size are broadcast; where they fill up, more runs are looked at than needed, never fewer.
+Only two bitmaps are broadcast, of three bytes a name up to 64 MB each; where they fill up, more runs are looked at
+than needed, never fewer.
 Equality of whole runs is that of 64-bit hashes of their bytes.
 
 Defined cases: a null text is empty; texts under 100 bytes keep everything; rows with a null id come first in the
@@ -40,7 +42,9 @@ from .text import RAW_VALUE, mix, powers, sliced, strings
 SPAN = 100
 GRAM = 32
 STEP = 10
-BITMAP_BITS = 26
+PART_BYTES = 1 << 18
+BLOCK = 1 << 14
+BITMAP_BITS = 29
 DOC_BITS = 22
 FIRST_ID = -(1 << 63)
 
@@ -53,22 +57,15 @@ class Windows:
     def __init__(self, offsets: np.ndarray, data: np.ndarray):
         self.offsets, self.data = offsets, data
         n = len(data)
-        up, self.down = powers(n + 1)
+        up, down = powers(n + 1)
+        self.down = down[: n + 1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(RAW_VALUE[data] * up[:n], out=self.sums[1:])
         self.start = self.last = self.gram = np.zeros(0, np.int64)
         self.name = np.zeros(0, np.uint64)
         if n < SPAN:
             return
-        h = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
-        least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        width, want = 1, SPAN - GRAM + 1
-        while 2 * width <= want:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < want:
-            least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
-        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)  # minimizer of each window start
+        at = self.minimizers()
         inside = np.ones(len(at), bool)
         for e in offsets[1:-1].tolist():
             inside[max(0, e - SPAN + 1) : e] = False
@@ -81,7 +78,32 @@ class Windows:
         first = np.flatnonzero(fresh & inside)
         ends = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True))
         self.start, self.last, self.gram = first, ends, at[first]
-        self.name = mix(h[self.gram] ^ np.uint64(0x9E3779B97F4A7C15))
+        h = (self.sums[self.gram + GRAM] - self.sums[self.gram]) * self.down[self.gram]
+        self.name = mix(h ^ np.uint64(0x9E3779B97F4A7C15))
+
+    def minimizers(self) -> np.ndarray:
+        """Of each window start: the leftmost place of the least hash. In blocks that stay in the processor's cache."""
+        n, want = len(self.down) - SPAN, SPAN - GRAM + 1
+        at = np.empty(n, np.int64)
+        a, b = np.empty(BLOCK + want, np.uint64), np.empty(BLOCK + want, np.uint64)
+        number = np.arange(BLOCK + want, dtype=np.uint64)
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            m = hi - lo + want - 1
+            x, y = a[:m], b[:m]
+            np.subtract(self.sums[lo + GRAM : lo + GRAM + m], self.sums[lo : lo + m], out=x)
+            x *= self.down[lo : lo + m]
+            x &= np.uint64(0xFFFFFFFF00000000)
+            x |= number[:m]
+            width = 1
+            while width < want:
+                step = min(width, want - width)
+                m -= step
+                np.minimum(x[:m], x[step : step + m], out=y[:m])
+                x, y, width = y, x, width + step
+            np.bitwise_and(x[:m], np.uint64(0xFFFFFFFF), out=y[:m])
+            np.add(y[:m].view(np.int64), lo, out=at[lo:hi])
+        return at
 
     def take(self, chosen: np.ndarray) -> None:
         self.start, self.last, self.gram, self.name = self.start[chosen], self.last[chosen], self.gram[chosen], self.name[chosen]
@@ -105,7 +127,7 @@ def _names(ranges: int):
 
     def pack(held):
         name, content = (np.concatenate(x) for x in zip(*held))
-        by = np.lexsort((content, name))
+        by = np.argsort(name ^ mix(content))  # brings equal ones together
         name, content = name[by], content[by]
         at = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (content[1:] != content[:-1])))
         twice = np.diff(np.append(at, len(name))) > 1
@@ -138,8 +160,9 @@ def _names(ranges: int):
     return run
 
 
-def _section(bits: int):
-    """A group's part of the bitmaps: names that occur more than once, and those whose runs differ."""
+def _section(most: int):
+    """A group's part of the bitmaps: names that occur more than once, and those whose runs differ. Three bytes a name,
+    ``most`` at most."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(b, NAME) for b in table["names"].to_pylist()])
@@ -148,17 +171,33 @@ def _section(bits: int):
         same = name[1:] == name[:-1]
         parts = []
         for hit in (same, same & (content[1:] != content[:-1])):
-            part = np.zeros(bits, bool)
-            part[name[1:][hit] % bits] = True
+            found = name[1:][hit]
+            distinct = int((found[1:] != found[:-1]).sum()) + 1
+            part = np.zeros(8 * min(most, 3 * distinct), bool)
+            part[found % len(part)] = True
             parts.append(pa.array([np.packbits(part).tobytes()], pa.binary()))
         return pa.table({"group": table["group"].slice(0, 1), "twice": parts[0], "mixed": parts[1]})
 
     return run
 
 
+class Bitmap:
+    """The groups' parts of one bitmap; a group may have none."""
+
+    def __init__(self, parts: dict[int, bytes], ranges: int):
+        parts = [parts.get(g, b"\0") for g in range(ranges)]
+        self.size = np.array([len(p) for p in parts])
+        self.at = np.cumsum(self.size) - self.size
+        self.bits = np.frombuffer(b"".join(parts), np.uint8)
+
+    def on(self, group: np.ndarray, short: np.ndarray) -> np.ndarray:
+        bit = short % (8 * self.size)[group]
+        return (self.bits[self.at[group] + (bit >> 3)] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+
+
 # ---- runs
 
-HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("content", "<u8"), ("length", "<u2"), ("mixed", "?")])
+HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("content", "<u8"), ("length", "u1"), ("gram", "u1"), ("mixed", "?")])  # a run has at most 168 bytes
 MARKS = "doc long, hash long, start long, end long, group int, heads binary, bytes binary"
 
 
@@ -167,7 +206,7 @@ def text_hash(offsets: np.ndarray, data: np.ndarray, w: Windows) -> np.ndarray:
     return mix((w.sums[offsets[1:]] - w.sums[offsets[:-1]]) * w.down[offsets[:-1]] + mix(n.astype(np.uint64))).view(np.int64)
 
 
-def _runs(shared, ranges: int, bits: int):
+def _runs(shared, ranges: int):
     """Spans that are repeats within the task (dealt to any group, to be passed on), and the other runs by group."""
 
     def marks(doc, hash_, start, end):
@@ -178,8 +217,8 @@ def _runs(shared, ranges: int, bits: int):
         )
 
     def pack(held):
-        doc, hash_, start, length, mixed, name, content = (np.concatenate(x) for x in zip(*(h[:7] for h in held)))
-        texts = np.concatenate([h[7] for h in held])
+        doc, hash_, start, length, gram, mixed, name, content = (np.concatenate(x) for x in zip(*(h[:8] for h in held)))
+        texts = np.concatenate([h[8] for h in held])
         at = np.cumsum(length * mixed) - length * mixed
         by = np.lexsort((start, hash_, doc, content))
         first = np.append(True, content[by][1:] != content[by][:-1])
@@ -190,7 +229,7 @@ def _runs(shared, ranges: int, bits: int):
         order = np.argsort(group, kind="stable")
         by, group = by[order], group[order]
         head = np.empty(len(by), HEAD)
-        for field, values in (("doc", doc), ("hash", hash_), ("start", start), ("content", content), ("length", length), ("mixed", mixed)):
+        for field, values in (("doc", doc), ("hash", hash_), ("start", start), ("content", content), ("length", length), ("gram", gram), ("mixed", mixed)):
             head[field] = values[by]
         cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         stop = np.append(cut[1:], len(group))
@@ -207,8 +246,7 @@ def _runs(shared, ranges: int, bits: int):
         )
 
     def run(batches):
-        twice, differ = (np.frombuffer(b, np.uint8) for b in shared.value)
-        on = lambda bitmap, bit: (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+        twice, differ = shared.value
         held, n = [], 0
         seen: dict[int, int] = {}
         for whole in batches:
@@ -230,22 +268,20 @@ def _runs(shared, ranges: int, bits: int):
                     c = np.array(copies)
                     yield marks(docs[c], own[c], np.zeros(len(c), np.int64), np.diff(offsets)[c])
                 group, short = _groups_of(w.name, ranges)
-                bit = group * bits + short % bits
-                chosen = on(twice, bit)
-                mixed = on(differ, bit)
+                chosen = twice.on(group, short)
                 doc_of = np.searchsorted(offsets, w.start, side="right") - 1
                 skip = np.zeros(len(docs), bool)
                 skip[copies] = True
                 chosen &= ~skip[doc_of]
                 w.take(chosen)
-                doc_of, mixed = doc_of[chosen], mixed[chosen]
+                doc_of, mixed = doc_of[chosen], differ.on(group[chosen], short[chosen])
                 if not len(w.start):
                     continue
                 length = w.last + SPAN - w.start
                 size = length * mixed
                 before = np.cumsum(size) - size
                 texts = data[np.repeat(w.start - before, size) + np.arange(int(size.sum()))]
-                held.append((docs[doc_of], own[doc_of], w.start - offsets[doc_of], length, mixed, w.name, w.content(), texts))
+                held.append((docs[doc_of], own[doc_of], w.start - offsets[doc_of], length, w.gram - w.start, mixed, w.name, w.content(), texts))
                 n += len(length)
                 if n > 250_000:
                     yield from pack(held)
@@ -305,13 +341,26 @@ def alphabet(data: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 def suffix_order(symbol: np.ndarray, left: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """Places by shard, each shard's in the order of their suffixes (to 100 bytes): the suffix arrays, one after the
-    other, by doubling within the shards."""
-    rank, width = symbol, STEP
-    while width < SPAN:
-        ahead = np.where(left > width, _ahead(rank, width) + 1, 0)  # 0: at an end
-        rank = _pair(rank, ahead)
+    other, by doubling within the shards. Only what is still equal within its shard is sorted again."""
+    n = len(symbol)
+    key = (shard.astype(np.uint64) << np.uint64(32)) | symbol.astype(np.uint64)
+    order = np.argsort(key)
+    where, width = np.arange(n), STEP
+    key = key[order]
+    rank = np.empty(n, np.int64)
+    while True:
+        fresh = np.append(True, key[1:] != key[:-1])
+        rank[order[where]] = np.maximum.accumulate(np.where(fresh, where, 0))  # where their equals begin
+        tied = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
+        if not len(tied) or width >= SPAN:
+            return order
+        where = where[tied]
+        place = order[where]
+        ahead = np.where(left[place] > width, rank[np.minimum(place + width, n - 1)] + 1, 0)  # 0: at an end
+        key = (rank[place] << 32) | ahead
+        by = np.argsort(key)
+        order[where], key = place[by], key[by]
         width *= 2
-    return np.lexsort((rank, shard)) if len(shard) else np.zeros(0, np.int64)
 
 
 def merge(symbol: np.ndarray, left: np.ndarray, shard: np.ndarray, first: np.ndarray, order: np.ndarray, rounds: int = SPAN // STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -319,24 +368,27 @@ def merge(symbol: np.ndarray, left: np.ndarray, shard: np.ndarray, first: np.nda
     10 bytes behind a run's start have no symbol before them. Returns the places in merged order and, for each, whether
     it differs from the one before within ``rounds`` symbols."""
     n = len(order)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    high = symbol.astype(np.uint64) << np.uint64(32)
+    transform = np.where(first[order], none, high[order - STEP])  # the symbols before, shard by shard
     interleave = shard[order]  # the shards one after the other
     edge = np.zeros(n, bool)
     ends = np.flatnonzero(left <= STEP)  # their suffixes have no later place to come from
     ends = ends[np.argsort(symbol[ends], kind="stable")]
+    m, numbers = len(ends), np.arange(n, dtype=np.uint64)
+    key, own, block, sent = np.empty(n, np.uint64), np.empty(n, shard.dtype), np.empty(n, np.int32), np.empty(n, np.uint64)
     for k in range(rounds):
-        merged = np.empty(n, np.int64)
-        merged[np.argsort(interleave, kind="stable")] = order
-        behind = ~first[merged]
-        source = np.concatenate([np.full(len(ends), -1), np.flatnonzero(behind)])
-        place = np.concatenate([ends, merged[behind] - STEP])
-        key = np.sort((symbol[place].astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64))
+        sent[np.argsort(interleave, kind="stable")] = transform
+        behind = np.flatnonzero(sent != none)
+        key[:m], key[m:] = high[ends], sent[behind]
+        own[:m], own[m:] = shard[ends], interleave[behind]
+        block[:m], block[m:] = -1 if k else 0, np.cumsum(edge, dtype=np.int32)[behind]  # an end tells from the 2nd symbol on
+        key |= numbers
+        key.sort()
         to = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        place, source = place[to], source[to]
         step = (key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32))
-        blocks = np.append(np.cumsum(edge), -1 if k else 0)  # the last stands for an end, which tells from the 2nd symbol on
-        came = blocks[source]
+        now, came = own[to], block[to]
         fresh = np.append(True, step | (came[1:] != came[:-1]))
-        now = shard[place]
         if np.array_equal(now, interleave) and np.array_equal(fresh, edge):
             break
         interleave, edge = now, fresh
@@ -371,14 +423,67 @@ def _mark(table: pa.Table) -> pa.Table:
     return pa.table({"doc": doc, "hash": hash_, "start": start, "end": end})
 
 
-def _mark_mixed(head: np.ndarray, shard_of: np.ndarray, data: np.ndarray, where: np.ndarray):
-    """The same for different runs, by their shards' merged transforms."""
-    length = head["length"].astype(np.int64)
+def at_any(data: np.ndarray, kind: str) -> np.ndarray:
+    """The numbers of a kind that start at each byte."""
+    return np.ndarray((len(data) - np.dtype(kind).itemsize + 1,), kind, data, strides=(1,))
+
+
+def stretches(data: np.ndarray, where: np.ndarray, length: np.ndarray, gram: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) of what of the runs can hold a string of 100 bytes that another run of the minimizer has.
+    Equal strings have their minimizer at one place, so they agree on the symbols that stand at tens before and behind
+    it; at least nine of these are in the string. Runs are cut at those that occur once."""
+    lead = gram % STEP
+    cells = (length - lead) // STEP
+    run = np.repeat(np.arange(len(length)), cells)
+    cell = np.arange(len(run)) - (np.cumsum(cells) - cells)[run]
+    place = (where + lead)[run] + cell * STEP
+    eight = at_any(data, "<u8")
+    key = mix(eight[place] ^ mix(eight[place + STEP - 8] ^ mix(name[run] + (cell - (gram // STEP)[run]).astype(np.uint64))))
+    by = np.argsort(key)
+    same = key[by][1:] == key[by][:-1]
+    again = np.zeros(len(run) + 2, bool)  # with one place before and one behind
+    again[1 + by[:-1][same]] = again[1 + by[1:][same]] = True
+    inside = np.append(False, run[1:] == run[:-1])
+    begin = np.flatnonzero(again[1:-1] & ~(again[:-2] & inside))
+    stop = np.flatnonzero(again[1:-1] & ~(again[2:] & np.append(inside[1:], False)))
+    long = stop - begin + 1 >= SPAN // STEP - 1
+    run, begin, stop = run[begin[long]], cell[begin[long]], cell[stop[long]]
+    start = np.maximum(lead[run] + begin * STEP - STEP + 1, 0)
+    end = np.minimum(lead[run] + (stop + 2) * STEP - 1, length[run])
+    long = end - start >= SPAN
+    return run[long], start[long], end[long]
+
+
+def _mark_mixed(head: np.ndarray, shard: np.ndarray, data: np.ndarray, where: np.ndarray):
+    """The same for different runs, by their shards' merged transforms. Minimizers have nothing in common, so some at a
+    time, however large the group is."""
+    length, gram = head["length"].astype(np.int64), head["gram"].astype(np.int64)
+    eight = at_any(data, "<u8")
+    name = np.zeros(len(head), np.uint64)
+    for k in range(0, GRAM, 8):
+        name = mix(name ^ eight[where + gram + k])
+    by = np.argsort(name)
+    total = np.cumsum(length[by])
+    fresh = np.flatnonzero(np.append(True, name[by][1:] != name[by][:-1]))
+    part = (total - length[by])[fresh] // PART_BYTES
+    cut = np.append(fresh[np.append(True, part[1:] != part[:-1])], len(by))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = np.sort(by[a:b])
+        run, start, end = stretches(data, where[own], length[own], gram[own], name[own])
+        if len(run):
+            out.append(_mark_stretches(head[own[run]], shard[own[run]], data, where[own[run]], start, end))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4))
+
+
+def _mark_stretches(head: np.ndarray, shard_of: np.ndarray, data: np.ndarray, where: np.ndarray, start: np.ndarray, end: np.ndarray):
+    length = end - start
     at = np.cumsum(length) - length
     run = np.repeat(np.arange(len(head)), length)
     inner = np.arange(len(run)) - at[run]
-    data = data[where[run] + inner]
-    shard = np.unique(shard_of, return_inverse=True)[1][run].astype(np.uint16)
+    data = data[(where + start - at)[run] + np.arange(len(run))]
+    shards, label = np.unique(shard_of, return_inverse=True)
+    shard = label.astype(np.uint8 if len(shards) <= 256 else np.uint16)[run]
     left = length[run] - inner
     symbol = alphabet(data, left)
     order = suffix_order(symbol, left, shard)
@@ -388,16 +493,18 @@ def _mark_mixed(head: np.ndarray, shard_of: np.ndarray, data: np.ndarray, where:
     new = np.append(True, (head["doc"][by][1:] != head["doc"][by][:-1]) | (head["hash"][by][1:] != head["hash"][by][:-1]))
     rank = np.empty(len(head), np.int64)
     rank[by] = np.cumsum(new)
-    when = (rank[run] << 40) + head["start"][run] + inner
+    first = head["start"] + start
+    when = ((rank << 40) + first)[run] + inner
     seq = when[merged]
     cut = np.flatnonzero(edge)
     earliest = np.repeat(np.minimum.reduceat(seq, cut), np.diff(np.append(cut, len(seq))))
     marked = np.zeros(len(data), bool)
     marked[merged[(seq != earliest) & (left[merged] >= SPAN)]] = True  # shorter suffixes may be equal to their ends
     places = np.flatnonzero(marked)
-    r = run[places]
-    s = head["start"][r] + inner[places]
-    return head["doc"][r], head["hash"][r], s, s + SPAN
+    begin = places[np.append(True, np.diff(places) != 1)[: len(places)]]  # a run's last 99 places are never marked
+    stop = places[np.append(np.diff(places) != 1, True)[: len(places)]]
+    r = run[begin]
+    return head["doc"][r], head["hash"][r], first[r] + inner[begin], first[r] + inner[stop] + SPAN
 
 
 # ---- documents
@@ -476,16 +583,10 @@ def marks(rows: DataFrame) -> DataFrame:
     """(doc, hash, start, end): spans of bytes covered by strings that also start earlier; they may overlap."""
     spark = rows.sparkSession
     ranges = 8 * partitions(spark)
-    bits = (1 << BITMAP_BITS) // ranges // 8 * 8
-    parts = rows.mapInArrow(_names(ranges), "group int, names binary").groupBy("group").applyInArrow(_section(bits), "group int, twice binary, mixed binary").collect()  # 16 MB in all
-    bitmaps = []
-    for kind in ("twice", "mixed"):
-        bitmap = np.zeros(ranges * bits // 8, np.uint8)
-        for r in parts:
-            bitmap[r["group"] * bits // 8 : (r["group"] + 1) * bits // 8] = np.frombuffer(bytes(r[kind]), np.uint8)
-        bitmaps.append(bitmap.tobytes())
-    shared = spark.sparkContext.broadcast(tuple(bitmaps))
-    runs = rows.mapInArrow(_runs(shared, ranges, bits), MARKS)
+    most = max(1, (1 << BITMAP_BITS) // 8 // ranges)
+    parts = rows.mapInArrow(_names(ranges), "group int, names binary").groupBy("group").applyInArrow(_section(most), "group int, twice binary, mixed binary").collect()  # 3 bytes a name that is repeated, 128 MB at most
+    shared = spark.sparkContext.broadcast(tuple(Bitmap({r["group"]: bytes(r[kind]) for r in parts}, ranges) for kind in ("twice", "mixed")))
+    runs = rows.mapInArrow(_runs(shared, ranges), MARKS)
     return keep(runs.groupBy("group").applyInArrow(_mark, "doc long, hash long, start long, end long"), "marks")
 
 
