@@ -10,11 +10,11 @@ Whether two strings are equal is decided by sorted order alone:
    are equal that is all there is to know, and only their heads travel; where they differ, their bytes go along.
 2. In a group of minimizers each task's differing runs are a shard. Equal strings agree on the 10-byte symbols at tens
    before and behind their minimizer, so runs are cut at those that occur once there; as minimizers have nothing in
-   common, some hundred kB are taken at a time. A shard's suffixes are sorted and give its transform, over an alphabet of 10-byte strings. The shards' transforms are merged by interleave refinement: starting
-   from the shards one after the other, each round sends the interleave through the transforms' symbols, stably, after
-   which it is right to 10 more bytes; ten rounds, or fewer if nothing moves, order it to 100 bytes. Boundaries between
-   different prefixes are carried along, so intervals without a boundary are the strings that occur more than once; no
-   suffix is sorted again.
+   common, some 64 kB are taken at a time. A shard's suffixes are sorted and give its transform, over an alphabet
+   of 10-byte strings. The shards' transforms are merged by interleave refinement: starting from the shards one after
+   the other, each round sends the interleave through the transforms' symbols, stably, after which it is right to 10
+   more bytes; ten rounds, or fewer if nothing moves, order it to 100 bytes. Boundaries between different prefixes are
+   carried along, so intervals without a boundary are the strings that occur more than once; no suffix is sorted again.
 3. In each interval all but the earliest string mark their bytes. Marks are joined to the documents that have any.
 
 Only two bitmaps are broadcast, of three bytes a name up to 64 MB each; where they fill up, more runs are looked at
@@ -42,7 +42,8 @@ from .text import RAW_VALUE, mix, powers, sliced, strings
 SPAN = 100
 GRAM = 32
 STEP = 10
-PART_BYTES = 1 << 18
+SLICE = 1 << 17
+PART_BYTES = 1 << 16
 BLOCK = 1 << 14
 BITMAP_BITS = 29
 DOC_BITS = 22
@@ -146,7 +147,7 @@ def _names(ranges: int):
     def run(batches):
         held, n = [], 0
         for whole in batches:
-            for batch in sliced(whole, "text", 1 << 20):
+            for batch in sliced(whole, "text", SLICE):
                 w = Windows(*strings(batch.column("text")))
                 if len(w.name):
                     held.append((w.name, w.content()))
@@ -166,10 +167,10 @@ def _section(most: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(b, NAME) for b in table["names"].to_pylist()])
-        by = np.lexsort((rows["content"], rows["name"]))
+        by = np.argsort(rows["name"])
         name, content = rows["name"][by], rows["content"][by]
         same = name[1:] == name[:-1]
-        parts = []
+        parts = []  # where a name's runs differ, two neighbours do
         for hit in (same, same & (content[1:] != content[:-1])):
             found = name[1:][hit]
             distinct = int((found[1:] != found[:-1]).sum()) + 1
@@ -250,7 +251,7 @@ def _runs(shared, ranges: int):
         held, n = [], 0
         seen: dict[int, int] = {}
         for whole in batches:
-            for batch in sliced(whole, "text", 1 << 20):
+            for batch in sliced(whole, "text", SLICE):
                 offsets, data = strings(batch.column("text"))
                 docs = batch.column("doc_id").fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
                 w = Windows(offsets, data)
@@ -368,15 +369,16 @@ def merge(symbol: np.ndarray, left: np.ndarray, shard: np.ndarray, first: np.nda
     10 bytes behind a run's start have no symbol before them. Returns the places in merged order and, for each, whether
     it differs from the one before within ``rounds`` symbols."""
     n = len(order)
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    high = symbol.astype(np.uint64) << np.uint64(32)
+    kind, half = (np.uint32, 16) if max(n, int(symbol.max(initial=0)) + 2) <= 1 << 16 else (np.uint64, 32)
+    none, half = kind(np.iinfo(kind).max), kind(half)
+    high = symbol.astype(kind) << half
     transform = np.where(first[order], none, high[order - STEP])  # the symbols before, shard by shard
     interleave = shard[order]  # the shards one after the other
     edge = np.zeros(n, bool)
     ends = np.flatnonzero(left <= STEP)  # their suffixes have no later place to come from
     ends = ends[np.argsort(symbol[ends], kind="stable")]
-    m, numbers = len(ends), np.arange(n, dtype=np.uint64)
-    key, own, block, sent = np.empty(n, np.uint64), np.empty(n, shard.dtype), np.empty(n, np.int32), np.empty(n, np.uint64)
+    m, numbers, low = len(ends), np.arange(n, dtype=kind), kind((1 << int(half)) - 1)
+    key, own, block, sent = np.empty(n, kind), np.empty(n, shard.dtype), np.empty(n, np.int32), np.empty(n, kind)
     for k in range(rounds):
         sent[np.argsort(interleave, kind="stable")] = transform
         behind = np.flatnonzero(sent != none)
@@ -385,8 +387,9 @@ def merge(symbol: np.ndarray, left: np.ndarray, shard: np.ndarray, first: np.nda
         block[:m], block[m:] = -1 if k else 0, np.cumsum(edge, dtype=np.int32)[behind]  # an end tells from the 2nd symbol on
         key |= numbers
         key.sort()
-        to = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        step = (key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32))
+        to = (key & low).astype(np.int64)
+        key >>= half
+        step = key[1:] != key[:-1]
         now, came = own[to], block[to]
         fresh = np.append(True, step | (came[1:] != came[:-1]))
         if np.array_equal(now, interleave) and np.array_equal(fresh, edge):
@@ -529,7 +532,7 @@ def _split(shared):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for whole in batches:
-            for batch in sliced(whole, "text", 1 << 20):
+            for batch in sliced(whole, "text", SLICE):
                 offsets, data = strings(batch.column("text"))
                 docs = batch.column("doc_id").fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
                 open_ = bits[_slot(docs)]
